@@ -116,7 +116,7 @@ def pool(model: Model, texts: list[bytes]) -> np.ndarray:
     return total / np.maximum(letters, 1)[:, None]
 
 
-def train(windows: list[tuple[bytes, str]], hidden: int = 6, steps_: int = 300, batch: int = 96, length: int = 96, rate: float = 0.02, seed: int = 11) -> Model:
+def train(windows: list[tuple[bytes, str]], hidden: int = 8, steps_: int = 300, batch: int = 96, length: int = 96, rate: float = 0.02, seed: int = 11) -> Model:
     """Fit by backpropagation through time with Adam on random crops; the same windows give the same model."""
     rng = np.random.default_rng(seed)
     langs = sorted({lang for _, lang in windows})
