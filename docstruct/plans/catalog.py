@@ -1,20 +1,23 @@
-"""Queries over the driver's tables, one for each operator, with their SQL."""
+"""All queries over the driver's tables, one or more for each operator, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from docstruct.plans import registry, segment_queries, sequence_queries, stats_queries
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+MODULES = (stats_queries, sequence_queries, segment_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.QUERIES["a1_distribution"](spark, sf_dir)
