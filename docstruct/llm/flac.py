@@ -316,8 +316,10 @@ def decode(media: list[bytes]) -> list[bytes]:
     """The payloads of streams made by encode(), each frame's checksums and each stream's MD5 verified."""
     starts, sizes, numbers, sums, counts, base = [], [], [], [], [], 0
     for m in media:
-        first, total, md5, _seek = parse(m)
+        first, total, md5, seek = parse(m)
         at, size = frame_starts(m, first, total // BLOCK)
+        if any(sample % BLOCK or at[sample // BLOCK] - first != offset for sample, offset in seek if sample < total) or any(sample >= total for sample, _ in seek):
+            raise ValueError("seek table mismatch")
         starts.append(at + base)
         sizes.append(size)
         numbers.append(np.arange(len(at)))

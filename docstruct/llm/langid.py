@@ -99,14 +99,12 @@ def pool(model: Model, texts: list[bytes]) -> np.ndarray:
     begin = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
     begin = first[doc] + begin * CORE
     until = (first + sizes)[doc]
-    order = np.argsort(begin - until, kind="stable")  # windows of like length share a block
     span = np.arange(CORE + 2 * CONTEXT)[:, None]  # `data` has CONTEXT bytes before the first text
-    for at in range(0, len(order), BLOCK):
-        some = order[at : at + BLOCK]
+    for at in range(0, len(doc), BLOCK):
+        some = slice(at, at + BLOCK)
         left = (until[some] - begin[some]).astype(np.int32)
-        reach = int(min(CORE + CONTEXT, left.max() + CONTEXT)) + CONTEXT
-        x = data[begin[some] + span[:reach]]
-        x *= span[:reach].astype(np.int32) < left + CONTEXT
+        x = data[begin[some] + span]  # all of a length, so that a label depends on its own text alone
+        x *= span.astype(np.int32) < left + CONTEXT
         x[:CONTEXT, begin[some] == first[doc[some]]] = 0
         p = label_positions(model, x.astype(np.intp))[CONTEXT : CONTEXT + CORE]
         counts = LETTER[x[CONTEXT : CONTEXT + CORE]]
