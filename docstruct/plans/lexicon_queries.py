@@ -141,9 +141,10 @@ def h2_decide_by_evidence(t):
     return classify.decide_by_evidence(rows, ["o_custkey"], "s", "o_orderpriority", ["2-HIGH", "1-URGENT"], "o_orderkey")
 
 
-@query(r"WITH y AS (SELECT page_id, unnest(regexp_extract_all(url || ' ' || html, '\b((?:19|20)[0-9]{2})\b', 1))::INT AS year FROM pages) SELECT page_id, year, count(*) AS n FROM y WHERE year BETWEEN 1990 AND 2030 GROUP BY ALL")
+@query(r"WITH y AS (SELECT o_custkey, unnest(regexp_extract_all(o_orderpriority || ' of ' || strftime(o_orderdate, '%Y-%m-%d'), '\b((?:19|20)[0-9]{2})\b', 1))::INT AS year FROM orders) SELECT o_custkey, year, count(*) AS n FROM y WHERE year BETWEEN 1990 AND 2030 GROUP BY ALL")
 def e1_year_candidates(t):
-    return classify.year_candidates(t("pages").withColumn("body", F.concat_ws(" ", "url", "html")), "body", ["page_id"])
+    body = F.concat_ws(" of ", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return classify.year_candidates(t("orders").withColumn("body", body), "body", ["o_custkey"])
 
 
 @query("SELECT DISTINCT o_custkey, year(o_orderdate) AS year FROM orders WHERE (o_custkey, year(o_orderdate)) NOT IN (SELECT o_custkey, year(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT')")
