@@ -91,3 +91,75 @@ def canonicalize_labels(rows: DataFrame, label: str, exact: dict[str, str], cont
     low = F.lower(F.col(label))
     steps = [F.when(F.col(label) == k, v) for k, v in exact.items()] + [F.when(low == k.lower(), v) for k, v in exact.items()] + [F.when(F.contains(low, F.lit(k)), v) for k, v in contained]
     return rows.withColumn("canonical", F.coalesce(*steps, F.lit(default)))
+
+
+def keyword_candidates(texts: DataFrame, families: list[tuple[str, int]], priorities: list[str], text: str, keys: list[str], k: int = 20) -> DataFrame:
+    """(keys, rank, keyword) of at most k candidates that the families (pattern, group) find, of 2 characters or more.
+
+    A keyword counts once, at its first place in the order of families and matches; those that match an earlier pattern of `priorities` stand first.
+    """
+    found = F.concat(*(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(p), F.lit(g)) for p, g in families))
+    distinct = F.array_distinct(F.filter(found, lambda x: F.length(x) >= 2))
+
+    def rated(word: Column, i: Column) -> Column:
+        level = F.coalesce(*(F.when(word.rlike(p), F.lit(n)) for n, p in enumerate(priorities)), F.lit(len(priorities)))
+        return F.struct(level.alias("level"), i.alias("place"), word.alias("keyword"))
+
+    best = F.slice(F.array_sort(F.transform(distinct, rated)), 1, k)
+    return texts.select(*keys, F.posexplode(best).alias("_i", "_k")).select(*keys, (F.col("_i") + 1).alias("rank"), "_k.keyword")
+
+
+def related_terms(themes: DataFrame, rules: list[tuple[str, str]], default: str, lexicon: DataFrame, generic: DataFrame, theme: str, keys: list[str], k: int) -> DataFrame:
+    """(keys, category, rank, term): the category of the first rule (pattern, category) that the theme matches, and its first k terms of a lexicon (category, term, term_rank) that are not among the generic ones (term)."""
+    ranked = lexicon.join(generic, "term", "left_anti").groupBy("category", "term").agg(F.min("term_rank").alias("term_rank"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy("term_rank", "term"))).where(F.col("rank") <= k)
+    category = F.coalesce(*(F.when(F.col(theme).rlike(p), F.lit(c)) for p, c in rules), F.lit(default))
+    return themes.select(*keys, category.alias("category")).join(ranked, "category").select(*keys, "category", "rank", "term")
+
+
+def fuzzy_term_match(keywords: DataFrame, lexicon: DataFrame, keys: list[str], keyword: str, field: str) -> DataFrame:
+    """The best lexicon term (term, field, term_rank) of each row's keyword, with its score.
+
+    1.0 if equal, 0.8 if one contains the other, 0.6 if more than half of all their characters are shared, else 0.3;
+    times 1.2 in the keyword's own field; ties go to the lower term_rank. Terms that share no character do not count.
+    Distinct keywords meet terms on characters, so the shared number is a count and the rest of the work is by distinct keyword.
+    """
+    spread = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(F.col(c), ""))).alias("_ch"), F.size(F.array_distinct(F.split(F.col(c), ""))).alias(f"_n_{c}"))
+    own = spread(keywords.select(F.col(keyword).alias("_keyword")).distinct(), "_keyword")
+    terms = spread(lexicon.select("term").distinct(), "term")
+    shared = own.join(terms, "_ch").groupBy("_keyword", "term", "_n__keyword", "_n_term").agg(F.count("*").alias("_s"))
+    inside = F.contains("term", "_keyword") | F.contains("_keyword", "term")
+    score = F.when(F.col("_keyword") == F.col("term"), 1.0).when(inside, 0.8).when(2 * F.col("_s") > F.col("_n__keyword") + F.col("_n_term") - F.col("_s"), 0.6).otherwise(0.3)
+    scored = shared.select("_keyword", "term", score.alias("_score")).join(lexicon.select("term", F.col("field").alias("term_field"), "term_rank"), "term")
+    asked = keywords.select(F.col(keyword).alias("_keyword"), F.col(field).alias("_field")).distinct()
+    rated = asked.join(scored, "_keyword").withColumn("score", F.round(F.col("_score") * F.when(F.col("_field") == F.col("term_field"), 1.2).otherwise(1.0), 2))
+    best = best_by(rated, ["_keyword", "_field"], [F.desc("score"), F.col("term_rank"), F.col("term")]).select("_keyword", "_field", "term", "term_field", "score")
+    rows = keywords.select(*keys, keyword, field)
+    return rows.join(best, rows[keyword].eqNullSafe(F.col("_keyword")) & rows[field].eqNullSafe(F.col("_field"))).drop("_keyword", "_field")
+
+
+def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
+    """(key, class_id, n_links) for documents whose lower-case word sets have a Jaccard similarity of the threshold or more.
+
+    Documents of equal sets are one class, named by the smallest key; n_links counts other classes that are similar.
+    Representatives meet on prefix words: with words ordered by rarity, similar sets of m words share one of their rarest
+    m - ceil(threshold * m) + 1. Empty and null texts have no words and no links.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")))
+    sets = docs.select(F.col(key).alias("_key"), words.alias("_words"))
+    named = sets.groupBy("_words").agg(F.min("_key").alias("class_id"))
+    classes = named.where(F.size("_words") > 0)
+    placed = classes.select("class_id", F.size("_words").alias("_m"), F.explode("_words").alias("_word"))
+    rarity = placed.groupBy("_word").agg(F.count("*").alias("_df"))
+    ordered = placed.join(rarity, "_word").groupBy("class_id", "_m").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_o"))
+    size = F.col("_m") - F.ceil(F.round(F.lit(threshold) * F.col("_m"), 9)).cast("int") + 1
+    prefix = ordered.select("class_id", "_m", F.explode(F.slice(F.col("_o")["_word"], F.lit(1), size)).alias("_word"))
+    left, right = prefix.alias("l"), prefix.alias("r")
+    near = (F.col("l._word") == F.col("r._word")) & (F.col("l.class_id") < F.col("r.class_id")) & (F.least("l._m", "r._m") >= F.lit(threshold) * F.greatest("l._m", "r._m") - 1e-9)
+    pairs = left.join(right, near).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
+    first, second = (classes.select(F.col("class_id").alias(c), F.col("_words").alias(f"_{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("_a", "_b"))
+    linked = pairs.join(first, "a").join(second, "b").where(shared >= F.lit(threshold) * (F.size("_a") + F.size("_b") - shared) - 1e-9)
+    links = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    found = sets.join(named, "_words").join(links, "class_id", "left")
+    return found.select(F.col("_key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
