@@ -54,16 +54,12 @@ def detect_entity(docs: DataFrame, aliases: DataFrame, text: str, path: str, key
     A hit among the first `head` characters counts twice the priority, up to three later ones once each, the file's name
     once and its folder's name 0.8 times. Aliases are lower-case words, so hits are an equi join; confidence = min(score / 10, 1).
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
     parts = F.split(F.coalesce(F.col(path), F.lit("")), "/")
     body = F.coalesce(F.col(text), F.lit(""))
-    zones = {"head": words(F.substring(body, 1, head)), "rest": words(F.substring(body, F.lit(head + 1), F.length(body))), "file": words(F.element_at(parts, -1)), "folder": words(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")))}
-
-    def in_zone(zone: str, found: Column) -> Column:
-        return F.transform(found, lambda w: F.struct(w.alias("alias"), F.lit(zone).alias("zone")))
-
-    listed = F.concat(*(in_zone(zone, found) for zone, found in zones.items()))
-    hits = docs.select(*keys, F.explode(listed).alias("_h")).select(*keys, "_h.*").join(aliases, "alias")
+    zones = {"head": F.substring(body, 1, head), "rest": F.substring(body, F.lit(head + 1), F.length(body)), "file": F.element_at(parts, -1), "folder": F.try_element_at(parts, F.lit(-2))}
+    placed = docs.select(*keys, F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.lower(c).alias("body")) for z, c in zones.items()))).alias("_z"))
+    words = placed.select(*keys, "_z.zone", F.explode(F.regexp_extract_all("_z.body", F.lit("([a-z0-9]+)"), F.lit(1))).alias("alias"))
+    hits = words.join(aliases, "alias")
     counts = hits.groupBy(*keys, "entity", "alias", "priority", "alias_rank", "zone").agg(F.count("*").alias("n"))
     points = F.col("priority") * F.when(F.col("zone") == "head", 2 * F.col("n")).when(F.col("zone") == "rest", F.least("n", F.lit(3))).when(F.col("zone") == "file", 1.0).otherwise(0.8)
     scores = counts.groupBy(*keys, "entity").agg(F.round(F.sum(points), 1).alias("score"), F.min("alias_rank").alias("_first"))

@@ -143,7 +143,8 @@ def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) ->
 
     Documents of equal sets are one class, named by the smallest key; n_links counts other classes that are similar.
     Representatives meet on prefix words: with words ordered by rarity, similar sets of m words share one of their rarest
-    m - ceil(threshold * m) + 1. Empty and null texts have no words and no links.
+    m - ceil(threshold * m) + 1. At the first shared word the words after it bound the overlap, which drops most other
+    pairs before their words are compared. Empty and null texts have no words and no links.
     """
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")))
     sets = docs.select(F.col(key).alias("_key"), words.alias("_words"))
@@ -153,9 +154,11 @@ def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) ->
     rarity = placed.groupBy("_word").agg(F.count("*").alias("_df"))
     ordered = placed.join(rarity, "_word").groupBy("class_id", "_m").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_o"))
     size = F.col("_m") - F.ceil(F.round(F.lit(threshold) * F.col("_m"), 9)).cast("int") + 1
-    prefix = ordered.select("class_id", "_m", F.explode(F.slice(F.col("_o")["_word"], F.lit(1), size)).alias("_word"))
+    prefix = ordered.select("class_id", "_m", F.posexplode(F.slice(F.col("_o")["_word"], F.lit(1), size)).alias("_at", "_word"))
     left, right = prefix.alias("l"), prefix.alias("r")
-    near = (F.col("l._word") == F.col("r._word")) & (F.col("l.class_id") < F.col("r.class_id")) & (F.least("l._m", "r._m") >= F.lit(threshold) * F.greatest("l._m", "r._m") - 1e-9)
+    fits = F.least("l._m", "r._m") >= F.lit(threshold) * F.greatest("l._m", "r._m") - 1e-9
+    enough = (1 + threshold) * F.least(F.col("l._m") - F.col("l._at"), F.col("r._m") - F.col("r._at")) >= threshold * (F.col("l._m") + F.col("r._m")) - 1e-9
+    near = (F.col("l._word") == F.col("r._word")) & (F.col("l.class_id") < F.col("r.class_id")) & fits & enough
     pairs = left.join(right, near).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
     first, second = (classes.select(F.col("class_id").alias(c), F.col("_words").alias(f"_{c}")) for c in ("a", "b"))
     shared = F.size(F.array_intersect("_a", "_b"))
