@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from docstruct.operators import lexicon, segment, stats
-from docstruct.plans import identity_queries, lexicon_queries, match_queries, registry, segment_queries, sequence_queries, stats_queries, theme_queries
+from docstruct.plans import identity_queries, lexicon_queries, match_queries, registry, segment_queries, sequence_queries, stats_queries, stream_queries, theme_queries
 
-MODULES = (stats_queries, sequence_queries, segment_queries, lexicon_queries, identity_queries, theme_queries, match_queries)
+MODULES = (stats_queries, sequence_queries, segment_queries, lexicon_queries, identity_queries, theme_queries, match_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,7 +41,7 @@ def merge_lexicons(base: DataFrame, add: DataFrame) -> DataFrame:
     """The terms of each field, base before add, first occurrence wins, ranked anew."""
     both = base.select("field", "term", F.struct(F.lit(0), "term_rank").alias("_o")).union(add.select("field", "term", F.struct(F.lit(1), "term_rank").alias("_o")))
     first = both.groupBy("field", "term").agg(F.min("_o").alias("_o"))
-    return first.withColumn("term_rank", F.row_number().over(Window.partitionBy("field").orderBy("_o")) - 1).drop("_o")
+    return first.withColumn("term_rank", F.row_number().over(Window.partitionBy("field").orderBy("_o", "term")) - 1).drop("_o")
 
 
 def export_nested(items: DataFrame, key: str, order: list[str], kind: str, columns: list[str]) -> DataFrame:
