@@ -49,3 +49,27 @@ def export_nested(items: DataFrame, key: str, order: list[str], kind: str, colum
     kinds = items.groupBy(key, kind).agg(F.count("*").alias("_n")).groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "_n")))).alias("type_counts"))
     own = items.groupBy(key).agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, *columns])))).alias("items"))
     return own.join(kinds, key)
+
+
+def read_period_index(spark: SparkSession, path: str) -> DataFrame:
+    """(field, tier, term, term_rank) of a JSON object of periods, each with lists of strong and representative words."""
+    kinds = "map<string, struct<strong: array<string>, representative: array<string>>>"
+    parsed = spark.read.text(path, wholetext=True).select(F.posexplode(F.map_entries(F.from_json("value", kinds))).alias("_p", "_e"))
+    tiers = F.array(*(F.struct(F.lit(t).alias("tier"), F.col("_e.value")[t].alias("terms")) for t in ("strong", "representative")))
+    spread = parsed.select(F.col("_e.key").alias("field"), F.explode(tiers).alias("_t"))
+    return spread.select("field", "_t.tier", F.posexplode("_t.terms").alias("term_rank", "term"))
+
+
+def read_markdown_lexicon(spark: SparkSession, path: str, separators: str = "[,、，]") -> DataFrame:
+    """(field, category, term, term_rank) of Markdown: '##' names the field, '###' the category (null before the first of a field), list lines hold terms. The first place of a term in its field and category counts."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("_pos", "_line"))
+    heading = lambda marks: F.regexp_extract("_line", rf"^{marks}\s+(.*?)\s*$", 1)
+    before = Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    field = F.last(F.nullif(heading("##"), F.lit("")), ignorenulls=True).over(before)
+    mark = F.when(F.col("_line").rlike(r"^##\s"), F.lit("")).when(F.col("_line").rlike(r"^###\s"), heading("###"))
+    category = F.nullif(F.last(mark, ignorenulls=True).over(before), F.lit(""))
+    listed = lines.withColumns({"field": field, "category": category}).where(F.col("_line").rlike(r"^\s*[-*]\s+") & F.col("field").isNotNull())
+    body = F.regexp_replace("_line", r"^\s*[-*]\s+", "")
+    terms = listed.select("field", "category", "_file", "_pos", F.posexplode(F.split(body, separators)).alias("_i", "_term")).withColumn("term", F.trim("_term")).where("term <> ''")
+    first = terms.groupBy("field", "category", "term").agg(F.min(F.struct("_file", "_pos", "_i")).alias("_o"))
+    return first.withColumn("term_rank", F.row_number().over(Window.partitionBy("field", "category").orderBy("_o", "term")) - 1).drop("_o")

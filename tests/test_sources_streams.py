@@ -48,3 +48,13 @@ def test_nested_export(spark):
     items = spark.createDataFrame([(1, 2, "x"), (1, 1, "y"), (1, 3, "x")], "d int, n int, k string")
     row = corpus.export_nested(items, "d", ["n"], "k", ["k"]).first()
     assert row.n_items == 3 and row.type_counts == {"x": 2, "y": 1} and [i.n for i in row["items"]] == [1, 2, 3]
+
+
+def test_lexicons_of_other_forms(spark, tmp_path):
+    (tmp_path / "periods.json").write_text('{"old": {"strong": ["bronze"], "representative": ["tomb", "jar"]}, "new": {"strong": [], "representative": ["train"]}}')
+    found = corpus.read_period_index(spark, str(tmp_path / "periods.json"))
+    assert sorted(map(tuple, found.select("field", "tier", "term_rank", "term").collect())) == [("new", "representative", 0, "train"), ("old", "representative", 0, "tomb"), ("old", "representative", 1, "jar"), ("old", "strong", 0, "bronze")]
+    (tmp_path / "terms.md").write_text("# Terms\n- lost\n## history\n- king, duke\n### wars\n* siege、 truce\n- siege\n\ntext\n## law\n- court\n")
+    found = corpus.read_markdown_lexicon(spark, str(tmp_path / "terms.md"))
+    rows = found.select("field", F.coalesce("category", F.lit("-")), "term_rank", "term").collect()
+    assert sorted(map(tuple, rows)) == [("history", "-", 0, "king"), ("history", "-", 1, "duke"), ("history", "wars", 0, "siege"), ("history", "wars", 1, "truce"), ("law", "-", 0, "court")]
