@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstruct.llm import langid, linededup, mixing, packing, simhash
+from docstruct.llm import langid, linededup, mixing, neardup, packing
 from docstruct.llm.catalog import tokenizer_path
 from docstruct.llm.scratch import stage
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that of the least doc_id."""
-    return _documents(simhash.keep_one(docs))
+    """One document of each component of texts that share 0.8 of their five-word shingles stays, that of the least doc_id."""
+    return _documents(neardup.keep_one(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

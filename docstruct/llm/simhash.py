@@ -21,19 +21,32 @@ WORDS, RADIUS, SEED = 3, 2, 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(text: bytes, words: int = WORDS) -> int:
-    """64-bit fingerprint of the shingles of lower-cased words; bytes.split() takes exactly the blanks 0x20 and 0x09 to 0x0D."""
-    tokens = text.translate(_LOWER).split()
+def tokens_of(text: bytes) -> list[bytes]:
+    """Lower-cased words; bytes.split() takes exactly the blanks 0x20 and 0x09 to 0x0D."""
+    return text.translate(_LOWER).split()
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Hash of each run of so many lower-cased words; of the whole where there are no more, of nothing where there are none."""
+    tokens = tokens_of(text)
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(tokens)
     if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(sizes)
     starts, n = ends - sizes, len(tokens) - words + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, n)
+    return np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, n)
+
+
+def simhash(text: bytes, words: int = WORDS) -> int:
+    """64-bit fingerprint of the shingles."""
+    hashes = shingles(text, words)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
