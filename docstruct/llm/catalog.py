@@ -48,7 +48,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(*toxicity.sample(docs, labels.where(remainder("doc_id", 5) != 0)))
+    model = toxicity.train_on(toxicity.sample(docs, labels.where(remainder("doc_id", 5) != 0)))
     out = toxicity.predict(docs, model, keep=["doc_id"])
     return out.select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 

@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from docstruct.llm.textbatch import steps
+from docstruct.llm.textbatch import Carried, column, steps
 
 CORE, CONTEXT, BLOCK = 224, 16, 2048
-#: Bound of the training sample: windows of SAMPLE_CHARS characters of so many documents of each language.
-SAMPLE_PER_LANG, SAMPLE_CHARS = 400, 256
+#: Bounds of the training sample: windows of SAMPLE_CHARS characters of so many documents of each of the most frequent languages.
+SAMPLE_PER_LANG, SAMPLE_CHARS, SAMPLE_LANGS = 400, 256, 256
 UNDETERMINED = "und"
 #: A byte that counts for the document: an ASCII letter or part of a longer character.
 LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -192,15 +192,16 @@ def _gradients(model: Model, x: np.ndarray, y: np.ndarray, live: np.ndarray) ->
     return grads
 
 
-def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS, seed: int = 5) -> list[tuple[bytes, str]]:
-    """At most per_lang windows of each language, at hash-chosen places of hash-chosen documents.
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = SAMPLE_PER_LANG, chars: int = SAMPLE_CHARS, langs: int = SAMPLE_LANGS, seed: int = 5) -> list[tuple[bytes, str]]:
+    """At most per_lang windows of each of the `langs` most frequent languages, at hash-chosen places of hash-chosen documents.
 
     A first pass over the narrow columns counts the documents of each language; a threshold on the hash then leaves a few
-    times per_lang rows of any language before they are ranked, however large it is.
+    times per_lang rows of any language before they are ranked, however large it is. The windows are all that the driver
+    gets. Languages beyond the bound (labels that are no languages, say) are not learned; null labels and texts neither.
     """
-    rows = docs.select(F.col(text).alias("_t"), F.col(lang).alias("_l"), F.xxhash64(F.lit(seed), F.col(key), F.col(lang)).alias("_h")).where("_l is not null and _t is not null")
-    counts = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("_l")).count()
-    few = rows.join(F.broadcast(counts), "_l").where(F.pmod("_h", F.lit(1_000_000)) * F.col("count") < F.lit(4 * per_lang * 1_000_000))
+    rows = docs.select(column(text).alias("_t"), column(lang).alias("_l"), F.xxhash64(F.lit(seed), column(key), column(lang)).alias("_h")).where("_l is not null and _t is not null")
+    counts = docs.select(column(lang).alias("_l")).where("_l is not null").groupBy("_l").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_l").limit(langs)
+    few = rows.join(F.broadcast(counts), "_l").where(F.pmod("_h", F.lit(1_000_000)) * F.col("_n") < F.lit(4 * per_lang * 1_000_000))
     at = F.pmod(F.xxhash64("_h"), F.greatest(F.length("_t") - chars, F.lit(0)) + 1)
     few = few.select("_l", "_h", F.expr("_t").substr((at + 1).cast("int"), F.lit(chars)).alias("_w"))
     best = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_w"))).where(F.col("_r") <= per_lang)
@@ -211,19 +212,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """Add lang_pred and score to the columns `keep` of docs (None: all).
 
     lang_pred: the language of the largest pooled probability, ties by name; 'und' if the text is null or has no letter, or
-    if the model knows no language. score: that probability, 0 for 'und'. Columns of docs with these names are replaced.
+    if the model knows no language. score: that probability, 0 for 'und'. Columns of docs with these names are replaced,
+    whatever their case; repeated rows stay; an empty table gives an empty result.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    inner = docs.select(*names, F.col(text).alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    own = Carried(docs, keep, ("lang_pred", "score"))
+    inner = docs.select(*own.into(), column(text).alias("_text"), F.coalesce(column(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    schema = T.StructType([*own.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "_text"):
-            has = np.array(part.column(len(names) + 1).to_pylist(), bool) & bool(model.langs)
+            has = np.array(part.column(part.schema.get_field_index("_letters")).to_pylist(), bool) & bool(model.langs)
             probs = pool(model, texts) if model.langs else np.zeros((len(texts), 1))
             best = probs.argmax(axis=1)
             score = np.clip(probs[np.arange(len(texts)), best], 0, 1) * has
             lang = [model.langs[k] if ok else UNDETERMINED for k, ok in zip(best, has)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*own.of(part), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return inner.mapInArrow(label, schema)
+    return inner.mapInArrow(label, schema).select(*own.back(), "lang_pred", "score")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docstruct.llm.scratch import stage
-from docstruct.llm.textbatch import steps
+from docstruct.llm.textbatch import Carried, column, steps
 
 #: Keys of a shard; lines that ask one copy of a shard. Both bound a task's memory and set no limit on the result.
 SHARD_KEYS, ASK_ROWS = 200_000, 200_000
@@ -163,21 +163,23 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, m
 
     A row counts once for a key however often it has the line; repeated rows count each. The text column is replaced;
     null and empty texts are one empty line, whose key has no code points and stays: both give an empty text. Rows that
-    lose all lines keep an empty text. Only rows that lose lines are rebuilt.
+    lose all lines keep an empty text. Only rows that lose lines are rebuilt. Columns named like a result are replaced,
+    whatever their case; an empty table gives an empty result.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("n_lines", "n_dropped", text)]
-    own = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(names)), F.col(text).alias("_text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    kept = Carried(docs, keep, ("n_lines", "n_dropped", text))
+    body = column(text)
+    own = docs.select(*kept.into(), body.alias("_text"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2"))
     lines = stage(line_keys(own, "_text", min_chars), "lines")
     counts = stage(lines.groupBy("key").agg(F.count("*").alias("n")), "counts")
     shards = max(1, math.ceil(counts.count() / SHARD_KEYS))
     index = stage(build_index(counts, shards), "index")
     common = ask(lines, index, shards, min_docs).groupBy("t1", "t2").agg(F.collect_list("key").alias("_drop"))
     common = stage(common, "common")
-    schema = T.StructType([*(T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(names)), T.StructField("_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*kept.fields, T.StructField("_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "_text"):
-            kept, n_lines, n_dropped = [], [], []
+            left_over, n_lines, n_dropped = [], [], []
             for t, drop in zip(texts, part.column(part.schema.get_field_index("_drop")).to_pylist()):
                 n_lines.append(t.count(b"\n") + 1)
                 if drop:
@@ -187,14 +189,14 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, m
                     t = b"\n".join(left)
                 else:
                     n_dropped.append(0)
-                kept.append(t)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+                left_over.append(t)
+            yield pa.RecordBatch.from_arrays([*kept.of(part), pa.array(left_over, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
 
-    joined = own.join(common, ["t1", "t2"], "left").select(*(f"_c{i}" for i in range(len(names))), "_text", "_drop")
+    joined = own.join(common, ["t1", "t2"], "left").select(*kept.inner, "_text", "_drop")
     out = joined.mapInArrow(rebuild, schema)
-    at = {c: F.col(f"_c{i}") for i, c in enumerate(names)} | {text: F.col("_text")}
+    at = dict(zip(kept.names, kept.back())) | {text: F.col("_text").alias(text)}
     order = [c for c in (docs.columns if keep is None else [*keep, text]) if c in at]
-    return out.select(*(at[c].alias(c) for c in dict.fromkeys(order)), "n_lines", "n_dropped")
+    return out.select(*(at[c] for c in dict.fromkeys(order)), "n_lines", "n_dropped")
 
 
 ORACLE_SQL = r"""

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstruct.llm.scratch import stage
+from docstruct.llm.textbatch import Carried, column
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the hash that name a bucket: 4096 buckets of each source.
-BUCKET_DIGITS = 3
+#: Documents of one bucket of the hash order, if one source had all; a larger table has more buckets.
+BUCKET_ROWS = 20_000
 SOURCE = ["_null", "_source"]
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(column(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
@@ -50,33 +51,46 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     every document; for the fractional one its documents are ordered by a seeded hash of the key and taken until the
     target is met, the last in part, so that the words taken are the target rounded to a whole number.
 
+    Only the hash at which a source's target is met is looked for: sums by bucket of the hash name its bucket, sums by hash
+    within that bucket name the hash. Rows then compare with it, so that no text, no group of equal keys and no hot source
+    is ever sorted or gathered. Rows of one key share what is left at their hash in proportion to their size, rounded down.
+
     Null texts have size 0, a null source is a source of its own, null keys hash like an empty string, repeated rows are
-    documents of their own. An empty table gives an empty result. The running sums go by (source, bucket of the hash), so
-    that a hot source is split over thousands of groups.
+    documents of their own; columns named like a result are replaced, whatever their case. An empty table gives an empty
+    result.
     """
     added = ("size", "source_size", "target", "taken")
-    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    order = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sized = docs.select(*names, F.col(source).isNull().alias("_null"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(key).alias("_key"), word_count(text).alias("size"), order.alias("_order"))
-    sized = sized.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
-    narrow = stage(sized.select(*dict.fromkeys([*(n for n in names if n != text), *SOURCE, "_key", "size", "_order", "_bucket"])), "sizes") if text not in names else None
-    base = sized if narrow is None else narrow
-    buckets = stage(base.groupBy(*SOURCE, "_bucket").agg(F.sum("size").alias("_words")), "buckets")
+    own = Carried(docs, keep, added)
+    order = F.md5(F.concat(F.coalesce(column(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
+    sized = docs.select(*own.into(), column(source).isNull().alias("_null"), F.coalesce(column(source).cast("string"), F.lit("")).alias("_source"), word_count(text).alias("size"), order.alias("_order"))
+    narrow = stage(sized if text not in own.names else sized.select(*SOURCE, "size", "_order"), "sizes")
+    many = max(1, -(-narrow.count() // BUCKET_ROWS))
+    bucket = F.expr(f"bigint(conv(substring(_order, 1, 8), 16, 10)) * {many} div 4294967296").alias("_bucket")
+    buckets = stage(narrow.groupBy(*SOURCE, bucket).agg(F.sum("size").alias("_words")), "buckets")
     sources = stage(buckets.groupBy(*SOURCE).agg(F.sum("_words").alias("source_size")), "sources")
-    targets = stage(water_fill(stage(cyclic_weights(sources, cycle), "weights"), share, most), "targets")
+    targets = water_fill(stage(cyclic_weights(sources, cycle), "weights"), share, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("_whole", whole).withColumn("_part", F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 0.5).cast("long"))
-    running = Window.partitionBy(*SOURCE).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = buckets.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0))).join(targets, SOURCE)
-    within = Window.partitionBy(*SOURCE, "_bucket").orderBy("_order", "_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    plan = stage(plan.select(*SOURCE, "_bucket", "_before", "source_size", "target", "_whole", "_part"), "plan")
-    taken = F.col("_whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_part") - F.col("_before") - F.col("_in")))
-    return placed.join(plan, [*SOURCE, "_bucket"]).select(*names, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    targets = stage(targets.select(*SOURCE, "source_size", "target", "_whole", "_part"), "targets")
+
+    def meets(sums: DataFrame, by: str, wanted: DataFrame, left: str) -> DataFrame:
+        """The first value of `by` in each source with whose words the sum passes `left`, and what is left there."""
+        ran = sums.withColumn("_upto", F.sum("_words").over(Window.partitionBy(*SOURCE).orderBy(by)))
+        hit = ran.join(wanted, SOURCE).where((F.col("_upto") > F.col(left)) & (F.col("_upto") - F.col("_words") <= F.col(left)))
+        return hit.select(*SOURCE, by, (F.col(left) - F.col("_upto") + F.col("_words")).alias("_left"), F.col("_words").alias("_there"))
+
+    in_bucket = stage(meets(buckets, "_bucket", targets.select(*SOURCE, "_part"), "_part"), "in_bucket")
+    near = narrow.select(*SOURCE, "size", "_order", bucket).join(in_bucket.select(*SOURCE, "_bucket"), [*SOURCE, "_bucket"])
+    hashes = stage(near.groupBy(*SOURCE, "_order").agg(F.sum("size").alias("_words")), "hashes")
+    at = meets(hashes, "_order", in_bucket.select(*SOURCE, "_left"), "_left").select(*SOURCE, F.col("_order").alias("_at"), "_left", "_there")
+    plan = stage(targets.join(at, SOURCE, "left"), "plan")
+    partly = F.expr("CASE WHEN _at IS NULL OR _order < _at THEN IF(_part > 0, size, 0) WHEN _order > _at THEN 0 WHEN _there = size THEN _left ELSE CAST(size AS decimal(18, 0)) * CAST(_left AS decimal(18, 0)) div greatest(_there, 1) END")
+    joined = (sized if text in own.names else narrow).join(plan, SOURCE)
+    return joined.select(*own.back(), "size", "source_size", "target", (F.col("_whole") * F.col("size") + partly).cast("long").alias("taken"))
 
 
 def repeat(mixed: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of mix() as often as they are taken: whole texts, and for a rest the first words that make it up, joined by blanks."""
+    """The rows of mix() as often as they are taken: whole texts, and for a rest the first words that make it up, joined by blanks. Rows of which nothing is taken go."""
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rest = (F.col("taken") - copies * F.col("size")).cast("int")
     counted = mixed.withColumn("_copy", F.explode(F.expr("sequence(1, 1 + int(floor(taken / greatest(size, 1))))"))).withColumn("_rest", rest)
@@ -102,8 +116,8 @@ lev AS (SELECT lev FROM l WHERE NOT (weight * lev > cap) ORDER BY k LIMIT 1),
 t AS (SELECT n, s, source_size, least(cap, weight * (SELECT lev FROM lev)) AS target FROM r),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
 q AS (SELECT *, floor(target - whole * source_size + 0.5)::BIGINT AS part FROM p),
-c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY n, s ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)
+c AS (SELECT *, sum(size) OVER (PARTITION BY n, s ORDER BY h) - sum(size) OVER (PARTITION BY n, s, h) AS before, sum(size) OVER (PARTITION BY n, s, h) AS there FROM sized)
 SELECT c.doc_id, c.size, q.source_size, q.target,
-       (q.whole * c.size + greatest(0, least(c.size, q.part - c.before)))::BIGINT AS taken
+       (q.whole * c.size + CASE WHEN q.part - before >= there THEN c.size WHEN q.part <= before THEN 0 ELSE c.size::HUGEINT * (q.part - before)::HUGEINT // there::HUGEINT END)::BIGINT AS taken
 FROM c JOIN q USING (n, s)
 """

@@ -1,4 +1,8 @@
-"""Near-duplicates by MinHash bands whose pairs are verified by the exact Jaccard similarity of their shingles."""
+"""Near-duplicates at a Jaccard similarity of shingles, the pipeline's use of the SimHash operator.
+
+Candidates are the operator's ball links between five-word fingerprints and, as texts of similarity 0.8 lie some ten bits
+apart, where no ball of the operator's can reach, pairs that share a MinHash band. All are verified by the exact similarity.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +17,8 @@ from pyspark.sql import types as T
 
 from docstruct.llm.components import connected_components
 from docstruct.llm.scratch import stage
-from docstruct.llm.simhash import shingles, tokens_of
-from docstruct.llm.textbatch import steps
+from docstruct.llm.simhash import fingerprint_of, links, shingles, tokens_of
+from docstruct.llm.textbatch import column, steps
 
 #: Words of a shingle, and the least similarity of near copies.
 WORDS, SIMILAR = 5, 0.8
@@ -50,33 +54,49 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
-    """(key, same, n, bands): digest of the words, number of shingles, hashes of the bands (none for texts without words)."""
-    schema = T.StructType([docs.schema[key], T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def _named(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(low, _text): a struct that names each row's key and text, and the text."""
+    body = column(text)
+    return docs.select(F.struct(column(key).alias("key"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")).alias("low"), body.alias("_text"))
+
+
+def sketches(named: DataFrame, words: int) -> DataFrame:
+    """(low, same, n, fp, bands): digest of the words, number of distinct shingles, fingerprint, hashes of the bands (none for texts without words)."""
+    schema = T.StructType([named.schema["low"], T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "_text"):
-            sets = [np.unique(shingles(t, words)) for t in texts]
+            every = [shingles(t, words) for t in texts]
+            fp = np.fromiter(map(fingerprint_of, every), np.uint64, len(texts)).view(np.int64)
+            sets = [np.unique(s) for s in every]
             has = [i for i, s in enumerate(sets) if len(s)]
             found: list = [[]] * len(texts)
             if has:
                 for i, row in zip(has, bands([sets[i] for i in has]).tolist()):
                     found[i] = row
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_same, texts), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(found, pa.list_(pa.int64()))], [key, "same", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(_same, texts), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(fp), pa.array(found, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return named.mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words: int) -> DataFrame:
-    """(same, set): the distinct shingles' hashes of each digest in wanted (low, same), read from the text of its least key."""
+def shingle_sets(named: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(same, set): the distinct shingles' hashes of each digest in wanted (low, same), read from the text that low names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "_text"):
-            hit = [(s, t) for s, t in zip(part.column(0).to_pylist(), texts) if s == _same(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in hit], pa.binary()), pa.array([np.unique(shingles(t, words)).tobytes() for _, t in hit], pa.binary())], ["same", "set"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingles(t, words)).tobytes() for t in texts], pa.binary())], ["same", "set"])
+
+    texts = named.join(wanted, "low").dropDuplicates(["same"]).select("same", "_text")
+    return texts.mapInArrow(run, "same binary, set binary")
 
-    texts = docs.select(F.col(key).alias("low"), F.col(text).alias("_text")).join(wanted, "low").select("same", "_text")
-    return texts.mapInArrow(run, "same binary, set binary").dropDuplicates(["same"])
+
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): digests that the operator's ball links join, and those of equal fingerprints with the least of them."""
+    prints = stage(nodes.where("n > 0").groupBy("fp").agg(F.min("same").alias("rep")), "prints")
+    equal = nodes.join(prints, "fp").where("same <> rep").select(F.col("rep").alias("a"), F.col("same").alias("b"))
+    first, second = (prints.select(F.col("fp").alias(c), F.col("rep").alias(f"_{c}")) for c in ("a", "b"))
+    near = links(prints.select("fp")).join(first, "a").join(second, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return equal.union(near)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -93,19 +113,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """(key, component_id) of each row with a key: component_id is the least key of the documents reachable over pairs that are at least so similar.
+    """(low, component): for each row with a key a struct that names its key and text, and the least such struct of the documents reachable over pairs that are at least so similar.
 
-    Texts of equal words are one node, so that copies never meet each other; all texts without words are one. Pairs that
-    share a band are verified unless they are connected already: each bucket's members meet one of them first, then all of
-    different components meet. No bucket is cut.
+    Texts of equal words are one node, so that copies never meet each other; all texts without words are one. Candidate
+    pairs are verified unless they are connected already: ball links and each bucket's members with one of them first,
+    then all of a bucket that are still in different components. No bucket is cut.
     """
-    sketched = stage(sketches(docs.where(F.col(key).isNotNull()), text, key, words), "sketches")
-    nodes = stage(sketched.groupBy("same").agg(F.min(key).alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    named = _named(docs.where(column(key).isNotNull()), text, key)
+    sketched = stage(sketches(named, words), "sketches")
+    nodes = stage(sketched.groupBy("same").agg(F.min("low").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    balls = stage(ball_pairs(nodes), "balls")
     buckets = stage(nodes.select("same", "n", F.explode("bands").alias("bucket")), "buckets")
     several = stage(buckets.groupBy("bucket").agg(F.count("*").alias("_many")).where("_many > 1").select("bucket"), "several")
     crowded = stage(buckets.join(several, "bucket"), "crowded")
-    wanted = nodes.join(crowded.select("same").distinct(), "same").select("low", "same")
-    sets = stage(shingle_sets(docs, wanted, text, key, words), "sets")
+    meeting = crowded.select("same").union(balls.select("a")).union(balls.select("b")).distinct()
+    sets = stage(shingle_sets(named, nodes.join(meeting, "same").select("low", "same"), words), "sets")
     small, large = F.least("n", "_n"), F.greatest("n", "_n")
     found, roots, met = None, None, None
     for step in range(ROUNDS + 1):
@@ -123,20 +145,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             some = rooted.join(largest, "bucket").where("root <> _most").select("bucket", F.col("same").alias("_same"), F.col("n").alias("_n"), F.col("root").alias("_root"))
         some = stage(some, "some")
         apart = rooted.join(some, "bucket").where((F.col("root") != F.col("_root")) & (small >= similar * large - 1e-6))
-        pairs = apart.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b")).distinct()
+        pairs = apart.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b"))
+        pairs = (pairs.union(balls) if step == 0 else pairs).distinct()
         pairs = stage(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs")
         near = stage(verified(pairs, sets, similar), "near")
         met = pairs if met is None else met.union(pairs)
         found = near if found is None else found.union(near)
         roots = connected_components(found)
     members = stage(nodes.join(roots, nodes["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "low"), "members")
-    lows = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    own = stage(members.join(lows, "root").select("same", "component_id"), "classes")
-    return sketched.join(own, "same").select(key, "component_id")
+    lows = members.groupBy("root").agg(F.min("low").alias("component"))
+    own = stage(members.join(lows, "root").select("same", "component"), "classes")
+    return sketched.join(own, "same").select("low", "component")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """docs with the document of the least key of each component; of rows that share that key one stays. Rows with a null key stay all, as nothing names them."""
-    chosen = near_duplicates(docs, text, key, words, similar).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(chosen, docs[key] == chosen["_key"], "left_semi").dropDuplicates([key])
-    return kept.union(docs.where(F.col(key).isNull()))
+    """docs with one document of each component: that of the least key and, where a key has several texts, of the text that its hash puts first.
+
+    Of rows that repeat key and text one stays. Rows with a null key stay all, as nothing names them. Texts without words
+    are one component. An empty table gives an empty result.
+    """
+    found = near_duplicates(docs, text, key, words, similar)
+    chosen = stage(found.where("low = component").select("low.*").distinct(), "chosen")
+    body = column(text)
+    rows = docs.where(column(key).isNotNull()).withColumns({"_named1": F.xxhash64(body), "_named2": F.xxhash64(F.lit(1), body)})
+    same = (rows[f"`{key}`"] == chosen["key"]) & (rows["_named1"] == chosen["t1"]) & (rows["_named2"] == chosen["t2"])
+    kept = rows.join(chosen, same, "left_semi").dropDuplicates([key, "_named1", "_named2"]).drop("_named1", "_named2")
+    return kept.union(docs.where(column(key).isNull()))

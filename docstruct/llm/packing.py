@@ -18,12 +18,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docstruct.llm.scratch import stage
-from docstruct.llm.textbatch import steps
+from docstruct.llm.textbatch import Carried, column, steps
 
 CAPACITY, END_ID = 2048, 1
+#: Columns of a piece, and of its place.
+CUT, PLACE = ("start", "length", "ids_crc32", "doc_tokens"), ("sequence_id", "offset")
 #: Pieces of one bucket of a length, for ranks; a larger table has more buckets.
 BUCKET_ROWS = 20_000
-_BLANKS = re.compile(r"\s\s")
+_BLANKS, _MANY_BLANKS = re.compile(r"\s\s"), re.compile(r"(?<!\s)\s{1000}")
 #: The split of byte-level BPE into words, as both libraries publish it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _coders: dict[str, Coder] = {}
@@ -50,7 +52,8 @@ class Coder:
 
     Where the file's merges are its ids in order, texts are encoded by rank, which gives the same ids in a third of the
     time; other files, and texts with added tokens, go to the tokenizer itself. Only texts with two adjacent blanks need
-    the split's look-ahead, which costs a fifth more.
+    the split's look-ahead, which costs a fifth more; its stack overflows on very long runs of blanks, so that texts with
+    a thousand adjacent ones go to the tokenizer too.
     """
 
     def __init__(self, path: str):
@@ -61,10 +64,11 @@ class Coder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
-        if self.by_rank is None or "<" in text and any(x in text for x in self.added):
+        blanks = bool(_BLANKS.search(text))
+        if self.by_rank is None or "<" in text and any(x in text for x in self.added) or blanks and _MANY_BLANKS.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
-            ids = self.by_rank[bool(_BLANKS.search(text))].encode_ordinary(text)
+            ids = self.by_rank[blanks].encode_ordinary(text)
         return array("I", ids).tobytes()
 
 
@@ -75,17 +79,16 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Cut each document's ids (with END_ID at their end) at multiples of capacity: the columns `keep`, start, length, ids_crc32, doc_tokens, and ids if asked for."""
-    names = list(docs.columns if keep is None else keep)
-    more = [T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType())]
-    schema = T.StructType([*docs.select(*names).schema.fields, *more, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
+def pieces(docs: DataFrame, tokenizer: str, own: Carried, text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Cut each document's ids (with END_ID at their end) at multiples of capacity: the carried columns under inner names, start, length, ids_crc32, doc_tokens, and ids if asked for."""
+    more = [T.StructField(c, T.LongType()) for c in CUT]
+    schema = T.StructType([*own.fields, *more, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(tokenizer)
+        this = coder(tokenizer)
         for part, texts in steps(batches, "_text", 2 << 20):
-            coded = [own.encode(t.decode()) + end for t in texts]
+            coded = [this.encode(t.decode()) + end for t in texts]
             at, rows, ids = [], [], []
             for i, x in enumerate(coded):
                 for start in range(0, len(x), 4 * capacity):
@@ -96,9 +99,9 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
                         ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
             columns = np.array(rows, np.int64).reshape(-1, 4)
             where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(part.column(i).take(where) for i in range(len(names))), *(pa.array(columns[:, k]) for k in range(4)), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(x.take(where) for x in own.of(part)), *(pa.array(columns[:, k]) for k in range(4)), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=schema.names)
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own.into(), column(text).alias("_text")).mapInArrow(run, schema)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -168,23 +171,24 @@ def _ranges(packs: list[tuple[int, tuple[int, ...]]]) -> tuple[np.ndarray, np.nd
 
 
 def place(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to the pieces (length, start, ids_crc32): patterns meet the pieces of a length by rank.
+    """Add sequence_id and offset to the pieces (key, length, start, ids_crc32, and more): patterns meet the pieces of a length by rank.
 
     Ranks are dealt in two levels, by (length, bucket) and within it, so that no length or group of copies meets in one
-    task. The histogram (at most `capacity` rows) and the patterns are all that passes the driver.
+    task. The histogram (at most `capacity` rows) and the patterns are all that passes the driver; their number depends on
+    the distinct lengths and saturates (near 3,000 patterns for any number of pieces).
     """
     total = cut.count()
-    salt = F.xxhash64(key, "start", "ids_crc32")
-    cut = cut.withColumns({"_hash": salt, "_bucket": F.pmod(salt, F.lit(max(1, math.ceil(total / BUCKET_ROWS)))).cast("int")})
-    counts = stage(cut.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "lengths")
+    salt = F.xxhash64(column(key), "start", "ids_crc32")
+    named = cut.select("*", salt.alias("_hash"), F.pmod(salt, F.lit(max(1, math.ceil(total / BUCKET_ROWS)))).cast("int").alias("_bucket"))
+    counts = stage(named.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     sent = cut.sparkSession.sparkContext.broadcast(_ranges(shortest_pack_first(histogram, capacity)))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).drop("_n")
     before = stage(before, "ranks")
-    ranked = cut.withColumn("_at", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_hash", key, "start", "ids_crc32")))
+    ranked = named.withColumn("_at", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_hash", column(key), "start", "ids_crc32")))
     ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_at") - 1)
-    names = [c for c in cut.columns if c not in ("_hash", "_bucket")]
-    schema = T.StructType([*cut.select(*names).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    names = list(cut.columns)
+    schema = T.StructType([*cut.schema.fields, *(T.StructField(c, T.LongType()) for c in PLACE)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sequences, offsets = sent.value
@@ -194,13 +198,19 @@ def place(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Data
             sequence = sequences[at] + rank - (keys[at] & ((1 << 44) - 1))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(sequence), pa.array(offsets[at])], names=schema.names)
 
-    return ranked.select(*names, "_rank").mapInArrow(run, schema)
+    return ranked.select(*map(column, names), "_rank").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", keep: list[str] | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row for each piece: the columns `keep` of docs (None: the key), start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     Null texts are empty; an empty text is END_ID alone. Documents longer than capacity give full sequences and a rest.
-    Repeated rows and null keys are documents of their own. Nothing is padded here; a sequence's pieces stand gapless from 0.
+    Repeated rows and null keys are documents of their own; columns named like a result are replaced, whatever their case;
+    an empty table gives an empty result. Nothing is padded here; a sequence's pieces stand gapless from 0.
     """
-    return place(stage(pieces(docs, tokenizer, text, [key] if keep is None else keep, capacity, with_ids), "pieces"), key, capacity)
+    added = (*CUT, *PLACE, "ids")
+    own = Carried(docs, [key, *([] if keep is None else keep)], added)
+    cut = stage(pieces(docs, tokenizer, own, text, capacity, with_ids), "pieces")
+    placed = place(cut, own.inner[own.names.index(key)], capacity)
+    wanted = [F.col(i).alias(c) for i, c in zip(own.inner, own.names) if keep is None or c in keep]
+    return placed.select(*wanted, *CUT, *(["ids"] if with_ids else []), *PLACE)

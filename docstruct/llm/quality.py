@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstruct.llm.scratch import stage
+from docstruct.llm.textbatch import Carried, column
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -115,19 +116,20 @@ def judge(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "s
     """Add the measures, base_failed, failed_rules (array of metric names) and kept to the columns `keep` of docs (None: all).
 
     base_failed: fewer than 50 words, or over half of them in repeated windows. Documents that pass feed the sketches of
-    their language and source (null is a value of its own); each is held against the thresholds of its group. Empty
-    tables give empty results; repeated rows count each.
+    their language and source (null is a value of its own); each is held against the thresholds of its group. Null texts
+    have no words and fail; columns named like a result are replaced, whatever their case. Empty tables give empty
+    results; repeated rows count each.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept"]
-    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    own = Carried(docs, keep, added)
     groups = [f"_by{i}" for i in range(len(by))]
-    keyed = docs.select(*names, F.col(text).alias("_text"), *(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(g) for c, g in zip(by, groups)))
+    keyed = docs.select(*own.into(), column(text).alias("_text"), *(F.coalesce(F.concat(F.lit("="), column(c).cast("string")), F.lit("")).alias(g) for c, g in zip(by, groups)))
     measured = measure(keyed, "_text").drop("_text").withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     measured = stage(measured, "measures")
     limits = stage(thresholds(measured.where("NOT base_failed"), groups, rules, min_docs), "thresholds")
     fails = [F.when(F.expr(" OR ".join([f"({r.value}) > {r.metric}_hi"] * (1 in r.sides) + [f"({r.value}) < {r.metric}_lo"] * (-1 in r.sides))), F.lit(r.metric)) for r in rules]
     joined = measured.join(limits, groups, "left").withColumn("failed_rules", F.filter(F.array(*fails), lambda x: x.isNotNull()))
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select(*names, *added)
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select(*own.back(), *added)
 
 
 def _oracle() -> str:

@@ -27,4 +27,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back: lost executors cost a reread, not a rerun."""
     path = f"{shared_dir(df.sparkSession)}/docstruct/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables of stage() that nothing reads any more."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

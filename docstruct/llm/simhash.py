@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from docstruct.llm.components import connected_components
 from docstruct.llm.scratch import stage
-from docstruct.llm.textbatch import steps
+from docstruct.llm.textbatch import Carried, column, steps
 
 WORDS, RADIUS, SEED = 3, 2, 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -41,9 +41,8 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.fromiter((digest(whole[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[words - 1 :] - 1).tolist())), np.uint64, n)
 
 
-def simhash(text: bytes, words: int = WORDS) -> int:
-    """64-bit fingerprint of the shingles."""
-    hashes = shingles(text, words)
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit fingerprint: the bits that over half the hashes have, 0 of none."""
     n = len(hashes)
     if not n:
         return 0
@@ -53,17 +52,22 @@ def simhash(text: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def simhash(text: bytes, words: int = WORDS) -> int:
+    """64-bit fingerprint of the text's shingles."""
+    return fingerprint_of(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None, words: int = WORDS) -> DataFrame:
-    """Add fp (long: the fingerprint's bits) to the columns `keep` of docs (None: all). Null and empty texts get 0."""
-    names = [c for c in (docs.columns if keep is None else keep) if c != "fp"]
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("fp", T.LongType())])
+    """Add fp (long: the fingerprint's bits) to the columns `keep` of docs (None: all). Null and empty texts get 0; a column named fp is replaced."""
+    own = Carried(docs, keep, ("fp",))
+    schema = T.StructType([*own.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in steps(batches, "_text"):
             fp = np.fromiter((simhash(t, words) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(fp)], [*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*own.of(part), pa.array(fp)], names=schema.names)
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own.into(), column(text).alias("_text")).mapInArrow(run, schema).select(*own.back(), "fp")
 
 
 def ball(fp: Column, radius: int) -> Column:
@@ -91,20 +95,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
 
     Equal fingerprints are one node, so that copies never meet each other. Null keys have no say in component_id (null if
     no key of the component is known); empty and null texts all have fingerprint 0 and are linked like others; repeated
-    rows stay; an empty table gives an empty result.
+    rows stay; an empty table gives an empty result. The last join meets rows by fingerprint: a hot one is split by
+    adaptive execution, as both sides come from exchanges.
     """
-    printed = stage(fingerprints(docs, text, [key], words), "fingerprints")
-    nodes = stage(printed.groupBy("fp").agg(F.min(key).alias("low")), "nodes")
+    printed = stage(fingerprints(docs.select(column(key).alias("_key"), column(text).alias("_body")), "_body", ["_key"], words), "fingerprints")
+    every = components_of(printed, radius)
+    return printed.join(every, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+
+
+def components_of(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component_id) of the fingerprints of rows (_key, fp)."""
+    nodes = stage(printed.groupBy("fp").agg(F.min("_key").alias("low")), "nodes")
     found = connected_components(links(nodes, radius))
     members = stage(nodes.join(found, nodes["fp"] == found["node"], "inner").select("fp", "root", "low"), "members")
     lows = members.groupBy("root").agg(F.min("low").alias("component_id"))
     own = stage(members.join(lows, "root").select("fp", "component_id"), "classes")
-    every = stage(nodes.join(own, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")
-    return printed.join(every, "fp").select(key, "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with the document of the least key of each component; of rows that share that key one stays. Rows with a null key stay all, as nothing names them."""
-    chosen = near_duplicates(docs, text, key, words, radius).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(chosen, docs[key] == chosen["_key"], "left_semi").dropDuplicates([key])
-    return kept.union(docs.where(F.col(key).isNull()))
+    return stage(nodes.join(own, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "components")

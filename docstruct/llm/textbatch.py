@@ -1,16 +1,51 @@
-"""Helpers for Arrow batches of texts."""
+"""Helpers for Arrow batches of texts, and for the columns that an operator carries along."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one step handles at once, however many rows an Arrow batch has.
 STEP_BYTES = 4 << 20
 
 
+class Carried:
+    """Columns of a table that pass through an operator under names that no column of its own has.
+
+    keep: names in order (None: all). Those named like a result (`added`, whatever the case) go, as results replace them.
+    """
+
+    def __init__(self, docs: DataFrame, keep: Iterable[str] | None, added: Iterable[str]):
+        gone = {a.lower() for a in added}
+        wanted = docs.columns if keep is None else dict.fromkeys(keep)
+        self.names = [c for c in wanted if c.lower() not in gone]
+        self.inner = [f"_carried{i}" for i in range(len(self.names))]
+        types = {f.name: f.dataType for f in docs.schema.fields} if keep is None else {c: docs.select(column(c)).schema[0].dataType for c in self.names}
+        self.fields = [T.StructField(i, types[c]) for i, c in zip(self.inner, self.names)]
+
+    def into(self) -> list[Column]:
+        """The columns, to be selected from the table under inner names."""
+        return [column(c).alias(i) for c, i in zip(self.names, self.inner)]
+
+    def back(self) -> list[Column]:
+        """The columns under their own names again."""
+        return [F.col(i).alias(c) for c, i in zip(self.names, self.inner)]
+
+    def of(self, part: pa.RecordBatch) -> list[pa.Array]:
+        """Their arrays in a batch whose first columns they are."""
+        return [part.column(i) for i in range(len(self.names))]
+
+
+def column(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

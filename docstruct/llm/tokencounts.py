@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstruct.llm.textbatch import steps
+from docstruct.llm.textbatch import Carried, column, steps
 
-#: Words that a worker remembers.
-REMEMBERED = 200_000
+#: Bytes of words that a worker remembers; longer words than LONG bytes are counted each time.
+REMEMBERED, LONG = 8_000_000, 64
 BEGIN = "▁"
 
 
@@ -87,16 +87,20 @@ class Automaton:
 
 
 class Words(dict):
-    """(pieces, unknown) of words, forgotten when there are many."""
+    """(pieces, unknown) of words, forgotten when they have many bytes."""
 
     def __init__(self, automaton: Automaton):
-        self.automaton = automaton
+        self.automaton, self.held = automaton, 0
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= REMEMBERED:
-            self.clear()
         n = self.automaton.count(word.decode())
-        self[word] = found = (n, 0) if n else (1, 1)
+        found = (n, 0) if n else (1, 1)
+        if len(word) <= LONG:
+            self.held += len(word)
+            if self.held > REMEMBERED:
+                self.clear()
+                self.held = len(word)
+            self[word] = found
         return found
 
 
@@ -107,11 +111,12 @@ def token_counts(docs: DataFrame, pieces: str, text: str = "text", keep: list[st
     """Add n_words, n_tokens and n_unknown (long) to the columns `keep` of docs (None: all).
 
     Words are runs of other characters than 0x20 and 0x09 to 0x0D. A word whose greedy match fails is one unknown token.
-    Null and empty texts have zeros; repeated rows stay; a worker builds the automaton once from the file `pieces`.
+    Null and empty texts have zeros; repeated rows stay; columns of docs with these names are replaced; an empty table gives
+    an empty result. A worker builds the automaton once from the file `pieces`.
     """
     added = ["n_words", "n_tokens", "n_unknown"]
-    names = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    schema = T.StructType([*docs.select(*names).schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
+    own = Carried(docs, keep, added)
+    schema = T.StructType([*own.fields, *(T.StructField(c, T.LongType()) for c in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pieces not in _workers:
@@ -122,6 +127,6 @@ def token_counts(docs: DataFrame, pieces: str, text: str = "text", keep: list[st
             for t in texts:
                 found = list(map(look, t.split()))
                 rows.append((len(found), sum(x[0] for x in found), sum(x[1] for x in found)))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*own.of(part), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=schema.names)
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own.into(), column(text).alias("_text")).mapInArrow(run, schema).select(*own.back(), *added)

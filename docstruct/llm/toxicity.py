@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstruct.llm.textbatch import steps
+from docstruct.llm.scratch import stage
+from docstruct.llm.textbatch import Carried, column, steps
 
 #: n of the n-grams; 2 ** BITS hashed features.
 GRAMS, BITS = (4, 5, 6), 21
-#: Bound of the training sample: documents of each label; longer texts than LONGEST characters are left to the others.
-SAMPLE_PER_LABEL, LONGEST = 1000, 100_000
+#: Bound of the training sample: documents of each label, with their whole texts.
+SAMPLE_PER_LABEL = 1000
+#: Minima of a document's sketch, and the least share of them that agrees between copies (an estimate of their Jaccard similarity).
+MINIMA, COPIES = 64, 0.8
 #: Least log-likelihood ratio statistic (G) of a feature's document counts against the labels.
 MIN_G = 20.0
 _MULTIPLY = np.uint32(2654435761)
@@ -60,51 +63,45 @@ def _distinct(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.nd
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def _first_of_copies(doc: np.ndarray, feat: np.ndarray, n: int) -> np.ndarray:
-    """Mask of the documents that share fewer than 3 of 8 minima of hashed features with any earlier one: else a group of copies would vote many times."""
-    sizes = np.bincount(doc, minlength=n)
-    has = np.nonzero(sizes)[0]
-    starts = (np.cumsum(sizes) - sizes)[has]
-    minima = np.stack([np.minimum.reduceat((feat.astype(np.uint32) ^ np.uint32(977 * k)) * np.uint32(2654435761 + 2 * k), starts) for k in range(8)], axis=1)
-    keep, seen = np.zeros(n, bool), [{} for _ in range(8)]
-    for i, row in zip(has, minima.tolist()):
-        near: dict[int, int] = {}
-        for k, v in enumerate(row):
-            for j in seen[k].get(v, ()):
-                near[j] = near.get(j, 0) + 1
-        if max(near.values(), default=0) < 3:
-            keep[i] = True
-            for k, v in enumerate(row):
-                seen[k].setdefault(v, []).append(i)
+def sketch(feat: np.ndarray) -> np.ndarray:
+    """MINIMA minima of a document's features under different hashes; zeros for a document without features."""
+    if not len(feat):
+        return np.zeros(MINIMA, np.uint32)
+    salt = np.arange(1, MINIMA + 1, dtype=np.uint64)
+    code = (feat.astype(np.uint64)[None, :] + salt[:, None] * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+    code = (code ^ (code >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (code >> np.uint64(32)).astype(np.uint32).min(axis=1)
+
+
+def first_of_copies(minima: np.ndarray, y: np.ndarray, share: float = COPIES) -> np.ndarray:
+    """Mask of the documents whose sketch agrees by less than `share` with that of any earlier kept one of their own label: else a group of copies would vote many times."""
+    keep = np.zeros(len(y), bool)
+    for label in np.unique(y):
+        own: list[int] = []
+        for i in np.nonzero(y == label)[0].tolist():
+            if not own or ((minima[own] == minima[i]).mean(axis=1) < share).all():
+                keep[i] = True
+                own.append(i)
     return keep
 
 
-def train(texts: list[bytes], labels: list[int], rounds: int = 250, rate: float = 0.5, decay: float = 2e-4) -> Model:
-    """Log-count ratios of each feature's document counts, then logistic regression on the scaled features, classes of equal weight."""
-    y = np.array(labels, np.int64)
+def log_ratios(with_one: np.ndarray, with_none: np.ndarray, ones: int, nones: int) -> np.ndarray:
+    """Naive Bayes log-count ratios of features from the documents of each label that have them."""
+    return np.log((1 + with_one) / (1 + ones)) - np.log((1 + with_none) / (1 + nones))
+
+
+def g_statistic(with_one: np.ndarray, with_none: np.ndarray, part: float) -> np.ndarray:
+    """Log-likelihood ratio statistic of document counts against the labels, of which `part` are 1."""
+    both = with_one + with_none
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 2 * (np.where(with_one > 0, with_one * np.log(with_one / (both * part)), 0) + np.where(with_none > 0, with_none * np.log(with_none / (both * (1 - part))), 0))
+
+
+def fit(doc: np.ndarray, feat: np.ndarray, y: np.ndarray, ratio: np.ndarray, rounds: int = 250, rate: float = 0.5, decay: float = 2e-4) -> Model:
+    """Logistic regression on the useful features (document, feature) scaled by their ratios (of all 2 ** BITS), classes of equal weight."""
     empty = np.zeros(1 << BITS, np.float32)
     if not len(y) or y.min() == y.max():
         return Model(empty, 4.0 if len(y) and y.max() == 1 else -4.0)
-    docs, feats = [], []
-    for at in range(0, len(texts), 200):
-        d, f = _distinct(texts[at : at + 200])
-        docs.append((d + at).astype(np.int32))
-        feats.append(f.astype(np.int32))
-    doc, feat = np.concatenate(docs), np.concatenate(feats)
-    own = _first_of_copies(doc, feat, len(y))
-    hit = own[doc]
-    doc, feat = (np.cumsum(own) - 1)[doc[hit]], feat[hit]
-    y = y[own]
-    if y.min() == y.max():
-        return Model(empty, 4.0 if y.max() == 1 else -4.0)
-    with_one, with_none = (np.bincount(feat[y[doc] == k], minlength=1 << BITS).astype(np.float64) for k in (1, 0))
-    ratio = np.log((1 + with_one) / (1 + y.sum())) - np.log((1 + with_none) / (1 + (1 - y).sum()))
-    both, part = with_one + with_none, y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(with_one > 0, with_one * np.log(with_one / (both * part)), 0) + np.where(with_none > 0, with_none * np.log(with_none / (both * (1 - part))), 0))
-    useful = g >= MIN_G
-    hit = useful[feat]
-    doc, feat = doc[hit], feat[hit]
     columns, col = np.unique(feat, return_inverse=True)
     value = ratio[columns][col]
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
@@ -121,38 +118,119 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 250, rate: float
     return Model(weights, float(bias))
 
 
+def train(texts: list[bytes], labels: list[int]) -> Model:
+    """The model of a few texts, by the steps that train_on() spreads over tasks."""
+    y = np.array(labels, np.int64)
+    doc, feat = _distinct(texts)
+    minima = np.array([sketch(feat[doc == i]) for i in range(len(y))]).reshape(-1, MINIMA)
+    own = first_of_copies(minima, y)
+    hit = own[doc]
+    doc, feat, y = (np.cumsum(own) - 1)[doc[hit]], feat[hit], y[own]
+    ones, nones = int(y.sum()), int((1 - y).sum())
+    if not ones or not nones:
+        return fit(doc, feat, y, np.zeros(1 << BITS))
+    with_one, with_none = (np.bincount(feat[y[doc] == k], minlength=1 << BITS).astype(np.float64) for k in (1, 0))
+    hit = (g_statistic(with_one, with_none, ones / (ones + nones)) >= MIN_G)[feat]
+    return fit(doc[hit], feat[hit], y, log_ratios(with_one, with_none, ones, nones))
+
+
+def train_on(rows: DataFrame, text: str = "text", label: str = "y", key: str = "doc_id") -> Model:
+    """The model of labelled rows (key, text, label), whatever the length of their texts.
+
+    Tasks turn whole texts into distinct features and sketches, written once. The driver gets the sketches (a few bytes a
+    document), decides which copies don't vote, then gets the counts of the useful features alone, and each document's
+    useful features: the number of rows bounds what reaches it, not the length of texts.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in steps(batches, "_text"):
+            doc, feat = _distinct(texts)
+            ends = np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1]
+            own = np.split(feat.astype(np.int32), ends)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([sketch(x).tobytes() for x in own], pa.binary())], names=["key", "y", "feats", "minima"])
+
+    named = rows.select(column(key).cast("string").alias("key"), column(label).cast("int").alias("y"), column(text).alias("_text"))
+    docs = stage(named.mapInArrow(spread, "key string, y int, feats binary, minima binary"), "features")
+    found = sorted((r[0] or "", r[1], bytes(r[2])) for r in docs.select("key", "y", "minima").collect())
+    y = np.array([r[1] for r in found], np.int64)
+    own = first_of_copies(np.frombuffer(b"".join(r[2] for r in found), np.uint32).reshape(-1, MINIMA), y)
+    names = {r[0]: i for i, r in enumerate(x for x, k in zip(found, own) if k)}
+    y = y[own]
+    ones, nones = int(y.sum()), int((1 - y).sum())
+    if not ones or not nones:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int64), y, np.zeros(1 << BITS))
+    voters = docs.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for name, label_, feats in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (name or "") in voters.value:
+                    counts[label_, np.frombuffer(feats, np.int32)] += 1
+        some = np.nonzero(counts.any(axis=0))[0]
+        for at in range(0, len(some), 1 << 16):
+            ids = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(counts[k, ids], pa.int64()) for k in (1, 0))], names=["feat", "a", "b"])
+
+    summed = docs.select("key", "y", "feats").mapInArrow(count, "feat int, a long, b long").groupBy("feat").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    part = ones / (ones + nones)
+    term = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("a") + F.col("b")) * F.lit(p)))).otherwise(0.0)
+    useful = summed.where(2 * (term("a", part) + term("b", 1 - part)) >= MIN_G).collect()
+    with_one, with_none = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for f, a, b in useful:
+        with_one[f], with_none[f] = a, b
+    wanted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in useful), np.int32))
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows_ = [(voters.value[n or ""], np.intersect1d(np.frombuffer(f, np.int32), wanted.value, assume_unique=True).tobytes()) for n, f in zip(*(batch.column(i).to_pylist() for i in range(2))) if (n or "") in voters.value]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), pa.array([r[1] for r in rows_], pa.binary())], names=["i", "feats"])
+
+    own_feats = sorted((r[0], bytes(r[1])) for r in docs.select("key", "feats").mapInArrow(narrow, "i int, feats binary").collect())
+    feats = [np.frombuffer(f, np.int32).astype(np.int64) for _, f in own_feats]
+    doc = np.repeat(np.array([i for i, _ in own_feats], np.int64), [len(f) for f in feats])
+    return fit(doc, np.concatenate([*feats, np.zeros(0, np.int64)]), y, log_ratios(with_one, with_none, ones, nones))
+
+
 def score(model: Model, texts: list[bytes], only: np.ndarray) -> np.ndarray:
     doc, feat = _distinct(texts, only)
     z = model.bias + np.bincount(doc, model.weights[feat].astype(np.float64), minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, seed: int = 3) -> tuple[list[bytes], list[int]]:
-    """At most per_label labelled texts of each label, chosen by a hash of the key; only their keys meet the documents."""
-    order = F.xxhash64(F.lit(seed), F.col(key))
-    named = labels.select(F.col(key), F.col(label).cast("int").alias("_y")).where(F.col(key).isNotNull()).groupBy(key).agg(F.max("_y").alias("_y"))
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL, seed: int = 3) -> DataFrame:
+    """(key, text, y): at most per_label labelled documents of each label, chosen by a hash of the key, with their whole texts.
+
+    Only the chosen keys, bounded by twice per_label, meet the documents. Rows of labels without a key or a label don't
+    count; a key with several labels counts as 1 if any is; of a key's several texts the last in order counts.
+    """
+    order = F.xxhash64(F.lit(seed), F.col("_key"))
+    named = labels.select(column(key).alias("_key"), column(label).cast("int").alias("y")).where("_key IS NOT NULL AND y IS NOT NULL").groupBy("_key").agg(F.max("y").alias("y"))
     chosen = None
     for k in (0, 1):
-        part = named.where(F.col("_y") == k).orderBy(order, key).limit(per_label)
+        part = named.where(F.col("y") == k).orderBy(order, "_key").limit(per_label)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.select(key, F.col(text).alias("_t")).where(F.length("_t") <= LONGEST).join(F.broadcast(chosen), key).groupBy(key, "_y").agg(F.max("_t").alias("_t"))
-    got = sorted((r[0], r[1], r[2]) for r in rows.collect())
-    return [r[2].encode() for r in got], [r[1] for r in got]
+    rows = docs.select(column(key).alias("_key"), column(text).alias("_t")).where("_t IS NOT NULL").join(F.broadcast(chosen), "_key").groupBy("_key", "y").agg(F.max("_t").alias("_t"))
+    return rows.select(F.col("_key").alias(key), F.col("_t").alias(text), "y")
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 from 0.5 on) to the columns `keep` of docs (None: all). Null and empty texts get the bias alone."""
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    """Add score (0 to 1) and predicted (1 from 0.5 on) to the columns `keep` of docs (None: all).
+
+    Null and empty texts get the score of a text without words; repeated rows stay; columns of docs with these names are
+    replaced, whatever their case; an empty table gives an empty result.
+    """
+    own = Carried(docs, keep, ("score", "predicted"))
+    schema = T.StructType([*own.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     sent = docs.sparkSession.sparkContext.broadcast((np.nonzero(model.weights)[0], model.weights[np.nonzero(model.weights)[0]], model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, what, bias = sent.value
-        own = Model(np.zeros(1 << BITS, np.float32), bias)
-        own.weights[where] = what
-        only = own.weights != 0
+        full = Model(np.zeros(1 << BITS, np.float32), bias)
+        full.weights[where] = what
+        only = full.weights != 0
         for part, texts in steps(batches, "_text"):
-            s = score(own, texts, only)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
+            s = score(full, texts, only)
+            yield pa.RecordBatch.from_arrays([*own.of(part), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=schema.names)
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own.into(), column(text).alias("_text")).mapInArrow(run, schema).select(*own.back(), "score", "predicted")

@@ -43,4 +43,7 @@ def test_near_copies_beyond_two_bits_go_and_components_equal_brute_force(spark):
     kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert sorted(i for i in kept if i is not None) == sorted({find(i) for i in range(len(texts))}) and kept.count(None) == 1
     assert 0 in kept and 1 not in kept
+    other = " ".join(word() for _ in range(40))
+    repeated = spark.createDataFrame([(1, "a " * 30, "en", "s", None), (5, "a " * 30, "en", "s", None), (5, other, "en", "s", None), (5, other, "en", "s", None)], docs.schema)
+    assert sorted((r.doc_id, r.text == other) for r in corpus_pipeline.near_dedup(spark, repeated, "").collect()) == [(1, False), (5, True)]
     assert corpus_pipeline.near_dedup(spark, docs.where("false"), "").count() == 0
