@@ -17,29 +17,40 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null, or without a letter) go; lang becomes the network's. It learns from the documents' own labels."""
+    """Documents whose language can't be told (null texts, or texts without a letter) go; lang becomes the network's.
+
+    It learns from the documents' own labels; rows with a null label are told like others. Where no row has a label there
+    is no language to tell: all texts with a letter stay, their lang null. Repeated rows stay; an empty table stays empty.
+    """
     model = langid.train(langid.sample(docs))
+    if not model.langs:
+        return _documents(docs.where(F.col("text").rlike(r"\p{L}")))
     found = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
     return _documents(found.withColumn("lang", F.col("lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least 10 documents go from all of them."""
-    return _documents(linededup.drop_common_lines(docs))
+    """Lines of at least 10 documents go from all of them. Rows that lose all lines stay with an empty text, as do null texts; repeated rows count each; an empty table stays empty."""
+    return _documents(linededup.drop_common_lines(docs, keep=COLUMNS[:1] + COLUMNS[2:4]))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts that share 0.8 of their five-word shingles stays, that of the least doc_id."""
-    return _documents(neardup.keep_one(docs))
+    """One document of each component of texts that share 0.8 of their five-word shingles stays, that of the least doc_id.
+
+    Null texts, and texts without words, are alike, so that one of them stays; of rows that repeat doc_id and text one
+    stays, and of one doc_id's different texts all that are unlike others; rows with a null doc_id stay all; an empty
+    table stays empty.
+    """
+    return _documents(neardup.keep_one(docs.select(*COLUMNS)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's share takes them."""
-    return _documents(mixing.repeat(mixing.mix(docs)))
+    """Documents as often as their source's share takes them, the last in part. Null texts have no words to take and go; a null source is a source; repeated rows are taken each; an empty table stays empty."""
+    return _documents(mixing.repeat(mixing.mix(docs.select(*COLUMNS))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens. Null and empty texts are their end token alone; repeated rows are packed each; an empty table gives no pieces."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
