@@ -24,8 +24,8 @@ from docstruct.llm.textbatch import column, steps
 WORDS, SIMILAR = 5, 0.8
 #: Bands of ROWS minima: a pair of similarity 0.8 shares one with a probability of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99993, more similar ones more often.
 BANDS, ROWS = 24, 5
-#: Rounds in which each bucket's members meet one of them, before all that are still apart meet.
-ROUNDS = 1
+#: Members of a bucket that all of it meet, before those that are still apart meet each other.
+STARS = 4
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -99,6 +99,22 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
     return equal.union(near)
 
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(same, reach): how many of a digest's shingles stand in another of the sets too, which bounds what it can share with any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = np.frombuffer(own, np.int64)
+                for at in range(0, len(codes), 1 << 18):
+                    some = codes[at : at + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array([same] * len(some), pa.binary()), pa.array(some)], names=["same", "code"])
+
+    spread = sets.select("same", "set").mapInArrow(run, "same binary, code long")
+    lone = spread.groupBy("code").agg(F.count("*").alias("_n"), F.min("same").alias("same")).where("_n = 1").groupBy("same").agg(F.count("*").alias("_lone"))
+    return sets.select("same", (F.length("set") / 8).cast("long").alias("_all")).join(lone, "same", "left").select("same", (F.col("_all") - F.coalesce("_lone", F.lit(0))).alias("reach"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """The (a, b) of pairs whose sets are at least so similar."""
 
@@ -116,8 +132,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     """(low, component): for each row with a key a struct that names its key and text, and the least such struct of the documents reachable over pairs that are at least so similar.
 
     Texts of equal words are one node, so that copies never meet each other; all texts without words are one. Candidate
-    pairs are verified unless they are connected already: ball links and each bucket's members with one of them first,
-    then all of a bucket that are still in different components. No bucket is cut.
+    pairs are verified unless they are connected already: ball links and each bucket's members with a few of them first,
+    then all of a bucket that are still in different components and of whose shingles enough stand elsewhere at all: an
+    edited copy's own shingles are in no other text, so that a bound on what it can share spares a large group of copies
+    just below the threshold its pairs. No bucket is cut and no pair within reach left out.
     """
     named = _named(docs.where(column(key).isNotNull()), text, key)
     sketched = stage(sketches(named, words), "sketches")
@@ -128,30 +146,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     crowded = stage(buckets.join(several, "bucket"), "crowded")
     meeting = crowded.select("same").union(balls.select("a")).union(balls.select("b")).distinct()
     sets = stage(shingle_sets(named, nodes.join(meeting, "same").select("low", "same"), words), "sets")
-    small, large = F.least("n", "_n"), F.greatest("n", "_n")
-    found, roots, met = None, None, None
-    for step in range(ROUNDS + 1):
-        rooted = crowded.withColumn("root", F.col("same")) if roots is None else crowded.join(roots, crowded["same"] == roots["node"], "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root"))
-        if step < ROUNDS:
-            order = F.xxhash64(F.lit(step), "same")
-            firsts = rooted.groupBy("bucket").agg(F.min(order).alias("_order"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("bucket", "_order")
-            firsts = stage(firsts, "firsts")
-            rooted = stage(rooted, "rooted")
-            some = rooted.join(firsts, ["bucket"]).where(order == F.col("_order")).select("bucket", F.col("same").alias("_same"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-        else:
-            rooted = stage(rooted, "rooted")
-            sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("_many"))
-            largest = stage(sizes.groupBy("bucket").agg(F.max(F.struct("_many", "root")).alias("_top"), F.count("*").alias("_roots")).where("_roots > 1").select("bucket", F.col("_top.root").alias("_most")), "largest")
-            some = rooted.join(largest, "bucket").where("root <> _most").select("bucket", F.col("same").alias("_same"), F.col("n").alias("_n"), F.col("root").alias("_root"))
-        some = stage(some, "some")
-        apart = rooted.join(some, "bucket").where((F.col("root") != F.col("_root")) & (small >= similar * large - 1e-6))
-        pairs = apart.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b"))
-        pairs = (pairs.union(balls) if step == 0 else pairs).distinct()
-        pairs = stage(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs")
-        near = stage(verified(pairs, sets, similar), "near")
-        met = pairs if met is None else met.union(pairs)
-        found = near if found is None else found.union(near)
-        roots = connected_components(found)
+    fits = F.least("n", "_n") >= similar * F.greatest("n", "_n") - 1e-6
+    other = ["bucket", F.col("same").alias("_same"), F.col("n").alias("_n"), F.col("root").alias("_root")]
+    # each bucket's members meet a few of them
+    order = [F.xxhash64(F.lit(k), "bucket", "same") for k in range(STARS)]
+    firsts = stage(crowded.groupBy("bucket").agg(F.array(*map(F.min, order)).alias("_orders")), "firsts")
+    chosen = F.exists(F.arrays_zip("_orders", F.array(*order).alias("_own")), lambda x: x["_orders"] == x["_own"])
+    some = crowded.withColumn("root", F.col("same")).join(firsts, "bucket").where(chosen).select(*other)
+    pairs = crowded.join(stage(some, "some"), "bucket").where((F.col("same") != F.col("_same")) & fits)
+    pairs = stage(pairs.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b")).union(balls).distinct(), "pairs")
+    near = stage(verified(pairs, sets, similar), "near")
+    roots = stage(connected_components(near), "roots")
+    # those still apart meet all others of their bucket that enough of their shingles allow
+    rooted = stage(crowded.join(roots, crowded["same"] == roots["node"], "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root")), "rooted")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("_many"))
+    mixed = stage(sizes.groupBy("bucket").agg(F.max(F.struct("_many", "root")).alias("_top"), F.count("*").alias("_roots")).where("_roots > 1").select("bucket", F.col("_top.root").alias("_most")), "mixed")
+    apart = stage(rooted.join(mixed, "bucket"), "apart")
+    reach = stage(shared_shingles(sets.join(apart.select("same").distinct(), "same")), "reach")
+    apart = stage(apart.join(reach, "same"), "reaching")
+    allowed = (1 + similar) * F.least("reach", "_reach") >= similar * (F.col("n") + F.col("_n")) - 1e-6
+    rest = apart.where("root <> _most AND (1 + {0}) * reach >= {0} * (1 + {0}) * n - 1e-6".format(similar)).select(*other, F.col("reach").alias("_reach"))
+    more = apart.drop("_most").join(rest, "bucket").where((F.col("root") != F.col("_root")) & fits & allowed)
+    more = more.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    roots = connected_components(near.union(stage(verified(stage(more, "more"), sets, similar), "nearer")))
     members = stage(nodes.join(roots, nodes["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "low"), "members")
     lows = members.groupBy("root").agg(F.min("low").alias("component"))
     own = stage(members.join(lows, "root").select("same", "component"), "classes")
