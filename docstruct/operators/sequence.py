@@ -11,11 +11,13 @@ def _order(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order)
 
 
-def reset_groups(items: DataFrame, key: list[str], order: list[str], num: str, drop: int | None = None) -> DataFrame:
-    """group_no counts from 1 and grows where the number returns to 1 after a larger one, or falls by `drop` at least."""
+def reset_groups(items: DataFrame, key: list[str], order: list[str], num: str, drop: int | None = None, pos: str | None = None, far: int = 500) -> DataFrame:
+    """group_no counts from 1 and grows where the number returns to 1 after a larger one, or falls by `drop` at least; with `pos` only if the item lies `far` positions on at least."""
     w = _order(key, order)
     before = F.lag(num).over(w)
     new = (before - F.col(num) >= drop) if drop else (F.col(num) == 1) & (before > 1)
+    if pos:
+        new = new & (F.col(pos) - F.lag(pos).over(w) >= far)
     return items.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("group_no", 1 + F.sum("_new").over(w)).drop("_new")
 
 
@@ -25,6 +27,15 @@ def lookup_numbers(items: DataFrame, marker: str, numerals: DataFrame) -> DataFr
     return items.join(known.withColumnRenamed("marker", marker), marker, "left")
 
 
+def lookup_pairs(items: DataFrame, marker: str, pattern: str, numerals: DataFrame, least: int = 1, most: int = 100) -> DataFrame:
+    """Q1: add major and minor, the numbers of the two groups of `pattern` in a marker (a group without a match: null), resolved by the numerals table and kept if within bounds."""
+    known = items.select(F.col(marker).alias("_marker")).distinct().withColumns({"_major": F.nullif(F.regexp_extract("_marker", pattern, 1), F.lit("")), "_minor": F.nullif(F.regexp_extract("_marker", pattern, 2), F.lit(""))})
+    table = numerals.select(F.col("marker").alias("_n"), F.col("number").alias("_v")).where(F.col("number").between(least, most)).dropDuplicates(["_n"])
+    for name in ("major", "minor"):
+        known = known.join(table.select(F.col("_n").alias(f"_{name}"), F.col("_v").alias(name)), f"_{name}", "left")
+    return items.join(known.select("_marker", "major", "minor"), items[marker] == known["_marker"], "left").drop("_marker")
+
+
 def unresolved(resolved: DataFrame, marker: str) -> DataFrame:
     """Q1: the markers that no number was found for, with their counts."""
     return resolved.where("number IS NULL").groupBy(marker).agg(F.count("*").alias("n"))
@@ -65,6 +76,14 @@ def merge_continuous(sections: DataFrame, key: list[str], first: str, last: str,
     return islands.groupBy(*key, "island").agg(F.min(first).alias(first), F.max(last).alias(last), F.count("*").alias("n_merged"), *(F.sum(c).alias(c) for c in sums), F.element_at(F.filter(F.transform(own, lambda x: x["s"]), lambda s: s.isNotNull()), 1).alias(source))
 
 
+def suggest_relations(sections: DataFrame, key: list[str], first: str, last: str, most_gap: int) -> DataFrame:
+    """Q5: (key, from_last, to_first, gap, relation) of neighbouring sections: 'continues' (gap 0), 'gap' up to most_gap missing numbers, or 'overlap'; others are unrelated and not listed."""
+    w = _order(key, [first, last])
+    pairs = sections.select(*key, F.lag(last).over(w).alias("from_last"), F.col(first).alias("to_first")).withColumn("gap", F.col("to_first") - F.col("from_last") - 1)
+    relation = F.when(F.col("gap") == 0, "continues").when(F.col("gap") < 0, "overlap").when(F.col("gap") <= most_gap, "gap")
+    return pairs.withColumn("relation", relation).where("relation IS NOT NULL")
+
+
 def flag_misplaced(items: DataFrame, key: list[str], num: str, order: list[str], jump: int = 2) -> DataFrame:
     """Q6: misplaced is true from the first rise by more than `jump` on."""
     w = _order(key, order)
@@ -72,6 +91,12 @@ def flag_misplaced(items: DataFrame, key: list[str], num: str, order: list[str],
     return items.withColumn("_leap", leap).withColumn("misplaced", F.max("_leap").over(w)).drop("_leap")
 
 
+def first_late_section(items: DataFrame, doc: list[str], section: str, num: str, order: list[str], high: int = 9, among: int = 3) -> DataFrame:
+    """Q6: (doc, section) of the first section of each document that shows a number of `high` or more among its first `among`."""
+    early = items.withColumn("_at", F.row_number().over(_order([*doc, section], order))).where((F.col("_at") <= among) & (F.col(num) >= high))
+    return early.groupBy(*doc).agg(F.min(section).alias(section))
+
+
 def move_misplaced(items: DataFrame, doc: list[str], section: str, num: str, flag: str = "misplaced", step: int = 1) -> DataFrame:
     """Q7: flagged items go to the section `step` on; items are numbered anew inside by (number, old section)."""
     moved = items.withColumn("_was", F.col(section)).withColumn(section, F.col(section) + F.when(F.col(flag), step).otherwise(0))
@@ -83,11 +108,12 @@ def dedupe_first(items: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return items.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def drop_noise_items(items: DataFrame, text: str, min_chars: int, min_words: int, noise: str) -> DataFrame:
-    """Q9: add reason: 'short', 'noise' (what is left without the noise pattern is under 10 characters), 'repetitive' (fewer distinct words than min_words), or null for a good item."""
+def drop_noise_items(items: DataFrame, text: str, min_chars: int, min_words: int, noise: str, cues: str | None = None) -> DataFrame:
+    """Q9: add reason: 'short', 'noise' (what is left without the noise pattern is under 10 characters), 'repetitive' (fewer distinct words than min_words), 'no_cue' (no match of the cues that an instruction has, if given), or null for a good item."""
     body = F.coalesce(F.trim(F.col(text)), F.lit(""))
     words = F.size(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit(r"([^\s]+)"), F.lit(1))))
-    return items.withColumn("reason", F.when(F.length(body) < min_chars, "short").when(F.length(F.regexp_replace(body, noise, "")) < 10, "noise").when(words < min_words, "repetitive"))
+    reason = F.when(F.length(body) < min_chars, "short").when(F.length(F.regexp_replace(body, noise, "")) < 10, "noise").when(words < min_words, "repetitive")
+    return items.withColumn("reason", reason if cues is None else reason.when(~body.rlike(cues), "no_cue"))
 
 
 def check_expectations(counts: DataFrame, expected: DataFrame, key: list[str], tol: int) -> DataFrame:

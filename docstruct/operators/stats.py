@@ -34,25 +34,36 @@ def flag_shares(rows: DataFrame, flags: dict[str, Column], by: list[str]) -> Dat
 
 
 def zero_filled_counts(rows: DataFrame, dim: str, by: list[str], domain: DataFrame) -> DataFrame:
-    """A4: (by, label, n) for every group and every value of domain (column label), 0 included. The domain is a fixed list of labels."""
+    """A4: (by, label, n) for every group and every value of domain (column label), 0 included. The grid is as large as the result; a small domain is broadcast by its size."""
     labels = domain.select("label").distinct()
-    groups = rows.select(*by).distinct()
     counts = rows.groupBy(*by, F.col(dim).alias("label")).agg(F.count("*").alias("n"))
-    grid = groups.withColumn("label", F.explode(F.lit([r[0] for r in labels.orderBy("label").collect()])))
-    return grid.join(counts, [*by, "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = rows.select(*by).distinct().join(labels.withColumn("_any", F.lit(1)), F.lit(1) == F.col("_any")).drop("_any")
+    right = counts.select(*(F.col(c).alias(f"_{c}") for c in [*by, "label"]), "n")
+    same = [grid[c].eqNullSafe(right[f"_{c}"]) for c in [*by, "label"]]
+    return grid.join(right, same, "left").select(*by, "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def section_metrics(items: DataFrame, doc: str, section: str, kind: str, chars: Column, limited: Column, kinds: list[str]) -> DataFrame:
-    """A5: per section and, with a null section, per document: items, each kind's count, characters, items with and without a limit."""
+def section_metrics(items: DataFrame, doc: str, section: str, kind: str, chars: Column, limited: Column, kinds: list[str], options: Column | None = None, option_counts: tuple[int, ...] = (), extracts: dict[str, Column] | None = None) -> DataFrame:
+    """A5: per section and, with a null section, per document: items, each kind's count, characters, items with and without a limit.
+
+    options: an item's number of options, of which option_counts are counted (options_<n>), others as options_other;
+    extracts: tests for kinds of extracts, counted as extract_<name>. A document's row is the sum of its sections.
+    """
     counts = [F.count_if(F.col(kind) == k).alias(f"n_{k.lower()}") for k in kinds]
+    if options is not None:
+        counts += [F.count_if(options == n).alias(f"options_{n}") for n in option_counts] + [F.count_if(options.isNotNull() & ~options.isin(*option_counts)).alias("options_other")]
+    counts += [F.count_if(F.coalesce(c, F.lit(False))).alias(f"extract_{name}") for name, c in (extracts or {}).items()]
     limit = F.coalesce(limited, F.lit(False))
     return items.rollup(doc, section).agg(F.count("*").alias("n"), *counts, F.sum(chars).alias("chars"), F.count_if(limit).alias("with_limit"), F.count_if(~limit).alias("without_limit"), F.grouping_id().alias("_g")).where("_g < 3").drop("_g")
 
 
-def wide_registry_row(items: DataFrame, key: str, order: list[str], values: dict[str, str], slots: int) -> DataFrame:
-    """The first `slots` items of each key as numbered columns; missing ones are null, the rest is dropped. n_items counts all."""
-    ranked = items.withColumn("_slot", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    picks = [F.max(F.when(F.col("_slot") == i, F.col(c))).alias(f"{name}_{i}") for i in range(1, slots + 1) for name, c in values.items()]
+def wide_registry_row(items: DataFrame, key: str, order: list[str], values: dict[str, str], slots: int, kind: str | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """The first `slots` items of each key (of each of its kinds, if given) as numbered columns; missing ones are null, the rest is dropped. n_items counts all."""
+    ranked = items.withColumn("_slot", F.row_number().over(Window.partitionBy(*([key, kind] if kind else [key])).orderBy(*order)))
+    picks = []
+    for own in kinds if kind else (None,):
+        mine = F.lit(True) if own is None else F.col(kind) == own
+        picks += [F.max(F.when(mine & (F.col("_slot") == i), F.col(c))).alias("_".join([name, *([own.lower()] if own else []), str(i)])) for i in range(1, slots + 1) for name, c in values.items()]
     return ranked.groupBy(key).agg(F.count("*").alias("n_items"), *picks)
 
 
@@ -77,8 +88,9 @@ def top_values(rows: DataFrame, columns: list[str], order: str, k: int) -> DataF
 
 
 def upsert(registry: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """A10: rows of new replace those of the same key, others are added; either side may have columns the other lacks. Doing it twice changes nothing."""
-    return registry.join(new.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    """A10: rows of new replace those of the same key (null is a value), others are added; either side may have columns the other lacks. Doing it twice changes nothing."""
+    keys = new.select(*(F.col(k).alias(f"_new_{k}") for k in key)).distinct()
+    return registry.join(keys, [registry[k].eqNullSafe(keys[f"_new_{k}"]) for k in key], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def upsert_columns(registry: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -90,8 +102,10 @@ def upsert_columns(registry: DataFrame, new: DataFrame, key: list[str]) -> DataF
 
 
 def validate_registry(rows: DataFrame, by: str, required: list[str], casts: dict[str, str]) -> DataFrame:
-    """(by, n_rows, problem, n) for missing required values ('missing:<c>') and values that can't be cast ('uncastable:<c>'); groups without a problem have none."""
-    checks = {f"missing:{c}": F.col(c).isNull() for c in required} | {f"uncastable:{c}": F.col(c).isNotNull() & F.col(c).cast("string").try_cast(t).isNull() for c, t in casts.items()}
+    """(by, n_rows, problem, n) for missing required values ('missing:<c>'), values that can't be cast ('uncastable:<c>') and required or cast columns that rows lack ('absent:<c>', all rows of the group); groups without a problem have none."""
+    has = set(rows.columns)
+    checks = {f"missing:{c}": F.col(c).isNull() for c in required if c in has} | {f"uncastable:{c}": F.col(c).isNotNull() & F.col(c).cast("string").try_cast(t).isNull() for c, t in casts.items() if c in has}
+    checks |= {f"absent:{c}": F.lit(True) for c in dict.fromkeys([*required, *casts]) if c not in has}
     wide = rows.groupBy(by).agg(F.count("*").alias("n_rows"), *(F.count_if(c).alias(f"_{i}") for i, c in enumerate(checks.values())))
     pairs = F.explode(F.array(*(F.struct(F.lit(name).alias("problem"), F.col(f"_{i}").alias("n")) for i, name in enumerate(checks))))
     return wide.select(by, "n_rows", pairs.alias("_p")).select(by, "n_rows", "_p.problem", "_p.n").where("n > 0")
@@ -102,11 +116,17 @@ def density_bins(hits: DataFrame, by: list[str], position: Column, width: int) -
     return hits.groupBy(*by, F.floor(position / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def top_per_bin(scored: DataFrame, bin: Column, score: str, order: list[str], quota: DataFrame, least: float) -> DataFrame:
-    """The best rows of each bin, as many as quota (bin, k) gives it, with a score of `least` at least."""
-    found = scored.where(F.col(score) >= least).withColumn("bin", bin).join(quota, "bin")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy(F.desc(score), *order)))
-    return ranked.where("rank <= k").drop("k")
+def top_per_bin(scored: DataFrame, bin: Column, score: str, order: list[str], quota: DataFrame, least: float, most: int = 1000) -> DataFrame:
+    """The best rows of each bin, as many as quota (bin, k) gives it, with a score of `least` at least.
+
+    Each of 64 parts of a bin ranks its rows and leaves `most` of them at the most, an upper bound of every k that is
+    checked; so few meet in the bin's own ranking, however many rows it has.
+    """
+    part = F.pmod(F.xxhash64(*order), F.lit(64))
+    quota = quota.withColumn("k", F.when(F.col("k") > most, F.raise_error("k above the bound")).otherwise(F.col("k")))
+    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), *order)))
+    near = ranked(scored.where(F.col(score) >= least).withColumns({"bin": bin, "_part": part}), "bin", "_part").where(F.col("rank") <= most).drop("rank", "_part")
+    return ranked(near.join(quota, "bin"), "bin").where("rank <= k").drop("k")
 
 
 def level_counts(nodes: DataFrame, doc: str, level: str, levels: list) -> DataFrame:

@@ -43,14 +43,14 @@ def g6_assign_heading(t):
     return segment.assign_heading(events.where("event_type <> 'error'").select("event_id", "user_id", "ts", "value"), events.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("heading")), ["user_id"], "ts", "heading")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 0 WHEN role = 'user' THEN 1 ELSE 2 END AS level FROM conversations WHERE turn > 0),
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 0 WHEN role = 'user' THEN 1 ELSE 2 END AS level FROM conversations),
 a AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS a FROM l),
 b AS (SELECT *, sum((level = 1)::INT) OVER (PARTITION BY conv_id, a ORDER BY turn)::BIGINT AS b FROM a WHERE a > 0),
 c AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY conv_id, a, b ORDER BY turn)::BIGINT AS c FROM b)
 SELECT conv_id, turn, level, CASE level WHEN 0 THEN a::VARCHAR WHEN 1 THEN a || '-' || b ELSE a || '-' || b || '-' || c END AS node_id, CASE level WHEN 1 THEN a::VARCHAR WHEN 2 THEN a || '-' || b END AS parent_id FROM c WHERE level < 2 OR b > 0""")
 def g7_build_hierarchy(t):
     level = F.expr("CASE WHEN turn % 5 = 0 THEN 0 WHEN role = 'user' THEN 1 ELSE 2 END")
-    return segment.build_hierarchy(t("conversations").where("turn > 0").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], level).drop("role")
+    return segment.build_hierarchy(t("conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], level).drop("role")
 
 
 _PATTERNS = ["[0-9]+ [a-z]+", "[A-Z]{2,}"]

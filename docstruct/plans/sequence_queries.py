@@ -66,6 +66,36 @@ def q5_merge_continuous(t):
     return sequence.merge_continuous(months.withColumn("last", F.col("first")), ["o_custkey"], "first", "last", ["chars"], "source")
 
 
+@query("""WITH d AS (SELECT DISTINCT o_custkey, datediff('day', DATE '1990-01-01', o_orderdate::DATE) // 30 AS first, datediff('day', DATE '1990-01-01', o_orderdate::DATE) // 30 + o_orderkey % 2 AS last FROM orders),
+p AS (SELECT o_custkey, lag(last) OVER (PARTITION BY o_custkey ORDER BY first, last) AS from_last, first AS to_first FROM d), g AS (SELECT *, to_first - from_last - 1 AS gap FROM p)
+SELECT *, CASE WHEN gap = 0 THEN 'continues' WHEN gap < 0 THEN 'overlap' ELSE 'gap' END AS relation FROM g WHERE gap <= 3""")
+def q5_suggest_relations(t):
+    months = t("orders").selectExpr("o_custkey", "bigint(datediff(date(o_orderdate), date'1990-01-01') div 30) AS first", "bigint(datediff(date(o_orderdate), date'1990-01-01') div 30) + o_orderkey % 2 AS last").distinct()
+    return sequence.suggest_relations(months, ["o_custkey"], "first", "last", 3)
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_linenumber % 3 AS section, l_linenumber + l_partkey % 8 AS num, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber, l_partkey, l_suppkey) AS r FROM lineitem)
+SELECT l_orderkey, min(section) AS section FROM e WHERE r <= 3 AND num >= 9 GROUP BY l_orderkey""")
+def q6_first_late_section(t):
+    items = t("lineitem").selectExpr(*_LINE_COLUMNS, "l_linenumber % 3 AS section", "l_linenumber + l_partkey % 8 AS num")
+    return sequence.first_late_section(items, ["l_orderkey"], "section", "num", _ORDERED)
+
+
+_ROMAN = [("ONE", 1), ("URGENT", 1), ("HIGH", 2), ("MEDIUM", 3), ("LOW", 5), ("1", 1), ("2", 2), ("3", 3), ("4", 400)]
+
+
+@query("""WITH n(m, v) AS (VALUES """ + ", ".join(map(str, _ROMAN)) + """) SELECT o_orderkey, o_orderpriority, a.v::BIGINT AS major, b.v::BIGINT AS minor FROM orders LEFT JOIN (SELECT * FROM n WHERE v <= 100) a ON a.m = regexp_extract(o_orderpriority, '([0-9])-([A-Z]+)', 1) LEFT JOIN (SELECT * FROM n WHERE v <= 100) b ON b.m = regexp_extract(o_orderpriority, '([0-9])-([A-Z]+)', 2)""")
+def q1_lookup_pairs(t):
+    orders = t("orders").select("o_orderkey", "o_orderpriority")
+    return sequence.lookup_pairs(orders, "o_orderpriority", "([0-9])-([A-Z]+)", orders.sparkSession.createDataFrame(_ROMAN, "marker string, number long"))
+
+
+@query("""WITH b AS (SELECT event_id, user_id, event_id % 5 + 1 AS num, event_id * 100 AS pos, lag(event_id % 5 + 1) OVER (PARTITION BY user_id ORDER BY event_id) AS p, lag(event_id * 100) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM events)
+SELECT event_id, user_id, num, pos, 1 + sum(CASE WHEN num = 1 AND p > 1 AND pos - q >= 500 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS group_no FROM b""")
+def g5_reset_groups_by_distance(t):
+    return sequence.reset_groups(t("events").selectExpr("event_id", "user_id", "event_id % 5 + 1 AS num", "event_id * 100 AS pos"), ["user_id"], ["event_id"], "num", pos="pos")
+
+
 _ORDERED = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
@@ -85,24 +115,25 @@ def q7_move_misplaced(t):
     return sequence.move_misplaced(items, ["user_id"], "section", "num")
 
 
-@query("""SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 100) ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
+@query("""SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1""")
 def q8_dedupe_first(t):
-    return sequence.dedupe_first(t("documents"), F.substring("text", 1, 100), ["doc_id"]).select("doc_id", "source")
+    return sequence.dedupe_first(t("documents"), F.sha2("text", 256), ["doc_id"]).select("doc_id", "source")
 
 
 @query(r"""WITH x AS (SELECT doc_id, unnest(range(len(ls))) AS i, trim(unnest(ls)) AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
 SELECT doc_id, i, CASE WHEN length(b) < 20 THEN 'short' WHEN length(regexp_replace(b, '[0-9|!*#$%&]+', '', 'g')) < 10 THEN 'noise'
-WHEN len(list_distinct(regexp_extract_all(lower(b), '[^\s]+'))) < 3 THEN 'repetitive' END AS reason FROM x""")
+WHEN len(list_distinct(regexp_extract_all(lower(b), '[^\s]+'))) < 3 THEN 'repetitive' WHEN NOT regexp_matches(b, '[.?!]') THEN 'no_cue' END AS reason FROM x""")
 def q9_drop_noise_items(t):
     lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return sequence.drop_noise_items(lines, "line", 20, 3, r"[0-9|!*#$%&]+").select("doc_id", F.col("i").cast("long").alias("i"), "reason")
+    return sequence.drop_noise_items(lines, "line", 20, 3, r"[0-9|!*#$%&]+", "[.?!]").select("doc_id", F.col("i").cast("long").alias("i"), "reason")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS actual FROM customer WHERE c_nationkey < 20 GROUP BY ALL), e AS (SELECT n_nationkey AS k, 50 + n_nationkey AS expected FROM nation WHERE n_nationkey > 2)
+@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS actual FROM customer GROUP BY ALL), e AS (SELECT s_nationkey + s_suppkey % 2 AS k, 50 + count(*) AS expected FROM supplier GROUP BY ALL)
 SELECT k, actual, expected, issue FROM (SELECT k, actual, expected, CASE WHEN actual IS NULL THEN 'missing' WHEN expected IS NULL THEN 'unexpected' WHEN abs(actual - expected) > 5 THEN 'off' END AS issue FROM a FULL JOIN e USING (k)) WHERE issue IS NOT NULL""")
 def q10_check_expectations(t):
-    counts = t("customer").where("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
-    return sequence.check_expectations(counts, t("nation").where("n_nationkey > 2").selectExpr("n_nationkey AS k", "50 + n_nationkey AS n"), ["k"], 5)
+    counts = t("customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    expected = t("supplier").groupBy(F.expr("s_nationkey + s_suppkey % 2").alias("k")).agg((50 + F.count("*")).alias("n"))
+    return sequence.check_expectations(counts, expected, ["k"], 5)
 
 
 @query(f"""WITH b AS (SELECT {_LINES}, CASE WHEN l_linenumber <= 1 THEN 1 ELSE 2 END AS block FROM lineitem),

@@ -21,10 +21,10 @@ _TOKENS = r"list_distinct(regexp_extract_all(lower(text), '[a-z]+'))"
 
 @query(f"""WITH m AS (SELECT lang, unnest({_TOKENS}) AS label FROM documents), c AS (SELECT lang, label, count(*) AS n FROM m GROUP BY ALL),
 d AS (SELECT lang, count(*) AS total FROM documents GROUP BY lang)
-SELECT lang, label, n, round(n * 100.0::DOUBLE / total, 1) AS pct FROM c JOIN d USING (lang) WHERE n >= 50""")
+SELECT lang, label, n, round(n * 100.0::DOUBLE / total, 1) AS pct FROM c JOIN d USING (lang)""")
 def a2_distribution_multi(t):
     docs = t("documents").select("lang", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("words"))
-    return stats.distribution_multi(docs, "words", ["lang"]).where("n >= 50")
+    return stats.distribution_multi(docs, "words", ["lang"])
 
 
 @query(f"""WITH m AS (SELECT lang, unnest({_TOKENS}) AS label FROM documents), c AS (SELECT lang, label, count(*) AS n FROM m GROUP BY ALL)
@@ -49,10 +49,12 @@ def a4_zero_filled_counts(t):
 
 
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n, count(*) FILTER (l_returnflag = 'A') AS n_a, count(*) FILTER (l_returnflag = 'N') AS n_n,
-count(*) FILTER (l_returnflag = 'R') AS n_r, sum(l_quantity) AS chars, count(*) FILTER (l_discount > 0.05) AS with_limit, count(*) FILTER (NOT l_discount > 0.05) AS without_limit
+count(*) FILTER (l_returnflag = 'R') AS n_r, count(*) FILTER (l_suppkey % 6 = 4) AS options_4, count(*) FILTER (l_suppkey % 6 = 5) AS options_5, count(*) FILTER (l_suppkey % 6 < 4) AS options_other,
+count(*) FILTER (l_partkey % 3 = 0) AS extract_one, count(*) FILTER (l_partkey % 3 = 1) AS extract_two, sum(l_quantity) AS chars, count(*) FILTER (l_discount > 0.05) AS with_limit, count(*) FILTER (NOT l_discount > 0.05) AS without_limit
 FROM lineitem GROUP BY ROLLUP (l_orderkey, l_linenumber) HAVING grouping_id(l_orderkey, l_linenumber) < 3""")
 def a5_section_metrics(t):
-    return stats.section_metrics(t("lineitem"), "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity"), F.col("l_discount") > 0.05, ["A", "N", "R"])
+    extracts = {"one": F.col("l_partkey") % 3 == 0, "two": F.col("l_partkey") % 3 == 1}
+    return stats.section_metrics(t("lineitem"), "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity"), F.col("l_discount") > 0.05, ["A", "N", "R"], F.col("l_suppkey") % 6, (4, 5), extracts)
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem)
@@ -61,6 +63,12 @@ def a6_wide_registry_row(t):
     return stats.wide_registry_row(t("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], {"part": "l_partkey", "quantity": "l_quantity"}, 3)
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS s FROM lineitem)
+SELECT l_orderkey, count(*) AS n_items, """ + ", ".join(f"max(CASE WHEN s = {i} AND l_returnflag = '{k}' THEN l_partkey END) AS part_{k.lower()}_{i}" for k in "ANR" for i in (1, 2)) + " FROM r GROUP BY l_orderkey")
+def a6_wide_registry_row_by_kind(t):
+    return stats.wide_registry_row(t("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey"], {"part": "l_partkey"}, 2, "l_returnflag", ("A", "N", "R"))
+
+
 _MAPPING = [("1-URGENT", "urgent", 1), ("2-HIGH", "urgent", 1), ("3-MEDIUM", "normal", 2), ("3-MEDIUM", "low", 2)]
 
 
@@ -107,10 +115,10 @@ def a10_upsert_columns(t):
 
 @query("""WITH r AS (SELECT c_nationkey, CASE WHEN c_custkey % 10 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 6 = 0 THEN 'x' || c_custkey ELSE c_custkey::VARCHAR END AS year FROM customer),
 p AS (SELECT c_nationkey, count(*) AS n_rows, count(*) FILTER (name IS NULL) AS a, count(*) FILTER (year IS NOT NULL AND try_cast(year AS INT) IS NULL) AS b FROM r GROUP BY c_nationkey)
-SELECT c_nationkey, n_rows, 'missing:name' AS problem, a AS n FROM p WHERE a > 0 UNION ALL SELECT c_nationkey, n_rows, 'uncastable:year', b FROM p WHERE b > 0""")
+SELECT c_nationkey, n_rows, 'missing:name' AS problem, a AS n FROM p WHERE a > 0 UNION ALL SELECT c_nationkey, n_rows, 'uncastable:year', b FROM p WHERE b > 0 UNION ALL SELECT c_nationkey, n_rows, 'absent:school', n_rows FROM p""")
 def a11_validate_registry(t):
     rows = t("customer").selectExpr("c_nationkey", "CASE WHEN c_custkey % 10 > 0 THEN c_name END AS name", "CASE WHEN c_custkey % 6 = 0 THEN 'x' || c_custkey ELSE string(c_custkey) END AS year")
-    return stats.validate_registry(rows, "c_nationkey", ["name"], {"year": "int"})
+    return stats.validate_registry(rows, "c_nationkey", ["name", "school"], {"year": "int"})
 
 
 @query("""SELECT lang, i // 10 AS bin, count(*) AS n FROM (SELECT lang, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT lang, string_split(text, chr(10)) AS ls FROM documents))

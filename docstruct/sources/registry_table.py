@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +27,15 @@ def write_registry(rows: DataFrame, path: str, group: str) -> None:
 
 
 def upsert_groups(new: DataFrame, path: str, key: list[str], group: str) -> None:
-    """A10 on the stored registry: the touched groups are written beside it first, as a plan must not overwrite what it reads."""
+    """A10 on the stored registry: the touched groups (null is one) are written beside it first, in a folder of their own, as a plan must not overwrite what it reads."""
     spark = new.sparkSession
     old = read_registry(spark, path)
     if old is None:
         write_registry(new, path, group)
         return
-    touched = old.join(new.select(group).distinct(), group, "left_semi")
+    groups = new.select(F.col(group).cast(old.schema[group].dataType).alias("_group")).distinct()
+    touched = old.join(groups, old[group].eqNullSafe(groups["_group"]), "left_semi")
     merged = upsert(touched, new.select(*(F.col(c).cast(old.schema[c].dataType).alias(c) if c in old.columns else F.col(c) for c in new.columns)), key)
-    beside = f"{path.rstrip('/')}.next"
+    beside = f"{path.rstrip('/')}.next/{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(beside)
     write_registry(spark.read.parquet(beside), path, group)
