@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstruct.functions.positions import locate_matches, of_rule
+
 
 def classify_first(rows: DataFrame, rules: list[tuple[str, str]], text: str, default: str) -> DataFrame:
     """The first rule whose pattern the text holds, else the default."""
@@ -18,15 +22,24 @@ def classify_multi(rows: DataFrame, rules: list[tuple[str, str]], text: str, key
     return rows.select(*keys, F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))).alias("label"))
 
 
-def score_weighted(rows: DataFrame, rules: list[tuple[str, str, int]], text: str, keys: list[str]) -> DataFrame:
-    """Best class by the sum of count x weight, its score, and the decision: at least 30 or 70 % of all: the class; at least 20: the class; else 'mixed'."""
-    classes = list(dict.fromkeys(c for c, _, _ in rules))
-    scores = {c: sum((F.regexp_count(F.col(text), F.lit(p)) * w for k, p, w in rules if k == c), F.lit(0)) for c in classes}
-    out = rows.select(*keys, *(s.alias(f"_{c}") for c, s in scores.items()))
-    top, total = F.greatest(*(F.col(f"_{c}") for c in classes)), sum((F.col(f"_{c}") for c in classes), F.lit(0))
+def score_weighted(rows: DataFrame, rules: list[tuple[str, str, float]], text: str, keys: list[str], boosts: tuple[tuple[str, str, float], ...] = (), flag: str | None = None, mixed: str = "mixed", current: str = "current") -> DataFrame:
+    """(keys, best, score, total, decision) by weighted rules (class, pattern, weight) and boosts (class, pattern, points).
+
+    A class scores count x weight of its rules, and a boost's points once if its pattern is found. The decision is the
+    first step that holds: a score of 3 or more: best; at least 0.7 of the total: best; a text that matches `flag`: best
+    with at least half of the total, else `current`; a score of 2 or more: best; else `mixed`. Ties go to the class declared first.
+    """
+    classes = list(dict.fromkeys([c for c, _, _ in rules] + [c for c, _, _ in boosts]))
+    body = F.coalesce(F.col(text), F.lit(""))
+    scores = {c: sum((F.regexp_count(body, F.lit(p)) * F.lit(float(w)) for k, p, w in rules if k == c), F.lit(0.0)) + sum((F.when(body.rlike(p), F.lit(float(w))).otherwise(0.0) for k, p, w in boosts if k == c), F.lit(0.0)) for c in classes}
+    flagged = body.rlike(flag) if flag else F.lit(False)
+    out = rows.select(*keys, flagged.alias("_flag"), *(F.round(s, 4).alias(f"_{c}") for c, s in scores.items()))
+    top, total = F.greatest(*(F.col(f"_{c}") for c in classes)), sum((F.col(f"_{c}") for c in classes), F.lit(0.0))
     best = F.coalesce(*(F.when(F.col(f"_{c}") == F.col("score"), F.lit(c)) for c in classes))
-    out = out.withColumns({"score": top, "total": total}).withColumn("best", best)
-    return out.withColumn("decision", F.when((F.col("score") >= 30) | (10 * F.col("score") >= 7 * F.col("total")) & (F.col("score") > 0) | (F.col("score") >= 20), F.col("best")).otherwise("mixed")).select(*keys, "best", "score", "total", "decision")
+    out = out.withColumns({"score": top if len(classes) > 1 else F.col(f"_{classes[0]}"), "total": F.round(total, 4)}).withColumn("best", best)
+    share = F.col("score") / F.nullif(F.col("total"), F.lit(0.0))
+    decision = F.when(F.col("score") >= 3, F.col("best")).when(share >= 0.7, F.col("best")).when(F.col("_flag"), F.when(share >= 0.5, F.col("best")).otherwise(current)).when(F.col("score") >= 2, F.col("best")).otherwise(mixed)
+    return out.select(*keys, "best", "score", "total", decision.alias("decision"))
 
 
 def top_labels_within(scores: DataFrame, keys: list[str], label: str, score: str, ratio: float, k: int) -> DataFrame:
@@ -46,24 +59,91 @@ def impute_dominant(rows: DataFrame, keys: list[str], label: str, mixed: str, fe
     return joined.withColumn("imputed", F.when((F.col(label) == mixed) & feature, F.coalesce("_dominant", label)).otherwise(F.col(label))).drop("_dominant")
 
 
-def choice_theme(choices: DataFrame, keys: list[str], tests: list[tuple[str, Column]], least: float = 0.6) -> DataFrame:
-    """The first theme whose test holds for at least `least` of a key's options, null if none."""
-    shares = choices.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(f"_{name}") for name, c in tests))
-    return shares.withColumn("theme", F.coalesce(*(F.when(F.col(f"_{name}") >= least, F.lit(name)) for name, _ in tests))).select(*keys, "n", "theme")
+def choice_theme(choices: DataFrame, keys: list[str], tests: list[tuple[str, Column]], least: float = 0.6, concrete: tuple[Column, Column, list[str]] | None = None) -> DataFrame:
+    """(keys, n, theme): the first theme whose test holds for at least `least` of a key's options, else the first concrete option.
 
+    concrete: (an option's text, the test that it is concrete, columns that order the options); without it the theme is null.
+    """
+    picks = []
+    if concrete:
+        option, holds, order = concrete
+        picks = [F.min_by(option, F.when(F.coalesce(holds, F.lit(False)), F.struct(*order))).alias("_concrete")]
+    shares = choices.groupBy(*keys).agg(F.count("*").alias("n"), *picks, *(F.avg(F.coalesce(c, F.lit(False)).cast("int")).alias(f"_{name}") for name, c in tests))
+    theme = [F.when(F.col(f"_{name}") >= least, F.lit(name)) for name, _ in tests]
+    return shares.withColumn("theme", F.coalesce(*theme, *(["_concrete"] if concrete else []))).select(*keys, "n", "theme")
 
-def decide_by_evidence(candidates: DataFrame, keys: list[str], score: str, tag: str, tags: list[str], order: str) -> DataFrame:
-    """H2: the candidate of the highest score; ties by the tags' order, then by order. confidence = min(0.98, 0.5 + score / 100)."""
-    rank = F.coalesce(F.array_position(F.lit(tags), F.col(tag)), F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.when(rank == 0, len(tags) + 1).otherwise(rank), order)
-    return candidates.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("confidence", F.round(F.least(F.lit(0.98), F.lit(0.5) + F.col(score) / 100), 4))
 
+def decide_by_evidence(candidates: DataFrame, keys: list[str], score: str, tag: str, tags: list[str], order: str, field: str | None = None, proposed: str | None = None, strong: float = 30) -> DataFrame:
+    """H2: the candidate of the highest score; ties by the tags' order, then by order. confidence = min(0.98, 0.5 + score / 100).
 
-def year_candidates(docs: DataFrame, text: str, keys: list[str], least: int = 1990, most: int = 2030) -> DataFrame:
-    """(keys, year, n): four-digit years within bounds that stand alone."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r"\b((?:19|20)[0-9]{2})\b"), F.lit(1))
-    years = docs.select(*keys, F.explode(found).alias("year")).withColumn("year", F.col("year").cast("int"))
-    return years.where(F.col("year").between(least, most)).groupBy(*keys, "year").agg(F.count("*").alias("n"))
+    With `field` and `proposed`, the column final_field is the candidate's proposed field where its score is `strong` at least, else the row's own.
+    """
+    rank = F.coalesce(F.array_position(F.lit(tags), F.col(tag)), F.lit(0))
+    w = Window.partitionBy(*keys).orderBy(F.desc(score), F.when(rank == 0, len(tags) + 1).otherwise(rank), order)
+    best = candidates.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r").withColumn("confidence", F.round(F.least(F.lit(0.98), F.lit(0.5) + F.col(score) / 100), 4))
+    return best.withColumn("final_field", F.when((F.col(score) >= strong) & F.col(proposed).isNotNull(), F.col(proposed)).otherwise(F.col(field))) if field and proposed else best
+
+
+@dataclass(frozen=True)
+class YearRule:
+    """A pattern whose first group is a number; form: 'western' (a whole year), 'era' (the year is base + number) or 'two' (two digits, split at the pivot). Of all zones, or of one."""
+
+    name: str
+    pattern: str
+    priority: int
+    form: str = "western"
+    base: int = 0
+    zone: str | None = None
+
+
+#: Digits that stand for 0 to 9, in the order of the second text. Ten is a place of its own.
+_DIGITS = ("０１２３４５６７８９〇零一二三四五六七八九壱弐参肆伍陸柒捌玖", "012345678900123456789123456789")
+_TEN = "十"
+#: The first year of an era is base + 1.
+REIWA, HEISEI = 2018, 1988
+_KANJI = "[一二三四五六七八九十]"
+#: The rule pack for Japanese examination papers: whole years, eras by name and letter, two digits.
+JAPANESE_YEARS = (
+    YearRule("kanji", r"([〇零一-龠０-９]{4})年度?", 11),
+    YearRule("four_digits", r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 9),
+    YearRule("reiwa", r"令和([0-9０-９]{1,2}|" + _KANJI + "{1,3})", 8, "era", REIWA),
+    YearRule("heisei", r"平成([0-9０-９]{1,2}|" + _KANJI + "{1,3})", 7, "era", HEISEI),
+    YearRule("letter_r", r"(?<![A-Za-z])R([0-9]{1,2})(?![0-9])", 8, "era", REIWA, "name"),
+    YearRule("letter_h", r"(?<![A-Za-z])H([0-9]{1,2})(?![0-9])", 7, "era", HEISEI, "name"),
+    YearRule("two_digits", r"(?<![(0-9\n平成令和])([0-9]{2})年度?(?![)0-9])", 5, "two"),
+)
+
+
+def year_number(found: Column) -> Column:
+    """The whole number that digits of any of these scripts say, null if none: 'X ten Y' is 10 X + Y, others are read place by place."""
+    plain = F.translate(found, *_DIGITS)
+    tens, ones = F.split_part(plain, F.lit(_TEN), F.lit(1)), F.split_part(plain, F.lit(_TEN), F.lit(2))
+    with_ten = F.when(tens == "", 1).otherwise(tens.try_cast("int")) * 10 + F.when(ones == "", 0).otherwise(ones.try_cast("int"))
+    return F.when(F.contains(plain, F.lit(_TEN)), with_ten).otherwise(plain.try_cast("int"))
+
+
+def year_candidates(docs: DataFrame, text: str, keys: list[str], name: str | None = None, rules: tuple[YearRule, ...] = JAPANESE_YEARS, least: int = 1990, most: int = 2030, pivot: int = 50) -> DataFrame:
+    """(keys, zone, rule, priority, pos, year): every mention of a year in the text and, if given, in the name, as a Western year within bounds.
+
+    Each rule's matches are found on their own, with 0-based positions in their zone ('text', 'name'); two digits below
+    the pivot are of this century. Null texts and names have none.
+    """
+    found = None
+    for zone, column in (("text", text), ("name", name)):
+        own = [r for r in rules if r.zone in (None, zone)]
+        if column is None or not own:
+            continue
+        hits = locate_matches(docs, [(r.name, r.pattern) for r in own], F.col(column), keys, 1).withColumn("_v", year_number(F.col("found")))
+        base = F.when(of_rule(F.col("rule_no"), [r.form for r in own]) == "two", F.when(F.col("_v") < pivot, 2000).otherwise(1900)).otherwise(of_rule(F.col("rule_no"), [r.base for r in own]))
+        rows = hits.select(*keys, F.lit(zone).alias("zone"), of_rule(F.col("rule_no"), [r.name for r in own]).alias("rule"), of_rule(F.col("rule_no"), [r.priority for r in own]).alias("priority"), "pos", (F.col("_v") + base).alias("year"))
+        found = rows if found is None else found.union(rows)
+    return found.where(F.col("year").between(least, most))
+
+
+def excluded_years(docs: DataFrame, text: str, keys: list[str], contexts: list[str]) -> DataFrame:
+    """(keys, year) of the years that the contexts (patterns with one four-digit group) mention."""
+    hits = locate_matches(docs, [(p, p) for p in contexts], F.col(text), keys, 1)
+    return hits.select(*keys, F.col("found").try_cast("int").alias("year")).where("year IS NOT NULL").distinct()
 
 
 def exclude_context(candidates: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:

@@ -51,9 +51,18 @@ def longest_term(hits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def term_rollup(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """T5: totals by field and, with a category, by field and category."""
-    by_field = hits.groupBy(*keys, "field").agg(F.sum("n").alias("total")).withColumn("category", F.lit(None).cast("string"))
-    return hits.groupBy(*keys, "field", "category").agg(F.sum("n").alias("total")).unionByName(by_field)
+    """T5: totals by field (category null) and by field and category, in one pass of grouping sets."""
+    own = hits.select(*keys, "n", F.explode(F.array(F.struct("field", F.lit(None).cast("string").alias("category"), F.lit(True).alias("whole")), F.struct("field", "category", F.lit(False).alias("whole")))).alias("_g"))
+    return own.groupBy(*keys, "_g").agg(F.sum("n").alias("total")).select(*keys, "_g.field", "_g.category", "total")
+
+
+def term_tops(hits: DataFrame, keys: list[str], categories: int = 3, terms: int = 5) -> DataFrame:
+    """T5: (keys, top_field, top_categories, top_terms): the field with most hits, the best (field, category) pairs and terms, each joined best first; ties go to the lower term_rank, then by name."""
+    listed = lambda column, k: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), "_r", F.col(column).alias("v")))), 1, k), lambda x: x["v"]), ",")
+    level = lambda column: hits.withColumn("_v", column).groupBy(*keys, "_v").agg(F.sum("n").alias("_n"), F.min("term_rank").alias("_r"))
+    fields = level(F.col("field")).groupBy(*keys).agg(listed("_v", 1).alias("top_field"))
+    pairs = level(F.concat_ws("/", "field", "category")).groupBy(*keys).agg(listed("_v", categories).alias("top_categories"))
+    return fields.join(pairs, keys).join(level(F.col("term")).groupBy(*keys).agg(listed("_v", terms).alias("top_terms")), keys)
 
 
 def important_terms(docs: DataFrame, lexicon: DataFrame, text: str, keys: list[str], k: int) -> DataFrame:
@@ -75,15 +84,34 @@ def nearby(items: DataFrame, others: DataFrame, keys: list[str], pos: str, radiu
     return left.join(right, [*keys, "_bin"]).where(F.abs(F.col("_p") - F.col("_q")) <= radius).groupBy(*keys, id_column).agg(F.count("*").alias("n_near"))
 
 
+def nearby_terms(items: DataFrame, blocks: DataFrame, keys: list[str], id_column: str, pos: str, text: str, radius: int, k: int, pattern: str = "([a-z]{2,})") -> DataFrame:
+    """(keys, id, rank, word, n) of the k words that blocks within `radius` of each item have most: by frequency, then longer first, then by name.
+
+    An interval join on the keys and a bin of the position; a block's words are counted before they meet items.
+    """
+    words = blocks.select(*keys, F.col(pos).alias("_q"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(1))).alias("word")).groupBy(*keys, "_q", "word").agg(F.count("*").alias("_c"))
+    left = items.select(*keys, id_column, F.col(pos).alias("_p"), F.explode(F.expr(f"sequence({pos} div {radius} - 1, {pos} div {radius} + 1)")).alias("_bin"))
+    right = words.withColumn("_bin", F.expr(f"_q div {radius}"))
+    counts = left.join(right, [*keys, "_bin"]).where(F.abs(F.col("_p") - F.col("_q")) <= radius).groupBy(*keys, id_column, "word").agg(F.sum("_c").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, id_column).orderBy(F.desc("n"), F.desc(F.length("word")), "word")))
+    return ranked.where(F.col("rank") <= k).select(*keys, id_column, "rank", "word", "n")
+
+
+def append_context(items: DataFrame, near: DataFrame, keys: list[str], id_column: str, text: str) -> DataFrame:
+    """Items with the words of nearby_terms() appended to their text, in order of rank; items without any stay as they are."""
+    listed = near.groupBy(*keys, id_column).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("_context"))
+    return items.join(listed, [*keys, id_column], "left").withColumn(text, F.concat_ws(" ", text, "_context")).drop("_context")
+
+
 def apply_corrections(rows: DataFrame, name: str, corrections: list[tuple[str, str]]) -> DataFrame:
     """The canonical form of the first wrong form that the name holds, else the name itself."""
     return rows.withColumn("corrected", F.coalesce(*(F.when(F.contains(F.col(name), F.lit(w)), F.lit(c)) for w, c in corrections), F.col(name)))
 
 
 def vocab_by_field(rows: DataFrame, field: str, term: str) -> DataFrame:
-    """Sorted distinct terms of more than one character of each field, null as 'other', and their number."""
-    own = rows.where(F.length(term) > 1).groupBy(F.coalesce(field, F.lit("other")).alias("field")).agg(F.array_sort(F.collect_set(term)).alias("_t"))
-    return own.select("field", F.array_join("_t", ",").alias("terms"), F.size("_t").cast("long").alias("n_terms"))
+    """(field, term, n): the distinct terms of more than one character of each field, null as 'other', a row each, and how often they stand."""
+    own = rows.where(F.length(term) > 1).groupBy(F.coalesce(field, F.lit("other")).alias("field"), F.col(term).alias("term"))
+    return own.agg(F.count("*").alias("n"))
 
 
 def canonicalize_labels(rows: DataFrame, label: str, exact: dict[str, str], contained: list[tuple[str, str]], default: str) -> DataFrame:

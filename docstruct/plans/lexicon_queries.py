@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstruct.operators import classify, lexicon
+from docstruct.sources import ingest
 from docstruct.plans.registry import query
 
 TERMS = [("the", "en", "article", 1), ("that", "en", "other", 2), ("and", "en", "join", 3), ("der", "de", "article", 4), ("und", "de", "join", 5), ("die", "de", "article", 6), ("les", "fr", "article", 7), ("que", "fr", "join", 8), ("los", "es", "article", 9), ("del", "es", "article", 10)]
@@ -51,6 +52,14 @@ def t5_term_rollup(t):
     return lexicon.term_rollup(_hits(t), ["p_partkey"])
 
 
+_TOP = "top AS (SELECT p_partkey, v, k, row_number() OVER (PARTITION BY p_partkey, k ORDER BY n DESC, r, v) AS rank FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {k} AS k, {v} AS v, sum(n) AS n, min(term_rank) AS r FROM hits GROUP BY p_partkey, {v}" for k, v in (("1", "field"), ("3", "field || '/' || category"), ("5", "term"))) + "))"
+
+
+@query(_HITS + ", " + _TOP + " SELECT p_partkey, " + ", ".join(f"string_agg(v, ',' ORDER BY rank) FILTER (k = {k} AND rank <= {k}) AS {name}" for k, name in ((1, "top_field"), (3, "top_categories"), (5, "top_terms"))) + " FROM top GROUP BY p_partkey")
+def t5_term_tops(t):
+    return lexicon.term_tops(_hits(t), ["p_partkey"])
+
+
 @query(f"""WITH {_LEX}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM w),
 f AS (SELECT doc_id, term, min(pos) AS pos FROM p GROUP BY ALL), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY term_rank // 4, pos) AS rank, term, (term_rank // 4)::BIGINT AS tier FROM f JOIN lex USING (term))
 SELECT * FROM r WHERE rank <= 3""")
@@ -73,6 +82,15 @@ def t11_nearby(t):
     return lexicon.nearby(events.where("event_type = 'purchase'"), events.where("event_type = 'view'"), ["user_id"], "pos", 7_200_000_000, "event_id")
 
 
+@query("""WITH a AS (SELECT conv_id, turn FROM conversations WHERE role = 'user'), b AS (SELECT conv_id, turn AS q, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM conversations WHERE role <> 'user'),
+c AS (SELECT conv_id, turn, word, count(*) AS n FROM a JOIN b USING (conv_id) WHERE abs(turn - q) <= 2 GROUP BY ALL),
+r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, length(word) DESC, word) AS rank, word, n FROM c) SELECT * FROM r WHERE rank <= 5""")
+def t11_nearby_terms(t):
+    talk = t("conversations")
+    asked = talk.where("role = 'user'").select("conv_id", "turn", F.col("turn").alias("pos"))
+    return lexicon.nearby_terms(asked, talk.where("role <> 'user'").withColumn("pos", F.col("turn")), ["conv_id"], "turn", "pos", "text", 2, 5)
+
+
 _FIX = [("UNITED", "THE UNITED"), ("IRA", "GULF"), ("AN", "LAND")]
 
 
@@ -81,7 +99,7 @@ def t12_apply_corrections(t):
     return lexicon.apply_corrections(t("nation").select("n_nationkey", "n_name"), "n_name", _FIX)
 
 
-@query("SELECT coalesce(p_brand, 'other') AS field, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS terms, count(DISTINCT p_type) AS n_terms FROM part WHERE length(p_type) > 1 GROUP BY ALL")
+@query("SELECT coalesce(p_brand, 'other') AS field, p_type AS term, count(*) AS n FROM part WHERE length(p_type) > 1 GROUP BY ALL")
 def t13_vocab_by_field(t):
     return lexicon.vocab_by_field(t("part"), "p_brand", "p_type")
 
@@ -104,14 +122,14 @@ def c2_classify_multi(t):
     return classify.classify_multi(t("documents"), _RULES, "text", ["doc_id"])
 
 
-_WEIGHTS = [("en", " the ", 2), ("en", " of ", 1), ("de", " der ", 2), ("de", " und ", 1), ("fr", " les ", 2), ("fr", " que ", 1)]
-_SUMS = {c: " + ".join(f"{w} * length(regexp_extract_all(text, '{p}'))" for k, p, w in _WEIGHTS if k == c) for c in ("en", "de", "fr")}
+_WEIGHTS = [("en", " the ", 0.2), ("en", " of ", 0.1), ("de", " der ", 0.2), ("de", " und ", 0.1), ("fr", " les ", 0.2), ("fr", " que ", 0.1)]
+_BOOSTS = (("en", "[Ll]icens", 1.0), ("fr", "[0-9]{5}", 0.5))
+_SUMS = {c: "round(" + " + ".join([f"{w}::DOUBLE * length(regexp_extract_all(text, '{p}'))" for k, p, w in _WEIGHTS if k == c] + [f"CASE WHEN regexp_matches(text, '{p}') THEN {w}::DOUBLE ELSE 0 END" for k, p, w in _BOOSTS if k == c]) + ", 4)" for c in ("en", "de", "fr")}
 
 
-@query("WITH s AS (SELECT doc_id, " + ", ".join(f"{s} AS {c}" for c, s in _SUMS.items()) + "), m AS (SELECT doc_id, greatest(en, de, fr) AS score, en + de + fr AS total, CASE greatest(en, de, fr) WHEN en THEN 'en' WHEN de THEN 'de' ELSE 'fr' END AS best FROM s) SELECT *, CASE WHEN score >= 30 OR 10 * score >= 7 * total AND score > 0 OR score >= 20 THEN best ELSE 'mixed' END AS decision FROM m".replace("), m AS", " FROM documents), m AS"))
+@query("WITH s AS (SELECT doc_id, regexp_matches(text, '[|].*[|]') AS flag, " + ", ".join(f"{s} AS {c}" for c, s in _SUMS.items()) + " FROM documents), m AS (SELECT doc_id, flag, greatest(en, de, fr) AS score, round(en + de + fr, 4) AS total, CASE greatest(en, de, fr) WHEN en THEN 'en' WHEN de THEN 'de' ELSE 'fr' END AS best FROM s) SELECT doc_id, best, score, total, CASE WHEN score >= 3 THEN best WHEN total > 0 AND score / total >= 0.7::DOUBLE THEN best WHEN flag THEN CASE WHEN total > 0 AND score / total >= 0.5::DOUBLE THEN best ELSE 'current' END WHEN score >= 2 THEN best ELSE 'mixed' END AS decision FROM m")
 def c3_score_weighted(t):
-    out = classify.score_weighted(t("documents"), _WEIGHTS, "text", ["doc_id"])
-    return out.withColumns({c: F.col(c).cast("long") for c in ("score", "total")})
+    return classify.score_weighted(t("documents"), _WEIGHTS, "text", ["doc_id"], _BOOSTS, "[|].*[|]")
 
 
 @query("""WITH s AS (SELECT user_id, event_type, count(*) AS v FROM events GROUP BY ALL), r AS (SELECT *, max(v) OVER (PARTITION BY user_id) AS top, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_type) AS r FROM s)
@@ -127,24 +145,52 @@ def c8_impute_dominant(t):
     return classify.impute_dominant(t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), ["l_orderkey"], "l_returnflag", "N", F.col("l_quantity") > 10, 0.7)
 
 
-@query("""WITH s AS (SELECT l_orderkey, count(*) AS n, avg((l_quantity > 30)::INT) AS a, avg((l_discount < 0.03)::INT) AS b FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, n, CASE WHEN a >= 0.6::DOUBLE THEN 'large' WHEN b >= 0.6::DOUBLE THEN 'dear' END AS theme FROM s""")
+@query("""WITH s AS (SELECT l_orderkey, count(*) AS n, avg((l_quantity > 30)::INT) AS a, avg((l_discount < 0.03)::INT) AS b, first('item ' || l_partkey ORDER BY l_linenumber, l_partkey) FILTER (l_partkey % 4 = 0) AS c FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, n, CASE WHEN a >= 0.6::DOUBLE THEN 'large' WHEN b >= 0.6::DOUBLE THEN 'dear' ELSE c END AS theme FROM s""")
 def c12_choice_theme(t):
-    return classify.choice_theme(t("lineitem"), ["l_orderkey"], [("large", F.col("l_quantity") > 30), ("dear", F.col("l_discount") < 0.03)])
+    return classify.choice_theme(t("lineitem"), ["l_orderkey"], [("large", F.col("l_quantity") > 30), ("dear", F.col("l_discount") < 0.03)], concrete=(F.concat(F.lit("item "), "l_partkey"), F.col("l_partkey") % 4 == 0, ["l_linenumber", "l_partkey"]))
 
 
 @query("""WITH c AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderkey % 50 AS s FROM orders)
-SELECT o_custkey, o_orderkey, o_orderpriority, s, round(least(0.98::DOUBLE, 0.5::DOUBLE + s / 100.0::DOUBLE), 4) AS confidence FROM c
+SELECT o_custkey, o_orderkey, o_orderpriority, s, round(least(0.98::DOUBLE, 0.5::DOUBLE + s / 100.0::DOUBLE), 4) AS confidence, CASE WHEN s >= 30 THEN o_orderpriority ELSE 'own' END AS final_field FROM c
 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC, coalesce(list_position(['2-HIGH', '1-URGENT'], o_orderpriority), 3), o_orderkey) = 1""")
 def h2_decide_by_evidence(t):
-    rows = t("orders").selectExpr("o_custkey", "o_orderkey", "o_orderpriority", "o_orderkey % 50 AS s")
-    return classify.decide_by_evidence(rows, ["o_custkey"], "s", "o_orderpriority", ["2-HIGH", "1-URGENT"], "o_orderkey")
+    rows = t("orders").selectExpr("o_custkey", "o_orderkey", "o_orderpriority", "o_orderkey % 50 AS s", "'own' AS own")
+    return classify.decide_by_evidence(rows, ["o_custkey"], "s", "o_orderpriority", ["2-HIGH", "1-URGENT"], "o_orderkey", "own", "o_orderpriority").drop("own")
+
+
+#: Rules that both engines' expressions can say; the Japanese pack is tested by rows.
+YEAR_RULES = (classify.YearRule("four", r"((?:19|20)[0-9]{2})", 9), classify.YearRule("item", "item([0-9]{2})", 8, "era", 1988, "name"), classify.YearRule("two", "[a-z] ([0-9]{2})[a-z. ]", 5, "two"))
+
+
+def _mentions(zone, table, key, column, rule):
+    value = {"western": "v::INT", "era": f"v::INT + {rule.base}", "two": "v::INT + CASE WHEN v::INT < 50 THEN 2000 ELSE 1900 END"}[rule.form]
+    return f"""SELECT {key}, '{zone}' AS zone, '{rule.name}' AS rule, {rule.priority} AS priority, coalesce(sum(length(p) + length(m)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(p) AS pos, {value} AS year
+FROM (SELECT {key}, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p FROM (SELECT {key}, regexp_extract_all({column}, '({rule.pattern})', 1) AS ms, regexp_extract_all({column}, '({rule.pattern})', 2) AS vs, string_split_regex({column}, '{rule.pattern}') AS ps FROM {table}))"""
 
 
-@query(r"WITH y AS (SELECT o_custkey, unnest(regexp_extract_all(o_orderpriority || ' of ' || strftime(o_orderdate, '%Y-%m-%d'), '\b((?:19|20)[0-9]{2})\b', 1))::INT AS year FROM orders) SELECT o_custkey, year, count(*) AS n FROM y WHERE year BETWEEN 1990 AND 2030 GROUP BY ALL")
+YEARS_OF_DOCUMENTS = "SELECT * FROM (" + " UNION ALL ".join(_mentions(*z, r) for z in (("text", "documents", "doc_id", "text"), ("name", "documents", "doc_id", "source || '/item' || lpad((doc_id % 40)::VARCHAR, 2, '0')")) for r in YEAR_RULES if r.zone in (None, z[0])) + ") WHERE year BETWEEN 1990 AND 2030"
+YEARS_OF_PAGES = "SELECT * FROM (" + " UNION ALL ".join(_mentions(*z, r) for z in (("text", "pages", "page_id", "html"), ("name", "pages", "page_id", "url")) for r in YEAR_RULES if r.zone in (None, z[0])) + ") WHERE year BETWEEN 1990 AND 2030"
+
+
+def years_of_documents(t):
+    docs = t("documents").withColumn("name", F.concat("source", F.lit("/item"), F.lpad((F.col("doc_id") % 40).cast("string"), 2, "0")))
+    return classify.year_candidates(docs, "text", ["doc_id"], "name", YEAR_RULES)
+
+
+@query(YEARS_OF_DOCUMENTS)
 def e1_year_candidates(t):
-    body = F.concat_ws(" of ", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return classify.year_candidates(t("orders").withColumn("body", body), "body", ["o_custkey"])
+    return years_of_documents(t)
+
+
+@query(YEARS_OF_PAGES)
+def e1_year_candidates_of_pages(t):
+    return classify.year_candidates(t("pages"), "html", ["page_id"], "url", YEAR_RULES)
+
+
+@query("WITH y AS (" + YEARS_OF_DOCUMENTS + "), x AS (SELECT doc_id, unnest(regexp_extract_all(text, '([0-9]{4})[0-9]', 1))::INT AS year FROM documents) SELECT * FROM y ANTI JOIN x USING (doc_id, year)")
+def e2_exclude_year_contexts(t):
+    return classify.exclude_context(years_of_documents(t), classify.excluded_years(t("documents"), "text", ["doc_id"], ["([0-9]{4})[0-9]"]), ["doc_id"])
 
 
 @query("SELECT DISTINCT o_custkey, year(o_orderdate) AS year FROM orders WHERE (o_custkey, year(o_orderdate)) NOT IN (SELECT o_custkey, year(o_orderdate) FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -158,17 +204,22 @@ def e4_keep_year_range(t):
     return classify.keep_year_range(t("orders").select("o_custkey", F.year("o_orderdate").cast("long").alias("year")), ["o_custkey"], 1995)
 
 
-@query("""SELECT user_id, event_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 5 GROUP BY ALL""")
+@query("""WITH d AS (SELECT user_id, event_type, max(event_id) AS event_id, max(ts) AS ts FROM events GROUP BY user_id, event_type, epoch_us(ts) // 3600000000),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM d) SELECT user_id, event_type, event_id, rank FROM r WHERE rank <= 5 ORDER BY ts DESC, event_id DESC LIMIT 500""")
 def s3_latest_per_group(t):
-    return t("events").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id"))).where("r <= 5").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    events = t("events").select("user_id", "event_type", "event_id", "ts", F.expr("unix_micros(timestamp(ts)) div 3600000000").alias("hour"))
+    return ingest.latest_per_group(events, ["user_id"], ["ts", "event_id"], 5, 500, ["user_id", "event_type", "hour"]).select("user_id", "event_type", "event_id", "rank")
 
 
-@query("""SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type <> 'error') * 100.0::DOUBLE / count(*), 1) AS rate FROM events GROUP BY user_id""")
+@query("""SELECT user_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS success, count(*) FILTER (event_type = 'error') AS failed, round(count(*) FILTER (event_type <> 'error') * 100.0::DOUBLE / count(*), 1) AS rate, round(avg(value), 4) AS mean_duration FROM events GROUP BY user_id""")
 def s2_ingest_summary(t):
-    own = t("events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("success"), F.count_if(F.col("event_type") == "error").alias("failed"))
-    return own.withColumn("rate", F.round(F.try_divide(F.col("success") * F.lit(100.0), F.col("total")), 1))
+    return ingest.ingest_summary(t("events"), ["user_id"], F.col("event_type") != "error", "value")
+
+
+_STOP = ["home", "next", "the"]
 
 
-@query("""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<(?:h[1-3]|li|td|th|a)\\b[^>]*>([^<]{2,30})<', 1)) AS term FROM pages) GROUP BY term""".replace("\\\\", "\\"))
+@query(r"""WITH x AS (SELECT trim(regexp_replace(m, '<[^>]*>', '', 'g')) AS term FROM (SELECT unnest(list_concat(""" + ", ".join(rf"regexp_extract_all(html, '(?s)<{g}\b[^>]*>(.*?)</{g}>', 1)" for g in ("h1", "h2", "h3", "li", "td", "th", "a")) + r""")) AS m FROM pages))
+SELECT term, count(*) AS n FROM x WHERE length(term) BETWEEN 2 AND 30 AND lower(term) NOT IN ('home', 'next', 'the') GROUP BY term""".replace("\\", "\\"))
 def s4_harvest_terms(t):
-    return t("pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"<(?:h[1-3]|li|td|th|a)\b[^>]*>([^<]{2,30})<"), F.lit(1))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return ingest.harvest_terms(t("pages"), "html", stop=_STOP)
