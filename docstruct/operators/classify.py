@@ -104,7 +104,7 @@ REIWA, HEISEI = 2018, 1988
 _KANJI = "[一二三四五六七八九十]"
 #: The rule pack for Japanese examination papers: whole years, eras by name and letter, two digits.
 JAPANESE_YEARS = (
-    YearRule("kanji", r"([〇零一-龠０-９]{4})年度?", 11),
+    YearRule("kanji", r"([〇零一二三四五六七八九０-９]{4})年度?", 11),
     YearRule("four_digits", r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])", 9),
     YearRule("reiwa", r"令和([0-9０-９]{1,2}|" + _KANJI + "{1,3})", 8, "era", REIWA),
     YearRule("heisei", r"平成([0-9０-９]{1,2}|" + _KANJI + "{1,3})", 7, "era", HEISEI),

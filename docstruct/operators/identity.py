@@ -67,6 +67,13 @@ def detect_entity(docs: DataFrame, aliases: DataFrame, text: str, path: str, key
     return best.select(*keys, "entity", "score", F.round(F.least(F.col("score") / 10, F.lit(1.0)), 4).alias("confidence"))
 
 
+def subject_and_kind(docs: DataFrame, subjects: list[tuple[str, str]], kinds: list[tuple[str, str]], text: str, keys: list[str], lines: int = 10) -> DataFrame:
+    """(keys, subject, kind): the first rule (name, pattern) of each list that one of a text's first lines matches, null if none."""
+    head = F.array_join(F.slice(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), 1, lines), "\n")
+    first = lambda rules: F.coalesce(*(F.when(F.col("_head").rlike(p), F.lit(name)) for name, p in rules), F.lit(None).cast("string"))
+    return docs.select(*keys, head.alias("_head")).select(*keys, first(subjects).alias("subject"), first(kinds).alias("kind"))
+
+
 def limit_histogram(questions: DataFrame, rules: list[tuple[str, str]], text: str, by: list[str], line_chars: int = 40) -> DataFrame:
     """(by, label, least, most, n, pct) of the length limits that the first matching rule (kind, pattern with one number) finds.
 

@@ -25,13 +25,16 @@ def clean_corpus(docs: DataFrame, rules: list[tuple[str, str, str]], text: str,
 
     All rules are one chain of expressions; null texts stay null with zero counts.
     """
-    size = lambda c: F.coalesce(F.length(F.regexp_replace(c, r"\s+", "")), F.lit(0))
+    size = lambda c: F.coalesce(F.length(c) - F.regexp_count(c, F.lit(r"\s")), F.lit(0))
     out = docs.withColumn("_t0", nfkc(text) if normalize else F.col(text))
     for i, (_, pattern, replacement) in enumerate(rules):
         out = out.withColumn(f"_t{i + 1}", F.regexp_replace(f"_t{i}", pattern, replacement))
-    sizes = {f"removed_{name}": size(F.col(f"_t{i}")) - size(F.col(f"_t{i + 1}")) for i, (name, _, _) in enumerate(rules)}
-    out = out.withColumns({"chars_before": size(F.col("_t0")), "chars_after": size(F.col(f"_t{len(rules)}")), **sizes, text: F.col(f"_t{len(rules)}")})
-    return out.drop(*(f"_t{i}" for i in range(len(rules) + 1)))
+    out = out.withColumn("_s0", size(F.col("_t0")))
+    for i in range(len(rules)):  # a text that a rule leaves alone is not measured anew
+        out = out.withColumn(f"_s{i + 1}", F.when(F.col(f"_t{i}") == F.col(f"_t{i + 1}"), F.col(f"_s{i}")).otherwise(size(F.col(f"_t{i + 1}"))))
+    sizes = {f"removed_{name}": F.col(f"_s{i}") - F.col(f"_s{i + 1}") for i, (name, _, _) in enumerate(rules)}
+    out = out.withColumns({"chars_before": F.col("_s0"), "chars_after": F.col(f"_s{len(rules)}"), **sizes, text: F.col(f"_t{len(rules)}")})
+    return out.drop(*(f"_{c}{i}" for i in range(len(rules) + 1) for c in "ts"))
 
 
 def cleaning_report(cleaned: DataFrame, by: list[str], rules: list[str]) -> DataFrame:
@@ -42,12 +45,27 @@ def cleaning_report(cleaned: DataFrame, by: list[str], rules: list[str]) -> Data
     return out.withColumn("pct", F.round(F.try_divide(F.col("removed") * 100.0, F.col("chars")), 1))
 
 
-def cut_boilerplate_tail(docs: DataFrame, markers: list[str], text: str, from_fraction: float = 0.5) -> DataFrame:
-    """Cut each text at the earliest marker that lies in its part from from_fraction on; adds cut_at (null: nothing cut)."""
+def cut_boilerplate_tail(docs: DataFrame, markers: list[str], text: str, from_fraction: float = 0.5, strong: tuple[str, ...] = ()) -> DataFrame:
+    """Cut each text at the earliest marker that lies in its part from from_fraction on, or else at the last occurrence of a strong marker anywhere; adds cut_at (null: nothing cut) and cut_by (the marker)."""
     begin = F.floor(F.length(text) * from_fraction).cast("int") + 1
-    at = [F.call_function("locate", F.lit(m), F.col(text), begin) for m in markers]
-    earliest = F.array_min(F.filter(F.array(*at), lambda x: x > 0))
-    return docs.withColumn("cut_at", earliest - 1).withColumn(text, F.when(F.col("cut_at").isNotNull(), F.substring(F.col(text), F.lit(1), F.col("cut_at"))).otherwise(F.col(text)))
+    body = F.col(text)
+    at = [F.struct(F.call_function("locate", F.lit(m), body, begin).alias("at"), F.lit(m).alias("by")) for m in markers]
+    first = F.array_min(F.filter(F.array(*at), lambda x: x["at"] > 0)) if markers else F.lit(None).cast("struct<at:int,by:string>")
+    # the last occurrence lies where the reversed marker is first met in the reversed text
+    back = [F.struct((F.length(body) - F.call_function("locate", F.lit(m[::-1]), F.reverse(body)) - len(m) + 2).alias("at"), F.lit(m).alias("by"), F.call_function("locate", F.lit(m[::-1]), F.reverse(body)).alias("met")) for m in strong]
+    last = F.array_max(F.filter(F.array(*back), lambda x: x["met"] > 0)) if strong else F.lit(None).cast("struct<at:int,by:string,met:int>")
+    out = docs.withColumn("_first", first).withColumn("_last", last)
+    out = out.withColumns({"cut_at": F.coalesce("_first.at", "_last.at") - 1, "cut_by": F.coalesce("_first.by", "_last.by")}).drop("_first", "_last")
+    return out.withColumn(text, F.when(F.col("cut_at").isNotNull(), F.substring(F.col(text), F.lit(1), F.col("cut_at"))).otherwise(F.col(text)))
+
+
+def cut_report(before: DataFrame, cut: DataFrame, keys: list[str], text: str, by: list[str]) -> DataFrame:
+    """(by, n_docs, n_cut, chars_cut, pct): what cut_boilerplate_tail() took from each group."""
+    sizes = before.select(*keys, F.coalesce(F.length(text), F.lit(0)).alias("_was"))
+    both = cut.select(*keys, *by, "cut_at").join(sizes, keys)
+    gone = F.when(F.col("cut_at").isNotNull(), F.col("_was") - F.col("cut_at")).otherwise(0)
+    own = both.groupBy(*by).agg(F.count("*").alias("n_docs"), F.count("cut_at").alias("n_cut"), F.sum(gone).cast("long").alias("chars_cut"), F.sum("_was").alias("_all"))
+    return own.withColumn("pct", F.round(F.try_divide(F.col("chars_cut") * F.lit(100.0), F.col("_all")), 1)).drop("_all")
 
 
 def line_verdicts(docs: DataFrame, drop_rules: list[tuple[str, str]], text: str, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstruct.functions.fold import choose_markers, keep_by_distance
+from docstruct.functions.positions import locate_matches, of_rule
 
 
 def lines_with_offsets(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -16,26 +17,39 @@ def lines_with_offsets(docs: DataFrame, text: str, keys: list[str]) -> DataFrame
     return parts.withColumn("pos", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
 
 
-def find_markers(docs: DataFrame, rules: list[tuple[str, str, int]], text: str, keys: list[str]) -> DataFrame:
-    """G1: (keys, pos, end, line_no, rule, priority, marker) of the line-start matches of rules (name, pattern, priority)."""
-    hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(f"^(?:{p})"), F.struct(F.lit(name).alias("rule"), F.lit(priority).alias("priority"), F.regexp_extract("line", f"^(?:{p})", 0).alias("marker"))) for name, p, priority in rules)))
+def find_markers(docs: DataFrame, rules: list[tuple[str, str, int]], text: str, keys: list[str], group: int = 0, anywhere: bool = False) -> DataFrame:
+    """G1: (keys, pos, end, line_no, rule, priority, marker) of the matches of rules (name, pattern, priority) at line starts, or anywhere; marker is the pattern's `group` (0: all)."""
+    if anywhere:
+        hits = locate_matches(docs, [(name, p) for name, p, _ in rules], F.col(text), keys, group)
+        body = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        placed = hits.join(body, keys).withColumn("line_no", F.length(F.regexp_replace(F.substring(F.col("_text"), F.lit(1), F.col("pos").cast("int")), "[^\n]", "")))
+        return placed.select(*keys, "line_no", "pos", "end", of_rule(F.col("rule_no"), [r[0] for r in rules]).alias("rule"), of_rule(F.col("rule_no"), [r[2] for r in rules]).alias("priority"), F.col("found").alias("marker"))
+    hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(f"^(?:{p})"), F.struct(F.lit(name).alias("rule"), F.lit(priority).alias("priority"), F.length(F.regexp_extract("line", f"^(?:{p})", 0)).alias("size"), F.regexp_extract("line", f"^(?:{p})", group).alias("marker"))) for name, p, priority in rules)))
     found = lines_with_offsets(docs, text, keys).select(*keys, "line_no", "pos", F.explode(hits).alias("_h"))
-    return found.select(*keys, "line_no", "pos", (F.col("pos") + F.length("_h.marker")).alias("end"), "_h.rule", "_h.priority", "_h.marker")
+    return found.select(*keys, "line_no", "pos", (F.col("pos") + F.col("_h.size")).alias("end"), "_h.rule", "_h.priority", "_h.marker")
 
 
-def select_markers(markers: DataFrame, keys: list[str], min_gap: int) -> DataFrame:
-    """The true markers (pos, number, priority) of each document, chosen in order of position."""
-    listed = markers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "number", "priority"))).alias("_m"))
-    return listed.select(*keys, F.explode(choose_markers(F.col("_m"), min_gap)).alias("_k")).select(*keys, "_k.*")
+def select_markers(markers: DataFrame, keys: list[str], min_gap: int, excluded: Column | None = None) -> DataFrame:
+    """The true markers (pos, number, priority) of each document: the "1" of best priority (the earliest on a tie), then in order of position.
+
+    excluded: a test for markers in the context of small questions, which are no candidates. A document's markers are few, so they are folded as one array.
+    """
+    some = markers if excluded is None else markers.where(~F.coalesce(excluded, F.lit(False)))
+    listed = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "number", "priority"))).alias("_m"))
+    first = F.array_max(F.transform(F.filter("_m", lambda m: m["number"] == 1), lambda m: F.struct(m["priority"].alias("priority"), (-m["pos"]).alias("back"))))
+    begun = listed.withColumn("_from", -first["back"]).where("_from IS NOT NULL")
+    own = F.filter("_m", lambda m: (m["pos"] > F.col("_from")) | ((m["pos"] == F.col("_from")) & (m["number"] == 1)))
+    return begun.select(*keys, F.explode(choose_markers(own, min_gap)).alias("_k")).select(*keys, "_k.*")
 
 
-def cut_segments(docs: DataFrame, markers: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, segment_no, start, stop, segment): from each marker to the next or the end; a document without markers is one segment from 0."""
+def cut_segments(docs: DataFrame, markers: DataFrame, text: str, keys: list[str], least: int = 0) -> DataFrame:
+    """(keys, segment_no, start, stop, segment): from each marker to the next or the end; a document without markers is one segment from 0. Segments under `least` characters go, the others keep their numbers."""
     w = Window.partitionBy(*keys).orderBy("pos")
     spans = markers.select(*keys, "pos").distinct().withColumns({"stop": F.lead("pos").over(w), "segment_no": F.row_number().over(w)})
     joined = docs.select(*keys, F.col(text).alias("_text")).join(spans, keys, "left")
     start, stop = F.coalesce("pos", F.lit(0)), F.coalesce("stop", F.length("_text"))
-    return joined.select(*keys, F.coalesce("segment_no", F.lit(1)).alias("segment_no"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.substring(F.col("_text"), (start + 1).cast("int"), (stop - start).cast("int")).alias("segment"))
+    cut = joined.select(*keys, F.coalesce("segment_no", F.lit(1)).alias("segment_no"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.substring(F.col("_text"), (start + 1).cast("int"), (stop - start).cast("int")).alias("segment"))
+    return cut.where(F.col("stop") - F.col("start") >= least) if least else cut
 
 
 def equal_split(docs: DataFrame, n: int, text: str, keys: list[str]) -> DataFrame:
@@ -76,14 +90,27 @@ def extract_items(segments: DataFrame, patterns: list[str], text: str, keys: lis
     return segments.select(*keys, first.alias("_f")).select(*keys, "_f.pattern_no", F.posexplode("_f.items").alias("item_no", "item"))
 
 
+def choice_rows(rows: DataFrame, pattern: str, text: str, keys: list[str]) -> DataFrame:
+    """(keys, choice_no, marker, choice): the options of each row by a pattern whose first group is the option's mark and whose second is its text, in order."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0)), lambda m: F.struct(F.regexp_extract(m, pattern, 1).alias("marker"), F.trim(F.regexp_extract(m, pattern, 2)).alias("choice")))
+    return rows.select(*keys, F.posexplode(found).alias("choice_no", "_c")).select(*keys, "choice_no", "_c.*")
+
+
 def extract_choices(rows: DataFrame, pattern: str, text: str, keys: list[str]) -> DataFrame:
     """(keys, n_choices, n_distinct) of the pattern's first group."""
     return rows.select(*keys, F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1))).alias("choice")).groupBy(*keys).agg(F.count("*").alias("n_choices"), F.count_distinct("choice").alias("n_distinct"))
 
 
 def thin_by_distance(hits: DataFrame, keys: list[str], pos: str, distance: int) -> DataFrame:
-    """Hits at least `distance` behind the last kept one. A key's distinct positions are folded as one array."""
-    listed = hits.groupBy(*keys).agg(F.array_sort(F.collect_set(pos)).alias("_p"))
+    """Hits at least `distance` behind the last kept one.
+
+    A hit that lies `distance` behind its neighbour before is always kept, whatever was kept among those, so that it
+    begins an island of its own. Islands are folded apart: no key's hits meet in one array unless they are that dense.
+    """
+    w = Window.partitionBy(*keys).orderBy(pos)
+    apart = hits.select(*keys, pos).where(F.col(pos).isNotNull()).distinct().withColumn("_new", F.coalesce((F.col(pos) - F.lag(pos).over(w) >= distance).cast("int"), F.lit(1)))
+    islands = apart.withColumn("_island", F.sum("_new").over(w))
+    listed = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(pos)).alias("_p"))
     return listed.select(*keys, F.explode(keep_by_distance(F.col("_p"), distance)).alias(pos))
 
 
@@ -103,8 +130,8 @@ def split_by_citation(docs: DataFrame, citations: DataFrame, text: str, keys: li
     return rows.select(*keys, (F.col("_i") + 1).alias("segment_no"), F.when(F.col("_i") < F.col("_n"), "cited").otherwise("plain").alias("kind"), F.coalesce(F.lag("stop").over(w), F.lit(0)).alias("start"), "stop")
 
 
-def reading_order(blocks: DataFrame, doc: str) -> DataFrame:
-    """Add column (0 left or whole, 1 right) and order_no by page, column and height.
+def reading_order(blocks: DataFrame, doc: str, tie: list[str] | None = None) -> DataFrame:
+    """Add column (0 left or whole, 1 right) and order_no by page, column, height, and the columns `tie`.
 
     A page is in two columns if more than 3 blocks lie on each side of its middle and their heights overlap.
     """
@@ -114,7 +141,7 @@ def reading_order(blocks: DataFrame, doc: str) -> DataFrame:
     span |= {f"_n{s}": F.count_if(F.col("_side") == s).over(page) for s in (0, 1)}
     two = (F.col("_n0") > 3) & (F.col("_n1") > 3) & (F.col("_min0") < F.col("_max1")) & (F.col("_min1") < F.col("_max0"))
     placed = sided.withColumns(span).withColumn("column", F.when(two & (F.col("_side") == 1), 1).otherwise(0))
-    order = F.row_number().over(Window.partitionBy(doc).orderBy("page", "column", "y0", "x0"))
+    order = F.row_number().over(Window.partitionBy(doc).orderBy("page", "column", "y0", "x0", *(tie or [])))
     return placed.withColumn("order_no", order).select(*blocks.columns, "column", "order_no")
 
 

@@ -80,6 +80,31 @@ def cascade(rows: DataFrame, stages: list[tuple[str, float, Column]], keys: list
     return found.select(*keys, F.concat("_k.keyword", "_suffix").alias("theme"), "_k.confidence", "_k.stage")
 
 
+def cascade_tables(rows: DataFrame, stages: list[tuple[str, float, DataFrame]], keys: list[str], text: str, suffixes: list[tuple[str, str]], classes: list[tuple[str, str]] = (), excluded: str | None = None, exclude_before: str | None = None) -> DataFrame:
+    """H1 over tables: (keys, theme, confidence, stage) of the first stage (name, confidence, table of keys and theme) that has a row for a document.
+
+    Stages may come from any operator: lexicon hits (T1), periods (C10), options (C12), clusters (T9). Their rows are
+    brought together and the least stage wins, so that each table is read once. The theme takes the suffix of the first
+    context pattern in the text, else that of the first keyword class (pattern of the theme, suffix). A text that matches
+    `excluded` leaves before the stage `exclude_before`; documents of no stage have stage 'none'.
+    """
+    names = [n for n, _, _ in stages]
+    found = None
+    for i, (_, _, table) in enumerate(stages):
+        own = table.select(*keys, F.lit(i).alias("_i"), F.col("theme").alias("_t")).where("_t IS NOT NULL")
+        found = own if found is None else found.union(own)
+    best = found.groupBy(*keys).agg(F.min(F.struct("_i", "_t")).alias("_b"))
+    cut = names.index(exclude_before) if exclude_before in names else len(names)
+    body = F.coalesce(F.col(text), F.lit(""))
+    context = F.coalesce(*(F.when(body.rlike(p), F.lit(s)) for p, s in suffixes), F.lit(None).cast("string"))
+    both = rows.select(*keys, context.alias("_suffix"), (body.rlike(excluded) if excluded else F.lit(False)).alias("_out")).join(best, keys, "left")
+    gone = F.col("_out") & (F.coalesce("_b._i", F.lit(len(names))) >= cut)
+    own = F.coalesce(*(F.when(F.col("_b._t").rlike(p), F.lit(s)) for p, s in classes), F.lit(""))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_b._i") + 1)
+    stage = F.when(gone, "excluded").when(F.col("_b").isNull(), "none").otherwise(pick(names))
+    return both.select(*keys, F.when(~gone, F.concat(F.col("_b._t"), F.coalesce("_suffix", own))).alias("theme"), F.when(gone | F.col("_b").isNull(), 0.0).otherwise(pick([c for _, c, _ in stages])).alias("confidence"), stage.alias("stage"))
+
+
 def stage_usage(decided: DataFrame, by: list[str]) -> DataFrame:
     """H1: rows and mean confidence of each stage by group."""
     return decided.groupBy(*by, "stage").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))

@@ -4,29 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docstruct.operators import identity
+from docstruct.operators import classify, identity
+from docstruct.plans.lexicon_queries import YEARS_OF_DOCUMENTS, years_of_documents
 from docstruct.plans.registry import query
 
-_BONUS = {"1-URGENT": 5, "2-HIGH": 3, "3-MEDIUM": -2}
-_PRIORITY = {"1-URGENT": 11, "2-HIGH": 9, "3-MEDIUM": 7}
+_BONUS = {"four": 5, "item": 3, "two": -2}
+_PRIORITY = {"four": 9, "item": 8, "two": 5}
+_EXCLUDED = ["([0-9]{4})[0-9]"]
 
 
 def _case(values):
-    return "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+    return "CASE rule " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
 
 
 def _candidates(t):
-    return t("orders").selectExpr("o_custkey", "year(o_orderdate) AS year", "40 + o_orderkey % 500 AS pos", "o_orderpriority AS rule", "o_orderstatus = 'P' AS excluded")
+    """E1's mentions with E2's contexts as a flag."""
+    found = classify.excluded_years(t("documents"), "text", ["doc_id"], _EXCLUDED).withColumn("_x", F.lit(True))
+    return years_of_documents(t).join(found, ["doc_id", "year"], "left").withColumn("excluded", F.coalesce("_x", F.lit(False))).drop("_x")
 
 
-@query(f"""WITH c AS (SELECT o_custkey, year(o_orderdate) AS year, 40 + o_orderkey % 500 AS pos, coalesce({_case(_BONUS)}, 0) AS b, {_case(_PRIORITY)} AS p, o_orderstatus = 'P' AS x FROM orders),
-g AS (SELECT o_custkey, year, (sum(CASE WHEN c.pos < 50 THEN 10 WHEN c.pos < 200 THEN 5 ELSE 0 END + b) + CASE WHEN year >= 2000 THEN 5 WHEN year < 1997 THEN -5 ELSE 0 END - CASE WHEN bool_or(x) THEN 8 ELSE 0 END)::BIGINT AS score, max(c.p) AS p, min(c.pos) AS pos FROM c GROUP BY o_custkey, year),
-top AS (SELECT o_custkey, max(score) AS m, max(p) AS mp FROM g GROUP BY ALL)
-SELECT o_custkey, year, score, CASE WHEN m > 0 THEN 'score' WHEN mp IS NOT NULL THEN 'priority' ELSE 'latest' END AS step FROM g JOIN top USING (o_custkey)
+@query(f"""WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_EXCLUDED[0]}', 1))::INT AS year, true AS x FROM documents),
+c AS (SELECT y.doc_id, y.year, pos, coalesce({_case(_BONUS)}, 0) AS b, {_case(_PRIORITY)} AS p, coalesce(x, false) AS x FROM ({YEARS_OF_DOCUMENTS}) y LEFT JOIN x ON x.doc_id = y.doc_id AND x.year = y.year),
+g AS (SELECT doc_id, year, (sum(CASE WHEN c.pos < 50 THEN 10 WHEN c.pos < 200 THEN 5 ELSE 0 END + b) + CASE WHEN year >= 2020 THEN 5 WHEN year < 2005 THEN -5 ELSE 0 END - CASE WHEN bool_or(x) THEN 8 ELSE 0 END)::BIGINT AS score, max(c.p) AS p, min(c.pos) AS pos FROM c GROUP BY doc_id, year),
+top AS (SELECT doc_id, max(score) AS m, max(p) AS mp FROM g GROUP BY ALL)
+SELECT doc_id, year, score, CASE WHEN m > 0 THEN 'score' WHEN mp IS NOT NULL THEN 'priority' ELSE 'latest' END AS step FROM g JOIN top USING (doc_id)
 WHERE CASE WHEN m > 0 THEN score = m WHEN mp IS NOT NULL THEN p = mp ELSE true END
-QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN m > 0 OR mp IS NOT NULL THEN pos ELSE 0 END, year DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN m > 0 OR mp IS NOT NULL THEN pos ELSE 0 END, year DESC) = 1""")
 def e3_select_year(t):
-    return identity.select_year(_candidates(t), ["o_custkey"], _BONUS, _PRIORITY, 2000, 1997)
+    return identity.select_year(_candidates(t), ["doc_id"], _BONUS, _PRIORITY, 2020, 2005)
 
 
 @query("""WITH n AS (SELECT page_id, url, page_id % 60 AS a, page_id % 60 + page_id % 7 - 1 AS b FROM pages), y AS (SELECT page_id, a, b, CASE WHEN a < 50 THEN 2000 + a ELSE 1900 + a END AS lo, CASE WHEN b < 50 THEN 2000 + b ELSE 1900 + b END AS hi FROM n)
@@ -38,11 +43,20 @@ def e5_expand_year_range(t):
     return identity.expand_year_range(t("pages").select("page_id", name.alias("name")), "name").drop("name")
 
 
-@query("""WITH g AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS r, count(DISTINCT year(o_orderdate)) AS y, max(year(o_orderdate)) - min(year(o_orderdate)) AS d, bool_or(o_orderpriority = '1-URGENT') AS name, bool_or(o_orderpriority IN ('2-HIGH')) AS s, bool_or(o_orderpriority = '5-LOW') AS w FROM orders GROUP BY ALL),
+@query(f"""WITH c AS ({YEARS_OF_DOCUMENTS}), g AS (SELECT doc_id, count(DISTINCT rule) AS r, count(DISTINCT year) AS y, max(year) - min(year) AS d, bool_or(rule = 'item') AS name, bool_or(rule = 'four') AS s, bool_or(rule = 'two') AS w FROM c GROUP BY ALL),
 p AS (SELECT *, name::INT * 5 + (r > 1)::INT * 2 + (y > 1 AND d = y - 1)::INT * 2 AS b FROM g)
-SELECT o_custkey, (least(CASE WHEN s THEN b + 3 WHEN w AND r = 1 THEN greatest(b, 3) ELSE b + 1 END, 10) / 10.0)::DOUBLE AS confidence FROM p""")
+SELECT doc_id, (least(CASE WHEN s THEN b + 3 WHEN w AND r = 1 THEN greatest(b, 3) ELSE b + 1 END, 10) / 10.0)::DOUBLE AS confidence FROM p""")
 def e7_year_confidence(t):
-    return identity.year_confidence(_candidates(t), ["o_custkey"], "1-URGENT", ["2-HIGH"], "5-LOW")
+    return identity.year_confidence(years_of_documents(t), ["doc_id"], "item", ["four"], "two")
+
+
+_SUBJECTS = [("law", "[Ll]icens|rights"), ("figures", "[0-9]{4}"), ("prose", "[a-z]{4}")]
+_KINDS = [("table", "[|]"), ("list", "\n[-*] "), ("text", "[.]")]
+
+
+@query("WITH h AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:10], chr(10)) AS h FROM documents) SELECT doc_id, " + ", ".join("CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN '{n}'" for n, p in rules) + f" END AS {name}" for name, rules in (("subject", _SUBJECTS), ("kind", _KINDS))) + " FROM h")
+def e8_subject_and_kind(t):
+    return identity.subject_and_kind(t("documents"), _SUBJECTS, _KINDS, "text", ["doc_id"])
 
 
 ALIASES = [("der", "german", 10, 1), ("und", "german", 8, 2), ("the", "english", 10, 3), ("of", "english", 5, 4), ("les", "french", 10, 5), ("los", "spanish", 10, 6), ("src1", "first", 5, 7), ("fr", "french", 5, 8)]

@@ -17,10 +17,28 @@ def g1_find_markers(t):
     return segment.find_markers(t("documents"), RULES, "text", ["doc_id"]).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "pos", "end", "rule", "priority", "marker")
 
 
-@query()
+_ANYWHERE = [("dotted", "([A-Z])[a-z]{3,5}[.]", 3), ("figure", "([0-9])[0-9]{3,}", 6)]
+_PLACED = "a AS (" + " UNION ALL ".join(f"""SELECT doc_id, '{n}' AS rule, {p} AS priority, v AS marker, coalesce(sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + length(g) AS pos, length(m) AS size
+FROM (SELECT doc_id, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g FROM (SELECT doc_id, regexp_extract_all(text, '({r})', 1) AS ms, regexp_extract_all(text, '({r})', 2) AS vs, string_split_regex(text, '{r}') AS gs FROM documents))""" for n, r, p in _ANYWHERE) + ")"
+
+
+@query("WITH " + _PLACED + """ SELECT doc_id, length(regexp_replace(substr(text, 1, pos), '[^\n]', '', 'g')) AS line_no, pos, pos + size AS "end", rule, priority, marker FROM a JOIN documents USING (doc_id)""")
+def g1_find_markers_anywhere(t):
+    return segment.find_markers(t("documents"), _ANYWHERE, "text", ["doc_id"], 1, True).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query("WITH RECURSIVE " + _PLACED + """, m AS (SELECT DISTINCT doc_id, pos, 1 + (ascii(marker) % 7)::BIGINT AS number, priority FROM a WHERE ascii(marker) % 5 > 0),
+f AS (SELECT doc_id, arg_max(pos, struct_pack(p := priority, q := -pos)) AS pos FROM m WHERE number = 1 GROUP BY doc_id),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY doc_id ORDER BY m.pos, m.number, m.priority) AS i FROM m JOIN f USING (doc_id) WHERE m.pos > f.pos OR m.pos = f.pos AND m.number = 1),
+r AS (SELECT doc_id, i, [struct_pack(pos := pos, number := number, priority := priority)] AS k FROM o WHERE i = 1
+UNION ALL SELECT o.doc_id, o.i, CASE WHEN o.pos - k[len(k)].pos < 30 AND o.priority > k[len(k)].priority THEN list_append(k[1:len(k) - 1], struct_pack(pos := o.pos, number := o.number, priority := o.priority))
+WHEN o.pos - k[len(k)].pos >= 30 AND (o.number > k[len(k)].number OR o.priority >= 6) THEN list_append(k, struct_pack(pos := o.pos, number := o.number, priority := o.priority)) ELSE k END FROM r JOIN o ON o.doc_id = r.doc_id AND o.i = r.i + 1),
+z AS (SELECT doc_id, unnest(k) AS x FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1)
+SELECT doc_id, x.pos AS pos, x.number AS number, x.priority AS priority FROM z""")
 def g2_select_markers(t):
-    found = segment.find_markers(t("documents"), RULES, "text", ["doc_id"])
-    return segment.select_markers(found.selectExpr("doc_id", "pos", "1 + pmod(length(marker), 7) AS number", "priority"), ["doc_id"], 30)
+    found = segment.find_markers(t("documents"), _ANYWHERE, "text", ["doc_id"], 1, True)
+    numbered = found.selectExpr("doc_id", "pos", "bigint(1 + ascii(marker) % 7) AS number", "priority", "ascii(marker) % 5 = 0 AS small").distinct()
+    return segment.select_markers(numbered, ["doc_id"], 30, F.col("small"))
 
 
 @query(_MARKERS + """, s AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM (SELECT DISTINCT doc_id, pos FROM m))
@@ -68,7 +86,13 @@ def g9_extract_choices(t):
     return segment.extract_choices(t("pages"), "<li>(?:<a[^>]*>)?([^<]*)", "html", ["page_id"])
 
 
-@query()
+@query("""SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS choice_no, regexp_extract(m, '<(li|td)>([^<]*)', 1) AS marker, trim(regexp_extract(m, '<(li|td)>([^<]*)', 2)) AS choice FROM (SELECT page_id, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (SELECT page_id, regexp_extract_all(html, '<(li|td)>([^<]*)', 0) AS ms FROM pages))""")
+def g9_choice_rows(t):
+    return segment.choice_rows(t("pages"), "<(li|td)>([^<]*)", "html", ["page_id"]).withColumn("choice_no", F.col("choice_no").cast("long"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT DISTINCT user_id, epoch_us(ts) AS pos FROM events), k AS (SELECT user_id, min(pos) AS pos FROM p GROUP BY user_id
+UNION ALL SELECT k.user_id, (SELECT min(p.pos) FROM p WHERE p.user_id = k.user_id AND p.pos >= k.pos + 600000000) FROM k WHERE k.pos IS NOT NULL) SELECT user_id, pos FROM k WHERE pos IS NOT NULL""")
 def g10_thin_by_distance(t):
     return segment.thin_by_distance(t("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos")), ["user_id"], "pos", 600_000_000)
 
@@ -87,14 +111,21 @@ def _blocks(t):
     return t("lineitem").selectExpr("l_orderkey", "l_partkey % 2 AS page", "(l_suppkey % 2) * 300.0D AS x0", "(l_suppkey % 2) * 300.0D + 250 AS x1", "l_linenumber * 10.0D + l_partkey % 7 AS y0", "l_linenumber * 10.0D + 9 + l_partkey % 7 AS y1", "l_partkey", "CASE l_returnflag WHEN 'A' THEN 'title' WHEN 'R' THEN 'question' ELSE 'source' END AS block_type", "'P' || l_partkey AS text")
 
 
-@query()
+_COLUMNS = "WITH b AS (" + _BLOCKS + """), m AS (SELECT *, max(x1) OVER (PARTITION BY l_orderkey, page) / 2 AS mid FROM b), s AS (SELECT *, CASE WHEN x1 <= mid * 1.1::DOUBLE THEN 0 WHEN x0 >= mid * 0.9::DOUBLE THEN 1 END AS side FROM m),
+w AS (SELECT *, count(*) FILTER (side = 0) OVER q AS n0, count(*) FILTER (side = 1) OVER q AS n1, min(y0) FILTER (side = 0) OVER q AS a0, max(y1) FILTER (side = 0) OVER q AS b0, min(y0) FILTER (side = 1) OVER q AS a1, max(y1) FILTER (side = 1) OVER q AS b1 FROM s WINDOW q AS (PARTITION BY l_orderkey, page)),
+c AS (SELECT *, CASE WHEN n0 > 3 AND n1 > 3 AND a0 < b1 AND a1 < b0 AND side = 1 THEN 1 ELSE 0 END AS "column" FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY page, "column", y0, x0, l_partkey, block_type) AS order_no FROM c) """
+
+
+@query(_COLUMNS + """SELECT l_orderkey, page, x0, x1, y0, y1, l_partkey, block_type, text, "column", order_no FROM r""")
 def g12_reading_order(t):
-    return segment.reading_order(_blocks(t), "l_orderkey")
+    return segment.reading_order(_blocks(t), "l_orderkey", ["l_partkey", "block_type"])
 
 
-@query()
+@query(_COLUMNS + """, t AS (SELECT *, sum((block_type = 'title')::INT) OVER (PARTITION BY l_orderkey ORDER BY order_no)::BIGINT AS section_no FROM r)
+SELECT l_orderkey, section_no, max(text) FILTER (block_type = 'title') AS title, count(*) FILTER (block_type = 'question') AS n_questions, max(text) FILTER (block_type = 'source') AS source, coalesce(string_agg(text, chr(10) ORDER BY order_no) FILTER (block_type NOT IN ('title', 'source')), '') AS body FROM t GROUP BY ALL""")
 def g13_assemble_blocks(t):
-    return segment.assemble_blocks(segment.reading_order(_blocks(t), "l_orderkey"), "l_orderkey")
+    return segment.assemble_blocks(segment.reading_order(_blocks(t), "l_orderkey", ["l_partkey", "block_type"]), "l_orderkey")
 
 
 @query("""SELECT conv_id, turn, role, n AS n_candidates FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY length(text) DESC, turn) AS r, count(*) OVER (PARTITION BY conv_id, role) AS n
@@ -121,11 +152,24 @@ def p2_cleaning_report(t):
 
 
 TAILS = ["All rights reserved", "Licensed under", "the of"]
+STRONG = ("password", "and the")
+
+
+_CUT = "WITH p AS (SELECT doc_id, lang, text, floor(length(text) * 0.5::DOUBLE)::BIGINT AS b FROM documents), q AS (SELECT *, list_min(list_filter([" + ", ".join(f"struct_pack(at := CASE WHEN instr(substr(text, b + 1), '{m}') > 0 THEN b + instr(substr(text, b + 1), '{m}') ELSE 0 END, by := '{m}')" for m in TAILS) + "], lambda x: x.at > 0)) AS f, list_max(list_filter([" + ", ".join(f"struct_pack(at := CASE WHEN contains(text, '{m}') THEN length(text) - instr(reverse(text), reverse('{m}')) - length('{m}') + 2 ELSE 0 END, by := '{m}')" for m in STRONG) + "], lambda x: x.at > 0)) AS l FROM p), c AS (SELECT doc_id, lang, text AS was, (coalesce(f.at, l.at) - 1)::BIGINT AS cut_at, coalesce(f.by, l.by) AS cut_by FROM q) "
 
 
-@query("WITH p AS (SELECT doc_id, text, floor(length(text) * 0.5::DOUBLE)::BIGINT AS b FROM documents), q AS (SELECT *, list_min(list_filter([" + ", ".join(f"CASE WHEN instr(substr(text, b + 1), '{m}') > 0 THEN b + instr(substr(text, b + 1), '{m}') ELSE 0 END" for m in TAILS) + "], lambda x: x > 0)) - 1 AS cut_at FROM p) SELECT doc_id, cut_at::BIGINT AS cut_at, CASE WHEN cut_at IS NULL THEN text ELSE substr(text, 1, cut_at) END AS text FROM q")
+def _cut(t):
+    return prepare.cut_boilerplate_tail(t("documents").select("doc_id", "lang", "text"), TAILS, "text", strong=STRONG)
+
+
+@query(_CUT + "SELECT doc_id, cut_at, cut_by, CASE WHEN cut_at IS NULL THEN was ELSE substr(was, 1, cut_at) END AS text FROM c")
 def p3_cut_boilerplate_tail(t):
-    return prepare.cut_boilerplate_tail(t("documents").select("doc_id", "text"), TAILS, "text").select("doc_id", F.col("cut_at").cast("long").alias("cut_at"), "text")
+    return _cut(t).select("doc_id", F.col("cut_at").cast("long").alias("cut_at"), "cut_by", "text")
+
+
+@query(_CUT + "SELECT lang, count(*) AS n_docs, count(cut_at) AS n_cut, sum(CASE WHEN cut_at IS NOT NULL THEN length(was) - cut_at ELSE 0 END)::BIGINT AS chars_cut, round(sum(CASE WHEN cut_at IS NOT NULL THEN length(was) - cut_at ELSE 0 END) * 100.0::DOUBLE / sum(length(was)), 1) AS pct FROM c GROUP BY lang")
+def p3_cut_report(t):
+    return prepare.cut_report(t("documents"), _cut(t), ["doc_id"], "text", ["lang"])
 
 
 DROP = [("empty", r"^\s*$"), ("numeric", r"^[0-9 .]+$"), ("table", r"[|].*[|]")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def _folder(spark: SparkSession, name: str) -> str:
     if not base:
         local = spark.sparkContext.master.split("[")[0] == "local"
         base = tempfile.mkdtemp(prefix="docstruct-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if local:
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/docstruct/{uuid.uuid4().hex}/{name}"
 
@@ -52,7 +56,7 @@ def _stream_query(sql: str):
 def r1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "registry")
     chain = lambda batch: batch.groupBy("lang", "source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("chars"))
-    jobs.stream_ingest(_stream(spark, sf_dir, "documents"), chain, path, ["lang", "source"], "lang", f"{path}.state").awaitTermination()
+    jobs.stream_ingest(_stream(spark, sf_dir, "documents"), chain, path, ["lang", "source"], "lang", f"{path}.state", ("n_docs", "chars")).awaitTermination()
     return spark.read.schema("source string, n_docs long, chars long, lang string").parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docstruct.operators import themes
+from docstruct.operators import lexicon, themes
 from docstruct.plans.registry import query
 
 KEYWORDS = [("en", "the", 3), ("en", "of", 2), ("en", "for", 1), ("de", "der", 3), ("de", "und", 2), ("de", "ist", 1), ("fr", "les", 3), ("fr", "que", 2), ("es", "los", 3), ("es", "que", 2)]
@@ -64,6 +64,33 @@ def h1_stage_usage(t):
     return themes.stage_usage(_cascade(t), ["lang"])
 
 
+TERMS = [("the", "en", "article", 1), ("rights", "en", "law", 2), ("der", "de", "article", 3), ("los", "es", "article", 4), ("password", "en", "safety", 5)]
+CLUSTERS = [("und", "german", 1), ("die", "german", 1), ("les", "french", 2), ("que", "french", 2)]
+_CLASSES = [("^(german|french)$", " letters"), ("^[a-z]+$", " words")]
+
+
+@query(f"WITH {_W}, lex(term, field, category, term_rank) AS (VALUES " + ", ".join(map(str, TERMS)) + "), cl(term, theme, r) AS (VALUES " + ", ".join(map(str, CLUSTERS)) + """), k AS (SELECT doc_id, unnest(ws) AS term FROM w),
+a AS (SELECT doc_id, 0 AS i, arg_max(term, struct_pack(l := length(term), r := -term_rank)) AS theme FROM k JOIN lex USING (term) WHERE category <> 'article' GROUP BY doc_id),
+b AS (SELECT doc_id, 1 AS i, nullif(regexp_extract(text, '([0-9]{2})th', 1), '') || '. century' AS theme FROM documents),
+c AS (SELECT doc_id, 2 AS i, theme FROM (SELECT doc_id, theme, r, count(*) AS n FROM k JOIN cl USING (term) GROUP BY ALL HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY r) = 1),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE theme IS NOT NULL UNION ALL SELECT * FROM c), m AS (SELECT doc_id, arg_min(theme, i) AS t, min(i) AS i FROM u GROUP BY doc_id),
+d AS (SELECT doc_id, t, i, regexp_matches(text, '[|].*[|]') AND coalesce(i, 3) >= 2 AS gone, CASE """ + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{s}'" for p, s in _SUFFIXES) + """ END AS suffix FROM documents LEFT JOIN m USING (doc_id))
+SELECT doc_id, CASE WHEN NOT gone THEN t || coalesce(suffix, CASE """ + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{s}'" for p, s in _CLASSES) + """ ELSE '' END) END AS theme, CASE WHEN gone OR i IS NULL THEN 0 ELSE [0.9, 0.85, 0.75][i + 1]::DOUBLE END AS confidence,
+CASE WHEN gone THEN 'excluded' WHEN i IS NULL THEN 'none' ELSE ['lexicon', 'period', 'cluster'][i + 1] END AS stage FROM d""")
+def h1_cascade_tables(t):
+    docs = t("documents")
+    lex = docs.sparkSession.createDataFrame(TERMS, "term string, field string, category string, term_rank int")
+    hits = docs.select("doc_id", F.explode(lexicon.tokens("text")).alias("term")).join(lex.where("category <> 'article'"), "term")
+    clusters = docs.sparkSession.createDataFrame(CLUSTERS, "term string, theme string, cluster_rank int")
+    periods = themes.period_and_region(docs, [("none", ["-"], ["-"])], "([0-9]{2})th", [("none", "-")], "text", ["doc_id"])
+    stages = [
+        ("lexicon", 0.9, lexicon.longest_term(hits, ["doc_id"]).withColumnRenamed("term", "theme")),
+        ("period", 0.85, periods.select("doc_id", F.col("period").alias("theme"))),
+        ("cluster", 0.75, lexicon.cooccurrence_rules(docs, clusters, "text", ["doc_id"])),
+    ]
+    return themes.cascade_tables(docs, stages, ["doc_id"], "text", _SUFFIXES, _CLASSES, "[|].*[|]", "cluster")
+
+
 _FRAGMENTS = [("cold", "^cold ", "cool "), ("plain", "^[a-z]+ bolt$", None)]
 _VALID = """WITH v AS (SELECT p_partkey, p_brand, p_name, CASE WHEN trim(p_name) = '' THEN 'empty' WHEN length(p_name) < 9 THEN 'short' WHEN regexp_matches(p_name, '^cold ') THEN 'cold' WHEN regexp_matches(p_name, '^[a-z]+ bolt$') THEN 'plain'
 WHEN count(*) OVER (PARTITION BY p_brand, p_name) > 1 THEN 'repeated' END AS rule FROM part) """

@@ -8,14 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from docstruct.sources.registry_table import upsert_groups
+from docstruct.sources.registry_table import read_registry, upsert_groups
 
 
-def stream_ingest(stream: DataFrame, chain: Callable[[DataFrame], DataFrame], path: str, key: list[str], group: str, checkpoint: str) -> StreamingQuery:
-    """Every batch of new rows goes through `chain` and is upserted into the registry at path. A repeated batch changes nothing."""
+def stream_ingest(stream: DataFrame, chain: Callable[[DataFrame], DataFrame], path: str, key: list[str], group: str, checkpoint: str, add: tuple[str, ...] = ()) -> StreamingQuery:
+    """Every batch of new rows goes through `chain` and is upserted into the registry at path. A repeated batch changes nothing.
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        upsert_groups(chain(batch), path, key, group)
+    Rows replace those of their key, except for the columns `add`, which are summed with what earlier batches left there;
+    the column last_batch tells which batch a row has taken in, so that one is not added twice.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = chain(batch)
+        if add:
+            rows = rows.withColumn("last_batch", F.lit(epoch).cast("long"))
+            old = read_registry(batch.sparkSession, path)
+            if old is not None:
+                known = old.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), *(F.col(c).alias(f"_was_{c}") for c in add), F.col("last_batch").alias("_last"))
+                both = rows.join(known, [rows[k].eqNullSafe(known[f"_k{i}"]) for i, k in enumerate(key)], "left")
+                done = F.coalesce(F.col("_last") >= epoch, F.lit(False))
+                rows = both.select(*(F.when(done, F.col(f"_was_{c}")).otherwise(F.coalesce(f"_was_{c}", F.lit(0)) + F.col(c)).alias(c) if c in add else c for c in rows.columns))
+        upsert_groups(rows, path, key, group)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -30,6 +43,7 @@ def running_distribution(stream: DataFrame, dim: str, by: list[str]) -> DataFram
     return stream.groupBy(*by, F.col(dim).alias("label")).agg(F.count("*").alias("n"))
 
 
-def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files_a_batch: int | None = None) -> DataFrame:
     """New files of a folder, in any format that Spark streams."""
-    return spark.readStream.format(kind).schema(schema).load(path)
+    reader = spark.readStream.format(kind).schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).load(path)

@@ -6,10 +6,10 @@ from docstruct.operators import prepare, segment, sequence, stats
 
 
 def test_select_markers(spark):
-    rows = [(1, 0, 2, 3), (1, 10, 1, 3), (1, 14, 2, 5), (1, 60, 2, 3), (1, 90, 3, 3), (1, 140, 1, 6), (2, 5, 4, 9)]
+    rows = [(1, 0, 2, 3), (1, 10, 1, 3), (1, 14, 2, 5), (1, 60, 2, 3), (1, 90, 3, 3), (1, 140, 1, 3), (1, 200, 2, 6), (2, 5, 4, 9)]
     markers = spark.createDataFrame(rows, "doc_id long, pos int, number int, priority int")
     got = sorted(map(tuple, segment.select_markers(markers, ["doc_id"], 20).collect()))
-    assert got == [(1, 14, 2, 5), (1, 90, 3, 3), (1, 140, 1, 6)]
+    assert got == [(1, 14, 2, 5), (1, 90, 3, 3), (1, 200, 2, 6)]
 
 
 def test_thin_by_distance_compares_with_the_last_kept(spark):
