@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstruct.llm.scratch import stage
 from docstruct.llm.textbatch import Carried, column, steps
 
 BLOCK, RATE, STEP_FRAMES = 192, 8000, 8192
@@ -489,18 +488,22 @@ def describe_blocks(blocks: DataFrame, keep: list[str]) -> DataFrame:
     return blocks.select(*own.into(), "samples", "sample_offset", "pcm").mapInArrow(run, schema).select(*own.back(), *(n for n, _ in added))
 
 
-def media_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Store each text as FLAC in a table, read its PCM blocks back with all checks, and describe both.
+def media_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Store each text as FLAC in a media column, read its PCM blocks back from there with all checks, and describe both.
 
     Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature to the columns `keep` of
     docs (None: all); columns with these names are replaced, whatever their case. Null and empty texts are 192 blanks;
     equal texts give equal values; a damaged stream raises; an empty table gives an empty result. Bounded by a step of
-    texts, or one text where that is larger. Nothing is shuffled.
+    texts, or one text where that is larger. Nothing is shuffled. With `path` the media column is written there as a
+    table first and read back from it.
     """
     added = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     own = Carried(docs, keep, added)
     inner = docs.select(*own.into(), column(text).alias("_text"))
-    stored = stage(write_flac(inner, "_text", own.inner), "media")
+    stored = write_flac(inner, "_text", own.inner)
+    if path:
+        stored.write.parquet(path)
+        stored = docs.sparkSession.read.schema(stored.schema).parquet(path)
     named = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     about = [*own.inner, "n_bytes", "media_bytes", "media_sha256"]
     return describe_blocks(read_blocks(named, "media", about), about).select(*own.back(), *added)

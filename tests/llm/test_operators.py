@@ -385,6 +385,9 @@ def test_flac_query_and_blocks_are_found_by_offset(spark, tmp_path):
         media = flac.encode([own])[0]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(docs[r.doc_id]), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-16:]), len(media), hashlib.sha256(media).hexdigest())
         assert r.feature == f"n={len(x)};sum={x.sum()};square={(x * x).sum()};cross={np.count_nonzero((x[1:] >= 0) != (x[:-1] >= 0))}"
+    some = catalog.documents(spark, DATA).limit(20)
+    assert sorted(map(tuple, flac.media_features(some, keep=["doc_id"]).collect())) == sorted(map(tuple, flac.media_features(some, keep=["doc_id"], path=str(tmp_path / "stored")).collect()))
+    assert spark.read.parquet(str(tmp_path / "stored")).where("substring(media, 1, 4) = X'664C6143'").count() == 20
     text = "".join(chr(97 + i % 26) for i in range(50_000))
     media = flac.write_flac(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=["doc_id"])
     flac.read_blocks(media, keep=["doc_id"]).write.parquet(str(tmp_path / "blocks"))
