@@ -26,6 +26,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Members of a bucket that all of it meet, before those that are still apart meet each other.
 STARS = 4
+#: Cells of a bitmap of shingles.
+CELLS = 1024
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -99,20 +101,19 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
     return equal.union(near)
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(same, reach): how many of a digest's shingles stand in another of the sets too, which bounds what it can share with any."""
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(same, bits): whether each of CELLS cells of hashes holds an odd number of a digest's shingles, as longs.
+
+    Two sets differ by at least as many shingles as their bits differ: an exact bound that costs a few machine words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = np.frombuffer(own, np.int64)
-                for at in range(0, len(codes), 1 << 18):
-                    some = codes[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array([same] * len(some), pa.binary()), pa.array(some)], names=["same", "code"])
+            cells = (np.frombuffer(own, np.uint64) // np.uint64((1 << 64) // CELLS) for own in batch.column(1).to_pylist())
+            odd = [np.packbits((np.bincount(c.astype(np.int64), minlength=CELLS) & 1).astype(np.uint8), bitorder="little").view(np.int64) for c in cells]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], names=["same", "bits"])
 
-    spread = sets.select("same", "set").mapInArrow(run, "same binary, code long")
-    lone = spread.groupBy("code").agg(F.count("*").alias("_n"), F.min("same").alias("same")).where("_n = 1").groupBy("same").agg(F.count("*").alias("_lone"))
-    return sets.select("same", (F.length("set") / 8).cast("long").alias("_all")).join(lone, "same", "left").select("same", (F.col("_all") - F.coalesce("_lone", F.lit(0))).alias("reach"))
+    return sets.select("same", "set").mapInArrow(run, "same binary, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -133,9 +134,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
 
     Texts of equal words are one node, so that copies never meet each other; all texts without words are one. Candidate
     pairs are verified unless they are connected already: ball links and each bucket's members with a few of them first,
-    then all of a bucket that are still in different components and of whose shingles enough stand elsewhere at all: an
-    edited copy's own shingles are in no other text, so that a bound on what it can share spares a large group of copies
-    just below the threshold its pairs. No bucket is cut and no pair within reach left out.
+    then all of a bucket that are still in different components and whose bitmaps don't rule it out, an exact bound that
+    spares a large group of copies below the threshold most of its pairs. No bucket is cut and no similar pair left out.
     """
     named = _named(docs.where(column(key).isNotNull()), text, key)
     sketched = stage(sketches(named, words), "sketches")
@@ -157,15 +157,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     pairs = stage(pairs.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b")).union(balls).distinct(), "pairs")
     near = stage(verified(pairs, sets, similar), "near")
     roots = stage(connected_components(near), "roots")
-    # those still apart meet all others of their bucket that enough of their shingles allow
+    # those still apart meet all others of their bucket that their bitmaps allow
     rooted = stage(crowded.join(roots, crowded["same"] == roots["node"], "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root")), "rooted")
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("_many"))
     mixed = stage(sizes.groupBy("bucket").agg(F.max(F.struct("_many", "root")).alias("_top"), F.count("*").alias("_roots")).where("_roots > 1").select("bucket", F.col("_top.root").alias("_most")), "mixed")
     apart = stage(rooted.join(mixed, "bucket"), "apart")
-    reach = stage(shared_shingles(sets.join(apart.select("same").distinct(), "same")), "reach")
-    apart = stage(apart.join(reach, "same"), "reaching")
-    allowed = (1 + similar) * F.least("reach", "_reach") >= similar * (F.col("n") + F.col("_n")) - 1e-6
-    rest = apart.where("root <> _most AND (1 + {0}) * reach >= {0} * (1 + {0}) * n - 1e-6".format(similar)).select(*other, F.col("reach").alias("_reach"))
+    apart = stage(apart.join(stage(bitmaps(sets.join(apart.select("same").distinct(), "same")), "bitmaps"), "same"), "mapped")
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(CELLS // 64)), F.lit(0))
+    allowed = differ <= (1 - similar) / (1 + similar) * (F.col("n") + F.col("_n")) + 1e-6
+    rest = apart.where("root <> _most").select(*other, F.col("bits").alias("_bits"))
     more = apart.drop("_most").join(rest, "bucket").where((F.col("root") != F.col("_root")) & fits & allowed)
     more = more.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     roots = connected_components(near.union(stage(verified(stage(more, "more"), sets, similar), "nearer")))
