@@ -1,4 +1,4 @@
-"""Sequential choices over one document's items: JVM-side folds over sorted arrays."""
+"""Sequential choices over one document's items: JVM-side folds over sorted arrays, or a helper for Arrow batches where a fold would copy long lists at every step."""
 
 from __future__ import annotations
 
@@ -12,16 +12,17 @@ def keep_by_distance(positions: Column, distance: int) -> Column:
     return F.aggregate(positions, none, lambda kept, p: F.when((F.size(kept) == 0) | (p - F.element_at(kept, -1) >= distance), F.array_append(kept, p)).otherwise(kept))
 
 
-def pack_greedily(parts: Column, most: int) -> Column:
+def pack_greedily(parts: list[str], most: int) -> list[str]:
     """Of texts in order, the texts joined by line breaks while they stay within `most` characters; a longer one stands alone."""
-    none = F.slice(parts, 1, 0)
-
-    def step(done: Column, part: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (F.length(last) + 1 + F.length(part) <= most)
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit("\n"), part)))).otherwise(F.array_append(done, part))
-
-    return F.aggregate(parts, none, step)
+    done, size = [], most
+    for part in parts:
+        if size + 1 + len(part) <= most:
+            done[-1].append(part)
+            size += 1 + len(part)
+        else:
+            done.append([part])
+            size = len(part)
+    return ["\n".join(own) for own in done]
 
 
 def choose_markers(markers: Column, min_gap: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docstruct.functions.numerals import numeral_table
 from docstruct.operators import sequence
 from docstruct.plans.registry import query
 
@@ -38,6 +39,14 @@ def q1_unresolved_markers(t):
     return sequence.unresolved(sequence.lookup_numbers(orders, "o_orderpriority", orders.sparkSession.createDataFrame(_NUMERALS, "marker string, number long")), "o_orderpriority")
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS number FROM lineitem""")
+def q1_numerals_of_scripts(t):
+    digits = F.col("l_quantity").cast("int").cast("string")
+    wide = F.when(F.col("l_orderkey") % 2 == 0, F.translate(digits, "0123456789", "０１２３４５６７８９")).otherwise(digits)
+    items = t("lineitem").select(*_LINE_COLUMNS, wide.alias("marker"))
+    return sequence.lookup_numbers(items, "marker", numeral_table(items.sparkSession)).select(*_LINE_COLUMNS, "number")
+
+
 @query("""SELECT p_partkey, p_brand, p_brand || CASE WHEN r = 1 THEN '' ELSE '_' || r END AS unique_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part)""")
 def q2_suffix_duplicates(t):
     return sequence.suffix_duplicates(t("part").select("p_partkey", "p_brand"), [], "p_brand", ["p_partkey"])
