@@ -1,4 +1,4 @@
-"""The ten operators' queries with production parameters, and their SQL where SQL can express them."""
+"""The operators' queries with production parameters, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstruct.llm import flac, langid, linededup, mixing, packing, quality, secrets, simhash, tokencounts, toxicity
+from docstruct.llm import filteraudit, flac, langid, lexsearch, linededup, mergecodec, mixing, packing, quality, secrets, simhash, tokencounts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,9 +76,24 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    ids = mergecodec.encode(documents(spark, sf_dir), model, packed=True, keep=["doc_id"])
+    out = mergecodec.decode(ids, model)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), top=50)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_secrets, op5_toxicity, op6_simhash, op7_quality, op8_flac, op9_token_counts, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_packing, op3_mixing, op4_secrets, op5_toxicity, op6_simhash, op7_quality, op8_flac, op9_token_counts, op10_line_dedup, op11_sentencepiece, op12_lexical_search, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op4_secrets": secrets.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op4_secrets": secrets.ORACLE_SQL, "op7_quality": quality.ORACLE_SQL, "op10_line_dedup": linededup.ORACLE_SQL, "op12_lexical_search": lexsearch.ORACLE_SQL, "op13_filter_audit": filteraudit.ORACLE_SQL}
