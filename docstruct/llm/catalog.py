@@ -77,9 +77,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = tokenizer_path("piece_bpe_32k.model")
-    ids = mergecodec.encode(documents(spark, sf_dir), model, packed=True, keep=["doc_id"])
-    out = mergecodec.decode(ids, model)
+    out = mergecodec.encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), packed=True, decoded=True, keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

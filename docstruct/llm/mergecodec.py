@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections import deque
+import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 
 from docstruct.llm.textbatch import Carried, as_bytes, column, steps
 
-#: Bytes of units and ids, and number of pairs, that a worker remembers; longer units than LONG characters are encoded each time.
-REMEMBERED, PAIRS, LONG = 16_000_000, 1_000_000, 64
+#: Bytes of one of two generations of units with their ids, and number of pairs, that a worker remembers; longer units than LONG characters are encoded each time.
+REMEMBERED, PAIRS, LONG = 60_000_000, 400_000, 64
 SPACE = "▁"
 #: Texts whose normal form tells whether a model leaves texts as they are, but for blanks and the one in front.
 PROBES = ("a", " a  b ", "Ａﬁ é\t½\n", "")
@@ -77,80 +78,58 @@ class Encoder:
         self.usable = {n: i for n, i in pieces.normal.items() if len(n) == 1 or set(n) <= single and merged(list(n), self.rank) == [n]}
         self.text_of = {i: n for n, i in self.usable.items()}
         self.shorter = {i: next((self.usable[n[:k]] for k in range(len(n) - 1, 0, -1) if n[:k] in self.usable), -1) for n, i in self.usable.items()}
-        self._build()
+        self.size = [len(self.text_of.get(i, "")) for i in range(len(pieces.names))]
+        self.automaton = ahocorasick.Automaton()
+        for name, i in self.usable.items():
+            self.automaton.add_word(name[::-1], i)
+        self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.held, self.known = 0, {}
+        self.held, self.known, self.older = 0, {}, {}
+        # blanks begin units, as no piece holds a blank behind another character; control characters of no piece stand alone
+        alone = re.escape("".join(c for c in map(chr, range(32)) if not any(c in n for n in self.usable)))
         inner = any(SPACE in n.lstrip(SPACE) for n in self.usable)
-        breaks = "".join(re.escape(c) for c in map(chr, range(32)) if not any(c in n for n in self.usable))
-        #: Units that no piece leaves: blanks and what follows them, and characters of no piece, each its own.
-        alone = f"[{breaks}]|" if breaks else ""
-        self.units = re.compile(f"{alone}[^{breaks}]+" if inner and breaks else "(?s:.+)" if inner else f"{alone}{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+")
-
-    def _build(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.best = [-1]
-        for name, i in self.usable.items():
-            at = 0
-            for c in reversed(name):
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.best.append(-1)
-                at = self.next[at][c]
-            self.best[at] = i
-        self.link = [0] * len(self.next)
-        queue = deque(self.next[0].values())
-        while queue:
-            u = queue.popleft()
-            if self.best[u] < 0:
-                self.best[u] = self.best[self.link[u]]
-            for c, v in self.next[u].items():
-                queue.append(v)
-                z = self.link[u]
-                while z and c not in self.next[z]:
-                    z = self.link[z]
-                self.link[v] = self.next[z].get(c, 0)
+        whole = [f"[^{alone}]+" if alone else "(?s:.+)"] if inner else [f"{SPACE}*[^{SPACE}{alone}]+", f"{SPACE}+"]
+        self.units = re.compile("|".join([f"[{alone}]"] * bool(alone) + whole))
+        # nor does a piece hold one of these signs behind a letter: a unit ends between them, too
+        behind = {b for n in self.usable for a, b in zip(n, n[1:]) if a.isalpha()}
+        signs = re.escape("".join(sorted(c for c in map(chr, range(33, 127)) if not c.isalpha() and c not in behind)))
+        self.cuts = re.compile(rf"(?<=[^\W\d_])(?=[{signs}])" if signs else "(?!)")
 
     def longest(self, unit: str) -> list[int]:
         """The longest piece that starts at each position, -1 where none does."""
-        nexts, link, best = self.next, self.link, self.best
-        out, at = [-1] * len(unit), 0
-        for k in range(len(unit) - 1, -1, -1):
-            c = unit[k]
-            while at and c not in nexts[at]:
-                at = link[at]
-            at = nexts[at].get(c, 0)
-            out[k] = best[at]
-        return out
+        found = dict(reversed(list(self.automaton.iter(unit[::-1]))))  # of several pieces at one place the longest comes first
+        return [found.get(k, -1) for k in range(len(unit) - 1, -1, -1)]
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether pieces a and b stay apart when their characters are merged anew."""
-        key = a << 32 | b
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            left, right = self.text_of[a], self.text_of[b]
-            found = self.fits[key] = merged(list(left + right), self.rank, len(left)) is not None
+        """Whether pieces a and b stay apart when their characters are merged anew; remembered in `fits`."""
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        left, right = self.text_of[a], self.text_of[b]
+        found = self.fits[a << 32 | b] = merged(list(left + right), self.rank, len(left)) is not None
         return found
 
     def walk(self, unit: str) -> list[int]:
         """Ids of a unit."""
-        first, text_of, shorter, byte = self.longest(unit), self.text_of, self.shorter, self.pieces.byte
-        failed = bytearray(len(unit) // 8 + 1)
+        first, size, shorter, fits, end = self.longest(unit), self.size, self.shorter, self.fits, len(unit)
+        failed = bytearray(end // 8 + 1)
         out: list[int] = []
-        base, at, end = 0, 0, len(unit)  # out[base:] is what may be taken back
+        base = at = 0  # out[base:] is what may be taken back
         now = first[0] if end else -1
         while at < end:
             if first[at] < 0:  # no piece holds this character: its bytes, and no merge crosses it
+                byte = self.pieces.byte
                 out += [byte[x] for x in unit[at].encode()] if byte else [self.pieces.unk]
                 at, base = at + 1, len(out)
                 now = first[at] if at < end else -1
                 continue
             while now >= 0:
-                to = at + len(text_of[now])
-                if not failed[to >> 3] >> (to & 7) & 1 and (len(out) == base or self.compatible(out[-1], now)):
-                    break
+                to = at + size[now]
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    if len(out) == base:
+                        break
+                    fit = fits.get(out[-1] << 32 | now)
+                    if fit or fit is None and self.compatible(out[-1], now):
+                        break
                 now = shorter[now]
             if now >= 0:
                 out.append(now)
@@ -159,21 +138,25 @@ class Encoder:
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 now = out.pop()
-                at -= len(text_of[now])
+                at -= size[now]
                 now = shorter[now]
         return out
 
     def unit(self, unit: str) -> bytes:
-        """Little-endian ids of a unit, from memory where it is known."""
-        found = self.known.get(unit)
+        """Little-endian ids of a unit that `known` does not hold: from the memory before it, from its parts, or anew."""
+        found = self.older.get(unit)
         if found is None:
-            found = np.array(self.walk(unit), "<u4").tobytes()
-            if len(unit) <= LONG:
-                self.held += len(unit) + len(found) + 100
-                if self.held > REMEMBERED:
-                    self.known.clear()
-                    self.held = len(unit) + len(found) + 100
-                self.known[unit] = found
+            parts = self.cuts.split(unit)
+            if len(parts) > 1:
+                found = b"".join([self.known.get(p) or self.unit(p) for p in parts])
+            else:
+                ids = self.walk(unit)
+                found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= LONG:
+            self.held += len(unit) + len(found) + 200
+            if self.held > REMEMBERED:  # frequent units come back from the older half
+                self.older, self.known, self.held = self.known, {}, 0
+            self.known[unit] = found
         return found
 
     def encode(self, text: str, ends: bool = True) -> bytes:
@@ -247,30 +230,30 @@ def characters(data: bytes) -> Iterator[str]:
             at += 1
 
 
-_workers: dict[tuple[str, str], object] = {}
+_workers: dict[tuple[str, type], object] = {}
 
 
-def _worker(path: str, kind: type) -> Encoder | Decoder:
-    if (path, kind.__name__) not in _workers:
-        _workers[path, kind.__name__] = kind(Pieces(path))
-    return _workers[path, kind.__name__]
+def _worker(path: str, kind: type) -> Pieces | Encoder | Decoder:
+    if (path, kind) not in _workers:
+        _workers[path, kind] = kind(path if kind is Pieces else _worker(path, Pieces))
+    return _workers[path, kind]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True, packed: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """Add ids and n_tokens (long) to the columns `keep` of docs (None: all), exactly as sentencepiece encodes with the file `model`.
+def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True, packed: bool = False, decoded: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Add ids and n_tokens (long) to the columns `keep` of docs (None: all), exactly as sentencepiece encodes with the file `model`; with `decoded` also decoded (string), the text that decode() reads back from the ids.
 
     ids: array<int>, or with `packed` binary, each id a little-endian unsigned 32-bit integer. `ends` puts the begin and end
     ids around them. The model is of the merge type with identity normalization (else ValueError). Null texts count as
     empty (the begin and end ids alone), characters without a piece become their bytes; whole texts of any length are read;
     repeated rows stay; columns of docs with these names are replaced, whatever their case; an empty table gives an empty result.
     """
-    added = ["ids", "n_tokens"]
+    added = ["ids", "n_tokens"] + ["decoded"] * decoded
     own = Carried(docs, keep, added)
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False)
-    schema = T.StructType([*own.fields, T.StructField("ids", kind), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([*own.fields, T.StructField("ids", kind), T.StructField("n_tokens", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _worker(model, Encoder)
+        encoder, decoder = _worker(model, Encoder), _worker(model, Decoder) if decoded else None
         for part, texts in steps(batches, "_text"):
             found = [encoder.encode(t.decode(), ends) for t in texts]
             sizes = np.array([len(x) // 4 for x in found], np.int64)
@@ -280,7 +263,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", ends: bool = True, p
                 flat = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
                 ids = ids.cast(pa.list_(pa.field("element", pa.int32(), nullable=False)))
-            yield pa.RecordBatch.from_arrays([*own.of(part), ids, pa.array(sizes)], names=schema.names)
+            back = [pa.array([decoder.decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in found], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*own.of(part), ids, pa.array(sizes), *back], names=schema.names)
 
     return docs.select(*own.into(), column(text).alias("_text")).mapInArrow(run, schema).select(*own.back(), *added)
 
