@@ -52,18 +52,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     target is met, the last in part, so that the words taken are the target rounded to a whole number.
 
     Only the hash at which a source's target is met is looked for: sums by bucket of the hash name its bucket, sums by hash
-    within that bucket name the hash. Rows then compare with it, so that no text, no group of equal keys and no hot source
-    is ever sorted or gathered. Rows of one key share what is left at their hash in proportion to their size, rounded down.
+    within that bucket name the hash. The rows of one key share its hash, and are looked through in the same way by a hash
+    of their row's number. Rows then compare with the place found, so that no text, no group of equal keys and no hot source
+    is ever sorted or gathered, and the last row is taken in part, so that the words taken are the target to a word.
 
     Null texts have size 0, a null source is a source of its own, null keys hash like an empty string, repeated rows are
-    documents of their own; columns named like a result are replaced, whatever their case. An empty table gives an empty
+    documents of their own, told apart by their place in the table; columns named like a result are replaced, whatever their case. An empty table gives an empty
     result.
     """
     added = ("size", "source_size", "target", "taken")
     own = Carried(docs, keep, added)
     order = F.md5(F.concat(F.coalesce(column(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
-    sized = docs.select(*own.into(), column(source).isNull().alias("_null"), F.coalesce(column(source).cast("string"), F.lit("")).alias("_source"), word_count(text).alias("size"), order.alias("_order"))
-    narrow = stage(sized if text not in own.names else sized.select(*SOURCE, "size", "_order"), "sizes")
+    sized = docs.select(*own.into(), column(source).isNull().alias("_null"), F.coalesce(column(source).cast("string"), F.lit("")).alias("_source"), word_count(text).alias("size"), order.alias("_order"), F.xxhash64(F.monotonically_increasing_id()).alias("_tie"))
+    narrow = stage(sized if text not in own.names else sized.select(*SOURCE, "size", "_order", "_tie"), "sizes")
     many = max(1, -(-narrow.count() // BUCKET_ROWS))
     bucket = F.expr(f"bigint(conv(substring(_order, 1, 8), 16, 10)) * {many} div 4294967296").alias("_bucket")
     buckets = stage(narrow.groupBy(*SOURCE, bucket).agg(F.sum("size").alias("_words")), "buckets")
@@ -77,14 +78,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         """The first value of `by` in each source with whose words the sum passes `left`, and what is left there."""
         ran = sums.withColumn("_upto", F.sum("_words").over(Window.partitionBy(*SOURCE).orderBy(by)))
         hit = ran.join(wanted, SOURCE).where((F.col("_upto") > F.col(left)) & (F.col("_upto") - F.col("_words") <= F.col(left)))
-        return hit.select(*SOURCE, by, (F.col(left) - F.col("_upto") + F.col("_words")).alias("_left"), F.col("_words").alias("_there"))
+        return hit.select(*SOURCE, by, (F.col(left) - F.col("_upto") + F.col("_words")).alias("_left"))
 
     in_bucket = stage(meets(buckets, "_bucket", targets.select(*SOURCE, "_part"), "_part"), "in_bucket")
     near = narrow.select(*SOURCE, "size", "_order", bucket).join(in_bucket.select(*SOURCE, "_bucket"), [*SOURCE, "_bucket"])
     hashes = stage(near.groupBy(*SOURCE, "_order").agg(F.sum("size").alias("_words")), "hashes")
-    at = meets(hashes, "_order", in_bucket.select(*SOURCE, "_left"), "_left").select(*SOURCE, F.col("_order").alias("_at"), "_left", "_there")
+    in_key = stage(meets(hashes, "_order", in_bucket.select(*SOURCE, "_left"), "_left").select(*SOURCE, "_order", "_left"), "in_key")
+    # the rows of that key, by a part of their numbers' hashes and then by the hash
+    group = F.pmod("_tie", F.lit(many)).alias("_group")
+    rows = stage(narrow.join(in_key.drop("_left"), [*SOURCE, "_order"]).groupBy(*SOURCE, "_order", group, "_tie").agg(F.sum("size").alias("_words")), "rows")
+    groups = stage(rows.groupBy(*SOURCE, "_group").agg(F.sum("_words").alias("_words")), "groups")
+    in_group = stage(meets(groups, "_group", in_key.select(*SOURCE, "_left"), "_left").select(*SOURCE, "_group", "_left"), "in_group")
+    last = meets(rows.join(in_group.drop("_left"), [*SOURCE, "_group"]), "_tie", in_group.select(*SOURCE, "_left"), "_left")
+    last = last.select(*SOURCE, F.col("_tie").alias("_tie_at"), F.col("_left").alias("_rest"))
+    at = in_key.join(in_group.select(*SOURCE, F.col("_group").alias("_group_at")), SOURCE).join(last, SOURCE).select(*SOURCE, F.col("_order").alias("_at"), "_group_at", "_tie_at", "_rest")
     plan = stage(targets.join(at, SOURCE, "left"), "plan")
-    partly = F.expr("CASE WHEN _at IS NULL OR _order < _at THEN IF(_part > 0, size, 0) WHEN _order > _at THEN 0 WHEN _there = size THEN _left ELSE CAST(size AS decimal(18, 0)) * CAST(_left AS decimal(18, 0)) div greatest(_there, 1) END")
+    place = f"struct(_order, pmod(_tie, {many}) AS g, _tie)"
+    partly = F.expr(f"CASE WHEN _at IS NULL THEN IF(_part > 0, size, 0) WHEN {place} < struct(_at AS _order, _group_at AS g, _tie_at AS _tie) THEN size WHEN {place} > struct(_at AS _order, _group_at AS g, _tie_at AS _tie) THEN 0 ELSE _rest END")
     joined = (sized if text in own.names else narrow).join(plan, SOURCE)
     return joined.select(*own.back(), "size", "source_size", "target", (F.col("_whole") * F.col("size") + partly).cast("long").alias("taken"))
 
@@ -103,7 +113,7 @@ ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS n, coalesce(source, '') AS s,
          coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '') || ':17') AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':17') AS h, row_number() OVER () AS r
   FROM documents),
 src AS (SELECT n, s, sum(size)::BIGINT AS source_size FROM sized GROUP BY n, s),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY n, s) - 1) % 3 + 1)::INT] AS weight FROM src),
@@ -116,8 +126,8 @@ lev AS (SELECT lev FROM l WHERE NOT (weight * lev > cap) ORDER BY k LIMIT 1),
 t AS (SELECT n, s, source_size, least(cap, weight * (SELECT lev FROM lev)) AS target FROM r),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
 q AS (SELECT *, floor(target - whole * source_size + 0.5)::BIGINT AS part FROM p),
-c AS (SELECT *, sum(size) OVER (PARTITION BY n, s ORDER BY h) - sum(size) OVER (PARTITION BY n, s, h) AS before, sum(size) OVER (PARTITION BY n, s, h) AS there FROM sized)
+c AS (SELECT *, sum(size) OVER (PARTITION BY n, s ORDER BY h, r ROWS UNBOUNDED PRECEDING) - size AS before FROM sized)
 SELECT c.doc_id, c.size, q.source_size, q.target,
-       (q.whole * c.size + CASE WHEN q.part - before >= there THEN c.size WHEN q.part <= before THEN 0 ELSE c.size::HUGEINT * (q.part - before)::HUGEINT // there::HUGEINT END)::BIGINT AS taken
+       (q.whole * c.size + greatest(0, least(c.size, q.part - before)))::BIGINT AS taken
 FROM c JOIN q USING (n, s)
 """

@@ -151,6 +151,17 @@ def test_mix_meets_its_targets(spark):
     assert mixed.select(mixing.word_count("text").alias("n")).groupBy().sum("n").first()[0] == sum(by.values())
 
 
+@pytest.mark.parametrize("keys", [[None] * 1000, [7] * 1000, [None] * 500 + [7] * 500, list(range(1000))])
+@pytest.mark.parametrize("carried", [["doc_id"], ["doc_id", "text"]])
+def test_rows_of_one_key_lose_no_word_of_the_target(spark, keys, carried):
+    rows = [(i, "w " * 3000, "a") for i in range(2)] + [(k, ["w", "two words"][i % 2] if k == 7 else "w", "b") for i, k in enumerate(keys)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(docs, share=1.2, cycle=(1, 1), keep=carried)
+    for source in out.groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect():
+        assert abs(source.taken - source.target) <= 1 and source.over <= 0
+    assert sorted(map(tuple, mixing.mix(docs, share=1.2, cycle=(1, 1), keep=["doc_id"]).collect()), key=repr) == sorted(map(tuple, mixing.mix(docs, share=1.2, cycle=(1, 1), keep=["doc_id"]).collect()), key=repr)
+
+
 def test_simhash_components_equal_brute_force(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(60)]
