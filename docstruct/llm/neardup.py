@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Members of a bucket that all of it meet, before those that are still apart meet each other.
 STARS = 4
-#: Cells of a bitmap of shingles.
-CELLS = 1024
+#: Cells of the coarse bitmap of shingles, and members of a crowded bucket's block; blocks meet each other on tasks of their own.
+CELLS, BLOCK = 1024, 1000
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -101,19 +101,40 @@ def ball_pairs(nodes: DataFrame) -> DataFrame:
     return equal.union(near)
 
 
+def odd_cells(hashes: np.ndarray, cells: int) -> np.ndarray:
+    """Whether each of `cells` cells (a power of two, by the hashes' first bits) holds an odd number of them, as longs."""
+    at = (hashes >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=cells) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def cells_for(n: int) -> int:
+    """Cells of the fine bitmap of n shingles: at least two a shingle, so that cells seldom hide a difference; CELLS at least."""
+    return max(CELLS, 1 << (2 * n - 1).bit_length())
+
+
 def bitmaps(sets: DataFrame) -> DataFrame:
-    """(same, bits): whether each of CELLS cells of hashes holds an odd number of a digest's shingles, as longs.
+    """(same, bits, fine, half): the odd cells of a digest's shingles, coarse, and for sets that CELLS cells can't tell apart in cells_for(n) cells and in half as many.
 
     Two sets differ by at least as many shingles as their bits differ: an exact bound that costs a few machine words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = (np.frombuffer(own, np.uint64) // np.uint64((1 << 64) // CELLS) for own in batch.column(1).to_pylist())
-            odd = [np.packbits((np.bincount(c.astype(np.int64), minlength=CELLS) & 1).astype(np.uint8), bitorder="little").view(np.int64) for c in cells]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], names=["same", "bits"])
+            own = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            fine = [cells_for(len(x)) for x in own]
+            columns = [[odd_cells(x, CELLS) for x in own]] + [[odd_cells(x, max(CELLS, m >> k)) if m > CELLS else [] for x, m in zip(own, fine)] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)], names=["same", "bits", "fine", "half"])
+
+    return sets.select("same", "set").mapInArrow(run, "same binary, bits array<long>, fine array<long>, half array<long>")
+
 
-    return sets.select("same", "set").mapInArrow(run, "same binary, bits array<long>")
+def differing() -> tuple[Column, Column]:
+    """Bits in which bits and _bits differ, and those of the finest cells that both sides have (0 where the coarse ones are all)."""
+    coarse = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(CELLS // 64)), F.lit(0))
+    own, other = F.size("fine"), F.size("_fine")
+    pairs = F.zip_with(F.when(own <= other, F.col("fine")).otherwise(F.col("half")), F.when(other <= own, F.col("_fine")).otherwise(F.col("_half")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    fine = F.when(F.least(own, other) > 0, F.aggregate(pairs, F.lit(0), lambda a, n: a + n)).otherwise(0)
+    return coarse, fine
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -160,13 +181,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     # those still apart meet all others of their bucket that their bitmaps allow
     rooted = stage(crowded.join(roots, crowded["same"] == roots["node"], "left").select("bucket", "same", "n", F.coalesce("root", "same").alias("root")), "rooted")
     sizes = rooted.groupBy("bucket", "root").agg(F.count("*").alias("_many"))
-    mixed = stage(sizes.groupBy("bucket").agg(F.max(F.struct("_many", "root")).alias("_top"), F.count("*").alias("_roots")).where("_roots > 1").select("bucket", F.col("_top.root").alias("_most")), "mixed")
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("_many", "root")).alias("_top"), F.count("*").alias("_roots"), F.sum("_many").alias("_all")).where("_roots > 1")
+    mixed = stage(mixed.select("bucket", F.col("_top.root").alias("_most"), F.ceil(F.col("_all") / BLOCK).cast("int").alias("_blocks")), "mixed")
     apart = stage(rooted.join(mixed, "bucket"), "apart")
     apart = stage(apart.join(stage(bitmaps(sets.join(apart.select("same").distinct(), "same")), "bitmaps"), "same"), "mapped")
-    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(CELLS // 64)), F.lit(0))
-    allowed = differ <= (1 - similar) / (1 + similar) * (F.col("n") + F.col("_n")) + 1e-6
-    rest = apart.where("root <> _most").select(*other, F.col("bits").alias("_bits"))
-    more = apart.drop("_most").join(rest, "bucket").where((F.col("root") != F.col("_root")) & fits & allowed)
+    coarse, fine = differing()
+    bound = (1 - similar) / (1 + similar) * (F.col("n") + F.col("_n")) + 1e-6
+    # a crowded bucket is dealt in blocks: a row of block i stands for it against every block j
+    block, every = F.pmod(F.xxhash64("same", F.lit(STARS)), "_blocks").cast("int"), F.expr("explode(sequence(0, _blocks - 1))")
+    left = apart.withColumns({"_i": block, "_j": every}).drop("_most", "_blocks")
+    rest = apart.where("root <> _most").withColumns({"_j": block, "_i": every}).select("_i", "_j", *other, *(F.col(c).alias(f"_{c}") for c in ("bits", "fine", "half")))
+    more = left.join(rest, ["bucket", "_i", "_j"]).where((F.col("root") != F.col("_root")) & fits & (coarse <= bound) & (fine <= bound))
     more = more.select(F.least("same", "_same").alias("a"), F.greatest("same", "_same").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     roots = connected_components(near.union(stage(verified(stage(more, "more"), sets, similar), "nearer")))
     members = stage(nodes.join(roots, nodes["same"] == roots["node"], "left").select("same", F.coalesce("root", "same").alias("root"), "low"), "members")
