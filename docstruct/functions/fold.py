@@ -1,15 +1,114 @@
-"""Sequential choices over one document's items: JVM-side folds over sorted arrays, or a helper for Arrow batches where a fold would copy long lists at every step."""
+"""Sequential choices that depend on what was kept before: one pass over sorted rows, carrying a few values, not lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-def keep_by_distance(positions: Column, distance: int) -> Column:
-    """Of sorted positions, those at least `distance` behind the last one kept."""
-    none = F.slice(positions, 1, 0)
-    return F.aggregate(positions, none, lambda kept, p: F.when((F.size(kept) == 0) | (p - F.element_at(kept, -1) >= distance), F.array_append(kept, p)).otherwise(kept))
+#: Rows that a pass holds before it hands them on.
+HELD = 20_000
+
+
+class Fold:
+    """State of one key: step() takes the values of a row, end() comes after the last; both yield tuples of results."""
+
+    def step(self, *values) -> Iterable[tuple]:
+        return ()
+
+    def end(self) -> Iterable[tuple]:
+        return ()
+
+
+def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], results: str, begin: Callable[[], Fold]) -> DataFrame:
+    """(keys, results): each key's rows through a Fold of its own, in the order of the columns `order`, which are its values.
+
+    Rows are dealt by key and sorted within partitions; a task reads its Arrow batches once and carries one key's state from
+    batch to batch, so that memory does not grow with a key's rows. Null keys are values like others.
+    """
+    own = rows.select(*keys, *order)
+    schema = T.StructType([*own.schema.fields[: len(keys)], *T._parse_datatype_string(results).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, held = None, None, []
+        shape = to_arrow_schema(schema)
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or row[: len(keys)] != key:
+                    if state is not None:
+                        held += [(*key, *r) for r in state.end()]
+                    key, state = row[: len(keys)], begin()
+                held += [(*key, *r) for r in state.step(*row[len(keys) :])]
+            while len(held) >= HELD:
+                yield _batch(held[:HELD], shape)
+                held = held[HELD:]
+        if state is not None:
+            held += [(*key, *r) for r in state.end()]
+        if held:
+            yield _batch(held, shape)
+
+    return own.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], shape: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape)], schema=shape)
+
+
+class KeepApart(Fold):
+    """Of positions in order, those at least `distance` behind the last one kept."""
+
+    def __init__(self, distance: int):
+        self.distance, self.last = distance, None
+
+    def step(self, pos):
+        if self.last is None or pos - self.last >= self.distance:
+            self.last = pos
+            yield (pos,)
+
+
+class TrueMarkers(Fold):
+    """Of (pos, number, priority) by position, the true markers.
+
+    The first must be numbered 1. A later one must raise the number (unless its priority is 6 at least) and lie min_gap
+    behind the last one kept; within the gap it replaces that one if its priority is higher.
+    """
+
+    def __init__(self, min_gap: int):
+        self.gap, self.last = min_gap, None
+
+    def step(self, pos, number, priority):
+        if self.last is None:
+            if number == 1:
+                self.last = (pos, number, priority)
+        elif pos - self.last[0] < self.gap:
+            if priority > self.last[2]:
+                self.last = (pos, number, priority)
+        elif number > self.last[1] or priority >= 6:
+            yield self.last
+            self.last = (pos, number, priority)
+
+    def end(self):
+        if self.last is not None:
+            yield self.last
+
+
+class CitedSegments(Fold):
+    """Of places (at, kind) in order, the segments (segment_no, kind, start, stop) between them.
+
+    kind 0 ends a leading block, 1 a cited segment once it has `least` characters, 2 is the end of the text.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.last, self.n = least, 0, 0
+
+    def step(self, at, kind):
+        if kind == 0 or kind == 1 and at - self.last >= self.least or kind == 2 and (at > self.last or not self.n):
+            self.n += 1
+            yield self.n, ("leading", "cited", "plain")[kind], self.last, at
+            self.last = at
 
 
 def pack_greedily(parts: list[str], most: int) -> list[str]:
@@ -23,25 +122,3 @@ def pack_greedily(parts: list[str], most: int) -> list[str]:
             done.append([part])
             size = len(part)
     return ["\n".join(own) for own in done]
-
-
-def choose_markers(markers: Column, min_gap: int) -> Column:
-    """Of (pos, number, priority) structs by position, the true markers.
-
-    The first must be numbered 1. A later one must raise the number (unless its priority is 6 at least) and lie min_gap
-    behind the last one kept; within the gap it replaces that one if its priority is higher.
-    """
-    none = F.slice(markers, 1, 0)
-
-    def step(kept: Column, m: Column) -> Column:
-        last = F.element_at(kept, -1)
-        rises = (m["number"] > last["number"]) | (m["priority"] >= 6)
-        near = m["pos"] - last["pos"] < min_gap
-        return (
-            F.when(F.size(kept) == 0, F.when(m["number"] == 1, F.array(m)).otherwise(kept))
-            .when(near & (m["priority"] > last["priority"]), F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(m)))
-            .when(~near & rises, F.array_append(kept, m))
-            .otherwise(kept)
-        )
-
-    return F.aggregate(markers, none, step)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstruct.functions.positions import locate_matches, of_rule
+from docstruct.functions.positions import join_on, locate_matches, of_rule
 
 
 def classify_first(rows: DataFrame, rules: list[tuple[str, str]], text: str, default: str) -> DataFrame:
@@ -148,7 +148,7 @@ def excluded_years(docs: DataFrame, text: str, keys: list[str], contexts: list[s
 
 def exclude_context(candidates: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose year does not stand among the excluded of the same keys."""
-    return candidates.join(excluded, [*keys, "year"], "left_anti")
+    return join_on(candidates, excluded, [*keys, "year"], "left_anti")
 
 
 def keep_year_range(years: DataFrame, keys: list[str], least: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstruct.operators.dictionary import present_terms
 from docstruct.operators.lexicon import best_by
 
 
@@ -52,18 +53,18 @@ def detect_entity(docs: DataFrame, aliases: DataFrame, text: str, path: str, key
     """(keys, entity, score, confidence) of the best entity of aliases (alias, entity, priority, alias_rank).
 
     A hit among the first `head` characters counts twice the priority, up to three later ones once each, the file's name
-    once and its folder's name 0.8 times. Aliases are lower-case words, so hits are an equi join; confidence = min(score / 10, 1).
+    once and its folder's name 0.8 times. Aliases are lower-case and in any script, see present_terms(); confidence = min(score / 10, 1).
     """
     parts = F.split(F.coalesce(F.col(path), F.lit("")), "/")
     body = F.coalesce(F.col(text), F.lit(""))
     zones = {"head": F.substring(body, 1, head), "rest": F.substring(body, F.lit(head + 1), F.length(body)), "file": F.element_at(parts, -1), "folder": F.try_element_at(parts, F.lit(-2))}
-    placed = docs.select(*keys, F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.lower(c).alias("body")) for z, c in zones.items()))).alias("_z"))
-    words = placed.select(*keys, "_z.zone", F.explode(F.regexp_extract_all("_z.body", F.lit("([a-z0-9]+)"), F.lit(1))).alias("alias"))
-    hits = words.join(aliases, "alias")
-    counts = hits.groupBy(*keys, "entity", "alias", "priority", "alias_rank", "zone").agg(F.count("*").alias("n"))
+    numbered = docs.select("*", F.monotonically_increasing_id().alias("_doc"))
+    placed = numbered.select(*keys, "_doc", F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), F.lower(c).alias("body")) for z, c in zones.items()))).alias("_z")).select(*keys, "_doc", "_z.*")
+    hits = present_terms(placed, aliases, "body", [*keys, "_doc", "zone"], "alias").withColumnRenamed("term", "alias")
+    counts = hits.join(aliases, "alias")
     points = F.col("priority") * F.when(F.col("zone") == "head", 2 * F.col("n")).when(F.col("zone") == "rest", F.least("n", F.lit(3))).when(F.col("zone") == "file", 1.0).otherwise(0.8)
-    scores = counts.groupBy(*keys, "entity").agg(F.round(F.sum(points), 1).alias("score"), F.min("alias_rank").alias("_first"))
-    best = best_by(scores, keys, [F.desc("score"), F.col("_first"), F.col("entity")])
+    scores = counts.groupBy(*keys, "_doc", "entity").agg(F.round(F.sum(points), 1).alias("score"), F.min("alias_rank").alias("_first"))
+    best = best_by(scores, [*keys, "_doc"], [F.desc("score"), F.col("_first"), F.col("entity")])
     return best.select(*keys, "entity", "score", F.round(F.least(F.col("score") / 10, F.lit(1.0)), 4).alias("confidence"))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstruct.operators.dictionary import present_terms
+
 
 def tokens(text: str, pattern: str = "[a-z]+") -> Column:
     """Distinct lower-case tokens in order of appearance."""
@@ -30,8 +32,8 @@ def _grams(body: Column, n: int) -> Column:
 
 
 def match_tokens(docs: DataFrame, lexicon: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, field, category, score): distinct tokens that stand in the lexicon, by field and category."""
-    return docs.select(*keys, F.explode(tokens(text)).alias("term")).join(lexicon, "term").groupBy(*keys, "field", "category").agg(F.count("*").alias("score"))
+    """(keys, field, category, score): distinct terms of a lexicon in any script that a text holds, by field and category; see present_terms()."""
+    return present_terms(docs, lexicon, text, keys).join(lexicon, "term").groupBy(*keys, "field", "category").agg(F.count("*").alias("score"))
 
 
 def best_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -66,15 +68,16 @@ def term_tops(hits: DataFrame, keys: list[str], categories: int = 3, terms: int
 
 
 def important_terms(docs: DataFrame, lexicon: DataFrame, text: str, keys: list[str], k: int) -> DataFrame:
-    """At most k lexicon terms of each text, lower term_rank tiers first, then in order of appearance."""
-    placed = docs.select(*keys, F.posexplode(tokens(text)).alias("pos", "term")).join(lexicon, "term")
-    return placed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("tier", "pos"))).where(F.col("rank") <= k).select(*keys, "rank", "term", "tier")
+    """At most k terms of a lexicon (term, tier) in any script of each text, lower tiers first, then in order of appearance; at one place the longer term first."""
+    placed = present_terms(docs, lexicon, text, keys).join(lexicon, "term")
+    order = Window.partitionBy(*keys, "_row").orderBy("tier", "pos", F.desc(F.length("term")), "term")
+    return placed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "rank", "term", "tier")
 
 
 def cooccurrence_rules(docs: DataFrame, clusters: DataFrame, text: str, keys: list[str], least: int = 2) -> DataFrame:
-    """The first cluster (cluster_rank, theme, term) of which `least` different terms are present."""
-    found = docs.select(*keys, F.explode(tokens(text)).alias("term")).join(clusters, "term").groupBy(*keys, "cluster_rank", "theme").agg(F.count("*").alias("n_terms")).where(F.col("n_terms") >= least)
-    return best_by(found, keys, [F.col("cluster_rank")]).drop("cluster_rank")
+    """The first cluster (cluster_rank, theme, term), its terms in any script, of which a text holds `least` different ones."""
+    found = present_terms(docs, clusters, text, keys).join(clusters, "term").groupBy(*keys, "_row", "cluster_rank", "theme").agg(F.count("*").alias("n_terms")).where(F.col("n_terms") >= least)
+    return best_by(found, [*keys, "_row"], [F.col("cluster_rank"), F.col("theme")]).drop("cluster_rank", "_row")
 
 
 def nearby(items: DataFrame, others: DataFrame, keys: list[str], pos: str, radius: int, id_column: str) -> DataFrame:

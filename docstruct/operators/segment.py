@@ -6,47 +6,56 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstruct.functions.fold import choose_markers, keep_by_distance
-from docstruct.functions.positions import locate_matches, of_rule
+from docstruct.functions.fold import CitedSegments, KeepApart, TrueMarkers, fold_sorted
+from docstruct.functions.positions import join_on, locate_matches, of_rule
 
 
 def lines_with_offsets(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """(keys, line_no, line, pos) of every line."""
-    parts = docs.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("pos", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    """(keys, line_no, line, pos) of every line; null texts have one empty line."""
+    return locate_matches(docs, [], F.col(text), keys, lines=True).select(*keys, F.col("i").alias("line_no"), F.col("found").alias("line"), "pos")
 
 
-def find_markers(docs: DataFrame, rules: list[tuple[str, str, int]], text: str, keys: list[str], group: int = 0, anywhere: bool = False) -> DataFrame:
-    """G1: (keys, pos, end, line_no, rule, priority, marker) of the matches of rules (name, pattern, priority) at line starts, or anywhere; marker is the pattern's `group` (0: all)."""
+def find_markers(docs: DataFrame, rules: list[tuple[str, str, int]], text: str, keys: list[str], group: int = 0, anywhere: bool = False, line: bool = False) -> DataFrame:
+    """G1: (keys, line_no, pos, end, rule, priority, marker) of the matches of rules (name, pattern, priority) at line starts, or anywhere; marker is the pattern's `group` (0: all). With `line`, also the line that the marker begins in.
+
+    Anywhere, the starts of lines join the stream of matches, and each match takes the last one before it: one pass in the
+    order of positions, linear in matches and lines. Rows with null or repeated keys are found each.
+    """
+    extra = ["line"] if line else []
     if anywhere:
-        hits = locate_matches(docs, [(name, p) for name, p, _ in rules], F.col(text), keys, group)
-        body = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        placed = hits.join(body, keys).withColumn("line_no", F.length(F.regexp_replace(F.substring(F.col("_text"), F.lit(1), F.col("pos").cast("int")), "[^\n]", "")))
-        return placed.select(*keys, "line_no", "pos", "end", of_rule(F.col("rule_no"), [r[0] for r in rules]).alias("rule"), of_rule(F.col("rule_no"), [r[2] for r in rules]).alias("priority"), F.col("found").alias("marker"))
+        hits = locate_matches(docs, [(name, p) for name, p, _ in rules], F.col(text), keys, group, lines=True)
+        begins = F.col("rule_no") == len(rules)
+        held = F.struct(F.col("i").alias("line_no"), *[F.col("found").alias("line")] * line)
+        latest = F.last(F.when(begins, held), ignorenulls=True).over(Window.partitionBy("_row").orderBy("pos", (~begins).cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        placed = hits.withColumn("_l", latest).where(~begins)
+        return placed.select(*keys, "_l.line_no", "pos", "end", of_rule(F.col("rule_no"), [r[0] for r in rules]).alias("rule"), of_rule(F.col("rule_no"), [r[2] for r in rules]).alias("priority"), F.col("found").alias("marker"), *(["_l.line"] if line else []))
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(f"^(?:{p})"), F.struct(F.lit(name).alias("rule"), F.lit(priority).alias("priority"), F.length(F.regexp_extract("line", f"^(?:{p})", 0)).alias("size"), F.regexp_extract("line", f"^(?:{p})", group).alias("marker"))) for name, p, priority in rules)))
-    found = lines_with_offsets(docs, text, keys).select(*keys, "line_no", "pos", F.explode(hits).alias("_h"))
-    return found.select(*keys, "line_no", "pos", (F.col("pos") + F.col("_h.size")).alias("end"), "_h.rule", "_h.priority", "_h.marker")
+    found = lines_with_offsets(docs, text, keys).select(*keys, "line_no", "line", "pos", F.explode(hits).alias("_h"))
+    return found.select(*keys, "line_no", "pos", (F.col("pos") + F.col("_h.size")).alias("end"), "_h.rule", "_h.priority", "_h.marker", *extra)
 
 
 def select_markers(markers: DataFrame, keys: list[str], min_gap: int, excluded: Column | None = None) -> DataFrame:
     """The true markers (pos, number, priority) of each document: the "1" of best priority (the earliest on a tie), then in order of position.
 
-    excluded: a test for markers in the context of small questions, which are no candidates. A document's markers are few, so they are folded as one array.
+    excluded: a test for markers in the context of small questions, which are no candidates. One pass over a document's
+    sorted markers carries the last one kept, in constant memory. Null keys are a document.
     """
     some = markers if excluded is None else markers.where(~F.coalesce(excluded, F.lit(False)))
-    listed = some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "number", "priority"))).alias("_m"))
-    first = F.array_max(F.transform(F.filter("_m", lambda m: m["number"] == 1), lambda m: F.struct(m["priority"].alias("priority"), (-m["pos"]).alias("back"))))
-    begun = listed.withColumn("_from", -first["back"]).where("_from IS NOT NULL")
-    own = F.filter("_m", lambda m: (m["pos"] > F.col("_from")) | ((m["pos"] == F.col("_from")) & (m["number"] == 1)))
-    return begun.select(*keys, F.explode(choose_markers(own, min_gap)).alias("_k")).select(*keys, "_k.*")
+    some = some.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("number").cast("long").alias("number"), F.col("priority").cast("int").alias("priority"))
+    first = some.where("number = 1").groupBy(*keys).agg(F.max_by("pos", F.struct("priority", -F.col("pos"))).alias("_from"))
+    own = join_on(some, first, keys).where((F.col("pos") > F.col("_from")) | ((F.col("pos") == F.col("_from")) & (F.col("number") == 1)))
+    kept = fold_sorted(own, keys, ["pos", "number", "priority"], "pos long, number long, priority int", lambda: TrueMarkers(min_gap))
+    return kept.select(*keys, *(F.col(c).cast(markers.schema[c].dataType).alias(c) for c in ("pos", "number", "priority")))
 
 
 def cut_segments(docs: DataFrame, markers: DataFrame, text: str, keys: list[str], least: int = 0) -> DataFrame:
-    """(keys, segment_no, start, stop, segment): from each marker to the next or the end; a document without markers is one segment from 0. Segments under `least` characters go, the others keep their numbers."""
+    """(keys, segment_no, start, stop, segment): from each marker to the next or the end; a document without markers is one segment from 0. Segments under `least` characters go, the others keep their numbers.
+
+    The keys name a document, null ones too; rows that repeat them share their markers.
+    """
     w = Window.partitionBy(*keys).orderBy("pos")
     spans = markers.select(*keys, "pos").distinct().withColumns({"stop": F.lead("pos").over(w), "segment_no": F.row_number().over(w)})
-    joined = docs.select(*keys, F.col(text).alias("_text")).join(spans, keys, "left")
+    joined = join_on(docs.select(*keys, F.col(text).alias("_text")), spans, keys, "left")
     start, stop = F.coalesce("pos", F.lit(0)), F.coalesce("stop", F.length("_text"))
     cut = joined.select(*keys, F.coalesce("segment_no", F.lit(1)).alias("segment_no"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.substring(F.col("_text"), (start + 1).cast("int"), (stop - start).cast("int")).alias("segment"))
     return cut.where(F.col("stop") - F.col("start") >= least) if least else cut
@@ -102,32 +111,29 @@ def extract_choices(rows: DataFrame, pattern: str, text: str, keys: list[str]) -
 
 
 def thin_by_distance(hits: DataFrame, keys: list[str], pos: str, distance: int) -> DataFrame:
-    """Hits at least `distance` behind the last kept one.
+    """Hits at least `distance` behind the last kept one; one pass over a key's sorted hits, in constant memory however dense they are."""
+    own = hits.select(*keys, F.col(pos).cast("long").alias(pos)).where(F.col(pos).isNotNull()).distinct()
+    kept = fold_sorted(own, keys, [pos], f"`{pos}` long", lambda: KeepApart(distance))
+    return kept.withColumn(pos, F.col(pos).cast(hits.schema[pos].dataType))
+
+
+def split_by_citation(docs: DataFrame, citations: DataFrame, text: str, keys: list[str], least: int = 500, leading: str | None = None) -> DataFrame:
+    """(keys, segment_no, kind, start, stop): segments end behind each citation's paragraph (the next blank line) once they have `least` characters; the text behind the last one is of kind 'plain'.
 
-    A hit that lies `distance` behind its neighbour before is always kept, whatever was kept among those, so that it
-    begins an island of its own. Islands are folded apart: no key's hits meet in one array unless they are that dense.
+    What stands before the first citation is a segment 'leading' of its own if it matches the pattern `leading`, whatever
+    its length. Paragraph ends and citations (keys, pos) are one stream in which each citation takes the next end; one pass
+    over the ends keeps those far enough behind the last. Linear in both. The keys name a document, null ones too.
     """
-    w = Window.partitionBy(*keys).orderBy(pos)
-    apart = hits.select(*keys, pos).where(F.col(pos).isNotNull()).distinct().withColumn("_new", F.coalesce((F.col(pos) - F.lag(pos).over(w) >= distance).cast("int"), F.lit(1)))
-    islands = apart.withColumn("_island", F.sum("_new").over(w))
-    listed = islands.groupBy(*keys, "_island").agg(F.array_sort(F.collect_list(pos)).alias("_p"))
-    return listed.select(*keys, F.explode(keep_by_distance(F.col("_p"), distance)).alias(pos))
-
-
-def split_by_citation(docs: DataFrame, citations: DataFrame, text: str, keys: list[str], least: int = 500) -> DataFrame:
-    """(keys, segment_no, kind, start, stop): segments end behind each citation's paragraph (the next blank line) once they have `least` characters; the text behind the last citation is of kind 'plain'."""
-    body = docs.select(*keys, F.col(text).alias("_text"))
-    blank = F.call_function("locate", F.lit("\n\n"), F.col("_text"), (F.col("pos") + 1).cast("int"))
-    ends = citations.select(*keys, "pos").join(body, keys).withColumn("_end", F.when(blank > 0, blank + 1).otherwise(F.length("_text")))
-    listed = ends.groupBy(*keys).agg(F.array_sort(F.collect_set("_end")).alias("_e"))
-    none = F.expr("CAST(array() AS array<int>)")
-    kept = F.aggregate("_e", none, lambda acc, e: F.when(e - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) >= least, F.array_append(acc, e)).otherwise(acc))
-    cut = body.join(listed.withColumn("_e", kept), keys, "left").withColumn("_e", F.coalesce("_e", none))
-    total = F.length("_text")
-    stops = F.when((F.size("_e") == 0) | (F.element_at(F.concat(F.array(F.lit(0)), F.col("_e")), -1) < total), F.array_append(F.col("_e"), total)).otherwise(F.col("_e"))
-    rows = cut.withColumn("_n", F.size("_e")).select(*keys, "_n", F.posexplode(stops).alias("_i", "stop"))
-    w = Window.partitionBy(*keys).orderBy("_i")
-    return rows.select(*keys, (F.col("_i") + 1).alias("segment_no"), F.when(F.col("_i") < F.col("_n"), "cited").otherwise("plain").alias("kind"), F.coalesce(F.lag("stop").over(w), F.lit(0)).alias("start"), "stop")
+    first = citations.groupBy(*keys).agg(F.min("pos").cast("int").alias("_first"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    before = F.when(F.substring(body, F.lit(1), F.col("_first")).rlike(leading), F.col("_first")) if leading else F.lit(None).cast("int")
+    heads = join_on(docs.select(*keys, text), first, keys, "left").select(*keys, F.length(body).cast("long").alias("_total"), F.when(F.col("_first") > 0, before).cast("long").alias("_lead"))
+    blanks = locate_matches(docs, [("blank", "\n(?=\n)")], F.col(text), keys).select(*keys, "pos", (F.col("pos") + 2).alias("_end"), F.lit(False).alias("_cited"))
+    stream = blanks.union(heads.select(*keys, "_total", "_total", F.lit(False))).union(citations.select(*keys, F.col("pos").cast("long"), F.lit(None).cast("long"), F.lit(True)))
+    following = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("pos"), "_cited").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = stream.withColumn("at", following).where("_cited").select(*keys, "at", F.lit(1).alias("kind")).where("at IS NOT NULL").distinct()
+    places = ends.union(heads.where("_lead IS NOT NULL").select(*keys, "_lead", F.lit(0))).union(heads.select(*keys, "_total", F.lit(2)))
+    return fold_sorted(places, keys, ["at", "kind"], "segment_no int, kind string, start long, stop long", lambda: CitedSegments(least))
 
 
 def reading_order(blocks: DataFrame, doc: str, tie: list[str] | None = None) -> DataFrame:

@@ -8,55 +8,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstruct.operators.lexicon import tokens
+from docstruct.operators.dictionary import present_terms
 
 
-def _present(words: Column, terms: list[str]) -> Column:
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, terms))))
-
-
-def score_keywords(rows: DataFrame, keywords: list[tuple[str, str, int]], text: str, keys: list[str], default: str, least: int = 1, tie: str = "first", first_chars: int | None = None) -> DataFrame:
-    """C4: (keys, label, score, confidence) by keywords (label, word, weight).
+def score_keywords(rows: DataFrame, keywords: list[tuple[str, str, int]] | DataFrame, text: str, keys: list[str], default: str, least: int = 1, tie: str = "first", first_chars: int | None = None, banded: bool = False) -> DataFrame:
+    """C4: (keys, label, score, confidence) by keywords (label, word, weight) in any script, a list or a table with label_rank.
 
     A word's weight counts once if the text holds the word; with `first_chars` it counts at every occurrence among so many
-    characters. The best label of at least `least` points wins, else the default; a tie goes to the first declared label
-    or, with tie='mixed', to 'mixed'. confidence is the winner's share of all points, 0 for the default.
+    characters. The best label of at least `least` points (1 or more) wins, else the default; a tie goes to the first
+    declared label or, with tie='mixed', to 'mixed'. confidence is the winner's share of all points or, `banded`, 0.2 and
+    0.1 for each of its different words up to 0.95; 0 for the default. A row each, null texts and keys too.
     """
-    labels = list(dict.fromkeys(label for label, _, _ in keywords))
-    body = F.lower(F.coalesce(F.col(text), F.lit("")))
-    words = tokens(text) if first_chars is None else F.regexp_extract_all(F.substring(body, 1, first_chars), F.lit("([a-z]+)"), F.lit(1))
-    points = {}
-    for label in labels:
-        tiers: dict[int, list[str]] = {}
-        for own, word, weight in keywords:
-            if own == label:
-                tiers.setdefault(weight, []).append(word)
-        count = lambda terms: _present(F.col("_w"), terms) if first_chars is None else F.size(F.filter(F.col("_w"), lambda w: w.isin(terms)))
-        points[label] = sum((count(terms) * weight for weight, terms in tiers.items()), F.lit(0))
-    scored = rows.select(*keys, F.coalesce(words, F.array().cast("array<string>")).alias("_w"))
-    scored = scored.select(*keys, F.array(*points.values()).alias("_s"))
-    top = F.array_max("_s")
-    winner = F.element_at(F.array(*map(F.lit, labels)), F.array_position(F.col("_s"), top).cast("int"))
-    if tie == "mixed":
-        winner = F.when(F.size(F.filter("_s", lambda s: s == top)) > 1, "mixed").otherwise(winner)
-    total = F.aggregate("_s", F.lit(0), lambda a, s: a + s)
-    won = top >= least
-    return scored.select(*keys, F.when(won, winner).otherwise(default).alias("label"), top.cast("long").alias("score"), F.when(won & (total > 0), F.round(top / total, 4)).otherwise(0.0).alias("confidence"))
+    table = keywords
+    if not isinstance(keywords, DataFrame):
+        labels = list(dict.fromkeys(label for label, _, _ in keywords))
+        table = rows.sparkSession.createDataFrame([(label, word, weight, labels.index(label)) for label, word, weight in keywords], "label string, word string, weight int, label_rank int")
+    body = rows if first_chars is None else rows.withColumn(text, F.substring(text, 1, first_chars))
+    hits = present_terms(body, table, text, keys, "word", outer=True).withColumnRenamed("term", "word")
+    each = F.col("weight") * (1 if first_chars is None else F.col("n"))
+    points = hits.join(table, "word", "left").groupBy(*keys, "_row", "label", "label_rank").agg(F.sum(each).cast("long").alias("_p"), F.count("word").alias("_n"))
+    points = points.withColumn("_p", F.when(F.col("label").isNotNull(), F.col("_p")))
+    best = F.max(F.struct("_p", (-F.col("label_rank")).alias("_back"), "label", "_n")).alias("_b")
+    ranked = points.withColumn("_top", F.max("_p").over(Window.partitionBy(*keys, "_row")))
+    found = ranked.groupBy(*keys, "_row").agg(best, F.sum("_p").alias("_total"), F.count_if(F.col("_p") == F.col("_top")).alias("_tied"))
+    top = F.greatest(F.coalesce("_b._p", F.lit(0)), F.lit(0))
+    won = top >= max(least, 1)
+    winner = F.when(F.col("_tied") > 1, "mixed").otherwise(F.col("_b.label")) if tie == "mixed" else F.col("_b.label")
+    share = F.least(F.lit(0.95), F.round(0.2 + 0.1 * F.col("_b._n"), 4)) if banded else F.when(F.col("_total") > 0, F.round(top / F.col("_total"), 4)).otherwise(0.0)
+    return found.select(*keys, F.when(won, winner).otherwise(default).alias("label"), top.cast("long").alias("score"), F.when(won, share).otherwise(0.0).alias("confidence"))
 
 
 def period_and_region(rows: DataFrame, periods: list[tuple[str, list[str], list[str]]], century: str, regions: list[tuple[str, str]], text: str, keys: list[str]) -> DataFrame:
-    """(keys, period, tier, region) by periods (name, strong words, representative words) and regions (name, word).
+    """(keys, period, tier, region) by periods (name, strong words, representative words) and regions (name, word), in any script.
 
     The first period with a strong word wins (tier 'strong'), else the number that `century` finds ('century'), else the
-    period with most representative words ('representative', first declared on a tie), else null. The region is that of the first listed word.
+    period with most different representative words ('representative', first declared on a tie), else null. The region is
+    that of the first listed word. A row each, null texts and keys too.
     """
-    own = rows.select(*keys, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("_w"), F.nullif(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), century, 1), F.lit("")).alias("_c"))
-    strong = F.coalesce(*(F.when(_present(F.col("_w"), words) > 0, name) for name, words, _ in periods))
-    hits = F.array(*(_present(F.col("_w"), words) for _, _, words in periods))
-    best = F.element_at(F.array(*(F.lit(name) for name, _, _ in periods)), F.array_position(hits, F.array_max(hits)).cast("int"))
-    tier = F.when(strong.isNotNull(), "strong").when(F.col("_c").isNotNull(), "century").when(F.array_max(hits) > 0, "representative")
-    region = F.coalesce(*(F.when(F.array_contains("_w", word), name) for name, word in regions))
-    return own.select(*keys, F.coalesce(strong, F.concat("_c", F.lit(". century")), F.when(F.array_max(hits) > 0, best)).alias("period"), tier.alias("tier"), region.alias("region"))
+    listed = [(w, "strong", k, n) for k, (n, own, _) in enumerate(periods) for w in own] + [(w, "word", k, n) for k, (n, _, own) in enumerate(periods) for w in own] + [(w, "region", k, n) for k, (n, w) in enumerate(regions)]
+    table = rows.sparkSession.createDataFrame(listed, "term string, kind string, place int, name string").distinct()
+    own = rows.withColumn("_c", F.nullif(F.regexp_extract(F.coalesce(F.col(text), F.lit("")), century, 1), F.lit("")))
+    hits = present_terms(own, table, text, [*keys, "_c"], outer=True).join(table, "term", "left")
+    counts = hits.groupBy(*keys, "_c", "_row", "kind", "place", "name").agg(F.count("kind").alias("_n"))
+    pick = lambda kind, order: F.max(F.when(F.col("kind") == kind, F.struct(order.alias("o"), (-F.col("place")).alias("b"), F.col("name").alias("name"))))["name"]
+    best = counts.groupBy(*keys, "_c", "_row").agg(pick("strong", F.lit(0)).alias("_strong"), pick("word", F.col("_n")).alias("_most"), pick("region", F.lit(0)).alias("region"))
+    tier = F.when(F.col("_strong").isNotNull(), "strong").when(F.col("_c").isNotNull(), "century").when(F.col("_most").isNotNull(), "representative")
+    return best.select(*keys, F.coalesce("_strong", F.concat("_c", F.lit(". century")), "_most").alias("period"), tier.alias("tier"), "region")
 
 
 def cascade(rows: DataFrame, stages: list[tuple[str, float, Column]], keys: list[str], text: str, suffixes: list[tuple[str, str]], excluded: str, exclude_before: str) -> DataFrame:

@@ -62,9 +62,9 @@ def e8_subject_and_kind(t):
 ALIASES = [("der", "german", 10, 1), ("und", "german", 8, 2), ("the", "english", 10, 3), ("of", "english", 5, 4), ("les", "french", 10, 5), ("los", "spanish", 10, 6), ("src1", "first", 5, 7), ("fr", "french", 5, 8)]
 
 
-@query("WITH al(alias, entity, priority, alias_rank) AS (VALUES " + ", ".join(map(str, ALIASES)) + """), z AS (
-SELECT doc_id, 'head' AS zone, unnest(regexp_extract_all(lower(substring(text, 1, 1000)), '[a-z0-9]+')) AS alias FROM documents
-UNION ALL SELECT doc_id, 'rest', unnest(regexp_extract_all(lower(substring(text, 1001)), '[a-z0-9]+')) FROM documents
+@query("WITH al(alias, entity, priority, alias_rank) AS (VALUES " + ", ".join(map(str, ALIASES)) + r"""), z AS (
+SELECT doc_id, 'head' AS zone, unnest(regexp_extract_all(lower(substring(text, 1, 1000)), '[\p{Latin}0-9]+')) AS alias FROM documents
+UNION ALL SELECT doc_id, 'rest', unnest(regexp_extract_all(lower(substring(text, 1001)), '[\p{Latin}0-9]+')) FROM documents
 UNION ALL SELECT doc_id, 'file', source FROM documents UNION ALL SELECT doc_id, 'folder', lang FROM documents),
 c AS (SELECT doc_id, entity, alias, priority, alias_rank, zone, count(*) AS n FROM z JOIN al USING (alias) GROUP BY ALL),
 s AS (SELECT doc_id, entity, round(sum(priority * CASE zone WHEN 'head' THEN 2.0::DOUBLE * n WHEN 'rest' THEN least(n, 3) WHEN 'file' THEN 1 ELSE 0.8::DOUBLE END), 1) AS score, min(alias_rank) AS f FROM c GROUP BY ALL)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstruct.operators import classify, lexicon
+from docstruct.operators import classify, dictionary, lexicon
 from docstruct.sources import ingest
 from docstruct.plans.registry import query
 
 TERMS = [("the", "en", "article", 1), ("that", "en", "other", 2), ("and", "en", "join", 3), ("der", "de", "article", 4), ("und", "de", "join", 5), ("die", "de", "article", 6), ("les", "fr", "article", 7), ("que", "fr", "join", 8), ("los", "es", "article", 9), ("del", "es", "article", 10)]
 _LEX = "lex(term, field, category, term_rank) AS (VALUES " + ", ".join(map(str, TERMS)) + ")"
-_TOK = "tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents)"
+_TOK = r"tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{Latin}0-9]+')) AS term FROM documents)"
 PARTS = [("STEEL", "metal", "hard", 1), ("TIN", "metal", "soft", 2), ("BRASS", "alloy", "hard", 3), ("PLATED", "finish", "coat", 4), ("BRUSHED", "finish", "rub", 5), ("A", "letter", "vowel", 6)]
 _HITS = "WITH lex(term, field, category, term_rank) AS (VALUES " + ", ".join(map(str, PARTS)) + "), hits AS (SELECT p_partkey, term, field, category, term_rank, ((length(p_type) - length(replace(p_type, term, ''))) // length(term))::BIGINT AS n FROM part JOIN lex ON contains(p_type, term))"
 _SCHEMA = "term string, field string, category string, term_rank int"
@@ -31,6 +31,21 @@ def t1_match_terms(t):
     return _hits(t)
 
 
+#: Terms of several words, of signs and of parts that follow no word's end: those of texts without blanks are found like them.
+PHRASES = ["of the", "the", ", der", "é", "los ", "| ", "- -"]
+
+
+@query("WITH lex(term) AS (VALUES " + ", ".join(f"('{p}')" for p in PHRASES) + r"""), s AS (SELECT doc_id, term, string_split(lower(text), term) AS p FROM documents, lex),
+h AS (SELECT doc_id, term, unnest(range(1, len(p))) AS i, unnest(p[1:len(p) - 1]) AS x, unnest(p[2:]) AS y FROM s),
+q AS (SELECT doc_id, term, CASE WHEN x <> '' THEN right(x, 1) WHEN i > 1 THEN right(term, 1) ELSE '' END AS b, CASE WHEN y <> '' THEN left(y, 1) ELSE left(term, 1) END AS a,
+sum(length(x)) OVER (PARTITION BY doc_id, term ORDER BY i) + (i - 1) * length(term) AS pos FROM h)
+SELECT doc_id, term, count(*) AS n, min(pos)::BIGINT AS pos FROM q WHERE NOT (regexp_matches(term, '^[\p{Latin}0-9]') AND regexp_matches(b, '[\p{Latin}0-9]')) AND NOT (regexp_matches(term, '[\p{Latin}0-9]$') AND regexp_matches(a, '[\p{Latin}0-9]')) GROUP BY ALL""")
+def t1_terms_of_long_texts(t):
+    docs = t("documents")
+    terms = docs.sparkSession.createDataFrame([(p,) for p in PHRASES], "term string")
+    return dictionary.present_terms(docs, terms, "text", ["doc_id"]).drop("_row")
+
+
 @query(f"WITH {_LEX}, {_TOK} SELECT doc_id, field, category, count(*) AS score FROM tok JOIN lex USING (term) GROUP BY ALL")
 def t2_match_tokens(t):
     docs = t("documents")
@@ -60,7 +75,7 @@ def t5_term_tops(t):
     return lexicon.term_tops(_hits(t), ["p_partkey"])
 
 
-@query(f"""WITH {_LEX}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM w),
+@query(f"""WITH {_LEX}, w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{Latin}}0-9]+') AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM w),
 f AS (SELECT doc_id, term, min(pos) AS pos FROM p GROUP BY ALL), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY term_rank // 4, pos) AS rank, term, (term_rank // 4)::BIGINT AS tier FROM f JOIN lex USING (term))
 SELECT * FROM r WHERE rank <= 3""")
 def t7_important_terms(t):

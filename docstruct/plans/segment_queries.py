@@ -22,9 +22,10 @@ _PLACED = "a AS (" + " UNION ALL ".join(f"""SELECT doc_id, '{n}' AS rule, {p} AS
 FROM (SELECT doc_id, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g FROM (SELECT doc_id, regexp_extract_all(text, '({r})', 1) AS ms, regexp_extract_all(text, '({r})', 2) AS vs, string_split_regex(text, '{r}') AS gs FROM documents))""" for n, r, p in _ANYWHERE) + ")"
 
 
-@query("WITH " + _PLACED + """ SELECT doc_id, length(regexp_replace(substr(text, 1, pos), '[^\n]', '', 'g')) AS line_no, pos, pos + size AS "end", rule, priority, marker FROM a JOIN documents USING (doc_id)""")
+@query("WITH " + _PLACED + """, x AS (SELECT doc_id, length(regexp_replace(substr(text, 1, pos), '[^\n]', '', 'g')) AS line_no, pos, pos + size AS "end", rule, priority, marker, text FROM a JOIN documents USING (doc_id))
+SELECT * EXCLUDE (text), string_split(text, chr(10))[line_no + 1] AS line FROM x""")
 def g1_find_markers_anywhere(t):
-    return segment.find_markers(t("documents"), _ANYWHERE, "text", ["doc_id"], 1, True).withColumn("line_no", F.col("line_no").cast("long"))
+    return segment.find_markers(t("documents"), _ANYWHERE, "text", ["doc_id"], 1, True, True).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query("WITH RECURSIVE " + _PLACED + """, m AS (SELECT DISTINCT doc_id, pos, 1 + (ascii(marker) % 7)::BIGINT AS number, priority FROM a WHERE ascii(marker) % 5 > 0),
@@ -97,11 +98,19 @@ def g10_thin_by_distance(t):
     return segment.thin_by_distance(t("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("pos")), ["user_id"], "pos", 600_000_000)
 
 
-@query()
+@query("WITH RECURSIVE l AS (" + _LINES + """), n AS (SELECT doc_id, max(i) AS last FROM l GROUP BY doc_id), c AS (SELECT doc_id, pos FROM l WHERE regexp_matches(line, '[(][A-Z]|[0-9]{4}')),
+b AS (SELECT doc_id, pos - 1 AS p, pos + 1 AS e FROM l JOIN n USING (doc_id) WHERE line = '' AND i > 0 AND i < last), t AS (SELECT doc_id, length(text)::BIGINT AS total FROM documents),
+e AS (SELECT DISTINCT doc_id, e FROM (SELECT c.doc_id, c.pos, coalesce(min(b.e), min(total)) AS e FROM c JOIN t ON t.doc_id = c.doc_id LEFT JOIN b ON c.doc_id = b.doc_id AND c.pos <= b.p GROUP BY c.doc_id, c.pos)),
+f AS (SELECT doc_id, min(pos) AS f FROM c GROUP BY doc_id), h AS (SELECT doc_id, CASE WHEN f > 0 AND regexp_matches(substr(text, 1, f), ' the | der ') THEN f END AS lead FROM documents LEFT JOIN f USING (doc_id)),
+k AS (SELECT doc_id, coalesce(lead, 0)::BIGINT AS stop, 0::BIGINT AS start, CASE WHEN lead IS NULL THEN 'none' ELSE 'leading' END AS kind FROM h
+UNION ALL SELECT k.doc_id, (SELECT min(e.e) FROM e WHERE e.doc_id = k.doc_id AND e.e >= k.stop + 500), k.stop, 'cited' FROM k WHERE k.stop IS NOT NULL),
+s AS (SELECT doc_id, kind, start, stop FROM k WHERE stop IS NOT NULL AND kind <> 'none'), m AS (SELECT t.doc_id, total, max(stop) AS stop FROM t LEFT JOIN s USING (doc_id) GROUP BY ALL),
+u AS (SELECT * FROM s UNION ALL SELECT doc_id, 'plain', coalesce(stop, 0), total FROM m WHERE stop IS NULL OR stop < total)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stop) AS segment_no, kind, start, stop FROM u""")
 def g11_split_by_citation(t):
     docs = t("documents")
     cited = segment.lines_with_offsets(docs, "text", ["doc_id"]).where(F.col("line").rlike("[(][A-Z]|[0-9]{4}"))
-    return segment.split_by_citation(docs, cited, "text", ["doc_id"])
+    return segment.split_by_citation(docs, cited, "text", ["doc_id"], leading=" the | der ").withColumn("segment_no", F.col("segment_no").cast("long"))
 
 
 _BLOCKS = "SELECT l_orderkey, l_partkey % 2 AS page, (l_suppkey % 2) * 300.0::DOUBLE AS x0, (l_suppkey % 2) * 300.0::DOUBLE + 250 AS x1, l_linenumber * 10.0::DOUBLE + l_partkey % 7 AS y0, l_linenumber * 10.0::DOUBLE + 9 + l_partkey % 7 AS y1, l_partkey, CASE l_returnflag WHEN 'A' THEN 'title' WHEN 'R' THEN 'question' ELSE 'source' END AS block_type, 'P' || l_partkey AS text FROM lineitem"
@@ -191,7 +200,17 @@ def p6_length_gate(t):
     return prepare.length_gate(t("documents"), "text", 500, 5000).groupBy("source", "reason").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Sentence ends that no bracket protects, long pieces cut, and packing by one step a chunk over prefix sums.
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+q AS (SELECT doc_id, i, unnest(range(len(qs))) AS j, unnest(qs) AS part FROM (SELECT doc_id, i, CASE WHEN length(line) <= 800 THEN [line] ELSE string_split(regexp_replace(line, '([.!?。！？])\s*', '\1' || chr(1), 'g'), chr(1)) END AS qs FROM l)),
+o AS (SELECT *, string_agg(part, '') OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM q),
+g AS (SELECT *, sum(CASE WHEN j = 0 OR regexp_matches(rest, '^[^(（「]*[)）」]') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, i ORDER BY j) AS g FROM o),
+s AS (SELECT doc_id, i, g, string_agg(part, '' ORDER BY j) AS part FROM g GROUP BY ALL),
+x AS (SELECT doc_id, i, g, k, substr(part, k * 800 + 1, 800) AS piece FROM (SELECT doc_id, i, g, part, unnest(range((length(part) + 799) // 800)) AS k FROM s)),
+p AS (SELECT doc_id, piece, row_number() OVER w AS n, (sum(length(piece) + 1) OVER w)::BIGINT AS c FROM x WHERE length(piece) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i, g, k)),
+r AS (SELECT doc_id, 0 AS chunk_no, 0::BIGINT AS base, (SELECT max(p.c) FROM p WHERE p.doc_id = d.doc_id AND p.c <= 801)::BIGINT AS upto FROM (SELECT DISTINCT doc_id FROM p) d
+UNION ALL SELECT r.doc_id, chunk_no + 1, r.upto, (SELECT max(p.c) FROM p WHERE p.doc_id = r.doc_id AND p.c > r.upto AND p.c <= r.upto + 801)::BIGINT FROM r WHERE r.upto IS NOT NULL)
+SELECT doc_id, chunk_no::INTEGER AS chunk_no, string_agg(piece, chr(10) ORDER BY n) AS chunk FROM r JOIN p USING (doc_id) WHERE p.c > r.base AND p.c <= r.upto GROUP BY ALL""")
 def p8_chunk_documents(t):
     return prepare.chunk_documents(t("documents"), 800, "text", ["doc_id"])
 

@@ -8,7 +8,7 @@ from docstruct.operators import lexicon, themes
 from docstruct.plans.registry import query
 
 KEYWORDS = [("en", "the", 3), ("en", "of", 2), ("en", "for", 1), ("de", "der", 3), ("de", "und", 2), ("de", "ist", 1), ("fr", "les", 3), ("fr", "que", 2), ("es", "los", 3), ("es", "que", 2)]
-_W = "w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS ws FROM documents)"
+_W = r"w AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{Latin}0-9]+')) AS ws FROM documents)"
 _POINTS = {c: " + ".join(f"{v} * list_contains(ws, '{w}')::INT" for k, w, v in KEYWORDS if k == c) for c in ("en", "de", "fr", "es")}
 
 
@@ -21,7 +21,7 @@ def c4_score_keywords(t):
 _COUNTS = {c: " + ".join(f"{v} * len(list_filter(ws, lambda x: x = '{w}'))" for k, w, v in KEYWORDS if k == c) for c in ("en", "de", "fr", "es")}
 
 
-@query("WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations), s AS (SELECT conv_id, turn, [" + ", ".join(_COUNTS.values()) + """] AS s FROM w), m AS (SELECT conv_id, turn, s, list_max(s) AS top FROM s)
+@query(r"WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{Latin}0-9]+') AS ws FROM conversations), s AS (SELECT conv_id, turn, [" + ", ".join(_COUNTS.values()) + """] AS s FROM w), m AS (SELECT conv_id, turn, s, list_max(s) AS top FROM s)
 SELECT conv_id, turn, CASE WHEN top < 1 THEN 'none' ELSE ['en', 'de', 'fr', 'es'][list_position(s, top)] END AS label, top::BIGINT AS score, CASE WHEN top >= 1 THEN round(top / list_sum(s)::DOUBLE, 4) ELSE 0 END AS confidence FROM m""")
 def c4_score_keyword_counts(t):
     return themes.score_keywords(t("conversations"), KEYWORDS, "text", ["conv_id", "turn"], "none", first_chars=2**31 - 1)
@@ -80,9 +80,9 @@ CASE WHEN gone THEN 'excluded' WHEN i IS NULL THEN 'none' ELSE ['lexicon', 'peri
 def h1_cascade_tables(t):
     docs = t("documents")
     lex = docs.sparkSession.createDataFrame(TERMS, "term string, field string, category string, term_rank int")
-    hits = docs.select("doc_id", F.explode(lexicon.tokens("text")).alias("term")).join(lex.where("category <> 'article'"), "term")
+    hits = docs.select("doc_id", F.explode(lexicon.tokens("text", r"[\p{IsLatin}0-9]+")).alias("term")).join(lex.where("category <> 'article'"), "term")
     clusters = docs.sparkSession.createDataFrame(CLUSTERS, "term string, theme string, cluster_rank int")
-    periods = themes.period_and_region(docs, [("none", ["-"], ["-"])], "([0-9]{2})th", [("none", "-")], "text", ["doc_id"])
+    periods = themes.period_and_region(docs, [("none", ["qqqq"], ["qqqq"])], "([0-9]{2})th", [("none", "qqqq")], "text", ["doc_id"])
     stages = [
         ("lexicon", 0.9, lexicon.longest_term(hits, ["doc_id"]).withColumnRenamed("term", "theme")),
         ("period", 0.85, periods.select("doc_id", F.col("period").alias("theme"))),
