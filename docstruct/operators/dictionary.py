@@ -25,7 +25,7 @@ def anchors(terms: DataFrame, term: str = "term") -> DataFrame:
     return best.select("term", "size", "_b.gram", "_b.offset", F.col("term").rlike(f"^{WORD}").alias("before"), F.col("term").rlike(f"{WORD}$").alias("after"))
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], term: str = "term", single: bool = True, outer: bool = False) -> DataFrame:
+def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], term: str = "term", single: bool = True, outer: bool = False, words: bool = True) -> DataFrame:
     """(keys, _row, term, pos): each occurrence of each term in the lower-cased text, overlaps included, by 0-based position.
 
     Terms are lower-case, of 1 to WINDOW characters (longer ones raise ValueError), in any script. A text is cut into
@@ -35,13 +35,14 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], ter
     is shuffled; beyond, pairs are dealt by a shuffle, each with its window.
 
     _row tells input rows apart, whatever their keys. `single`: there may be terms of one character; without them a window
-    emits half as much. `outer`: rows without a hit, null texts among them, have one row with a null term.
+    emits half as much. Without `words`, texts keep their case and terms may lie within longer words. `outer`: rows without a hit, null texts among them, have one row with a null term.
     """
     longest = terms.agg(F.max(F.length(term))).first()[0] or 0
     if longest > WINDOW:
         raise ValueError(f"a term is longer than {WINDOW} characters")
     found = _placed(anchors(terms, term), terms, term)
-    chunks = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+    body = F.coalesce(F.col(text), F.lit(""))
+    chunks = F.regexp_extract_all(F.lower(body) if words else body, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
     around = F.arrays_zip(F.concat(F.array(F.lit("\n")), F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("p"), chunks.alias("c"), F.slice(chunks, F.lit(2), F.greatest(F.size(chunks), F.lit(1))).alias("d"))
     rows = docs.select("*", F.monotonically_increasing_id().alias("_row"))
     windows = rows.select(*keys, "_row", F.posexplode(around).alias("_i", "_w"))
@@ -56,7 +57,8 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], ter
     start = F.col("_k") - F.col("offset")  # in the body, whose first character is the one before the window
     edge = lambda at: F.coalesce(F.substring("_body", at, F.lit(1)), F.lit("")).rlike(WORD)
     hit = start.between(1, F.col("_own")) & (F.substring("_body", start + 1, F.col("size")) == F.col("term"))
-    hit &= ~(F.col("before") & edge(start)) & ~(F.col("after") & edge(start + 1 + F.col("size")))
+    if words:
+        hit &= ~(F.col("before") & edge(start)) & ~(F.col("after") & edge(start + 1 + F.col("size")))
     ok = F.coalesce(hit, F.lit(False))
     pos = F.when(ok, F.col("_i") * WINDOW + start - 1).cast("long").alias("pos")
     kept = met.where(ok | ((F.col("_i") == 0) & (F.col("_k") == 0))) if outer else met.where(ok)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docstruct.operators.dictionary import present_terms
+from docstruct.functions.positions import join_on
+from docstruct.operators.dictionary import present_terms, term_hits
 
 
 def tokens(text: str, pattern: str = "[a-z]+") -> Column:
@@ -81,21 +82,36 @@ def cooccurrence_rules(docs: DataFrame, clusters: DataFrame, text: str, keys: li
 
 
 def nearby(items: DataFrame, others: DataFrame, keys: list[str], pos: str, radius: int, id_column: str) -> DataFrame:
-    """(keys, id, n_near) of others within `radius` of each item: an interval join on the keys and a bin of the position, so that long documents split."""
-    left = items.select(*keys, id_column, F.col(pos).alias("_p"), F.explode(F.expr(f"sequence({pos} div {radius} - 1, {pos} div {radius} + 1)")).alias("_bin"))
-    right = others.select(*keys, F.col(pos).alias("_q"), F.expr(f"{pos} div {radius}").alias("_bin"))
-    return left.join(right, [*keys, "_bin"]).where(F.abs(F.col("_p") - F.col("_q")) <= radius).groupBy(*keys, id_column).agg(F.count("*").alias("n_near"))
+    """(keys, id, n_near) of others within `radius` of each item, for items that have any.
+
+    No pair is formed: items' lower and upper bounds and the others are one stream by position, a running count of others
+    stands at each bound, and an item's two differ by what lies between. Linear in items and others. Null keys are a key.
+    """
+    return _between(items, others.select(*keys, F.col(pos).alias("_q"), F.lit(1).cast("long").alias("_c")), keys, pos, radius, [id_column]).withColumnRenamed("_n", "n_near")
+
+
+def _between(items: DataFrame, others: DataFrame, keys: list[str], pos: str, radius: int, names: list[str]) -> DataFrame:
+    """(keys, names, _n) of the sums of _c of others (keys, _q, _c) within `radius` of each item, where above 0."""
+    none = [F.lit(None).cast(items.schema[n].dataType).alias(n) for n in names]
+    stream = others.select(*keys, *none, F.col("_q").cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).alias("_sign"), "_c")
+    for turn, sign, at in ((0, -1, F.col(pos) - radius), (2, 1, F.col(pos) + radius)):  # a lower bound comes before what lies on it
+        stream = stream.union(items.select(*keys, *names, at.cast("long"), F.lit(turn), F.lit(sign), F.lit(0).cast("long")))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = stream.withColumn("_upto", upto).where("_sign <> 0").groupBy(*keys, *names).agg(F.sum(F.col("_sign") * F.col("_upto")).alias("_n"))
+    return found.where("_n > 0")
 
 
 def nearby_terms(items: DataFrame, blocks: DataFrame, keys: list[str], id_column: str, pos: str, text: str, radius: int, k: int, pattern: str = "([a-z]{2,})") -> DataFrame:
     """(keys, id, rank, word, n) of the k words that blocks within `radius` of each item have most: by frequency, then longer first, then by name.
 
-    An interval join on the keys and a bin of the position; a block's words are counted before they meet items.
+    Items meet the distinct words of the bins around them, and count each as nearby() does, by running counts of the word:
+    the work grows with items times words of their bins, not with the blocks that have them.
     """
     words = blocks.select(*keys, F.col(pos).alias("_q"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(1))).alias("word")).groupBy(*keys, "_q", "word").agg(F.count("*").alias("_c"))
-    left = items.select(*keys, id_column, F.col(pos).alias("_p"), F.explode(F.expr(f"sequence({pos} div {radius} - 1, {pos} div {radius} + 1)")).alias("_bin"))
-    right = words.withColumn("_bin", F.expr(f"_q div {radius}"))
-    counts = left.join(right, [*keys, "_bin"]).where(F.abs(F.col("_p") - F.col("_q")) <= radius).groupBy(*keys, id_column, "word").agg(F.sum("_c").alias("n"))
+    there = words.select(*keys, F.expr(f"_q div {radius}").alias("_bin"), "word").distinct()
+    around = items.select(*keys, id_column, F.col(pos).alias("_p"), F.explode(F.expr(f"sequence({pos} div {radius} - 1, {pos} div {radius} + 1)")).alias("_bin"))
+    asked = join_on(around, there, [*keys, "_bin"]).select(*keys, "word", id_column, "_p").distinct()
+    counts = _between(asked, words, [*keys, "word"], "_p", radius, [id_column]).withColumnRenamed("_n", "n")
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, id_column).orderBy(F.desc("n"), F.desc(F.length("word")), "word")))
     return ranked.where(F.col("rank") <= k).select(*keys, id_column, "rank", "word", "n")
 
@@ -153,20 +169,53 @@ def fuzzy_term_match(keywords: DataFrame, lexicon: DataFrame, keys: list[str], k
 
     1.0 if equal, 0.8 if one contains the other, 0.6 if more than half of all their characters are shared, else 0.3;
     times 1.2 in the keyword's own field; ties go to the lower term_rank. Terms that share no character do not count.
-    Distinct keywords meet terms on characters, so the shared number is a count and the rest of the work is by distinct keyword.
+
+    A ladder of equi joins, each for the distinct keywords that no better class has served: equality; containment, found
+    at the contained one's rarest pair of characters; character sets, which meet on their rarest characters; and for the
+    rest one term for each character, in the keyword's field and in all. A keyword and field keep one term of a class, so
+    that nothing grows with the pairs of keywords and terms that merely share a character.
     """
-    spread = lambda df, c: df.select(c, F.explode(F.array_distinct(F.split(F.col(c), ""))).alias("_ch"), F.size(F.array_distinct(F.split(F.col(c), ""))).alias(f"_n_{c}"))
-    own = spread(keywords.select(F.col(keyword).alias("_keyword")).distinct(), "_keyword")
-    terms = spread(lexicon.select("term").distinct(), "term")
-    shared = own.join(terms, "_ch").groupBy("_keyword", "term", "_n__keyword", "_n_term").agg(F.count("*").alias("_s"))
-    inside = F.contains("term", "_keyword") | F.contains("_keyword", "term")
-    score = F.when(F.col("_keyword") == F.col("term"), 1.0).when(inside, 0.8).when(2 * F.col("_s") > F.col("_n__keyword") + F.col("_n_term") - F.col("_s"), 0.6).otherwise(0.3)
-    scored = shared.select("_keyword", "term", score.alias("_score")).join(lexicon.select("term", F.col("field").alias("term_field"), "term_rank"), "term")
+    best = F.min(F.struct("term_rank", "term")).alias("_t")
+    terms = lexicon.select("term", F.col("field").alias("term_field"), "term_rank").where(F.length("term") > 0)
+    names = terms.select("term").distinct()
+    own = keywords.select(F.col(keyword).alias("_keyword")).where(F.length("_keyword") > 0).distinct()
+    of_field = lambda pairs: pairs.join(terms, "term").groupBy("_keyword", "term_field").agg(best)
+    equal = of_field(own.join(names, own["_keyword"] == names["term"]))
+    inner = term_hits(own, names, "_keyword", ["_keyword"], words=False).select("_keyword", "term")
+    contained = of_field(inner.union(_holders(names, own)).where("_keyword <> term").distinct())
+    served = equal.select("_keyword").union(contained.select("_keyword")).distinct()
+    letters = lambda c: F.array_distinct(F.split(F.col(c), ""))
+    left = own.join(served, "_keyword", "left_anti").select("_keyword", letters("_keyword").alias("_a"))
+    right = names.select("term", letters("term").alias("_b"))
+    rarity = right.select(F.explode("_b").alias("_ch")).groupBy("_ch").agg(F.count("*").alias("_df"))
+
+    def prefix(sets: DataFrame, name: str, letters_of: str) -> DataFrame:
+        spread = sets.select(name, letters_of, F.explode(letters_of).alias("_ch")).join(rarity, "_ch", "left")
+        ordered = spread.groupBy(name, letters_of).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_ch"))).alias("_o"))
+        return ordered.select(name, letters_of, F.explode(F.slice(F.col("_o")["_ch"], F.lit(1), F.size(letters_of) - F.ceil(F.size(letters_of) / 2).cast("int") + 1)).alias("_ch"))
+
+    shared = F.size(F.array_intersect("_a", "_b"))
+    alike = prefix(left, "_keyword", "_a").join(prefix(right, "term", "_b"), "_ch").where((2 * F.least(F.size("_a"), F.size("_b")) > F.greatest(F.size("_a"), F.size("_b"))) & (3 * shared > F.size("_a") + F.size("_b")))
+    alike = of_field(alike.select("_keyword", "term").distinct())
+    rest = left.join(alike.select("_keyword").distinct(), "_keyword", "left_anti").select("_keyword", F.explode("_a").alias("_ch"))
+    of_letter = terms.select("term_field", "term_rank", "term", F.explode(letters("term")).alias("_ch"))
+    firsts = of_letter.groupBy("_ch", "term_field").agg(best)
     asked = keywords.select(F.col(keyword).alias("_keyword"), F.col(field).alias("_field")).distinct()
-    rated = asked.join(scored, "_keyword").withColumn("score", F.round(F.col("_score") * F.when(F.col("_field") == F.col("term_field"), 1.2).otherwise(1.0), 2))
-    best = best_by(rated, ["_keyword", "_field"], [F.desc("score"), F.col("term_rank"), F.col("term")]).select("_keyword", "_field", "term", "term_field", "score")
+    anywhere = firsts.groupBy("_ch").agg(F.min(F.struct("_t", "term_field")).alias("_x")).select("_ch", "_x.term_field", "_x._t")
+    wanted = asked.join(rest, "_keyword")
+    loose = wanted.join(firsts, (wanted["_ch"] == firsts["_ch"]) & (wanted["_field"] == firsts["term_field"])).select("_keyword", "_field", "term_field", "_t").union(wanted.join(anywhere, "_ch").select("_keyword", "_field", "term_field", "_t"))
+    scored = [asked.join(rows, "_keyword").select("_keyword", "_field", "term_field", "_t", F.lit(score).alias("_score")) for rows, score in ((equal, 1.0), (contained, 0.8), (alike, 0.6))]
+    found = scored[0].union(scored[1]).union(scored[2]).union(loose.select("*", F.lit(0.3)))
+    rated = found.select("_keyword", "_field", "term_field", "_t.*", F.round(F.col("_score") * F.when(F.col("_field") == F.col("term_field"), 1.2).otherwise(1.0), 2).alias("score"))
+    chosen = best_by(rated, ["_keyword", "_field"], [F.desc("score"), F.col("term_rank"), F.col("term"), F.col("term_field")]).select("_keyword", "_field", "term", "term_field", "score")
     rows = keywords.select(*keys, keyword, field)
-    return rows.join(best, rows[keyword].eqNullSafe(F.col("_keyword")) & rows[field].eqNullSafe(F.col("_field"))).drop("_keyword", "_field")
+    return rows.join(chosen, rows[keyword].eqNullSafe(F.col("_keyword")) & rows[field].eqNullSafe(F.col("_field"))).drop("_keyword", "_field")
+
+
+def _holders(names: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(_keyword, term) of the terms that hold a keyword."""
+    own = names.withColumnRenamed("term", "_name")
+    return term_hits(own, keywords, "_name", ["_name"], "_keyword", words=False).select(F.col("term").alias("_keyword"), F.col("_name").alias("term"))
 
 
 def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) -> DataFrame:

@@ -19,8 +19,8 @@ def resolve_rule_pack(docs: DataFrame, packs: DataFrame, school: str, keys: list
     best = names.withColumn("_r", F.row_number().over(Window.partitionBy("school").orderBy(F.desc("priority"), "pack"))).where("_r = 1").select("school", "pack")
     asked = docs.select(F.col(school).alias("_school")).distinct()
     own = best.where("school <> '*'").withColumnRenamed("school", "_school")
-    other = best.where("school = '*'").select(F.col("pack").alias("_other"))
-    chosen = asked.join(own, "_school", "left").join(F.broadcast(other), F.lit(True), "left").select("_school", F.coalesce("pack", "_other").alias("pack"))
+    other = best.where("school = '*'").agg(F.first("pack").alias("_other"))  # one row, null without such a pack
+    chosen = asked.join(own, "_school", "left").crossJoin(other).select("_school", F.coalesce("pack", "_other").alias("pack"))
     rules = chosen.join(packs.select("pack", "kind", "rule", "rule_order").distinct(), "pack")
     return docs.join(rules, F.col(school).eqNullSafe(F.col("_school"))).select(*keys, "pack", "kind", "rule", "rule_order")
 

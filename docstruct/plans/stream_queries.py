@@ -89,3 +89,20 @@ def s8_export_nested(t):
     kinds = F.array_join(F.transform(F.array_sort(F.map_entries("type_counts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     listed = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",")
     return nested.select("l_orderkey", "n_items", listed.alias("listed"), kinds.alias("kinds"))
+
+
+@query("""WITH q AS (SELECT o_custkey, o_orderkey, l_linenumber, l_partkey, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+t AS (SELECT o_custkey, o_orderkey, string_agg(l_returnflag || '=' || n, ',' ORDER BY l_returnflag) AS kinds FROM (SELECT o_custkey, o_orderkey, l_returnflag, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL),
+l AS (SELECT o_custkey, o_orderkey, count(*) AS n, string_agg(l_linenumber || ':' || l_partkey, '+' ORDER BY l_linenumber, l_returnflag, l_partkey) AS items FROM q GROUP BY ALL),
+s AS (SELECT o_custkey, count(*) AS n_sections, sum(coalesce(n, 0))::BIGINT AS n_questions, string_agg(o_orderkey || '(' || coalesce(n, 0) || ';' || coalesce(kinds, '') || ';' || coalesce(items, '') || ')', ' ' ORDER BY o_orderkey) AS sections
+FROM orders LEFT JOIN l USING (o_custkey, o_orderkey) LEFT JOIN t USING (o_custkey, o_orderkey) GROUP BY o_custkey),
+k AS (SELECT o_custkey, string_agg(l_returnflag || '=' || n, ',' ORDER BY l_returnflag) AS kinds FROM (SELECT o_custkey, l_returnflag, count(*) AS n FROM q GROUP BY ALL) GROUP BY ALL)
+SELECT c_custkey, c_name, coalesce(n_sections, 0) AS n_sections, coalesce(n_questions, 0) AS n_questions, coalesce(kinds, '') AS kinds, coalesce(sections, '') AS sections FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN k ON k.o_custkey = c_custkey""")
+def s8_export_documents(t):
+    orders = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    items = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag").join(orders, "o_orderkey")
+    nested = corpus.export_documents(t("customer").select("c_custkey", "c_name"), orders, items, "c_custkey", "o_orderkey", "l_linenumber", "l_returnflag", ["l_partkey"])
+    kinds = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    asked = lambda s: F.array_join(F.transform(s["questions"], lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), "+")
+    listed = F.array_join(F.transform("sections", lambda s: F.concat(s["o_orderkey"].cast("string"), F.lit("("), s["n_questions"].cast("string"), F.lit(";"), kinds(s["type_counts"]), F.lit(";"), asked(s), F.lit(")"))), " ")
+    return nested.select("c_custkey", "c_name", "n_sections", "n_questions", kinds("type_counts").alias("kinds"), listed.alias("sections"))

@@ -51,6 +51,30 @@ def export_nested(items: DataFrame, key: str, order: list[str], kind: str, colum
     return own.join(kinds, key)
 
 
+def export_documents(docs: DataFrame, sections: DataFrame, questions: DataFrame, key: str, section: str, order: str, kind: str, columns: list[str]) -> DataFrame:
+    """One nested row a document: its columns, n_sections, n_questions, type_counts (a map) and its sections in order, each with n_questions, type_counts and its questions in order.
+
+    docs (key, ...), sections (key, section, ...), questions (key, section, order, kind, columns). Sections without
+    questions and documents without sections stay, with empty lists and maps; questions of unknown sections count for
+    nothing. Both levels are aggregations by hash, so that a document's questions meet only in the row that is written.
+    """
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "_n"))))
+    own = questions.join(sections.select(key, section), [key, section], "left_semi")
+    typed = own.groupBy(key, section, kind).agg(F.count("*").alias("_n"))
+    listed = own.groupBy(key, section).agg(F.count("*").alias("n_questions"), F.array_sort(F.collect_list(F.struct(*dict.fromkeys([order, kind, *columns])))).alias("questions"))
+    below = sections.join(listed, [key, section], "left").join(typed.groupBy(key, section).agg(counts.alias("type_counts")), [key, section], "left")
+    empty = lambda df, c: F.coalesce(F.col(c), F.expr(f"CAST({'map()' if c == 'type_counts' else 'array()'} AS {df.schema[c].dataType.simpleString()})"))
+    other = [c for c in sections.columns if c not in (key, section)]
+    nested = F.struct(section, *other, F.coalesce("n_questions", F.lit(0)).cast("long").alias("n_questions"), empty(below, "type_counts").alias("type_counts"), empty(below, "questions").alias("questions"))
+    # maps have no order, so the struct is sorted by its section, which is unique in a document
+    gathered = below.groupBy(key).agg(F.count("*").alias("n_sections"), F.sum(F.coalesce("n_questions", F.lit(0))).cast("long").alias("n_questions"), F.collect_list(nested).alias("sections"))
+    gathered = gathered.withColumn("sections", F.array_sort("sections", lambda a, b: F.when(a[section] < b[section], -1).when(a[section] > b[section], 1).otherwise(0)))
+    totals = typed.groupBy(key, kind).agg(F.sum("_n").alias("_n")).groupBy(key).agg(counts.alias("type_counts"))
+    out = docs.join(gathered, key, "left").join(totals, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return out.select(*docs.columns, zero("n_sections"), zero("n_questions"), empty(out, "type_counts").alias("type_counts"), empty(out, "sections").alias("sections"))
+
+
 def read_period_index(spark: SparkSession, path: str) -> DataFrame:
     """(field, tier, term, term_rank) of a JSON object of periods, each with lists of strong and representative words."""
     kinds = "map<string, struct<strong: array<string>, representative: array<string>>>"

@@ -27,7 +27,7 @@ def write_registry(rows: DataFrame, path: str, group: str) -> None:
 
 
 def upsert_groups(new: DataFrame, path: str, key: list[str], group: str) -> None:
-    """A10 on the stored registry: the touched groups (null is one) are written beside it first, in a folder of their own, as a plan must not overwrite what it reads."""
+    """A10 on the stored registry: the touched groups (null is one) are written beside it first, as a plan must not overwrite what it reads; that folder goes once the registry has them."""
     spark = new.sparkSession
     old = read_registry(spark, path)
     if old is None:
@@ -39,3 +39,5 @@ def upsert_groups(new: DataFrame, path: str, key: list[str], group: str) -> None
     beside = f"{path.rstrip('/')}.next/{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(beside)
     write_registry(spark.read.parquet(beside), path, group)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
