@@ -30,3 +30,13 @@ def numeral_table(spark: SparkSession, most: int = 100) -> DataFrame:
 def clean_marker(marker: Column) -> Column:
     """A marker without what scanners misread: a doubled sign for 'question', and the sign that looks like it before a digit."""
     return F.regexp_replace(F.regexp_replace(marker, "問問+", "問"), "間(?=[0-9０-９])", "問")
+
+
+def spoken_number(text: Column) -> Column:
+    """The whole number below 10,000 that a text says in ASCII or full-width digits or in kanji with thousands, hundreds and tens ('八十', '二百五十', '１２０'); null if it says none."""
+    plain = F.translate(text, _WIDE + _KANJI + "〇", "0123456789" + "123456789" + "0")
+    shape = "^(?:([0-9]*)(千))?(?:([0-9]*)(百))?(?:([0-9]*)(十))?([0-9]*)$"
+    part = lambda i: F.regexp_extract(plain, shape, i)
+    place = lambda i, unit: F.when(part(i + 1) == "", 0).otherwise(F.coalesce(F.nullif(part(i), F.lit("")).try_cast("long"), F.lit(1)) * unit)
+    total = place(1, 1000) + place(3, 100) + place(5, 10) + F.coalesce(F.nullif(part(7), F.lit("")).try_cast("long"), F.lit(0))
+    return F.when(plain.rlike(shape) & (F.length(plain) > 0), total.cast("long"))

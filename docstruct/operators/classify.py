@@ -11,9 +11,39 @@ from pyspark.sql.window import Window
 from docstruct.functions.positions import join_on, locate_matches, of_rule
 
 
-def classify_first(rows: DataFrame, rules: list[tuple[str, str]], text: str, default: str) -> DataFrame:
-    """The first rule whose pattern the text holds, else the default."""
-    return rows.withColumn("label", F.coalesce(*(F.when(F.col(text).rlike(p), F.lit(name)) for name, p in rules), F.lit(default)))
+@dataclass(frozen=True)
+class Shape:
+    """A rule of a text's structure for classify_first(); all that is set must hold.
+
+    least and most bound its trimmed length, items is the least number of matches of item, holds a pattern anywhere, ends
+    a pattern within its last end_chars characters (a citation's place).
+    """
+
+    least: int | None = None
+    most: int | None = None
+    item: str | None = None
+    items: int = 1
+    holds: str | None = None
+    ends: str | None = None
+    end_chars: int = 200
+
+    def test(self, text: str) -> Column:
+        body = F.trim(F.coalesce(F.col(text), F.lit("")))
+        checks = [F.length(body) >= self.least] if self.least is not None else []
+        checks += [F.length(body) <= self.most] if self.most is not None else []
+        checks += [F.regexp_count(body, F.lit(self.item)) >= self.items] if self.item else []
+        checks += [body.rlike(self.holds)] if self.holds else []
+        checks += [F.right(body, F.lit(self.end_chars)).rlike(self.ends)] if self.ends else []
+        out = F.lit(True)
+        for one in checks:
+            out = out & one
+        return out
+
+
+def classify_first(rows: DataFrame, rules: list[tuple[str, str | Shape]], text: str, default: str) -> DataFrame:
+    """The first rule that holds of the text, a pattern that it has or a Shape, else the default."""
+    tests = [(name, rule.test(text) if isinstance(rule, Shape) else F.col(text).rlike(rule)) for name, rule in rules]
+    return rows.withColumn("label", F.coalesce(*(F.when(test, F.lit(name)) for name, test in tests), F.lit(default)))
 
 
 def classify_multi(rows: DataFrame, rules: list[tuple[str, str]], text: str, keys: list[str]) -> DataFrame:
@@ -102,6 +132,8 @@ _TEN = "十"
 #: The first year of an era is base + 1.
 REIWA, HEISEI = 2018, 1988
 _KANJI = "[一二三四五六七八九十]"
+#: Fixed value: two digits of a year in a text or a name.
+_TWO_DIGITS = r"(?<![(0-9\n平成令和])([0-9]{2})年度?(?![)0-9])"
 #: The rule pack for Japanese examination papers: whole years, eras by name and letter, two digits.
 JAPANESE_YEARS = (
     YearRule("kanji", r"([〇零一二三四五六七八九０-９]{4})年度?", 11),
@@ -110,7 +142,7 @@ JAPANESE_YEARS = (
     YearRule("heisei", r"平成([0-9０-９]{1,2}|" + _KANJI + "{1,3})", 7, "era", HEISEI),
     YearRule("letter_r", r"(?<![A-Za-z])R([0-9]{1,2})(?![0-9])", 8, "era", REIWA, "name"),
     YearRule("letter_h", r"(?<![A-Za-z])H([0-9]{1,2})(?![0-9])", 7, "era", HEISEI, "name"),
-    YearRule("two_digits", r"(?<![(0-9\n平成令和])([0-9]{2})年度?(?![)0-9])", 5, "two"),
+    YearRule("two_digits", _TWO_DIGITS, 5, "two"),
 )
 
 

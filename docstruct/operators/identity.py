@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstruct.functions.numerals import spoken_number
 from docstruct.operators.dictionary import present_terms
 from docstruct.operators.lexicon import best_by
 
@@ -75,19 +76,34 @@ def subject_and_kind(docs: DataFrame, subjects: list[tuple[str, str]], kinds: li
     return docs.select(*keys, head.alias("_head")).select(*keys, first(subjects).alias("subject"), first(kinds).alias("kind"))
 
 
+#: Limits of answers in Japanese papers, in order, for limit_histogram().
+_NUMBER = "([0-9０-９一二三四五六七八九十百千〇]+)"
+JAPANESE_LIMITS = [
+    ("range", f"{_NUMBER}字(?:以上|から|[～~ー-])、?{_NUMBER}字(?:以内|以下|まで)?"),
+    ("most", f"{_NUMBER}字(?:以内|以下|まで)"),
+    ("about", f"(?:約|およそ){_NUMBER}字"),
+    ("about", f"{_NUMBER}字(?:程度|前後|くらい|ほど)"),
+    ("lines", f"{_NUMBER}行"),
+    ("exact", f"{_NUMBER}字で"),
+]
+
+
 def limit_histogram(questions: DataFrame, rules: list[tuple[str, str]], text: str, by: list[str], line_chars: int = 40) -> DataFrame:
-    """(by, label, least, most, n, pct) of the length limits that the first matching rule (kind, pattern with one number) finds.
+    """(by, label, least, most, n, pct) of the length limits that the first matching rule (kind, pattern) finds.
 
-    'most' bounds from above, 'about' by 20 % on both sides, 'lines' likewise with `line_chars` characters a line;
-    questions without a limit have the label 'none', so that shares of both kinds stand side by side.
+    A pattern has one number, for 'range' two, in any script that spoken_number() reads. 'most' bounds from above, 'about'
+    by 20 % on both sides, 'lines' likewise with `line_chars` characters a line, 'exact' is both bounds, 'range' names
+    them; questions without a limit have the label 'none', so that shares of both kinds stand side by side.
     """
     limits = []
     for kind, pattern in rules:
-        number = F.regexp_extract(text, pattern, 1).try_cast("long")
+        number = spoken_number(F.regexp_extract(text, pattern, 1))
         size = number * (line_chars if kind == "lines" else 1)
-        least = F.lit(0).cast("long") if kind == "most" else F.round(size * 8 / 10).cast("long")
-        most = size if kind == "most" else F.round(size * 12 / 10).cast("long")
-        limits.append(F.when(number.isNotNull(), F.struct(F.concat_ws(" ", size.cast("string"), F.lit("most" if kind == "most" else "about")).alias("label"), least.alias("least"), most.alias("most"))))
+        second = spoken_number(F.regexp_extract(text, pattern, 2)) if kind == "range" else size
+        least = {"most": F.lit(0).cast("long"), "range": F.least(size, second), "exact": size}.get(kind, F.round(size * 8 / 10).cast("long"))
+        most = {"most": size, "range": F.greatest(size, second), "exact": size}.get(kind, F.round(size * 12 / 10).cast("long"))
+        label = F.concat_ws("-", least.cast("string"), most.cast("string")) if kind == "range" else F.concat_ws(" ", size.cast("string"), F.lit(kind if kind in ("most", "exact") else "about"))
+        limits.append(F.when(number.isNotNull() & second.isNotNull(), F.struct(label.alias("label"), least.alias("least"), most.alias("most"))))
     none = F.struct(F.lit("none").alias("label"), F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("most"))
     counts = questions.select(*by, F.coalesce(*limits, none).alias("_l")).groupBy(*by, "_l").agg(F.count("*").alias("n"))
     share = F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*by)), 1)

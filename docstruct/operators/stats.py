@@ -116,17 +116,17 @@ def density_bins(hits: DataFrame, by: list[str], position: Column, width: int) -
     return hits.groupBy(*by, F.floor(position / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def top_per_bin(scored: DataFrame, bin: Column, score: str, order: list[str], quota: DataFrame, least: float, most: int = 1000) -> DataFrame:
-    """The best rows of each bin, as many as quota (bin, k) gives it, with a score of `least` at least.
+def top_per_bin(scored: DataFrame, bin: Column, score: str, order: list[str], quota: DataFrame, least: float, parts: int = 64) -> DataFrame:
+    """The best rows of each bin, as many as quota (bin, k) gives it, with a score of `least` at least; bins without a quota give none.
 
-    Each of 64 parts of a bin ranks its rows and leaves `most` of them at the most, an upper bound of every k that is
-    checked; so few meet in the bin's own ranking, however many rows it has.
+    Each of `parts` parts of a bin meets the bin's quota and leaves its k best; so few meet in the bin's own ranking, however
+    many rows it has, and no k is too large. One bin may have all rows: they are dealt by bin and part.
     """
-    part = F.pmod(F.xxhash64(*order), F.lit(64))
-    quota = quota.withColumn("k", F.when(F.col("k") > most, F.raise_error("k above the bound")).otherwise(F.col("k")))
-    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), *order)))
-    near = ranked(scored.where(F.col(score) >= least).withColumns({"bin": bin, "_part": part}), "bin", "_part").where(F.col("rank") <= most).drop("rank", "_part")
-    return ranked(near.join(quota, "bin"), "bin").where("rank <= k").drop("k")
+    part = F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int")
+    asked = quota.select("bin", "k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), *order))).where("rank <= k")
+    near = ranked(scored.where(F.col(score) >= least).withColumns({"bin": bin, "_part": part}).join(asked, ["bin", "_part"]), "bin", "_part")
+    return ranked(near.drop("rank", "_part"), "bin").drop("k")
 
 
 def level_counts(nodes: DataFrame, doc: str, level: str, levels: list) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,55 @@ def cascade_tables(rows: DataFrame, stages: list[tuple[str, float, DataFrame]],
     return both.select(*keys, F.when(~gone, F.concat(F.col("_b._t"), F.coalesce("_suffix", own))).alias("theme"), F.when(gone | F.col("_b").isNull(), 0.0).otherwise(pick([c for _, c, _ in stages])).alias("confidence"), stage.alias("stage"))
 
 
+@dataclass(frozen=True)
+class Stage:
+    """A stage of theme_cascade(): its confidence, and where its terms are looked for, 'text' or 'options'."""
+
+    name: str
+    confidence: float
+    zone: str = "text"
+
+
+def theme_cascade(questions: DataFrame, stages: list[Stage], rules: DataFrame, text: str, keys: list[str], options: str | None = None, suffixes: list[tuple[str | None, str, str]] = (), excluded: str | None = None, exclude_before: str | None = None, fallback: str | None = None, fallback_confidence: float = 0.5) -> DataFrame:
+    """H1 whole: (keys, theme, confidence, stage) of the first stage that has a theme for a question, all stages' terms found in one pass.
+
+    rules: (stage, rule_rank, theme, need, term, class): a rule gives its theme where at least `need` different terms of
+    it, in any script, stand in its stage's zone, so that single terms (a lexicon, periods, categories) and clusters (of
+    the text, of the options) are rows of one table. A stage's rule of least rank wins, then of the longest term, then by
+    name. The theme takes the suffix of the first of `suffixes` (class or null for all, word, suffix) whose class is the
+    rule's and whose word the text holds; an empty word is a class's default.
+
+    A text that matches `excluded` leaves before the stage `exclude_before` (stage 'excluded'); where no stage has a
+    theme, the first group of `fallback` is one (stage 'fallback'), else the stage is 'none'. `options` is an array of
+    strings. A row each; null texts, options and keys, too.
+    """
+    spark = questions.sparkSession
+    names = [s.name for s in stages]
+    cut = names.index(exclude_before) if exclude_before in names else len(names)
+    places = spark.createDataFrame([(s.name, i, s.zone) for i, s in enumerate(stages)], "stage string, _i int, zone string")
+    placed = rules.join(F.broadcast(places), "stage").select("term", "zone", "_i", "rule_rank", "theme", "need", "class")  # a row a stage
+    wanted = sorted({w for _, w, _ in suffixes if w})
+    dictionary = rules.select("term")
+    dictionary = dictionary.union(spark.createDataFrame([(w,) for w in wanted], "term string")) if wanted else dictionary
+    body = F.coalesce(F.col(text), F.lit(""))
+    zones = [F.struct(F.lit("text").alias("zone"), body.alias("body"))] + ([F.struct(F.lit("options").alias("zone"), F.concat_ws("\n", options).alias("body"))] if options else [])
+    own = questions.select(*keys, F.monotonically_increasing_id().alias("_q"), (body.rlike(excluded) if excluded else F.lit(False)).alias("_out"), (F.nullif(F.regexp_extract(body, fallback, 1), F.lit("")) if fallback else F.lit(None).cast("string")).alias("_fall"), F.array(*zones).alias("_z"))
+    row = [*keys, "_q", "_out", "_fall"]
+    hits = present_terms(own.select(*row, F.explode("_z").alias("_z")).select(*row, "_z.*"), dictionary, "body", [*row, "zone"], outer=True)
+    context = F.collect_set(F.when((F.col("zone") == "text") & F.col("term").isin(wanted), F.col("term"))).alias("_c")
+    counts = hits.join(placed, ["term", "zone"], "left").groupBy(*row, "_i", "rule_rank", "theme", "need", "class").agg(F.count_distinct("term").alias("_n"), F.max(F.length("term")).alias("_size"), context)
+    best = F.min(F.when(F.col("_n") >= F.col("need"), F.struct("_i", "rule_rank", (-F.col("_size")).alias("_s"), "theme", "class"))).alias("_b")
+    found = counts.groupBy(*row).agg(best, F.array_distinct(F.flatten(F.collect_list("_c"))).alias("_c"))
+    gone = F.col("_out") & (F.coalesce("_b._i", F.lit(len(names))) >= cut)
+    fits = lambda kind, word: (F.lit(True) if kind is None else F.coalesce(F.col("_b.class") == kind, F.lit(False))) & (F.array_contains("_c", word) if word else F.lit(True))
+    suffix = F.coalesce(*(F.when(fits(kind, word), F.lit(s)) for kind, word, s in suffixes), F.lit(""))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_b._i") + 1)
+    some, fell = F.col("_b").isNotNull(), F.col("_fall").isNotNull()
+    theme = F.when(gone, F.lit(None).cast("string")).when(some, F.concat("_b.theme", suffix)).otherwise(F.col("_fall"))
+    confidence = F.when(gone, 0.0).when(some, pick([s.confidence for s in stages])).when(fell, fallback_confidence).otherwise(0.0)
+    return found.select(*keys, theme.alias("theme"), confidence.alias("confidence"), F.when(gone, "excluded").when(some, pick(names)).when(fell, "fallback").otherwise("none").alias("stage"))
+
+
 def stage_usage(decided: DataFrame, by: list[str]) -> DataFrame:
     """H1: rows and mean confidence of each stage by group."""
     return decided.groupBy(*by, "stage").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))

@@ -132,6 +132,16 @@ def c1_classify_first(t):
     return classify.classify_first(t("documents").select("doc_id", "text"), _RULES, "text", "prose").drop("text")
 
 
+_SHAPES = [("empty", classify.Shape(most=0)), ("cited", classify.Shape(ends="[(][A-Z][a-z]+|[0-9]{4}[)]?$", end_chars=60)), ("list", classify.Shape(item="\n[-*0-9|]", items=3, most=3000)), ("short", classify.Shape(most=400)), ("table", "[|].*[|]"), ("long", classify.Shape(least=3000, holds="[.]"))]
+
+
+@query("""WITH t AS (SELECT doc_id, text, trim(text) AS x FROM documents) SELECT doc_id, CASE WHEN length(x) = 0 THEN 'empty' WHEN regexp_matches(right(x, 60), '[(][A-Z][a-z]+|[0-9]{4}[)]?$') THEN 'cited'
+WHEN len(regexp_extract_all(x, '
+[-*0-9|]')) >= 3 AND length(x) <= 3000 THEN 'list' WHEN length(x) <= 400 THEN 'short' WHEN regexp_matches(text, '[|].*[|]') THEN 'table' WHEN length(x) >= 3000 AND contains(x, '.') THEN 'long' ELSE 'prose' END AS label FROM t""")
+def c1_classify_by_shape(t):
+    return classify.classify_first(t("documents").select("doc_id", "text"), _SHAPES, "text", "prose").drop("text")
+
+
 @query(" UNION ALL ".join(f"SELECT doc_id, '{n}' AS label FROM documents WHERE regexp_matches(text, '{p}')" for n, p in _RULES) + " UNION ALL SELECT doc_id, 'none' FROM documents WHERE NOT (" + " OR ".join(f"regexp_matches(text, '{p}')" for _, p in _RULES) + ")")
 def c2_classify_multi(t):
     return classify.classify_multi(t("documents"), _RULES, "text", ["doc_id"])

@@ -129,11 +129,11 @@ def a12_density_bins(t):
 
 
 @query("""WITH s AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 ELSE 1 END + CASE WHEN value > 10 THEN 2 ELSE 0 END AS score, user_id % 4 AS bin FROM events),
-q(bin, k) AS (VALUES (0, 5), (1, 3), (2, 10))
+q(bin, k) AS (VALUES (0, 5), (1, 3), (2, 10), (3, 2000))
 SELECT event_id, user_id, score, bin, rank FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY score DESC, event_id) AS rank FROM s JOIN q USING (bin) WHERE score >= 3) WHERE rank <= k""")
 def a13_top_per_bin(t):
     events = t("events").selectExpr("event_id", "user_id", "CASE event_type WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 ELSE 1 END + CASE WHEN value > 10 THEN 2 ELSE 0 END AS score")
-    quota = events.sparkSession.createDataFrame([(0, 5), (1, 3), (2, 10)], "bin long, k int")
+    quota = events.sparkSession.createDataFrame([(0, 5), (1, 3), (2, 10), (3, 2000)], "bin long, k int")
     return stats.top_per_bin(events, F.col("user_id") % 4, "score", ["event_id"], quota, 3)
 
 

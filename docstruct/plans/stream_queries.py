@@ -61,12 +61,23 @@ def r1_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_stream_query("SELECT DISTINCT sha256(text) AS content_sha256 FROM documents WHERE text IS NOT NULL")
-def r2_dedupe_with_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r2_dedupe_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _stream(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     seen = jobs.dedupe_with_ttl(docs.withColumn("ts", F.timestamp_seconds(F.lit(86400))), "text", "ts")
     return _drain(seen.select("content_sha256"), _folder(spark, "seen"), "append")
 
 
+@_stream_query("""WITH RECURSIVE p AS (SELECT DISTINCT event_type, user_id % 50 AS user_group, epoch_us(ts) AS pos FROM events), k AS (SELECT event_type, user_group, min(pos) AS pos FROM p GROUP BY ALL
+UNION ALL SELECT k.event_type, k.user_group, (SELECT min(p.pos) FROM p WHERE p.event_type = k.event_type AND p.user_group = k.user_group AND p.pos >= k.pos + 3600000000) FROM k WHERE k.pos IS NOT NULL)
+SELECT event_type, user_group, min(event_id) AS event_id FROM (SELECT *, user_id % 50 AS user_group FROM events) JOIN k USING (event_type, user_group) WHERE epoch_us(ts) = k.pos GROUP BY event_type, user_group, k.pos""")
+def r2_dedupe_with_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "fresh")
+    events = _stream(spark, sf_dir, "events").withColumn("user_group", F.col("user_id") % 50)
+    jobs.ttl_ingest(events, ["event_type", "user_group"], "ts", "event_id", 3600, path, f"{path}.state").awaitTermination()
+    kept = spark.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+    return kept.select("event_type", "user_group", "event_id")
+
+
 @_stream_query("SELECT user_id, event_type AS label, count(*) AS n FROM events GROUP BY ALL")
 def r3_running_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(jobs.running_distribution(_stream(spark, sf_dir, "events"), "event_type", ["user_id"]), _folder(spark, "running"), "complete")

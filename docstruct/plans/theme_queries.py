@@ -132,3 +132,25 @@ SELECT page_id, rank, author, title, venue, rule, c AS confidence, rank = 1 AS i
 def h6_extract_citations(t):
     pages = t("pages").select("page_id", F.concat_ws(" ", "html", "url").alias("body"))
     return themes.extract_citations(pages, _LINKS, "body", ["page_id"], "[A-Za-z]")
+
+
+THEME_STAGES = [themes.Stage("lexicon", 0.9), themes.Stage("options", 0.8, "options"), themes.Stage("cluster", 0.85), themes.Stage("category", 0.75)]
+THEME_RULES = [
+    ("lexicon", 1, "rights", 1, "rights", "law"), ("lexicon", 2, "safety", 1, "password", None), ("options", 1, "first source", 1, "src1", None), ("options", 2, "french news", 2, "src2", "word"),
+    ("options", 2, "french news", 2, "fr", "word"), ("cluster", 1, "german", 2, "und", "word"), ("cluster", 1, "german", 2, "die", "word"), ("cluster", 2, "spanish", 3, "los", "word"), ("cluster", 2, "spanish", 3, "que", "word"), ("cluster", 2, "spanish", 3, "del", "word"), ("category", 1, "english", 1, "the", "word"), ("category", 1, "english", 1, "of", "word"),
+]
+THEME_SUFFIXES = [("word", "ist", " in use"), (None, "licensed", " and law"), ("word", "", " words")]
+
+
+@query("WITH rules(stage, rank, theme, need, term, class) AS (VALUES " + ", ".join(map(repr, THEME_RULES)).replace("None", "NULL") + "), st(stage, i, zone, confidence) AS (VALUES " + ", ".join(map(repr, [(s.name, i, s.zone, s.confidence) for i, s in enumerate(THEME_STAGES)])) + r"""),
+w AS (SELECT doc_id, 'text' AS zone, list_distinct(regexp_extract_all(lower(text), '[\p{Latin}0-9]+')) AS ws FROM documents UNION ALL SELECT doc_id, 'options', [source, lang] FROM documents),
+h AS (SELECT doc_id, zone, unnest(ws) AS term FROM w), g AS (SELECT doc_id, i, rank, theme, class, confidence, stage, -max(length(term)) AS s FROM h JOIN rules USING (term) JOIN st USING (stage, zone) GROUP BY doc_id, i, rank, theme, class, confidence, stage, need HAVING count(DISTINCT term) >= need),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i, rank, s, theme) = 1),
+c AS (SELECT d.doc_id, regexp_matches(text, '[|].*[|]') AS out, nullif(regexp_extract(text, '^([A-Z][a-z]+) ', 1), '') AS fall, ws, i, theme, class, confidence, stage FROM documents d JOIN w ON w.doc_id = d.doc_id AND w.zone = 'text' LEFT JOIN b ON b.doc_id = d.doc_id)
+SELECT doc_id, CASE WHEN out AND coalesce(i, 4) >= 2 THEN NULL WHEN i IS NULL THEN fall ELSE theme || CASE WHEN class = 'word' AND list_contains(ws, 'ist') THEN ' in use' WHEN list_contains(ws, 'licensed') THEN ' and law' WHEN class = 'word' THEN ' words' ELSE '' END END AS theme,
+CASE WHEN out AND coalesce(i, 4) >= 2 THEN 0 WHEN i IS NOT NULL THEN confidence WHEN fall IS NOT NULL THEN 0.5 ELSE 0 END::DOUBLE AS confidence,
+CASE WHEN out AND coalesce(i, 4) >= 2 THEN 'excluded' WHEN i IS NOT NULL THEN stage WHEN fall IS NOT NULL THEN 'fallback' ELSE 'none' END AS stage FROM c""")
+def h1_theme_cascade(t):
+    docs = t("documents").withColumn("options", F.array("source", "lang"))
+    rules = docs.sparkSession.createDataFrame(THEME_RULES, "stage string, rule_rank int, theme string, need int, term string, class string")
+    return themes.theme_cascade(docs, THEME_STAGES, rules, "text", ["doc_id"], "options", THEME_SUFFIXES, "[|].*[|]", "cluster", "^([A-Z][a-z]+) ")

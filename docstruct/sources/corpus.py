@@ -10,9 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Columns of Spark's binary files, which a stream of them must name.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt", encodings: tuple[str, ...] = ("utf-8", "shift_jis", "euc_jp")) -> DataFrame:
     """(path, text, encoding, error) of every file below path; the first encoding that fits wins, a file that none fits is a row with an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return decode_files(files, encodings)
+
+
+def stream_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt", encodings: tuple[str, ...] = ("utf-8", "shift_jis", "euc_jp"), files_a_batch: int | None = None) -> DataFrame:
+    """S1 as a stream: the same rows of files that come to stand below path."""
+    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    return decode_files((reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).load(path), encodings)
+
+
+def decode_files(files: DataFrame, encodings: tuple[str, ...]) -> DataFrame:
+    """(path, text, encoding, error) of binary files (path, content)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -28,7 +43,7 @@ def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt", encodi
                     rows.append((name, None, None, "no encoding fits"))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 4, names=["path", "text", "encoding", "error"])
 
-    return files.mapInArrow(decode, "path string, text string, encoding string, error string")
+    return files.select("path", "content").mapInArrow(decode, "path string, text string, encoding string, error string")
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

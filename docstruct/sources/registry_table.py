@@ -39,5 +39,10 @@ def upsert_groups(new: DataFrame, path: str, key: list[str], group: str) -> None
     beside = f"{path.rstrip('/')}.next/{uuid.uuid4().hex}"
     merged.write.mode("overwrite").parquet(beside)
     write_registry(spark.read.parquet(beside), path, group)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(beside)
+    remove(spark, beside)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docstruct.operators import identity, lexicon, themes
+from docstruct.functions import numerals
+from docstruct.operators import classify, identity, lexicon, prepare, themes
 from docstruct.plans import compose
 from docstruct.sources import reports
 
@@ -128,3 +129,26 @@ def test_report(spark):
     out = reports.render_reports(facts, ["d"], F.concat(F.lit("doc "), "d"), ["kind", "tag"], F.concat_ws(" ", "n", "kind"), ["n"])
     assert out.first()["report"] == "doc 1\nrows: 3\n[kind]\nb: 2 (66.7%)\na: 1 (33.3%)\n[tag]\nx: 2 (66.7%)\n-: 1 (33.3%)\n[details]\n1 a\n2 b\n3 b"
     assert out.count() == 1
+
+
+def test_limits_in_other_scripts(spark):
+    asked = ["八十字以内で説明しなさい。", "二百五十字程度で述べよ。", "２０字以上３０字以内で書きなさい。", "約120字で", "三行で", "十五字で抜き出しなさい", "千二百字以内", "答えなさい。", None]
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = {(r.label, r.least, r.most) for r in identity.limit_histogram(df, identity.JAPANESE_LIMITS, "q", []).collect()}
+    assert got == {("80 most", 0, 80), ("250 about", 200, 300), ("20-30", 20, 30), ("120 about", 96, 144), ("120 about", 96, 144), ("15 exact", 15, 15), ("1200 most", 0, 1200), ("none", None, None)}
+    said = ["百", "千", "二千五", "十", "１０", "0", "", "字", "九千九百九十九", "二〇"]
+    numbers = spark.createDataFrame([(x,) for x in said], "x string").select("x", numerals.spoken_number(F.col("x")).alias("n"))
+    assert {r.x: r.n for r in numbers.collect()} == {"百": 100, "千": 1000, "二千五": 2005, "十": 10, "１０": 10, "0": 0, "": None, "字": None, "九千九百九十九": 9999, "二〇": 20}
+
+
+def test_structure_decides_in_order(spark):
+    rules = [("empty", classify.Shape(most=0)), ("vocabulary", classify.Shape(item="[一二三四五]　", items=3, most=200)), ("reading", classify.Shape(least=50, ends="『[^』]+』")), ("short", classify.Shape(most=30)), ("map", "地図")]
+    texts = ["", None, "一　漢字 二　語句 三　意味", "文" * 60 + "（夏目『こころ』）", "（夏目『こころ』）" + "文" * 300, "短い", "地図" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.label for r in classify.classify_first(df, rules, "t", "other").orderBy("i").collect()] == ["empty", "empty", "vocabulary", "reading", "other", "short", "map"]
+
+
+def test_compatibility_forms_are_composed_before_rules(spark):
+    df = spark.createDataFrame([(1, "Ａ①　ﾊﾟ㈱"), (2, None)], "i int, t string")
+    got = {r.i: (r.t, r.removed_digits) for r in prepare.clean_corpus(df, [("digits", "[0-9]", "")], "t", normalize=True).collect()}
+    assert got == {1: ("A パ(株)", 1), 2: (None, 0)}
