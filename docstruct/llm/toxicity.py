@@ -137,6 +137,8 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
 def train_on(rows: DataFrame, text: str = "text", label: str = "y", key: str = "doc_id") -> Model:
     """The model of labelled rows (key, text, label), whatever the length of their texts.
 
+    Keys must differ, as those of sample() do: of rows that repeat one the last would vote for all.
+
     Tasks turn whole texts into distinct features and sketches, written once. The driver gets the sketches (a few bytes a
     document), decides which copies don't vote, then gets the counts of the useful features alone, and each document's
     useful features: the number of rows bounds what reaches it, not the length of texts.
