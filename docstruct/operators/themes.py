@@ -39,7 +39,7 @@ def score_keywords(rows: DataFrame, keywords: list[tuple[str, str, int]] | DataF
     return found.select(*keys, F.when(won, winner).otherwise(default).alias("label"), top.cast("long").alias("score"), F.when(won, share).otherwise(0.0).alias("confidence"))
 
 
-def period_and_region(rows: DataFrame, periods: list[tuple[str, list[str], list[str]]], century: str, regions: list[tuple[str, str]], text: str, keys: list[str]) -> DataFrame:
+def period_and_region(rows: DataFrame, periods: list[tuple[str, list[str], list[str]]], century: str, regions: list[tuple[str, str]], text: str, keys: list[str], century_suffix: str = ". century") -> DataFrame:
     """(keys, period, tier, region) by periods (name, strong words, representative words) and regions (name, word), in any script.
 
     The first period with a strong word wins (tier 'strong'), else the number that `century` finds ('century'), else the
@@ -54,7 +54,7 @@ def period_and_region(rows: DataFrame, periods: list[tuple[str, list[str], list[
     pick = lambda kind, order: F.max(F.when(F.col("kind") == kind, F.struct(order.alias("o"), (-F.col("place")).alias("b"), F.col("name").alias("name"))))["name"]
     best = counts.groupBy(*keys, "_c", "_row").agg(pick("strong", F.lit(0)).alias("_strong"), pick("word", F.col("_n")).alias("_most"), pick("region", F.lit(0)).alias("region"))
     tier = F.when(F.col("_strong").isNotNull(), "strong").when(F.col("_c").isNotNull(), "century").when(F.col("_most").isNotNull(), "representative")
-    return best.select(*keys, F.coalesce("_strong", F.concat("_c", F.lit(". century")), "_most").alias("period"), tier.alias("tier"), "region")
+    return best.select(*keys, F.coalesce("_strong", F.concat("_c", F.lit(century_suffix)), "_most").alias("period"), tier.alias("tier"), "region")
 
 
 def cascade(rows: DataFrame, stages: list[tuple[str, float, Column]], keys: list[str], text: str, suffixes: list[tuple[str, str]], excluded: str, exclude_before: str) -> DataFrame:

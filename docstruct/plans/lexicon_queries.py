@@ -244,7 +244,14 @@ def s2_ingest_summary(t):
 _STOP = ["home", "next", "the"]
 
 
-@query(r"""WITH x AS (SELECT trim(regexp_replace(m, '<[^>]*>', '', 'g')) AS term FROM (SELECT unnest(list_concat(""" + ", ".join(rf"regexp_extract_all(html, '(?s)<{g}\b[^>]*>(.*?)</{g}>', 1)" for g in ("h1", "h2", "h3", "li", "td", "th", "a")) + r""")) AS m FROM pages))
-SELECT term, count(*) AS n FROM x WHERE length(term) BETWEEN 2 AND 30 AND lower(term) NOT IN ('home', 'next', 'the') GROUP BY term""".replace("\\", "\\"))
+#: Starts and ends of one kind pair at equal depth; the text between them is that of all tags there.
+@query(r"""WITH m AS (SELECT page_id, unnest(range(len(ms))) AS i, unnest(ms) AS m FROM (SELECT page_id, regexp_extract_all(html, '<[^>]*>[^<]*') AS ms FROM pages)),
+t AS (SELECT page_id, i, regexp_extract(m, '^</?([A-Za-z][A-Za-z0-9]*)\b', 1) AS tag, starts_with(m, '</') AS closing, regexp_replace(m, '^<[^>]*>', '') AS text FROM m),
+d AS (SELECT *, sum(CASE WHEN closing THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, tag ORDER BY i) AS d FROM t WHERE tag IN ('h1', 'h2', 'h3', 'li', 'td', 'th', 'a')),
+r AS (SELECT *, d - least(0, min(d) OVER (PARTITION BY page_id, tag ORDER BY i)) AS depth FROM d),
+l AS (SELECT *, CASE WHEN closing THEN coalesce(lag(depth) OVER (PARTITION BY page_id, tag ORDER BY i), 0) ELSE depth END AS level FROM r),
+s AS (SELECT *, lead(i) OVER w AS stop, lead(closing) OVER w AS ends FROM l WHERE level > 0 WINDOW w AS (PARTITION BY page_id, tag, level ORDER BY i)),
+x AS (SELECT trim(string_agg(t.text, '' ORDER BY t.i)) AS term FROM s JOIN t ON t.page_id = s.page_id AND t.i >= s.i AND t.i < s.stop WHERE NOT s.closing AND s.ends GROUP BY s.page_id, s.tag, s.i)
+SELECT term, count(*) AS n FROM x WHERE length(term) BETWEEN 2 AND 30 AND lower(term) NOT IN ('home', 'next', 'the') GROUP BY term""")
 def s4_harvest_terms(t):
     return ingest.harvest_terms(t("pages"), "html", stop=_STOP)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docstruct.functions.fold import Fold, fold_sorted
+
 
 def ingest_summary(attempts: DataFrame, by: list[str], succeeded: Column, duration: str) -> DataFrame:
     """(by, total, success, failed, rate, mean_duration); a null outcome has failed, durations that are not known don't count."""
@@ -24,9 +26,44 @@ def latest_per_group(rows: DataFrame, group: list[str], newest: list[str], k: in
     return best if total_k is None else best.orderBy(*order).limit(total_k)
 
 
+class OpenTags(Fold):
+    """Of a page's tags in order, each with the text behind it, the texts of the wanted ones that close.
+
+    A stack for each kind holds what is open, so that a list within a list ends at its own end; a text that is too long is
+    no longer gathered, so that a page's state is bounded by its depth. An end without a start closes nothing, a start
+    without an end gives nothing.
+    """
+
+    def __init__(self, tags: tuple[str, ...], most: int):
+        self.most, self.open = most, {t: [] for t in tags}
+
+    def step(self, i, tag, closing, text):
+        if tag in self.open:
+            if not closing:
+                self.open[tag].append("")
+            elif self.open[tag]:
+                found = self.open[tag].pop()
+                if found is not None:
+                    yield (found.strip(" "),)
+        if text:
+            for spans in self.open.values():
+                for k, own in enumerate(spans):
+                    if own is not None:
+                        own = (own + text).lstrip(" ")
+                        spans[k] = None if len(own.rstrip(" ")) > self.most else own
+
+
 def harvest_terms(pages: DataFrame, html: str, tags: tuple[str, ...] = ("h1", "h2", "h3", "li", "td", "th", "a"), least: int = 2, most: int = 30, stop: list[str] = ()) -> DataFrame:
-    """(term, n) of the texts of these tags, with the text of tags inside them, of `least` to `most` characters and no stop words (lower case)."""
-    found = F.concat(*(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)) for tag in tags))
-    terms = pages.select(F.explode(found).alias("_m")).select(F.trim(F.regexp_replace("_m", "<[^>]*>", "")).alias("term"))
+    """(term, n) of the texts of these tags, with the text of tags inside them, of `least` to `most` characters and no stop words (lower case).
+
+    Tags become rows in order, and one pass over a page's rows keeps a stack of open ones, so that an element within one of
+    its own kind gives both texts, the inner and the whole. Null pages have no tags.
+    """
+    piece = "<[/!?A-Za-z][^>]*+>[^<]*+(?:<(?![/!?A-Za-z])[^<]*+)*+"  # a tag and the text up to the next one
+    numbered = pages.withColumn("_row", F.monotonically_increasing_id())
+    found = numbered.select("_row", F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(f"({piece})"), F.lit(1))).alias("i", "_m"))
+    tag = F.regexp_extract("_m", r"^</?([A-Za-z][A-Za-z0-9]*)\b", 1)
+    rows = found.select("_row", "i", tag.alias("tag"), F.startswith("_m", F.lit("</")).alias("closing"), F.regexp_replace("_m", "^<[^>]*>", "").alias("text"))
+    terms = fold_sorted(rows, ["_row"], ["i", "tag", "closing", "text"], "term string", lambda: OpenTags(tags, most))
     kept = terms.where(F.length("term").between(least, most) & ~F.lower("term").isin(list(stop)))
     return kept.groupBy("term").agg(F.count("*").alias("n"))

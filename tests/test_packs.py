@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docstruct.functions.numerals import clean_marker, numeral_table
-from docstruct.operators import classify, prepare, segment, sequence
+from docstruct.operators import classify, prepare, segment, sequence, themes
 from docstruct.plans import compose, packs
 
 
@@ -79,3 +79,15 @@ def test_long_texts_chunk_in_linear_time(spark):
             want += [now] if now is not None else []
             now = line
     assert got == [*want, now]
+
+
+def test_materials_periods_and_regions_by_the_pack(spark):
+    texts = ["次の地図と棒グラフを見て", "表１の統計と年表", "日本国憲法の条文", "問い", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = sorted((r.i, r.label) for r in classify.classify_multi(docs, packs.RESOURCES, "t", ["i"]).collect())
+    assert got == [(0, "graph"), (0, "map"), (1, "table"), (1, "timeline"), (2, "document"), (3, "none"), (4, "none")]
+    texts = ["鎌倉幕府と江戸の町", "18世紀のイギリスとアジア", "関東の工業", "中国地方とインド", "平安時代の東北", "なし"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = themes.period_and_region(docs, packs.PERIODS, packs.CENTURY, packs.REGIONS, "t", ["i"], packs.CENTURY_SUFFIX)
+    want = [("鎌倉時代", None), ("18世紀", "アジア"), (None, "日本・関東地方"), (None, "日本・中国地方"), ("平安時代", "日本・東北地方"), (None, None)]
+    assert [(r.period, r.region) for r in found.orderBy("i").collect()] == want

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docstruct.sources import corpus, registry_table
+from docstruct.sources import ingest, corpus, registry_table
 from docstruct.streaming import jobs
 
 
@@ -58,3 +58,10 @@ def test_lexicons_of_other_forms(spark, tmp_path):
     found = corpus.read_markdown_lexicon(spark, str(tmp_path / "terms.md"))
     rows = found.select("field", F.coalesce("category", F.lit("-")), "term_rank", "term").collect()
     assert sorted(map(tuple, rows)) == [("history", "-", 0, "king"), ("history", "-", 1, "duke"), ("history", "wars", 0, "siege"), ("history", "wars", 1, "truce"), ("law", "-", 0, "court")]
+
+
+def test_tags_within_their_own_kind_keep_both_texts(spark):
+    pages = ["<ul><li>fruit <ul><li>apple</li><li> red <b>pear</b> </li></ul> end</li></ul>", "</li><li>open<li>closed</li><td>a < b</td>", "<h1>" + "x" * 40 + "<a>link</a></h1><a>li</a><a>Stop</a>", None, ""]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)] + [(0, pages[2])], "i int, html string").repartition(3)
+    got = {r.term: r.n for r in ingest.harvest_terms(df, "html", stop=["stop"]).collect()}
+    assert got == {"fruit apple red pear  end": 1, "apple": 1, "red pear": 1, "closed": 1, "a < b": 1, "link": 2, "li": 2}
