@@ -224,9 +224,10 @@ def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) ->
     Documents of equal sets are one class, named by the smallest key; n_links counts other classes that are similar.
     Representatives meet on prefix words: with words ordered by rarity, similar sets of m words share one of their rarest
     m - ceil(threshold * m) + 1. At the first shared word the words after it bound the overlap, which drops most other
-    pairs before their words are compared. Empty and null texts have no words and no links.
+    pairs before their words are compared, as 64-bit hashes. Empty and null texts have no words and no links.
     """
-    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")))
+    parts = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""))
+    words = F.array_sort(F.transform(parts, lambda w: F.xxhash64(w)))  # numbers are dealt, sorted and compared faster
     sets = docs.select(F.col(key).alias("_key"), words.alias("_words"))
     named = sets.groupBy("_words").agg(F.min("_key").alias("class_id"))
     classes = named.where(F.size("_words") > 0)
