@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docstruct.plans import registry
 from docstruct.plans.registry import query
-from docstruct.sources import corpus
+from docstruct.sources import corpus, registry_table
 from docstruct.streaming import jobs
 
 
@@ -117,3 +117,36 @@ def s8_export_documents(t):
     asked = lambda s: F.array_join(F.transform(s["questions"], lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), "+")
     listed = F.array_join(F.transform("sections", lambda s: F.concat(s["o_orderkey"].cast("string"), F.lit("("), s["n_questions"].cast("string"), F.lit(";"), kinds(s["type_counts"]), F.lit(";"), asked(s), F.lit(")"))), " ")
     return nested.select("c_custkey", "c_name", "n_sections", "n_questions", kinds("type_counts").alias("kinds"), listed.alias("sections"))
+
+
+#: Queries over files that Spark derives from the tables: they write them to the shared folder and read them with a source.
+_source_query = _stream_query
+
+
+@_source_query("""SELECT lang, (doc_id // 100)::BIGINT AS part, sum(1 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS n_lines, sum(length(text) + 1)::BIGINT AS n_chars, 'utf-8' AS encoding FROM documents GROUP BY ALL""")
+def s1_read_text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "texts")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text"), "lang", F.expr("doc_id div 100").alias("part"))
+    docs.repartition("lang", "part").write.partitionBy("lang", "part").text(path)  # a file for some hundred documents of a language
+    found = corpus.read_text_corpus(spark, path)
+    named = lambda key: F.regexp_extract("path", f"/{key}=([^/]+)/", 1)
+    return found.select(named("lang").alias("lang"), named("part").cast("long").alias("part"), F.regexp_count("text", F.lit("\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"), "encoding")
+
+
+@_source_query("SELECT p_brand AS field, p_name AS term, (row_number() OVER (PARTITION BY p_brand ORDER BY p_name) - 1)::INTEGER AS term_rank FROM (SELECT DISTINCT p_brand, p_name FROM part)")
+def s6_read_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "lexicon")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    listed = part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("_terms"))
+    listed.select(F.to_json(F.create_map("p_brand", "_terms")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)  # a file is one JSON object
+    return corpus.read_lexicon(spark, path)
+
+
+@_source_query("""SELECT o_orderpriority AS grp, year(o_orderdate)::INTEGER AS year, CASE WHEN o_orderpriority < '3' AND year(o_orderdate) >= 1995 THEN count(*) ELSE -1 END AS n, CASE WHEN o_orderpriority < '3' AND year(o_orderdate) >= 1995 THEN max(o_custkey) END AS last FROM orders GROUP BY o_orderpriority, year(o_orderdate)""")
+def s7_write_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "registry")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_orderpriority").alias("grp"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.max("o_custkey").alias("last"))
+    registry_table.write_registry(rows.select("grp", "year", F.lit(-1).cast("long").alias("n")), path, "grp")
+    for _ in range(2):  # the second time changes nothing
+        registry_table.upsert_groups(rows.where("grp < '3' AND year >= 1995"), path, ["grp", "year"], "grp")
+    return registry_table.read_registry(spark, path).select("grp", "year", "n", "last")
