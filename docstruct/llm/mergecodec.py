@@ -93,7 +93,8 @@ class Encoder:
         # nor does a piece hold one of these signs behind a letter: a unit ends between them, too
         behind = {b for n in self.usable for a, b in zip(n, n[1:]) if a.isalpha()}
         signs = re.escape("".join(sorted(c for c in map(chr, range(33, 127)) if not c.isalpha() and c not in behind)))
-        self.cuts = re.compile(rf"(?<=[^\W\d_])(?=[{signs}])" if signs else "(?!)")
+        other = re.escape("".join(sorted({c for n in self.usable for c in n if re.match(r"[^\W\d_]", c) and not c.isalpha()})))  # as superscripts
+        self.cuts = re.compile(rf"(?<=[^\W\d_{other}])(?=[{signs}])" if signs else "(?!)")
 
     def longest(self, unit: str) -> list[int]:
         """The longest piece that starts at each position, -1 where none does."""

@@ -47,7 +47,7 @@ def test_a_failed_position_is_left_for_a_shorter_piece():
     class Toy:
         normal = {n: i for i, n in enumerate(["a", "b", "c", "d", "ab", "bc", "bcd"])}
         rank = {"bc": 0, "ab": 1, "bcd": 2} | {c: 9 for c in "abcd"}
-        byte, unk = {}, 99
+        names, byte, unk = list(normal), {}, 99
 
     encoder = mergecodec.Encoder(Toy)
     for t in (t for n in range(1, 7) for t in map("".join, itertools.product("abcde", repeat=n))):
