@@ -170,10 +170,10 @@ def fuzzy_term_match(keywords: DataFrame, lexicon: DataFrame, keys: list[str], k
     1.0 if equal, 0.8 if one contains the other, 0.6 if more than half of all their characters are shared, else 0.3;
     times 1.2 in the keyword's own field; ties go to the lower term_rank. Terms that share no character do not count.
 
-    A ladder of equi joins, each for the distinct keywords that no better class has served: equality; containment, found
-    at the contained one's rarest pair of characters; character sets, which meet on their rarest characters; and for the
-    rest one term for each character, in the keyword's field and in all. A keyword and field keep one term of a class, so
-    that nothing grows with the pairs of keywords and terms that merely share a character.
+    A ladder of equi joins over the distinct keywords: equality; containment, found at the contained one's rarest pair of
+    characters; character sets, which meet on their rarest characters; and one term for each character, in the keyword's
+    field and in all. A keyword and field keep one term of a class, so that nothing grows with the pairs of keywords and
+    terms that merely share a character.
     """
     best = F.min(F.struct("term_rank", "term")).alias("_t")
     terms = lexicon.select("term", F.col("field").alias("term_field"), "term_rank").where(F.length("term") > 0)
@@ -183,9 +183,8 @@ def fuzzy_term_match(keywords: DataFrame, lexicon: DataFrame, keys: list[str], k
     equal = of_field(own.join(names, own["_keyword"] == names["term"]))
     inner = term_hits(own, names, "_keyword", ["_keyword"], words=False).select("_keyword", "term")
     contained = of_field(inner.union(_holders(names, own)).where("_keyword <> term").distinct())
-    served = equal.select("_keyword").union(contained.select("_keyword")).distinct()
     letters = lambda c: F.array_distinct(F.split(F.col(c), ""))
-    left = own.join(served, "_keyword", "left_anti").select("_keyword", letters("_keyword").alias("_a"))
+    left = own.select("_keyword", letters("_keyword").alias("_a"))
     right = names.select("term", letters("term").alias("_b"))
     rarity = right.select(F.explode("_b").alias("_ch")).groupBy("_ch").agg(F.count("*").alias("_df"))
 
@@ -197,7 +196,7 @@ def fuzzy_term_match(keywords: DataFrame, lexicon: DataFrame, keys: list[str], k
     shared = F.size(F.array_intersect("_a", "_b"))
     alike = prefix(left, "_keyword", "_a").join(prefix(right, "term", "_b"), "_ch").where((2 * F.least(F.size("_a"), F.size("_b")) > F.greatest(F.size("_a"), F.size("_b"))) & (3 * shared > F.size("_a") + F.size("_b")))
     alike = of_field(alike.select("_keyword", "term").distinct())
-    rest = left.join(alike.select("_keyword").distinct(), "_keyword", "left_anti").select("_keyword", F.explode("_a").alias("_ch"))
+    rest = left.select("_keyword", F.explode("_a").alias("_ch"))
     of_letter = terms.select("term_field", "term_rank", "term", F.explode(letters("term")).alias("_ch"))
     firsts = of_letter.groupBy("_ch", "term_field").agg(best)
     asked = keywords.select(F.col(keyword).alias("_keyword"), F.col(field).alias("_field")).distinct()
