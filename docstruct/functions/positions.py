@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def locate_matches(rows: DataFrame, rules: list[tuple[str, str]], text: Column, keys: list[str], group: int = 0, lines: bool = False) -> DataFrame:
+def locate_matches(rows: DataFrame, rules: list[tuple[str, str]], text: Column, keys: list[str], group: int = 0, lines: bool = False, line_text: bool = True) -> DataFrame:
     """(keys, _row, rule_no, i, pos, end, found): the leftmost non-overlapping matches of each rule (name, pattern) in the text, with 0-based positions; found is the pattern's `group` (0: all).
 
     A rule's matches and the texts between them are zipped and spread to rows; running sums of their lengths within the
     row and the rule are the positions, so that the work is linear in the matches. _row tells rows apart, so that null and
-    repeated keys don't mix. `lines`: every line is a match of one more rule, numbered len(rules): pos is its start, i its number.
+    repeated keys don't mix. `lines`: every line is a match of one more rule, numbered len(rules): pos is its start, i its number, found its text if `line_text`, else null.
     """
     found, body = [], F.coalesce(text, F.lit(""))
     for n, (_, pattern) in enumerate(rules):
@@ -20,7 +20,7 @@ def locate_matches(rows: DataFrame, rules: list[tuple[str, str]], text: Column,
         zipped = F.arrays_zip(F.regexp_extract_all(body, shape, F.lit(1)).alias("m"), F.regexp_extract_all(body, shape, F.lit(1 + group)).alias("v"), F.split(body, pattern, -1).alias("p"))
         found.append(_numbered(F.filter(zipped, lambda x: x["m"].isNotNull()), n))
     if lines:
-        found.append(F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(F.lit(len(rules)).alias("rule_no"), i.alias("i"), F.lit(0).cast("long").alias("gap"), (F.length(x) + 1).alias("size"), x.alias("found"))))
+        found.append(F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(F.lit(len(rules)).alias("rule_no"), i.alias("i"), F.lit(0).cast("long").alias("gap"), (F.length(x) + 1).alias("size"), (x if line_text else F.lit(None).cast("string")).alias("found"))))
     numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     spread = numbered.select(*keys, "_row", F.explode(F.concat(*found)).alias("_m")).select(*keys, "_row", "_m.*")
     # by the row alone, so that what follows within rows moves nothing again

@@ -23,7 +23,7 @@ def find_markers(docs: DataFrame, rules: list[tuple[str, str, int]], text: str,
     """
     extra = ["line"] if line else []
     if anywhere:
-        hits = locate_matches(docs, [(name, p) for name, p, _ in rules], F.col(text), keys, group, lines=True)
+        hits = locate_matches(docs, [(name, p) for name, p, _ in rules], F.col(text), keys, group, lines=True, line_text=line)
         begins = F.col("rule_no") == len(rules)
         held = F.struct(F.col("i").alias("line_no"), *[F.col("found").alias("line")] * line)
         latest = F.last(F.when(begins, held), ignorenulls=True).over(Window.partitionBy("_row").orderBy("pos", (~begins).cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
