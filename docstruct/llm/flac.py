@@ -4,6 +4,9 @@ All frames of a step move through the format together: sample t of every frame i
 frames' checksums. Layout as in the published format description: stream info, seek table, frames with CRC-8 headers,
 constant, verbatim, fixed and linear-prediction subframes, Rice-coded residuals in partitions, CRC-16 footers. The decoder
 reads streams of this profile (mono, 8 bits, blocks of 192) and refuses others.
+
+Text has no slope that a predictor could follow. Its samples are ranks of its bytes by frequency, the frequent ones near
+zero, and an application block lists the bytes (`palette`); payloads that predictors fit better keep their bytes.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docstruct.llm.scratch import stage
 from docstruct.llm.textbatch import Carried, column, steps
 
 BLOCK, RATE, STEP_FRAMES = 192, 8000, 8192
@@ -29,6 +33,10 @@ PRECISION, SHIFT, ORDERS, PARTITIONS = 10, 8, (2, 4), 3
 #: Fixed predictors' coefficients of the samples before, latest first.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 CONSTANT, VERBATIM, FIXED_TYPE, LPC_TYPE = 0, 1, 8, 32
+#: Kinds of metadata blocks, and the name of the application block that holds a palette.
+INFO, APPLICATION, SEEK, PALETTE = 0, 2, 3, b"rank"
+#: Payload byte of each sample's byte where there is no palette: sample s is the byte s + 128.
+_SHIFTED = bytes(b ^ 0x80 for b in range(256))
 
 
 def _table(poly: int, width: int) -> np.ndarray:
@@ -292,10 +300,47 @@ def payload(text: bytes) -> bytes:
     return text + b" " * (-len(text) % BLOCK if text else BLOCK)
 
 
+def palette(data: bytes) -> bytes:
+    """The bytes of a payload by falling frequency, equal ones in order; none where the differences of fixed predictors make shorter Rice codes than the ranks and the list."""
+    x = np.frombuffer(data, np.uint8)
+    count = np.bincount(x, minlength=256)
+    order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+    ranks = int((count[order] * np.arange(len(order))).sum())
+    plain = x.astype(np.int16) - 128
+    left = min(2 * int(np.abs(np.diff(plain, n=k)).sum(dtype=np.int64)) for k in range(3))
+    bits = lambda total: len(x) * np.log2(1 + total / len(x))
+    return order.astype(np.uint8).tobytes() if bits(ranks) + 8 * (len(order) + 12) < bits(left) else b""
+
+
+def _samples_of(order: bytes) -> bytes:
+    """The sample's byte of each payload byte: ranks 0, 1, 2, 3 are the samples 0, -1, 1, -2, which Rice codes fold back to the ranks."""
+    if not order:
+        return _SHIFTED
+    table = bytearray(256)
+    for rank, byte in enumerate(order):
+        table[byte] = (rank >> 1 ^ -(rank & 1)) & 0xFF
+    return bytes(table)
+
+
+def _bytes_of(order: bytes) -> bytes:
+    """The payload byte of each sample's byte."""
+    if not order:
+        return _SHIFTED
+    table = bytearray(256)
+    for rank, byte in enumerate(order):
+        table[(rank >> 1 ^ -(rank & 1)) & 0xFF] = byte
+    return bytes(table)
+
+
+def _metadata(kind: int, body: bytes, last: bool = False) -> bytes:
+    return bytes([kind | last << 7]) + len(body).to_bytes(3) + body
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload (a positive multiple of BLOCK bytes); byte b is the sample b - 128."""
+    """A FLAC stream for each payload (a positive multiple of BLOCK bytes); byte b is the sample b - 128, or its rank's in the palette."""
     count = np.array([len(p) // BLOCK for p in payloads], np.int64)
-    raw = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8)
+    palettes = [palette(p) for p in payloads]
+    raw = np.frombuffer(b"".join(p.translate(_samples_of(o)) for p, o in zip(payloads, palettes)), np.int8)
     samples = raw.reshape(-1, BLOCK)
     number = np.arange(len(samples)) - np.repeat(np.cumsum(count) - count, count)
     parts, sizes = zip(*(encode_frames(samples[i : i + STEP_FRAMES].astype(np.int32), number[i : i + STEP_FRAMES]) for i in range(0, len(samples), STEP_FRAMES)))
@@ -307,24 +352,30 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         offsets = np.cumsum(own) - own
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3) + int(own.max()).to_bytes(3) + (RATE << 44 | 7 << 36 | n * BLOCK).to_bytes(8) + hashlib.md5(raw[f * BLOCK : (f + n) * BLOCK].tobytes()).digest()
         seek = b"".join(struct.pack(">QQH", j * BLOCK, int(offsets[j]), BLOCK) for j in range(0, n, SEEK_EVERY))
-        out.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3) + info + bytes([0x83]) + len(seek).to_bytes(3) + seek + coded[begin : int(ends[f + n - 1])])
+        order = palettes[i]
+        listed = _metadata(APPLICATION, PALETTE + zlib.crc32(order).to_bytes(4) + order, True) if order else b""
+        out.append(b"fLaC" + _metadata(INFO, info) + _metadata(SEEK, seek, not order) + listed + coded[begin : int(ends[f + n - 1])])
     return out
 
 
-def parse(media: bytes) -> tuple[int, int, bytes, list[tuple[int, int]]]:
-    """(offset of the first frame, samples, MD5, seek points as (sample, byte offset from the first frame))."""
+def parse(media: bytes) -> tuple[int, int, bytes, list[tuple[int, int]], bytes]:
+    """(offset of the first frame, samples, MD5, seek points as (sample, byte offset from the first frame), payload byte of each sample's byte)."""
     if media[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
-    at, total, md5, seek, last = 4, 0, b"", [], False
+    at, total, md5, seek, order, last = 4, 0, b"", [], b"", False
     while not last:
         last, kind, size = bool(media[at] & 128), media[at] & 127, int.from_bytes(media[at + 1 : at + 4])
         block = media[at + 4 : at + 4 + size]
-        if kind == 0:
+        if kind == INFO:
             total, md5 = int.from_bytes(block[10:18]) & (1 << 36) - 1, block[18:34]
-        elif kind == 3:
+        elif kind == SEEK:
             seek = [struct.unpack(">QQ", block[i : i + 16]) for i in range(0, size, 18)]
+        elif kind == APPLICATION and block[:4] == PALETTE:
+            order = block[8:]
+            if zlib.crc32(order).to_bytes(4) != block[4:8] or len(set(order)) < len(order):
+                raise ValueError("palette mismatch")
         at += 4 + size
-    return at, total, md5, seek
+    return at, total, md5, seek, _bytes_of(order)
 
 
 def frame_starts(media: bytes, first: int, frames: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +399,9 @@ def frame_starts(media: bytes, first: int, frames: int) -> tuple[np.ndarray, np.
 
 def decode(media: list[bytes]) -> list[bytes]:
     """The payloads of streams made by encode(), each frame's checksums and each stream's MD5 verified."""
-    starts, sizes, numbers, sums, counts, base = [], [], [], [], [], 0
+    starts, sizes, numbers, sums, counts, tables, base = [], [], [], [], [], [], 0
     for m in media:
-        first, total, md5, seek = parse(m)
+        first, total, md5, seek, table = parse(m)
         at, size = frame_starts(m, first, total // BLOCK)
         if any(sample % BLOCK or at[sample // BLOCK] - first != offset for sample, offset in seek if sample < total) or any(sample >= total for sample, _ in seek):
             raise ValueError("seek table mismatch")
@@ -358,17 +409,18 @@ def decode(media: list[bytes]) -> list[bytes]:
         sizes.append(size)
         numbers.append(np.arange(len(at)))
         sums.append(md5)
+        tables.append(table)
         counts.append(total)
         base += len(m)
     data = np.frombuffer(b"".join(media), np.uint8)
     at, size, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, numbers))
     pcm = b"".join(_decode_step(data, at[i : i + STEP_FRAMES], size[i : i + STEP_FRAMES], number[i : i + STEP_FRAMES]) for i in range(0, len(at), STEP_FRAMES))
     out, base = [], 0
-    for n, md5 in zip(counts, sums):
+    for n, md5, table in zip(counts, sums, tables):
         own = pcm[base : base + n]
         if hashlib.md5(own).digest() != md5:
             raise ValueError("MD5 mismatch")
-        out.append((np.frombuffer(own, np.uint8) ^ 0x80).tobytes())
+        out.append(own.translate(table))
         base += n
     return out
 
@@ -380,7 +432,7 @@ def _decode_step(data: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.
 
 def seek_block(media: bytes, sample: int) -> bytes:
     """The payload bytes of the frame that holds a sample, read from the nearest seek point before it."""
-    first, total, _md5, points = parse(media)
+    first, total, _md5, points, table = parse(media)
     begin, offset = max((p for p in points if p[0] <= sample), default=(0, 0))
     frame, behind = sample // BLOCK, begin // BLOCK
     tail = media[first + offset :]
@@ -397,7 +449,7 @@ def seek_block(media: bytes, sample: int) -> bytes:
         found.append(at)
         at += 1
     own = tail[found[-2] : found[-1]]
-    return (_decode_step(np.frombuffer(own, np.uint8), np.array([0]), np.array([len(own)]), np.array([frame])).translate(bytes(b ^ 0x80 for b in range(256))))
+    return _decode_step(np.frombuffer(own, np.uint8), np.array([0]), np.array([len(own)]), np.array([frame])).translate(table)
 
 
 def write_flac(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -489,16 +541,15 @@ def describe_blocks(blocks: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def media_features(docs: DataFrame, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """Store each text as FLAC in a media column, read its PCM blocks back from there with all checks, and describe both.
+    """Store each text as FLAC in a table's media column, read its PCM blocks back from that table with all checks, and describe both.
 
     Adds n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature to the columns `keep` of
     docs (None: all); columns with these names are replaced, whatever their case. Null and empty texts are 192 blanks;
     equal texts give equal values; a damaged stream raises; an empty table gives an empty result. Bounded by a step of
     texts, or one text where that is larger. Nothing is shuffled.
 
-    With `path` the media column is written there as a table, and blocks are read from that table. Without it nothing is
-    stored: the column goes as bytes from the writer's stage to the reader's, which decodes and verifies it as it would a
-    table's; the table takes 1.69 times the input, see README.md.
+    The table is written to `path`, or to the folder of spark.checkpoint.dir without one. PCM blocks go from there to the
+    features in one stage; read_blocks() gives them as rows, to be written as a table too.
     """
     added = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     own = Carried(docs, keep, added)
@@ -507,6 +558,8 @@ def media_features(docs: DataFrame, text: str = "text", keep: list[str] | None =
     if path:
         stored.write.parquet(path)
         stored = docs.sparkSession.read.schema(stored.schema).parquet(path)
+    else:
+        stored = stage(stored, "media")
     named = stored.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
     about = [*own.inner, "n_bytes", "media_bytes", "media_sha256"]
     return describe_blocks(read_blocks(named, "media", about), about).select(*own.back(), *added)

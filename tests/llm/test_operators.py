@@ -197,7 +197,8 @@ def test_flac_round_trip_and_damage():
     media = flac.encode(payloads)
     assert flac.decode(media) == payloads
     assert flac.seek_block(media[-1], 140_000) == payloads[-1][139_968:140_160]
-    for at in (60, len(media[2]) - 40, len(media[2]) - 1):
+    assert flac.palette(payloads[2]) == bytes(sorted("é漢".encode())) + b" " and not flac.palette(payloads[5])
+    for at in (60, flac.parse(media[2])[0] - 1, len(media[2]) - 40, len(media[2]) - 1):  # in the seek table, the palette and frames
         bad = bytearray(media[2])
         bad[at] ^= 8
         with pytest.raises(ValueError):
@@ -320,11 +321,13 @@ def test_secrets_of_a_long_text_take_linear_time_and_keys_differ(spark):
 
 
 def plain_flac(media):
-    """The samples of a FLAC stream, bit by bit as the format description says; knows nothing of the encoder."""
+    """The bytes of a FLAC stream's samples, bit by bit as the format description says; of the encoder it knows the palette."""
     assert media[:4] == b"fLaC"
-    at, last = 4, False
+    at, last, listed = 4, False, b""
     while not last:
         last, size = bool(media[at] >> 7), int.from_bytes(media[at + 1 : at + 4])
+        if media[at] & 127 == 2 and media[at + 4 : at + 8] == b"rank":
+            listed = media[at + 12 : at + 4 + size]
         at += 4 + size
     bits = "".join(f"{b:08b}" for b in media[at:])
     p, out = 0, []
@@ -375,7 +378,7 @@ def plain_flac(media):
                 crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1 & 0xFFFF
         assert take(16) == crc
         out += own
-    return bytes(s + 128 for s in out)
+    return bytes(listed[2 * s if s >= 0 else -2 * s - 1] for s in out) if listed else bytes(s + 128 for s in out)
 
 
 def test_flac_streams_equal_a_plain_decoder():
@@ -386,6 +389,7 @@ def test_flac_streams_equal_a_plain_decoder():
     assert [plain_flac(m) for m in media] == payloads
     kinds = {(m[flac.parse(m)[0] + flac.BLOCK * 0 + 6] >> 1) for m in media}
     assert len(kinds) >= 3 and len(media[2]) < 0.8 * len(payloads[2])
+    assert not flac.palette(payloads[2]) and flac.palette(payloads[1]) and len(media[1]) < 0.75 * len(payloads[1])
 
 
 def test_flac_query_and_blocks_are_found_by_offset(spark, tmp_path):
