@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,27 @@ def anchors(terms: DataFrame, term: str = "term") -> DataFrame:
     return best.select("term", "size", "_b.gram", "_b.offset", F.col("term").rlike(f"^{WORD}").alias("before"), F.col("term").rlike(f"{WORD}$").alias("after"))
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], term: str = "term", single: bool = True, outer: bool = False, words: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class Measure:
+    """What one job tells of a dictionary: the characters of its longest term, whether all terms are whole words and any has one character, and whether it may be broadcast."""
+
+    longest: int
+    words: bool
+    single: bool
+    small: bool
+
+    @staticmethod
+    def of(terms: DataFrame, term: str) -> Measure:
+        name = F.col(term)
+        longest, words, least, size = terms.agg(F.max(F.length(name)), F.every(name.rlike(f"^{WORD}+$")), F.min(F.length(name)), F.sum(F.octet_length(name) + 40)).first()
+        return Measure(longest or 0, bool(words), least == 1, (size or 0) <= BROADCAST_BYTES)
+
+    def placed(self, own: DataFrame) -> DataFrame:
+        """own, a table of the dictionary's size, to be broadcast if that is small."""
+        return F.broadcast(own) if self.small else own
+
+
+def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], term: str = "term", outer: bool = False, words: bool = True, measure: Measure | None = None) -> DataFrame:
     """(keys, _row, term, pos): each occurrence of each term in the lower-cased text, overlaps included, by 0-based position.
 
     Terms are lower-case, of 1 to WINDOW characters (longer ones raise ValueError), in any script. A text is cut into
@@ -34,13 +56,15 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], ter
     their lengths. One job measures the dictionary: up to BROADCAST_BYTES its anchors are broadcast, so that no character
     is shuffled; beyond, pairs are dealt by a shuffle, each with its window.
 
-    _row tells input rows apart, whatever their keys. `single`: there may be terms of one character; without them a window
-    emits half as much. Without `words`, texts keep their case and terms may lie within longer words. `outer`: rows without a hit, null texts among them, have one row with a null term.
+    _row tells input rows apart, whatever their keys. Without terms of one character a window emits half as much. Without
+    `words`, texts keep their case and terms may lie within longer words. `outer`: rows without a hit, null texts among them,
+    have one row with a null term.
     """
-    longest = terms.agg(F.max(F.length(term))).first()[0] or 0
+    known = measure or Measure.of(terms, term)
+    longest = known.longest
     if longest > WINDOW:
         raise ValueError(f"a term is longer than {WINDOW} characters")
-    found = _placed(anchors(terms, term), terms, term)
+    found = known.placed(anchors(terms, term))
     body = F.coalesce(F.col(text), F.lit(""))
     chunks = F.regexp_extract_all(F.lower(body) if words else body, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
     around = F.arrays_zip(F.concat(F.array(F.lit("\n")), F.slice(chunks, F.lit(1), F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("p"), chunks.alias("c"), F.slice(chunks, F.lit(2), F.greatest(F.size(chunks), F.lit(1))).alias("d"))
@@ -52,7 +76,7 @@ def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], ter
     pairs = F.arrays_zip(letters.alias("x"), F.slice(letters, F.lit(2), F.size(letters)).alias("y"))
     spread = windows.select(*keys, "_row", "_i", "_own", "_body", F.posexplode(pairs).alias("_k", "_p"))
     pair = F.concat("_p.x", F.coalesce("_p.y", F.lit("")))
-    grams = spread.select(*keys, "_row", "_i", "_own", "_body", "_k", (F.explode(F.array_distinct(F.array(pair, F.col("_p.x")))) if single else pair).alias("gram"))
+    grams = spread.select(*keys, "_row", "_i", "_own", "_body", "_k", (F.explode(F.array_distinct(F.array(pair, F.col("_p.x")))) if known.single else pair).alias("gram"))
     met = grams.join(found, "gram", "left" if outer else "inner")
     start = F.col("_k") - F.col("offset")  # in the body, whose first character is the one before the window
     edge = lambda at: F.coalesce(F.substring("_body", at, F.lit(1)), F.lit("")).rlike(WORD)
@@ -71,20 +95,14 @@ def present_terms(docs: DataFrame, terms: DataFrame, text: str, keys: list[str],
     A dictionary of nothing but whole words meets the texts' words, six times fewer than their characters (pos counts
     words then); any other goes through term_hits(). `outer`: rows without a term have one row with a null term.
     """
-    word, single = terms.agg(F.coalesce(F.every(F.col(term).rlike(f"^{WORD}+$")), F.lit(False)), F.coalesce(F.min(F.length(term)) == 1, F.lit(False))).first()
-    if word:
+    known = Measure.of(terms, term)
+    if known.words:
         found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"({WORD}+)"), F.lit(1))
-        own = _placed(terms.select(F.col(term).alias("term")).distinct().withColumn("_in", F.lit(True)), terms, term)
+        own = known.placed(terms.select(F.col(term).alias("term")).distinct().withColumn("_in", F.lit(True)))
         rows = docs.select("*", F.monotonically_increasing_id().alias("_row")).select(*keys, "_row", (F.posexplode_outer if outer else F.posexplode)(found).alias("pos", "term"))
         hits = rows.join(own, "term", "left" if outer else "inner")
         hits = hits.select(*keys, "_row", F.when(F.col("_in"), F.col("term")).alias("term"), F.col("pos").cast("long").alias("pos"))
     else:
-        hits = term_hits(docs, terms, text, keys, term, single, outer)
+        hits = term_hits(docs, terms, text, keys, term, outer, measure=known)
     found = hits.groupBy(*keys, "_row", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     return found
-
-
-def _placed(own: DataFrame, terms: DataFrame, term: str) -> DataFrame:
-    """own, a table of the dictionary's size, to be broadcast if that is within BROADCAST_BYTES."""
-    size = terms.agg(F.sum(F.octet_length(term) + 40)).first()[0] or 0
-    return F.broadcast(own) if size <= BROADCAST_BYTES else own

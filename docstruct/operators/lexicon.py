@@ -94,8 +94,9 @@ def _between(items: DataFrame, others: DataFrame, keys: list[str], pos: str, rad
     """(keys, names, _n) of the sums of _c of others (keys, _q, _c) within `radius` of each item, where above 0."""
     none = [F.lit(None).cast(items.schema[n].dataType).alias(n) for n in names]
     stream = others.select(*keys, *none, F.col("_q").cast("long").alias("_at"), F.lit(1).alias("_turn"), F.lit(0).alias("_sign"), "_c")
-    for turn, sign, at in ((0, -1, F.col(pos) - radius), (2, 1, F.col(pos) + radius)):  # a lower bound comes before what lies on it
-        stream = stream.union(items.select(*keys, *names, at.cast("long"), F.lit(turn), F.lit(sign), F.lit(0).cast("long")))
+    bound = lambda at, turn, sign: F.struct(at.cast("long").alias("_at"), F.lit(turn).alias("_turn"), F.lit(sign).alias("_sign"), F.lit(0).cast("long").alias("_c"))
+    bounds = F.array(bound(F.col(pos) - radius, 0, -1), bound(F.col(pos) + radius, 2, 1))  # a lower bound comes before what lies on it
+    stream = stream.union(items.select(*keys, *names, F.explode(bounds).alias("_b")).select(*keys, *names, "_b.*"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = stream.withColumn("_upto", upto).where("_sign <> 0").groupBy(*keys, *names).agg(F.sum(F.col("_sign") * F.col("_upto")).alias("_n"))
     return found.where("_n > 0")
