@@ -43,8 +43,19 @@ class Measure:
         return Measure(longest or 0, bool(words), least == 1, (size or 0) <= BROADCAST_BYTES)
 
     def placed(self, own: DataFrame) -> DataFrame:
-        """own, a table of the dictionary's size, to be broadcast if that is small."""
-        return F.broadcast(own) if self.small else own
+        """own, a table of the dictionary's size, marked for a join with texts; see placed_by()."""
+        return placed_by(self.small, own)
+
+
+def placed_by(small: bool, own: DataFrame) -> DataFrame:
+    """own, to be broadcast if it is small, else to be joined by a shuffle, so that Spark never broadcasts what texts are spread to: it knows the size of the texts only, not of their pieces."""
+    return F.broadcast(own) if small else own.hint("merge")
+
+
+def is_small(rows: DataFrame) -> bool:
+    """Whether whole rows may be broadcast; one job."""
+    size = rows.agg(F.sum(F.octet_length(F.concat_ws("", *(F.col(c).cast("string") for c in rows.columns))) + 40)).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
 
 
 def term_hits(docs: DataFrame, terms: DataFrame, text: str, keys: list[str], term: str = "term", outer: bool = False, words: bool = True, measure: Measure | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docstruct.functions.positions import join_on
-from docstruct.operators.dictionary import present_terms, term_hits
+from docstruct.operators.dictionary import is_small, placed_by, present_terms, term_hits
 
 
 def tokens(text: str, pattern: str = "[a-z]+") -> Column:
@@ -19,11 +19,12 @@ def match_terms(docs: DataFrame, lexicon: DataFrame, text: str, keys: list[str],
     """(keys, term, field, category, term_rank, n) for every term that a text contains, overlaps included.
 
     Containment becomes an equi join: a text's distinct substrings of each term length meet the terms. For texts of a
-    question's size; longer ones take match_tokens.
+    question's size; longer ones take match_tokens. One job measures the lexicon: a small one is broadcast to the
+    substrings, which are not; a larger one meets them by a shuffle.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     grams = F.array_distinct(F.flatten(F.array(*(_grams(body, n) for n in lengths))))
-    found = docs.select(*keys, body.alias("_text"), F.explode(grams).alias("term")).join(lexicon, "term")
+    found = docs.select(*keys, body.alias("_text"), F.explode(grams).alias("term")).join(placed_by(is_small(lexicon), lexicon), "term")
     count = (F.length("_text") - F.length(F.replace(F.col("_text"), F.col("term"), F.lit("")))) / F.length("term")
     return found.select(*keys, "term", "field", "category", "term_rank", count.cast("long").alias("n"))
 

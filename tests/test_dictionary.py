@@ -5,6 +5,7 @@ import random
 
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from docstruct.operators import dictionary, identity, lexicon, themes
 
@@ -70,3 +71,24 @@ def test_schools_are_found_by_their_names(spark):
     got = sorted((r.entity, r.score, r.confidence) for r in identity.detect_entity(docs, aliases, "text", "path", ["k"]).collect())
     # 開成中学: 2 x 10 in the head and 10 by the file's name; 開成: 2 x 5 and 5; against 桜蔭: 3 x 10
     assert got == [("武蔵中学校", 10.0, 1.0), ("開成中学校", 45.0, 1.0)]
+
+
+def test_spread_texts_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Spark knows a table's size, not that of its substrings: a small table of texts must not be what is sent to all tasks."""
+    spark.createDataFrame([(i, "STEEL TIN" * (1 + i % 3)) for i in range(50)], "d int, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    terms = spark.createDataFrame([("TIN", "metal", "soft", 1), ("EE", "pair", "two", 2)], "term string, field string, category string, term_rank int")
+    low = terms.select(F.lower("term").alias("term"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    matched = lambda: lexicon.match_terms(docs, terms, "text", ["d"], [2, 3])
+    placed = lambda: dictionary.term_hits(docs, low, "text", ["d"], words=False)
+    want = sorted((i, t, (1 + i % 3)) for i in range(50) for t in ("TIN", "EE"))
+    assert "BuildRight" in plan(matched()) and "BuildLeft" not in plan(matched())
+    assert sorted((r.d, r.term, r.n) for r in matched().collect()) == want
+    hits = sorted(map(tuple, placed().drop("_row").collect()))
+    monkeypatch.setattr(dictionary, "BROADCAST_BYTES", 0)
+    for made in (matched(), placed(), dictionary.present_terms(docs, low, "text", ["d"])):
+        last = plan(made)[: plan(made).index("Generate")]
+        assert "SortMergeJoin" in last and "BroadcastHashJoin" not in last
+    assert sorted((r.d, r.term, r.n) for r in matched().collect()) == want
+    assert sorted(map(tuple, placed().drop("_row").collect())) == hits
