@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docstruct.functions.positions import join_on
@@ -219,19 +222,48 @@ def _holders(names: DataFrame, keywords: DataFrame) -> DataFrame:
     return term_hits(own, keywords, "_name", ["_name"], "_keyword", words=False).select(F.col("term").alias("_keyword"), F.col("_name").alias("term"))
 
 
+#: Words of the members of a block of similar classes, and lesser neighbours by which members are dealt in bands.
+BLOCK_WORDS, BAND = 200_000, 256
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def parity_bits(words: pd.Series) -> pd.Series:
+    """Of 64-bit hashes, the parity of those in each of 2 to 4 cells a hash (a power of two), 64 cells a number: two sets differ in no fewer hashes than cells."""
+
+    def bits(own: np.ndarray) -> np.ndarray:
+        n = 1 << max(0, (len(own) - 1) // 32).bit_length()
+        out = np.zeros(n, np.uint64)
+        np.bitwise_xor.at(out, (own >> 6) & (n - 1), np.uint64(1) << (own & 63).astype(np.uint64))
+        return out.view(np.int64)
+
+    return words.map(lambda x: bits(np.asarray(x, np.int64)))
+
+
+def _different(a: str, b: str) -> Column:
+    """Cells in which two columns of parity_bits() differ; one of more cells is folded."""
+
+    def folded(own: str, other: str) -> Column:
+        n = F.size(other)
+        rest = F.sequence(F.lit(1), (F.size(own) / n).cast("int") - 1)
+        return F.when(F.size(own) > n, F.aggregate(rest, F.slice(own, F.lit(1), n), lambda x, k: F.zip_with(x, F.slice(own, k * n + 1, n), lambda u, v: u.bitwiseXOR(v)))).otherwise(F.col(own))
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
     """(key, class_id, n_links) for documents whose lower-case word sets have a Jaccard similarity of the threshold or more.
 
-    Documents of equal sets are one class, named by the smallest key; n_links counts other classes that are similar.
-    Representatives meet on prefix words: with words ordered by rarity, similar sets of m words share one of their rarest
-    m - ceil(threshold * m) + 1. At the first shared word the words after it bound the overlap, which drops most other
-    pairs before their words are compared, as 64-bit hashes. Empty and null texts have no words and no links.
+    Documents of equal sets (equal in 128 bits) are one class, named by the smallest key; n_links counts other classes that
+    are similar. Representatives meet on prefix words: with words ordered by rarity, similar sets of m words share one of
+    their rarest m - ceil(threshold * m) + 1. At the first shared word the words after it bound the overlap; then pairs
+    carry the parities of their words, a 32nd of their size, which bound the difference. What is left is compared by
+    64-bit hashes in blocks, so that words are sent once a block, not once a pair. Empty and null texts have no words and
+    no links.
     """
     parts = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""))
     words = F.array_sort(F.transform(parts, lambda w: F.xxhash64(w)))  # numbers are dealt, sorted and compared faster
-    sets = docs.select(F.col(key).alias("_key"), words.alias("_words"))
-    named = sets.groupBy("_words").agg(F.min("_key").alias("class_id"))
-    classes = named.where(F.size("_words") > 0)
+    sets = docs.select(F.col(key).alias("_key"), words.alias("_words")).select("*", F.xxhash64("_words").alias("_h"), F.xxhash64(F.lit(1), "_words").alias("_i"))
+    classes = sets.where(F.size("_words") > 0).groupBy("_h", "_i").agg(F.min("_key").alias("class_id"), F.first("_words").alias("_words")).select("class_id", "_words")
     placed = classes.select("class_id", F.size("_words").alias("_m"), F.explode("_words").alias("_word"))
     rarity = placed.groupBy("_word").agg(F.count("*").alias("_df"))
     ordered = placed.join(rarity, "_word").groupBy("class_id", "_m").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_o"))
@@ -241,10 +273,37 @@ def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) ->
     fits = F.least("l._m", "r._m") >= F.lit(threshold) * F.greatest("l._m", "r._m") - 1e-9
     enough = (1 + threshold) * F.least(F.col("l._m") - F.col("l._at"), F.col("r._m") - F.col("r._at")) >= threshold * (F.col("l._m") + F.col("r._m")) - 1e-9
     near = (F.col("l._word") == F.col("r._word")) & (F.col("l.class_id") < F.col("r.class_id")) & fits & enough
-    pairs = left.join(right, near).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
-    first, second = (classes.select(F.col("class_id").alias(c), F.col("_words").alias(f"_{c}")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("_a", "_b"))
-    linked = pairs.join(first, "a").join(second, "b").where(shared >= F.lit(threshold) * (F.size("_a") + F.size("_b") - shared) - 1e-9)
-    links = linked.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    found = sets.join(named, "_words").join(links, "class_id", "left")
+    pairs = left.join(right, near).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b"), (F.col("l._m") + F.col("r._m")).alias("_m")).distinct()
+    bits = classes.select("class_id", parity_bits("_words").alias("_bits"))
+    first, second = (bits.select(F.col("class_id").alias(c), F.col("_bits").alias(f"_{c}")) for c in ("a", "b"))
+    pairs = pairs.join(first, "a").join(second, "b").where((1 + threshold) * _different("_a", "_b") <= (1 - threshold) * F.col("_m") + 1e-6)
+    links = _linked(pairs.select("a", "b", "_m"), classes, threshold)
+    found = sets.select("_key", "_h", "_i").join(sets.groupBy("_h", "_i").agg(F.min("_key").alias("class_id")), ["_h", "_i"]).join(links, "class_id", "left")
     return found.select(F.col("_key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _linked(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, n_links) of the pairs (a, b, _m) whose words are similar.
+
+    The b of one least neighbour make a block, as near copies have the same one. They are dealt in bands by the number of
+    their lesser neighbours, then by their words, so that a block's members stay few; each a is sent once to a block, with
+    the list of those it may be similar to.
+    """
+    block = ["_g", "_band", "_part"]
+    rows = pairs.groupBy("b").agg(F.min("a").alias("_g"), F.max("_m").alias("_m"), F.collect_list("a").alias("_of"))
+    rows = rows.withColumn("_band", F.expr(f"size(_of) div {BAND}"))
+    upto = F.sum("_m").over(Window.partitionBy("_g", "_band").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    dealt = rows.withColumn("_part", F.floor(upto / (2 * BLOCK_WORDS))).where(F.size("_of") > 0)  # both readers take one shuffle, as they need the same columns
+    words = classes.select(F.col("class_id").alias("_id"), "_words")
+    members = dealt.join(words, F.col("b") == F.col("_id")).groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("b", "_words"))).alias("_members"))
+    asked = dealt.select(*block, "b", F.explode("_of").alias("a")).groupBy(*block, "a").agg(F.collect_list("b").alias("_bs"))
+    asked = asked.join(words, F.col("a") == F.col("_id")).select(*block, "a", "_bs", F.col("_words").alias("_own"))
+
+    def similar(b: Column) -> Column:
+        other = F.element_at("_members", b)
+        shared = F.size(F.array_intersect("_own", other))
+        return shared >= F.lit(threshold) * (F.size("_own") + F.size(other) - shared) - 1e-9
+
+    linked = asked.join(members.hint("merge"), block).select("a", F.filter("_bs", similar).alias("_bs")).where(F.size("_bs") > 0)
+    ends = F.concat(F.array(F.struct(F.col("a").alias("class_id"), F.size("_bs").alias("_n"))), F.transform("_bs", lambda b: F.struct(b.alias("class_id"), F.lit(1).alias("_n"))))
+    return linked.select(F.explode(ends).alias("_e")).groupBy("_e.class_id").agg(F.sum("_e._n").alias("n_links"))

@@ -152,3 +152,21 @@ def test_compatibility_forms_are_composed_before_rules(spark):
     df = spark.createDataFrame([(1, "Ａ①　ﾊﾟ㈱"), (2, None)], "i int, t string")
     got = {r.i: (r.t, r.removed_digits) for r in prepare.clean_corpus(df, [("digits", "[0-9]", "")], "t", normalize=True).collect()}
     assert got == {1: ("A パ(株)", 1), 2: (None, 0)}
+
+
+@pytest.mark.parametrize("words, band", [(200_000, 256), (50, 2)])
+def test_similar_documents_in_blocks(spark, monkeypatch, words, band):
+    """Near copies of one text, whose variants are alike or not, and texts of other sizes; words are sent once a block, so that no row of a pair carries them."""
+    monkeypatch.setattr(lexicon, "BLOCK_WORDS", words)
+    monkeypatch.setattr(lexicon, "BAND", band)
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join(base[:k] + [f"x{n}_{i}" for i in range(90 - k)]) for n, k in enumerate([90, 89, 88, 86, 83, 82, 81, 80, 79] * 4)]
+    texts += [" ".join(draw.sample(base, draw.randint(60, 90))) for _ in range(30)] + [" ".join(f"y{i}" for i in range(n)) for n in (1, 5, 31, 32, 33, 64, 65, 130)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "d string, text string")
+    sets = [frozenset(t.split()) for t in texts]
+    for threshold in (0.2, 0.8):
+        made = lexicon.similar_documents(docs, "text", "d", threshold)
+        want = {s: sum(s != o and len(s & o) >= threshold * len(s | o) - 1e-9 for o in set(sets)) for s in set(sets)}
+        assert {int(r.d): r.n_links for r in made.collect()} == {i: want[s] for i, s in enumerate(sets)}
+    assert "array_intersect(_a" not in made._jdf.queryExecution().optimizedPlan().toString()
