@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -111,7 +112,7 @@ class CitedSegments(Fold):
             self.last = at
 
 
-def pack_greedily(parts: list[str], most: int) -> list[str]:
+def pack_greedily(parts: Iterable[str], most: int) -> list[str]:
     """Of texts in order, the texts joined by line breaks while they stay within `most` characters; a longer one stands alone."""
     done, size = [], most
     for part in parts:
@@ -122,3 +123,27 @@ def pack_greedily(parts: list[str], most: int) -> list[str]:
             done.append([part])
             size = len(part)
     return ["\n".join(own) for own in done]
+
+
+_END, _BRACKET = re.compile(r"(?<=[.!?。！？])[ \t\n\x0b\f\r]*"), re.compile(r"[(（「)）」]")
+
+
+def cut_sentences(line: str) -> Iterator[str]:
+    """A line cut behind sentence ends, without the blanks there, save where the next bracket is a closing one; a single pass, however long the line."""
+    brackets = [(m.start(), m[0] in ")）」") for m in _BRACKET.finditer(line)]
+    start = i = 0
+    for m in _END.finditer(line):
+        while i < len(brackets) and brackets[i][0] < m.start():
+            i += 1
+        if i == len(brackets) or not brackets[i][1]:
+            yield line[start : m.start()]
+            start = m.end()
+    yield line[start:]
+
+
+def cut_pieces(text: str, most: int) -> Iterator[str]:
+    """The lines of a text; a longer one than `most` by sentences, and these at every `most` characters; empty pieces are left out."""
+    for line in text.split("\n"):
+        for part in (line,) if len(line) <= most else cut_sentences(line):
+            for at in range(0, len(part), most):
+                yield part[at : at + most]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docstruct.functions.fold import pack_greedily
+from docstruct.functions.fold import cut_pieces, pack_greedily
 
 
 @F.pandas_udf(T.StringType())
@@ -90,15 +90,13 @@ def length_gate(docs: DataFrame, text: str, least: int, most: int) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame, most: int, text: str, keys: list[str]) -> DataFrame:
-    """(keys, chunk_no, chunk): paragraphs packed in order into chunks of at most `most` characters; longer paragraphs are cut behind sentence ends, and a sentence that is longer still at every `most` characters."""
-    sentences = F.transform(F.split(text, "\n", -1), lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.split(p, r"(?<=[.!?。！？])\s*(?![^(（「]*[)）」])", -1)))
-    pieces = F.flatten(F.transform(F.flatten(sentences), lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.substring(s, i * most + 1, F.lit(most))))))
-    own = docs.select(*keys, F.filter(pieces, lambda x: F.length(x) > 0).alias("_parts"))
+    """(keys, chunk_no, chunk): paragraphs packed in order into chunks of at most `most` characters; longer paragraphs are cut behind sentence ends, and a sentence that is longer still at every `most` characters. One pass over each text."""
+    own = docs.select(*keys, F.col(text).alias("_text"))
     schema = T.StructType([*own.schema.fields[:-1], T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chunks = [pack_greedily(parts or [], most) for parts in batch.column(len(keys)).to_pylist()]
+            chunks = [pack_greedily(cut_pieces(one or "", most), most) for one in batch.column(len(keys)).to_pylist()]
             row = pa.array([i for i, one in enumerate(chunks) for _ in one], pa.int32())
             kept = [batch.column(i).take(row) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([n for one in chunks for n in range(len(one))], pa.int32()), pa.array([c for one in chunks for c in one], pa.string())], names=schema.names)

@@ -1,7 +1,12 @@
 """Sequential rules against hand-computed rows."""
 
+import random
+import re
+import time
+
 from pyspark.sql import functions as F
 
+from docstruct.functions.fold import cut_sentences
 from docstruct.operators import prepare, segment, sequence, stats
 
 
@@ -42,3 +47,20 @@ def test_segments_rebuild_the_text(spark):
     marks = segment.find_markers(docs, [("the", "The ", 1)], "text", ["doc_id"])
     got = segment.cut_segments(docs, marks, "text", ["doc_id"]).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "segment"))), lambda x: x["segment"]), "").alias("t"))
     assert {r.doc_id: r.t for r in got.collect()} == {1: "The a\nb\nThe c", 2: "none", 3: ""}
+
+
+def test_sentences_are_cut_in_one_pass(spark):
+    """As by the pattern that looks for a closing bracket from every sentence end, which takes the square of a line's length."""
+    pattern = re.compile(r"(?<=[.!?。！？])[ \t\n\x0b\f\r]*(?![^(（「]*[)）」])")
+    draw = random.Random(5)
+    for _ in range(3000):
+        line = "".join(draw.choices("ab. 。!?(（「)）」\t　", k=draw.randint(0, 14)))
+        want, start = [], 0
+        for m in pattern.finditer(line):
+            want, start = want + [line[start : m.start()]], m.end()
+        assert list(cut_sentences(line)) == want + [line[start:]]
+    line = "Some words end. " * 60_000 + "(so) 「x。」"
+    begin = time.time()
+    chunks = [r.chunk for r in prepare.chunk_documents(spark.createDataFrame([(1, line), (2, None)], "d int, text string"), 800, "text", ["d"]).orderBy("chunk_no").collect()]
+    assert time.time() - begin < 60
+    assert "\n".join(chunks) == "Some words end.\n" * 60_000 + "(so) 「x。」"
