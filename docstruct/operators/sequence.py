@@ -126,11 +126,15 @@ def check_expectations(counts: DataFrame, expected: DataFrame, key: list[str], t
 def rebalance_blocks(items: DataFrame, doc: str, block: str, order: list[str], want: int) -> DataFrame:
     """Q11: if block 1 has fewer than `want` items and block 2 can spare them, the head of block 2 moves over; items are numbered anew."""
     sizes = Window.partitionBy(doc)
-    need = F.lit(want) - F.count_if(F.col(block) == 1).over(sizes)
-    marked = items.withColumns({"_need": need, "_spare": F.count_if(F.col(block) == 2).over(sizes), "_at": F.row_number().over(Window.partitionBy(doc, block).orderBy(*order))})
-    goes = (F.col(block) == 2) & (F.col("_need") > 0) & (F.col("_spare") > F.col("_need")) & (F.col("_at") <= F.col("_need"))
-    moved = marked.withColumn("_was", F.col(block)).withColumn(block, F.when(goes, 1).otherwise(F.col(block)))
-    return moved.withColumn("item_no", F.row_number().over(Window.partitionBy(doc, block).orderBy("_was", *order))).drop("_need", "_spare", "_at", "_was")
+    at = F.row_number().over(Window.partitionBy(doc, block).orderBy(*order))
+    # places first, so that the sizes find rows sorted by them; new numbers follow from both and need no further sort
+    marked = items.repartition(doc).withColumn("_at", at).withColumns({"_ones": F.count_if(F.col(block) == 1).over(sizes), "_spare": F.count_if(F.col(block) == 2).over(sizes)})
+    need = F.lit(want) - F.col("_ones")
+    able = (F.col(block) == 2) & (need > 0) & (F.col("_spare") > need)
+    goes = able & (F.col("_at") <= need)
+    number = F.when(goes, F.col("_ones") + F.col("_at")).when(able, F.col("_at") - need).otherwise(F.col("_at")).cast("int")
+    moved = marked.withColumns({"item_no": number, block: F.when(goes, 1).otherwise(F.col(block))})
+    return moved.drop("_ones", "_spare", "_at")
 
 
 def anchor_sort(items: DataFrame, key: list[str], text: str, anchors: list[str], order: list[str]) -> DataFrame:

@@ -64,3 +64,18 @@ def test_sentences_are_cut_in_one_pass(spark):
     chunks = [r.chunk for r in prepare.chunk_documents(spark.createDataFrame([(1, line), (2, None)], "d int, text string"), 800, "text", ["d"]).orderBy("chunk_no").collect()]
     assert time.time() - begin < 60
     assert "\n".join(chunks) == "Some words end.\n" * 60_000 + "(so) 「x。」"
+
+
+def test_blocks_are_rebalanced_by_one_sort(spark):
+    draw = random.Random(11)
+    rows = [(d, draw.choice([1, 2, 2, 2, 3, None]), n) for d in [*range(60), None] for n in range(draw.randint(0, 9))]
+    made = sequence.rebalance_blocks(spark.createDataFrame(rows, "d int, block int, n int"), "d", "block", ["n"], 3)
+    want = []
+    for d in {r[0] for r in rows}:
+        own = {b: sorted(n for k, c, n in rows if k == d and c == b) for b in (1, 2, 3, None)}
+        need = 3 - len(own[1])
+        if 0 < need < len(own[2]):
+            own[1], own[2] = own[1] + own[2][:need], own[2][need:]
+        want += [(d, b, n, i + 1) for b, ns in own.items() for i, n in enumerate(ns)]
+    assert sorted(map(tuple, made.select("d", "block", "n", "item_no").collect()), key=repr) == sorted(want, key=repr)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
