@@ -111,7 +111,8 @@ k AS (SELECT o_custkey, string_agg(l_returnflag || '=' || n, ',' ORDER BY l_retu
 SELECT c_custkey, c_name, coalesce(n_sections, 0) AS n_sections, coalesce(n_questions, 0) AS n_questions, coalesce(kinds, '') AS kinds, coalesce(sections, '') AS sections FROM customer LEFT JOIN s ON s.o_custkey = c_custkey LEFT JOIN k ON k.o_custkey = c_custkey""")
 def s8_export_documents(t):
     orders = t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    items = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag").join(orders, "o_orderkey")
+    dealt = lambda rows: rows.repartition(corpus.PARTS, "o_orderkey")
+    items = dealt(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey", "l_returnflag")).join(dealt(orders), "o_orderkey")
     nested = corpus.export_documents(t("customer").select("c_custkey", "c_name"), orders, items, "c_custkey", "o_orderkey", "l_linenumber", "l_returnflag", ["l_partkey"])
     kinds = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     asked = lambda s: F.array_join(F.transform(s["questions"], lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), "+")

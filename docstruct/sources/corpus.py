@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
 #: Columns of Spark's binary files, which a stream of them must name.
 FILES = "path string, modificationTime timestamp, length long, content binary"
+#: Tasks to which a nested export deals its rows. It is a fixed number, as adaptive execution joins partitions by their compressed bytes, some tenth of what their rows take in memory.
+PARTS = 256
 
 
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt", encodings: tuple[str, ...] = ("utf-8", "shift_jis", "euc_jp")) -> DataFrame:
@@ -66,26 +68,37 @@ def export_nested(items: DataFrame, key: str, order: list[str], kind: str, colum
     return own.join(kinds, key)
 
 
-def export_documents(docs: DataFrame, sections: DataFrame, questions: DataFrame, key: str, section: str, order: str, kind: str, columns: list[str]) -> DataFrame:
+def tally(values: Column) -> Column:
+    """A map of an array's values to how often they occur, in the values' order; the array is sorted and its runs are measured, so that many values cost no more than few."""
+    let = lambda bound, body: F.transform(F.array(bound), body)[0]
+    runs = lambda v, starts: F.transform(starts, lambda p, i: F.struct(F.get(v, p), (F.coalesce(F.get(starts, i + 1), F.size(v)) - p).cast("long")))
+    begins = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda p: (p == 0) | ~F.get(v, p).eqNullSafe(F.get(v, p - 1)))
+    return F.when(F.size(values) > 0, F.map_from_entries(let(F.array_sort(values), lambda v: let(begins(v), lambda s: runs(v, s)))))
+
+
+def export_documents(docs: DataFrame, sections: DataFrame, questions: DataFrame, key: str, section: str, order: str, kind: str, columns: list[str], parts: int = PARTS) -> DataFrame:
     """One nested row a document: its columns, n_sections, n_questions, type_counts (a map) and its sections in order, each with n_questions, type_counts and its questions in order.
 
     docs (key, ...), sections (key, section, ...), questions (key, section, order, kind, columns). Sections without
     questions and documents without sections stay, with empty lists and maps; questions of unknown sections count for
-    nothing. Both levels are aggregations by hash, so that a document's questions meet only in the row that is written.
+    nothing. Sections and questions are dealt once, by document, to the given number of parts, and are grouped there by
+    section and then by document, so that a task holds its part of the rows however few bytes the shuffle takes.
     """
-    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "_n"))))
-    own = questions.join(sections.select(key, section), [key, section], "left_semi")
-    typed = own.groupBy(key, section, kind).agg(F.count("*").alias("_n"))
-    listed = own.groupBy(key, section).agg(F.count("*").alias("n_questions"), F.array_sort(F.collect_list(F.struct(*dict.fromkeys([order, kind, *columns])))).alias("questions"))
-    below = sections.join(listed, [key, section], "left").join(typed.groupBy(key, section).agg(counts.alias("type_counts")), [key, section], "left")
-    empty = lambda df, c: F.coalesce(F.col(c), F.expr(f"CAST({'map()' if c == 'type_counts' else 'array()'} AS {df.schema[c].dataType.simpleString()})"))
     other = [c for c in sections.columns if c not in (key, section)]
-    nested = F.struct(section, *other, F.coalesce("n_questions", F.lit(0)).cast("long").alias("n_questions"), empty(below, "type_counts").alias("type_counts"), empty(below, "questions").alias("questions"))
+    asked = questions.where(F.col(key).isNotNull() & F.col(section).isNotNull()).select(key, section, F.struct(*dict.fromkeys([order, kind, *columns])).alias("_q"))
+    known = sections.where(F.col(key).isNotNull()).select(key, section, F.struct(section, *other).alias("_s"))
+    dealt = known.unionByName(asked, allowMissingColumns=True).repartition(parts, key)
+    below = dealt.groupBy(key, section).agg(F.collect_list("_s").alias("_s"), F.array_sort(F.collect_list("_q")).alias("questions")).where(F.size("_s") > 0)
+    below = below.withColumn("_kinds", F.transform("questions", lambda q: q[kind]))
+    empty = lambda df, c: F.coalesce(F.col(c), F.expr(f"CAST({'map()' if c == 'type_counts' else 'array()'} AS {df.schema[c].dataType.simpleString()})"))
+    below = below.withColumn("type_counts", tally(F.col("_kinds")))
+    nested = lambda s: F.struct(*(s[c].alias(c) for c in [section, *other]), F.size("questions").cast("long").alias("n_questions"), empty(below, "type_counts").alias("type_counts"), F.col("questions").alias("questions"))
+    below = below.select(key, (F.size("_s") * F.size("questions")).alias("_n"), "_kinds", F.transform("_s", nested).alias("_nested"))
+    gathered = below.groupBy(key).agg(F.sum("_n").alias("n_questions"), F.flatten(F.collect_list("_kinds")).alias("_kinds"), F.flatten(F.collect_list("_nested")).alias("sections"))
     # maps have no order, so the struct is sorted by its section, which is unique in a document
-    gathered = below.groupBy(key).agg(F.count("*").alias("n_sections"), F.sum(F.coalesce("n_questions", F.lit(0))).cast("long").alias("n_questions"), F.collect_list(nested).alias("sections"))
-    gathered = gathered.withColumn("sections", F.array_sort("sections", lambda a, b: F.when(a[section] < b[section], -1).when(a[section] > b[section], 1).otherwise(0)))
-    totals = typed.groupBy(key, kind).agg(F.sum("_n").alias("_n")).groupBy(key).agg(counts.alias("type_counts"))
-    out = docs.join(gathered, key, "left").join(totals, key, "left")
+    in_order = F.array_sort("sections", lambda a, b: F.when(a[section] < b[section], -1).when(a[section] > b[section], 1).otherwise(0))
+    gathered = gathered.select(key, F.size("sections").alias("n_sections"), "n_questions", tally(F.col("_kinds")).alias("type_counts"), in_order.alias("sections"))
+    out = docs.repartition(parts, key).join(gathered, key, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(*docs.columns, zero("n_sections"), zero("n_questions"), empty(out, "type_counts").alias("type_counts"), empty(out, "sections").alias("sections"))
 

@@ -73,3 +73,25 @@ def test_documents_nest_sections_and_questions(spark, tmp_path):
     assert rows[2] == {"d": 2, "name": "b", "n_sections": 0, "n_questions": 0, "type_counts": {}, "sections": []}
     assert (rows[1]["n_sections"], rows[1]["n_questions"], rows[1]["type_counts"]) == (3, 3, {"x": 2, "y": 1})
     assert [(s["title"], s["n_questions"], s["type_counts"], [q["text"] for q in s["questions"]]) for s in rows[1]["sections"]] == [("first", 2, {"x": 1, "y": 1}, ["q1", "q2"]), ("second", 1, {"x": 1}, ["q3"]), ("empty", 0, {}, [])]
+
+
+def test_a_task_of_the_nested_export_holds_a_small_part_of_the_documents(spark):
+    docs = spark.range(2000).select(F.col("id").alias("d"))
+    sections = docs.select("d", F.explode(F.array(F.lit(1), F.lit(2))).alias("s"))
+    questions = sections.select("d", "s", F.lit(1).alias("n"), F.lit("x").alias("kind"), F.lit("q").alias("text"))
+    nested = corpus.export_documents(docs, sections, questions, "d", "s", "n", "kind", ["text"]).where("n_sections = 2 AND n_questions = 2")
+    held = [r["count"] for r in nested.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 2000 and max(held) < 100
+
+
+def test_nested_export_of_null_and_repeated_rows_and_many_kinds(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "again"), (None, "none"), (2, "b")], "d int, name string")
+    sections = spark.createDataFrame([(1, 1, "first"), (1, 1, "twice"), (1, None, "null"), (None, 1, "lost")], "d int, s int, title string")
+    many = [(1, 1, i, f"k{i % 3000:04}", "q") for i in range(9000)]
+    questions = spark.createDataFrame([*many, (1, None, 1, "x", "lost"), (None, 1, 1, "x", "lost"), (2, 1, 1, "x", "lost")], "d int, s int, n int, kind string, text string")
+    rows = {r["name"]: r for r in corpus.export_documents(docs, sections, questions, "d", "s", "n", "kind", ["text"], parts=4).collect()}
+    for name in ("a", "again"):
+        assert (rows[name]["n_sections"], rows[name]["n_questions"]) == (3, 18000) and rows[name]["type_counts"] == {f"k{i:04}": 3 for i in range(3000)}
+        assert {s["title"]: (s["n_questions"], len(s["type_counts"]), [q["n"] for q in s["questions"]]) for s in rows[name]["sections"]} == {"first": (9000, 3000, list(range(9000))), "twice": (9000, 3000, list(range(9000))), "null": (0, 0, [])}
+    for name in ("none", "b"):
+        assert (rows[name]["n_sections"], rows[name]["n_questions"], rows[name]["type_counts"], rows[name]["sections"]) == (0, 0, {}, [])
