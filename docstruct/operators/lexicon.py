@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docstruct.functions.positions import join_on
@@ -222,88 +224,297 @@ def _holders(names: DataFrame, keywords: DataFrame) -> DataFrame:
     return term_hits(own, keywords, "_name", ["_name"], "_keyword", words=False).select(F.col("term").alias("_keyword"), F.col("_name").alias("term"))
 
 
-#: Words of the members of a block of similar classes, and lesser neighbours by which members are dealt in bands.
-BLOCK_WORDS, BAND = 200_000, 256
+#: Cells in which words are counted for their order; words of a block of documents that are compared at once; rows of one word that are held at once.
+CELLS, BLOCK_WORDS, BAND = 1 << 20, 4_000_000, 1 << 17
+#: Pairs that are tested at once, 64-bit numbers of parities that a row carries at most, and sizes up to which sets are cut in 1, 8, 32, 128 ... parts.
+STEP, WIDEST, SIZES = 1 << 21, 16, 512 * 4 ** np.arange(12)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def parity_bits(words: pd.Series) -> pd.Series:
-    """Of 64-bit hashes, the parity of those in each of 2 to 4 cells a hash (a power of two), 64 cells a number: two sets differ in no fewer hashes than cells."""
+def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
+    """(key, class_id, n_links) for documents whose lower-case word sets have a Jaccard similarity of the threshold or more.
 
-    def bits(own: np.ndarray) -> np.ndarray:
-        n = 1 << max(0, (len(own) - 1) // 32).bit_length()
-        out = np.zeros(n, np.uint64)
-        np.bitwise_xor.at(out, (own >> 6) & (n - 1), np.uint64(1) << (own & 63).astype(np.uint64))
-        return out.view(np.int64)
+    Documents of equal sets (equal in 128 bits) are one class, named by the smallest key; n_links counts other classes that
+    are similar. Classes meet on prefix words: with words ordered by rarity, similar sets of m words share one of their
+    rarest m - ceil(threshold * m) + 1. At the first shared word the words from it on bound the overlap, by their number and
+    by their parities. Large sets are cut by their words' hashes, as two that are similar have a part in which they are.
+    Rows of a word that the bounds leave together get a label in common; then classes are sent once a label, and all pairs
+    of a label are compared by 64-bit hashes. No pair is ever a row: what is shuffled grows with the words, and only the
+    comparisons with the pairs. Empty and null texts have no words and no links.
+
+    One job counts words in CELLS cells, for their order alone.
+    """
+    parts = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
+    words = F.sort_array(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))))  # numbers are dealt, sorted and compared faster
+    named = lambda rows: rows.select(F.col(key).alias("_key"), words.alias("_words")).select("*", F.xxhash64("_words").alias("_h"), F.xxhash64(F.lit(1), "_words").alias("_i"))
+    spoken = named(docs.where(F.col(text).rlike(r"\S")))
+    # both readers take all columns, so that the words are dealt once
+    classes = spoken.select("_h", "_i", "_words").repartition("_h").dropDuplicates(["_h", "_i"])
+    ranks = docs.sparkSession.sparkContext.broadcast(_ranks(spoken))
+    prefix = classes.mapInArrow(_prefixes(threshold, ranks), "_word long, _h long, _size long, _bits binary")
+    marks = prefix.repartition("_word").sortWithinPartitions("_word", "_size").mapInArrow(_alike(threshold, BAND), "_label long, _h long, _m long")
+    links = _linked(marks, classes, threshold)
+    least = F.min("_key").over(Window.partitionBy("_h", "_i")).alias("class_id")
+    found = named(docs).select("_key", "_h", "_i").select("*", least).join(links, ["_h", "_i"], "left")
+    return found.select(F.col("_key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-    return words.map(lambda x: bits(np.asarray(x, np.int64)))
 
+def _ranks(sets: DataFrame) -> np.ndarray:
+    """For each cell of words how often they stand, in steps of an eighth of a power of two."""
 
-def _different(a: str, b: str) -> Column:
-    """Cells in which two columns of parity_bits() differ; one of more cells is folded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            counts += np.bincount(_lists(batch.column(0))[0] & (CELLS - 1), minlength=CELLS)
+        cells = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], names=["_cell", "_n"])
 
-    def folded(own: str, other: str) -> Column:
-        n = F.size(other)
-        rest = F.sequence(F.lit(1), (F.size(own) / n).cast("int") - 1)
-        return F.when(F.size(own) > n, F.aggregate(rest, F.slice(own, F.lit(1), n), lambda x, k: F.zip_with(x, F.slice(own, k * n + 1, n), lambda u, v: u.bitwiseXOR(v)))).otherwise(F.col(own))
+    counts = sets.select("_words").mapInArrow(run, "_cell int, _n long").groupBy("_cell").agg(F.sum("_n").alias("_n"))
+    found = counts.where("_n > 1").select("_cell", F.least(F.lit(255), F.floor(F.log2("_n") * 8)).cast("short").alias("_r")).toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
 
-    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a column of lists of longs."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
-    """(key, class_id, n_links) for documents whose lower-case word sets have a Jaccard similarity of the threshold or more.
 
-    Documents of equal sets (equal in 128 bits) are one class, named by the smallest key; n_links counts other classes that
-    are similar. Representatives meet on prefix words: with words ordered by rarity, similar sets of m words share one of
-    their rarest m - ceil(threshold * m) + 1. At the first shared word the words after it bound the overlap; then pairs
-    carry the parities of their words, a 32nd of their size, which bound the difference. What is left is compared by
-    64-bit hashes in blocks, so that words are sent once a block, not once a pair. Empty and null texts have no words and
-    no links.
-    """
-    parts = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""))
-    words = F.array_sort(F.transform(parts, lambda w: F.xxhash64(w)))  # numbers are dealt, sorted and compared faster
-    sets = docs.select(F.col(key).alias("_key"), words.alias("_words")).select("*", F.xxhash64("_words").alias("_h"), F.xxhash64(F.lit(1), "_words").alias("_i"))
-    classes = sets.where(F.size("_words") > 0).groupBy("_h", "_i").agg(F.min("_key").alias("class_id"), F.first("_words").alias("_words")).select("class_id", "_words")
-    placed = classes.select("class_id", F.size("_words").alias("_m"), F.explode("_words").alias("_word"))
-    rarity = placed.groupBy("_word").agg(F.count("*").alias("_df"))
-    ordered = placed.join(rarity, "_word").groupBy("class_id", "_m").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_o"))
-    size = F.col("_m") - F.ceil(F.round(F.lit(threshold) * F.col("_m"), 9)).cast("int") + 1
-    prefix = ordered.select("class_id", "_m", F.posexplode(F.slice(F.col("_o")["_word"], F.lit(1), size)).alias("_at", "_word"))
-    left, right = prefix.alias("l"), prefix.alias("r")
-    fits = F.least("l._m", "r._m") >= F.lit(threshold) * F.greatest("l._m", "r._m") - 1e-9
-    enough = (1 + threshold) * F.least(F.col("l._m") - F.col("l._at"), F.col("r._m") - F.col("r._at")) >= threshold * (F.col("l._m") + F.col("r._m")) - 1e-9
-    near = (F.col("l._word") == F.col("r._word")) & (F.col("l.class_id") < F.col("r.class_id")) & fits & enough
-    pairs = left.join(right, near).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b"), (F.col("l._m") + F.col("r._m")).alias("_m")).distinct()
-    bits = classes.select("class_id", parity_bits("_words").alias("_bits"))
-    first, second = (bits.select(F.col("class_id").alias(c), F.col("_bits").alias(f"_{c}")) for c in ("a", "b"))
-    pairs = pairs.join(first, "a").join(second, "b").where((1 + threshold) * _different("_a", "_b") <= (1 - threshold) * F.col("_m") + 1e-6)
-    links = _linked(pairs.select("a", "b", "_m"), classes, threshold)
-    found = sets.select("_key", "_h", "_i").join(sets.groupBy("_h", "_i").agg(F.min("_key").alias("class_id")), ["_h", "_i"]).join(links, "class_id", "left")
-    return found.select(F.col("_key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+def _folded(bits: np.ndarray, n: int) -> np.ndarray:
+    """Rows of parities in as many cells as n numbers have."""
+    return bits if bits.shape[1] == n else np.bitwise_xor.reduce(bits.reshape(len(bits), -1, n), axis=1)
+
+
+def _pieces(values: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, owners, sizes, values) of the sets that are cut alike: whole ones of level 0, else parts; a set is cut as those that it may be similar to."""
+    sizes = np.diff(offsets)
+    lowest, highest = np.searchsorted(SIZES, sizes), np.searchsorted(SIZES, np.floor(sizes / threshold + 1e-9))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    for level in range(int(lowest.min()), int(highest.max()) + 1):
+        parts = 2 * 4**level if level else 1
+        here = ((lowest <= level) & (level <= highest))[owner]
+        own = values[here]
+        piece, at, n = np.unique(owner[here] * parts + (own >> 40 & (parts - 1)), return_inverse=True, return_counts=True)
+        yield level, piece // parts, n, own[np.argsort(at, kind="stable")]
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, n_links) of the pairs (a, b, _m) whose words are similar.
+def _prefixes(threshold: float, ranks: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(_h, _i, _words) to (_word, _h, _size, _bits) of each prefix word of a set or part: its size, level and place there in one number, and parities of the words from it on.
 
-    The b of one least neighbour make a block, as near copies have the same one. They are dealt in bands by the number of
-    their lesser neighbours, then by their words, so that a block's members stay few; each a is sent once to a block, with
-    the list of those it may be similar to.
+    Two of which this is the first shared word differ in no fewer of these words than parities. A row has two to four cells
+    for each word that may differ.
+    """
+
+    def prefix(h: np.ndarray, level: int, sizes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        starts = np.cumsum(sizes) - sizes
+        rank = ranks.value[values & (CELLS - 1)].astype(np.int64)
+        values = values[np.argsort(np.repeat(np.arange(len(sizes)), sizes) << 8 | rank, kind="stable")]
+        lengths = sizes - np.ceil(np.round(threshold * sizes, 9)).astype(np.int64) + 1
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        may = np.repeat((1 - threshold) / threshold * sizes, lengths) - at  # words that may differ from here on
+        widths = np.minimum(WIDEST, 1 << np.ceil(np.log2(np.maximum(may / 32, 1))).astype(np.int64))
+        bits, first = [], 0
+        for start, m, length in zip(starts.tolist(), sizes.tolist(), lengths.tolist()):
+            width = widths[first : first + length]
+            n, low = int(width[0]), int(width[-1])
+            cell = values[start : start + m] >> 20 & (64 * n - 1)
+            one = np.zeros((length, n), np.uint64)
+            one[np.arange(length), cell[:length] >> 6] = np.uint64(1) << (cell[:length] & 63).astype(np.uint64)
+            rest = np.packbits((np.bincount(cell[length:], minlength=64 * n) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+            own = np.bitwise_xor.accumulate(one[::-1], axis=0)[::-1] ^ rest
+            cuts = [0, length] if n == low else [0, *(np.flatnonzero(np.diff(width)) + 1).tolist(), length]
+            bits += [_folded(own[a:b], int(width[a])).ravel() for a, b in zip(cuts, cuts[1:])]
+            first += length
+        ends = np.concatenate([[0], np.cumsum(widths) * 8]).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(bits))])
+        words = values[np.repeat(starts, lengths) + at] ^ (level << 58)  # levels don't meet
+        columns = [words, np.repeat(h, lengths), np.repeat(sizes, lengths) << 32 | level << 27 | at]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), packed], names=["_word", "_h", "_size", "_bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                h = batch.column(0).to_numpy()
+                for level, owner, sizes, values in _pieces(*_lists(batch.column(2)), threshold):
+                    if len(sizes):
+                        yield prefix(h[owner], level, sizes, values)
+
+    return run
+
+
+def _merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """root (the least row of each row's component) with x and y connected."""
+    while True:
+        a, b = root[x], root[y]
+        apart = a != b
+        if not apart.any():
+            return root
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of each x and the rows from begin to end of it, some STEP at a time."""
+    counts = np.maximum(end - begin, 0)
+    rows = np.flatnonzero(counts)
+    total = np.cumsum(counts[rows])
+    first = 0
+    while first < len(rows):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + STEP, "right")))
+        own = rows[first:last]
+        n = counts[own]
+        yield np.repeat(own, n), np.arange(n.sum()) + np.repeat(begin[own] - np.cumsum(n) + n, n)
+        first = last
+
+
+def _alike(threshold: float, band: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _prefixes() sorted by word and size to (_label, _h, _m), the set's size about: rows of a word that the bounds don't tell apart have a label in common, the least _h of those they are connected with.
+
+    Of a word more than `band` rows are taken in turns, and those held that a later, larger set may still meet.
+    """
+    least = threshold / (1 + threshold)  # of the words of two similar sets, the part that is shared
+
+    def furthest(size: np.ndarray) -> np.ndarray:
+        m, at = size >> 32, size & 0x7FFFFFF
+        return np.floor((m - at) / least - m + 1e-6).astype(np.int64)
+
+    def marks(rows: pa.RecordBatch, fresh: int) -> pa.RecordBatch:
+        word, h, size = (rows.column(i).to_numpy() for i in range(3))
+        m, after = size >> 32, (size >> 32) - (size & 0x7FFFFFF)
+        level = size >> 27 & 31
+        group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])) << 32
+        end = np.searchsorted(group | m, group | np.clip(furthest(size), 0, 0xFFFFFFFF), "right")
+        starts = np.frombuffer(rows.column(3).buffers()[1], np.int32)[rows.column(3).offset :][: len(word) + 1].astype(np.int64) // 8
+        bits, width = np.frombuffer(rows.column(3).buffers()[2], np.uint64), np.diff(starts)
+        root = np.arange(len(word))
+        for x, y in _spans(np.maximum(np.arange(len(word)) + 1, fresh), end):
+            need = least * (m[x] + m[y])
+            may = after[x] + after[y] - 2 * need + 1e-6  # words that may differ from here on
+            open_ = (np.minimum(after[x], after[y]) >= need - 1e-6) & (root[x] != root[y])
+            x, y, may = x[open_], y[open_], may[open_]
+            both = width[x] << 32 | width[y]
+            for kind in np.unique(both).tolist():
+                here = np.flatnonzero(both == kind)
+                p, q = kind >> 32, kind & 0xFFFFFFFF
+                for some in np.array_split(here, len(here) * max(p, q) // STEP + 1):
+                    a, b = (_folded(bits[starts[i[some]][:, None] + np.arange(n)], min(p, q)) for i, n in ((x, p), (y, q)))
+                    near = some[np.bitwise_count(a ^ b).sum(axis=1) <= may[some]]
+                    root = _merge(root, x[near], y[near])
+        label = h.copy()
+        np.minimum.at(label, root, h)
+        kept = np.bincount(root, minlength=len(root))[root] > 1
+        found = np.unique(np.stack([label[root][kept], h[kept], (m * np.where(level, 2 * 4**level, 1))[kept]], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["_label", "_h", "_m"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            word = rows.column(0).to_numpy()
+            cut = int(np.searchsorted(np.cumsum(word != word[-1]), (word != word[-1]).sum(), "left")) + 1 if word[0] != word[-1] else 0
+            if cut:
+                yield marks(rows.slice(0, cut), fresh)
+                fresh = 0
+            held = rows.slice(cut)
+            if held.num_rows > band:
+                yield marks(held, fresh)
+                size = held.column(2).to_numpy()
+                held = held.filter(pa.array(furthest(size) >= size[-1] >> 32))
+                fresh = held.num_rows
+        if held is not None and held.num_rows:
+            yield marks(held, fresh)
+
+    return run
+
+
+def _linked(marks: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(_h, _i, n_links) of the classes that marks (_label, _h, _m) name, compared with all of their labels' classes; a pair counts at the least label that both have.
+
+    A label of many words is dealt in blocks, and each two of them meet.
+    """
+    block = ["_label", "_left", "_right"]
+    members = marks.groupBy("_label", "_h").agg(F.max("_m").alias("_m"))
+    of = F.ceil(F.sum(F.col("_m") + 256).over(Window.partitionBy("_label")) / BLOCK_WORDS).cast("int")
+    asked = members.withColumn("_of", of).groupBy("_h").agg(F.collect_list(F.struct("_label", "_of")).alias("_labels"))
+    rows = asked.join(classes, "_h").select("_h", "_i", "_words", "_labels", F.explode("_labels").alias("_l")).select("*", F.pmod("_i", "_l._of").cast("int").alias("_own"))
+    lower = F.filter(F.col("_labels")["_label"], lambda x: x < F.col("_l._label")).alias("_lower")
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_l._of") - 1)).alias("_other"))
+    dealt = dealt.select("_l._label", F.least("_own", "_other").alias("_left"), F.greatest("_own", "_other").alias("_right"), "_own", "_h", "_i", lower, "_words")
+    compared = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_compared(threshold), "_h long, _i long, _n long")
+    return compared.groupBy("_h", "_i").agg(F.sum("_n").alias("n_links"))
+
+
+def _overlaps(values: np.ndarray, offsets: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    """Of n sets of distinct values, a function from two bounds to a matrix: how many values each set between them shares with each of the n.
+
+    Values of many sets are columns of a matrix product, those of few are paired.
     """
-    block = ["_g", "_band", "_part"]
-    rows = pairs.groupBy("b").agg(F.min("a").alias("_g"), F.max("_m").alias("_m"), F.collect_list("a").alias("_of"))
-    rows = rows.withColumn("_band", F.expr(f"size(_of) div {BAND}"))
-    upto = F.sum("_m").over(Window.partitionBy("_g", "_band").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    dealt = rows.withColumn("_part", F.floor(upto / (2 * BLOCK_WORDS))).where(F.size("_of") > 0)  # both readers take one shuffle, as they need the same columns
-    words = classes.select(F.col("class_id").alias("_id"), "_words")
-    members = dealt.join(words, F.col("b") == F.col("_id")).groupBy(*block).agg(F.map_from_entries(F.collect_list(F.struct("b", "_words"))).alias("_members"))
-    asked = dealt.select(*block, "b", F.explode("_of").alias("a")).groupBy(*block, "a").agg(F.collect_list("b").alias("_bs"))
-    asked = asked.join(words, F.col("a") == F.col("_id")).select(*block, "a", "_bs", F.col("_words").alias("_own"))
-
-    def similar(b: Column) -> Column:
-        other = F.element_at("_members", b)
-        shared = F.size(F.array_intersect("_own", other))
-        return shared >= F.lit(threshold) * (F.size("_own") + F.size(other) - shared) - 1e-9
-
-    linked = asked.join(members.hint("merge"), block).select("a", F.filter("_bs", similar).alias("_bs")).where(F.size("_bs") > 0)
-    ends = F.concat(F.array(F.struct(F.col("a").alias("class_id"), F.size("_bs").alias("_n"))), F.transform("_bs", lambda b: F.struct(b.alias("class_id"), F.lit(1).alias("_n"))))
-    return linked.select(F.explode(ends).alias("_e")).groupBy("_e.class_id").agg(F.sum("_e._n").alias("n_links"))
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    _, code, times = np.unique(values, return_inverse=True, return_counts=True)
+    dense = times > max(1, n // 16)
+    if dense.sum() > 2048:
+        dense &= times >= np.partition(times, -2048)[-2048]
+        dense &= np.cumsum(dense) <= 2048
+    at = dense[code]
+    table = np.zeros((n, int(dense.sum())), np.float32)
+    table[row[at], (np.cumsum(dense) - 1)[code[at]]] = 1
+    thin = ~at & (times[code] > 1)
+    code, owner = code[thin], row[thin]
+    by_code = np.argsort(code, kind="stable")
+    holders = owner[by_code]
+    begin = np.searchsorted(code[by_code], code, "left")
+    end = np.searchsorted(code[by_code], code, "right")
+
+    def between(first: int, last: int) -> np.ndarray:
+        out = table[first:last] @ table.T
+        low, high = np.searchsorted(owner, [first, last])
+        for x, y in _spans(begin[low:high], end[low:high]):
+            out += np.bincount((owner[low:high][x] - first) * n + holders[y], minlength=out.size).reshape(out.shape)
+        return out
+
+    return between
+
+
+def _compared(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by _label, _left and _right to (_h, _i, _n): the number of similar classes in each of these blocks that share no lower label."""
+
+    def counts(rows: pa.RecordBatch) -> pa.RecordBatch:
+        own = rows.column(3).to_numpy()
+        cross = rows.column(1)[0] != rows.column(2)[0]
+        values, offsets = _lists(rows.column(7))
+        m, n = np.diff(offsets), len(own)
+        words, lower = _overlaps(values, offsets), _overlaps(*_lists(rows.column(6)))
+        out = np.zeros(n, np.int64)
+        step = max(1, STEP // n)
+        for first in range(0, n, step):
+            last = min(n, first + step)
+            shared = words(first, last)
+            near = (shared >= threshold * (m[first:last, None] + m - shared) - 1e-9) & (lower(first, last) == 0)
+            near[np.arange(last - first), np.arange(first, last)] = False
+            out[first:last] = (near & (own[first:last, None] != own) if cross else near).sum(axis=1)
+        some = out > 0
+        return pa.RecordBatch.from_arrays([rows.column(4).filter(pa.array(some)), rows.column(5).filter(pa.array(some)), pa.array(out[some])], names=["_h", "_i", "_n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            names = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    if last is not None and last != tuple(names[a]):
+                        yield counts(pa.concat_batches(held))
+                        held = []
+                    last = tuple(names[a])
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield counts(pa.concat_batches(held))
+
+    return run

@@ -170,3 +170,35 @@ def test_similar_documents_in_blocks(spark, monkeypatch, words, band):
         want = {s: sum(s != o and len(s & o) >= threshold * len(s | o) - 1e-9 for o in set(sets)) for s in set(sets)}
         assert {int(r.d): r.n_links for r in made.collect()} == {i: want[s] for i, s in enumerate(sets)}
     assert "array_intersect(_a" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similar_documents_send_no_pairs(spark):
+    """Each of n variants of one text is like all others: n * n / 2 pairs, of which none is a row that is shuffled."""
+    n, base = 250, [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(base[: i % 60] + base[i % 60 + 1 :] + [f"x{i}"])) for i in range(n)], "d int, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def sent():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = sent()
+    assert {(r.class_id, r.n_links) for r in lexicon.similar_documents(docs, "text", "d", 0.8).collect()} == {(i, n - 1) for i in range(n)}
+    assert sent() - before < n * (n - 1) / 2
+
+
+def test_similar_documents_of_any_size(spark):
+    """Sets on both sides of the sizes at which they are cut in parts, whose difference lies in a few words or all over, at and beside the threshold."""
+    draw = random.Random(11)
+    sets = []
+    for n, name in ((511, "a"), (513, "b"), (640, "c"), (2047, "d"), (2050, "e"), (2600, "f")):
+        base = [f"{name}{i}" for i in range(n)]
+        for gone in (0, 1, n // 9 - 1, n // 9, n // 9 + 1, n // 5, n // 5 + 1):
+            for own in (0, gone):
+                order = base if draw.random() < 0.5 else draw.sample(base, n)
+                sets.append(frozenset(order[gone:] + [f"{name}{len(sets)}x{i}" for i in range(own)]))
+    docs = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "d int, text string")
+    want = {s: sum(s != o and len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in set(sets)) for s in set(sets)}
+    assert {r.d: (r.class_id, r.n_links) for r in lexicon.similar_documents(docs, "text", "d", 0.8).collect()} == {i: (sets.index(s), want[s]) for i, s in enumerate(sets)}
+    assert min(want.values()) == 0 < max(want.values())
