@@ -241,14 +241,14 @@ def similar_documents(docs: DataFrame, text: str, key: str, threshold: float) ->
     of a label are compared by 64-bit hashes. No pair is ever a row: what is shuffled grows with the words, and only the
     comparisons with the pairs. Empty and null texts have no words and no links.
 
-    One job counts words in CELLS cells, for their order alone.
+    One job counts words in CELLS cells, for their order alone. Links tell classes by 64 bits, as they do words.
     """
     parts = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != "")
     words = F.sort_array(F.array_distinct(F.transform(parts, lambda w: F.xxhash64(w))))  # numbers are dealt, sorted and compared faster
     named = lambda rows: rows.select(F.col(key).alias("_key"), words.alias("_words")).select("*", F.xxhash64("_words").alias("_h"), F.xxhash64(F.lit(1), "_words").alias("_i"))
     spoken = named(docs.where(F.col(text).rlike(r"\S")))
-    # both readers take all columns, so that the words are dealt once
-    classes = spoken.select("_h", "_i", "_words").repartition("_h").dropDuplicates(["_h", "_i"])
+    # copies are put together before they are dealt; both readers take all columns, so that the words are dealt once
+    classes = spoken.groupBy("_h").agg(F.first(F.struct("_i", "_words")).alias("_c")).select("_h", "_c._i", "_c._words")
     ranks = docs.sparkSession.sparkContext.broadcast(_ranks(spoken))
     prefix = classes.mapInArrow(_prefixes(threshold, ranks), "_word long, _h long, _size long, _bits binary")
     marks = prefix.repartition("_word").sortWithinPartitions("_word", "_size").mapInArrow(_alike(threshold, BAND), "_label long, _h long, _m long")
